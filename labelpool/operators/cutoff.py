@@ -80,7 +80,6 @@ def kth_smallest(df: DataFrame, key: str | Column, tie: str | Column,
         .withColumn("need", F.least(F.col("need"), F.col("n")))
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
-    n_groups = pending.count()
     finished: list[DataFrame] = []
     cached = [pending]
 
@@ -89,12 +88,18 @@ def kth_smallest(df: DataFrame, key: str | Column, tie: str | Column,
         return ((F.col("_k") >= F.col("lo_k")) & (F.col("_k") <= F.col("hi_k"))
                 & (key_mode | ((F.col("_t") >= F.col("lo_t")) & (F.col("_t") <= F.col("hi_t")))))
 
+    def sizes(frame: DataFrame) -> tuple[int, int]:
+        # one action: number of groups and how many still exceed final_rows
+        row = frame.agg(F.count(F.lit(1)).alias("g"),
+                        F.count_if(F.col("n") > final_rows).alias("big")).first()
+        return int(row["g"]), int(row["big"])
+
+    n_groups, n_large = sizes(pending)
     for _ in range(max_levels):
-        large = pending.filter(F.col("n") > final_rows)
-        n_large = large.count()
         finished.append(pending.filter(F.col("n") <= final_rows))
         if n_large == 0:
             break
+        large = pending.filter(F.col("n") > final_rows)
         key_mode = F.col("lo_k") < F.col("hi_k")
         frac = F.when(key_mode, (F.col("_k") - F.col("lo_k")) / (F.col("hi_k") - F.col("lo_k"))) \
             .otherwise((F.col("_t") - F.col("lo_t")).cast("double")
@@ -108,16 +113,15 @@ def kth_smallest(df: DataFrame, key: str | Column, tie: str | Column,
             F.min("_t").alias("b_lo_t"), F.max("_t").alias("b_hi_t"), F.max("need").alias("need"))
         w = Window.partitionBy(*gcols).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         counts = counts.withColumn("cum", F.sum("c").over(w))
-        nxt = (counts.filter((F.col("cum") - F.col("c") < F.col("need")) & (F.col("need") <= F.col("cum")))
-               .select(*gcols,
-                       F.col("c").alias("n"),
-                       F.col("b_lo_k").alias("lo_k"), F.col("b_hi_k").alias("hi_k"),
-                       F.col("b_lo_t").alias("lo_t"), F.col("b_hi_t").alias("hi_t"),
-                       (F.col("need") - (F.col("cum") - F.col("c"))).alias("need"))
-               .persist(StorageLevel.MEMORY_AND_DISK))
-        nxt.count()
-        cached.append(nxt)
-        pending = nxt
+        pending = (counts.filter((F.col("cum") - F.col("c") < F.col("need")) & (F.col("need") <= F.col("cum")))
+                   .select(*gcols,
+                           F.col("c").alias("n"),
+                           F.col("b_lo_k").alias("lo_k"), F.col("b_hi_k").alias("hi_k"),
+                           F.col("b_lo_t").alias("lo_t"), F.col("b_hi_t").alias("hi_t"),
+                           (F.col("need") - (F.col("cum") - F.col("c"))).alias("need"))
+                   .persist(StorageLevel.MEMORY_AND_DISK))
+        cached.append(pending)
+        _, n_large = sizes(pending)
     else:
         # refinement budget spent: resolve what is left by row_number anyway
         finished.append(pending.filter(F.col("n") > final_rows))
@@ -125,10 +129,8 @@ def kth_smallest(df: DataFrame, key: str | Column, tie: str | Column,
     ranges = finished[0]
     for extra in finished[1:]:
         ranges = ranges.unionByName(extra)
-    ranges = ranges.persist(StorageLevel.MEMORY_AND_DISK)
-    n_ranges = ranges.count()
     w = Window.partitionBy(*gcols).orderBy("_k", "_t")
-    result = (base.join(_maybe_broadcast(ranges, n_ranges), gcols)
+    result = (base.join(_maybe_broadcast(ranges, n_groups), gcols)
               .filter(in_range())
               .withColumn("_rn", F.row_number().over(w))
               .filter(F.col("_rn") == F.col("need"))
@@ -137,7 +139,6 @@ def kth_smallest(df: DataFrame, key: str | Column, tie: str | Column,
     result.count()
     for c in cached:
         c.unpersist()
-    ranges.unpersist()
     base.unpersist()
     if not by:
         result = result.drop(_GROUP0)
@@ -192,7 +193,7 @@ def hash_bucket_bits(n: int, target_rows: int = 1 << 17, max_bits: int = 20) ->
 
 
 def dense_ids(df: DataFrame, hash_col: str, tie: str, out: str,
-              n: int | None = None) -> DataFrame:
+              n: int | None = None, target_rows: int = 1 << 17) -> DataFrame:
     """Ids ``0..n-1`` in the order ``(hash_col, tie)`` without a global sort.
 
     ``hash_col`` is a uniform 32-bit hash, so its top bits cut the rows into
@@ -202,7 +203,7 @@ def dense_ids(df: DataFrame, hash_col: str, tie: str, out: str,
     """
     if n is None:
         n = df.count()
-    bits = hash_bucket_bits(n)
+    bits = hash_bucket_bits(n, target_rows)
     bucket = F.shiftright(F.col(hash_col), 32 - bits) if bits else F.lit(0).cast("bigint")
     tagged = df.withColumn("_lp_b", bucket)
     counts = tagged.groupBy("_lp_b").agg(F.count(F.lit(1)).alias("_lp_c"))

@@ -21,21 +21,45 @@ CENTER_SCHEMA = T.StructType([T.StructField("cluster_id", T.IntegerType()),
 
 def cluster_candidates(cands: DataFrame, k: int, seed: int = 42, max_iter: int = KMEANS_MAX_ITER,
                        features: str = "features", out: str = "cluster_id",
-                       max_clusters: int = MAX_CLUSTERS):
+                       max_clusters: int = MAX_CLUSTERS, n_rows: int | None = None):
     """Bisecting k-means with ``k = min(k, max_clusters)``; returns
     ``(model, clustered)``. The model may hold fewer than k centres when the
     candidates have fewer distinct vectors."""
     k_fit = max(2, min(int(k), max_clusters))
+    # A derived (unpersisted) input lets the estimator cache its own vectors
+    # instead of re-reading the candidates on each of its many passes.
+    fit_input = cands.select(features)
+    if n_rows is not None:
+        fit_input = fit_input.coalesce(fit_partitions(n_rows, cands.rdd.getNumPartitions()))
     model = BisectingKMeans(k=k_fit, seed=seed, maxIter=max_iter, featuresCol=features,
-                            predictionCol=out).fit(cands)
+                            predictionCol=out).fit(fit_input)
     return model, model.transform(cands)
 
 
 def centers_frame(spark: SparkSession, model) -> DataFrame:
     """The fitted centres as ``(cluster_id, center)``: at most
-    ``max_clusters`` rows, the only clustering output that reaches the driver."""
-    rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    return spark.createDataFrame(rows, CENTER_SCHEMA)
+    ``max_clusters`` rows, the only clustering output that reaches the driver.
+    Sent back through Arrow (a local relation, no Python worker)."""
+    import pandas as pd
+
+    centers = model.clusterCenters()
+    pdf = pd.DataFrame({"cluster_id": list(range(len(centers))),
+                        "center": [[float(x) for x in c] for c in centers]})
+    key = "spark.sql.execution.arrow.pyspark.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        return spark.createDataFrame(pdf, CENTER_SCHEMA)
+    finally:
+        spark.conf.set(key, before)
+
+
+def fit_partitions(n_rows: int, current: int, rows_per_partition: int = 50_000) -> int:
+    """Partitions for an iterative fit: enough for ``rows_per_partition``
+    rows each, never more than the input has. Small fits then run as few
+    tasks per iteration; large ones keep all their parallelism."""
+    need = -(-max(n_rows, 1) // rows_per_partition)
+    return max(1, min(current, need))
 
 
 def mean_center(points: DataFrame, features: str = "features") -> DataFrame:
@@ -107,7 +131,7 @@ def diverse_batch(spark: SparkSession, cands: DataFrame, budget: int, seed: int
         clustered = cands.withColumn("cluster_id", F.lit(0))
         return nearest_to_centroid(clustered, centers, id_col, features).select(id_col)
     model, clustered = cluster_candidates(cands, budget, seed, max_iter, features,
-                                          max_clusters=max_clusters)
+                                          max_clusters=max_clusters, n_rows=n)
     centers = centers_frame(spark, model)
     d = None
     if budget <= max_clusters:

@@ -54,7 +54,8 @@ def _order_train_state(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _event_state(spark: SparkSession, sf: str) -> DataFrame:
-    """P2 with the fixed-weight score and an L/U state (the whole table is the pool)."""
+    """P2 with the fixed-weight score and an L/U state (the whole table is the
+    pool); persisted, as it feeds the counts, the cut and the final filter."""
     ev = pools.event_pool(spark, sf)
     w1, w2, w3 = FIXED_WEIGHTS
     c1, c2, c3 = FIXED_CENTERS
@@ -63,7 +64,7 @@ def _event_state(spark: SparkSession, sf: str) -> DataFrame:
     p = F.round(logistic(margin), 6)
     scored = ev.select("id_sample", p.alias("p"))
     scored = scored.withColumn("uncertainty", F.round(binary_uncertainty(F.col("p")), 6))
-    return pool.init_state(scored, INITIAL_LABELED_FRACTION, SEED)
+    return pool.init_state(scored, INITIAL_LABELED_FRACTION, SEED).persist()
 
 
 def _event_budget(spark: SparkSession, st: DataFrame) -> tuple[int, int, int]:
@@ -159,7 +160,7 @@ def q_topk_uncertain(spark, sf):
 
 
 def q_stratified_sample(spark, sf):
-    p1 = pools.order_pool(spark, sf)
+    p1 = pools.order_pool(spark, sf).persist()
     n = p1.count()
     return sampling.stratified_sample(p1, n // 2, n_rows=n).select("id_sample", "label")
 
@@ -176,13 +177,13 @@ def q_nested_subsets(spark, sf):
 
 
 def q_prepare_subsets(spark, sf):
-    p1 = pools.order_pool(spark, sf).select(F.col("id_sample").alias("source_id"), "label")
+    p1 = pools.order_pool(spark, sf).select(F.col("id_sample").alias("source_id"), "label").persist()
     n = p1.count()
     return prepare.prepare_subsets(p1, n // 2).select("percentage_set", "id_sample", "source_id", "label")
 
 
 def q_random_selection(spark, sf):
-    st = _order_train_state(spark, sf).select("id_sample", "state")
+    st = _order_train_state(spark, sf).select("id_sample", "state").persist()
     row = pool.state_counts(st).first()
     budget = loop.query_budget(int(row["total"]), int(row["unlabeled"]))
     return sampling.random_selection(st, budget, SEED, round_no=0).select("id_sample", "state")

@@ -16,7 +16,7 @@ from labelpool.config import (
     INITIAL_LABELED_FRACTION, MAX_CLUSTERS, QUERY_BATCH_FRACTION, RANDOM_SEED,
     UNCERTAINTY_CANDIDATE_FACTOR, UNCERTAINTY_QUANTILE_EPSILON,
 )
-from labelpool.operators.diversity import diversity_selection
+from labelpool.operators.diversity import diversity_selection, fit_partitions
 from labelpool.operators.pool import labeled_rows, state_counts
 from labelpool.operators.sampling import random_selection
 from labelpool.operators.uncertainty import get_uncertainty_candidates
@@ -29,11 +29,19 @@ def default_estimator():
 
 
 def train_and_evaluate(pool: DataFrame, test: DataFrame, estimator=None,
-                       metric: str = "accuracy", state_col: str = "state"):
+                       metric: str = "accuracy", state_col: str = "state",
+                       n_labeled: int | None = None):
     """Fit on the labelled rows, evaluate on the test set with any metric of
-    Spark's multiclass evaluator. Returns ``(model, value)``."""
+    Spark's multiclass evaluator. Returns ``(model, value)``.
+
+    With ``n_labeled`` known, the labelled rows are coalesced (no shuffle)
+    to partitions sized for the fit, so a small L does not pay for every
+    pool partition on each optimizer pass."""
     est = estimator if estimator is not None else default_estimator()
-    model = est.fit(labeled_rows(pool, state_col))
+    fit_input = labeled_rows(pool, state_col)
+    if n_labeled is not None:
+        fit_input = fit_input.coalesce(fit_partitions(n_labeled, pool.rdd.getNumPartitions()))
+    model = est.fit(fit_input)
     pred = model.transform(test)
     value = MulticlassClassificationEvaluator(labelCol="label", predictionCol="prediction",
                                               metricName=metric).evaluate(pred)
@@ -83,15 +91,23 @@ def counts(pool: DataFrame) -> tuple[int, int]:
 
 
 def settle(new_pool: DataFrame, old_pool: DataFrame | None, checkpoint: bool) -> DataFrame:
-    """Make the new pool the cached state: (checkpoint →) persist → action →
-    release the old one. A reliable checkpoint in ``spark.checkpoint.dir``
-    cuts the lineage so a lost executor re-reads state instead of replaying
-    every earlier round."""
+    """Make the new pool the cached state: persist → (checkpoint →) action →
+    release the old one.
+
+    The flip is computed once, into the cache; the reliable checkpoint in
+    ``spark.checkpoint.dir`` is then written from that cache and cuts the
+    lineage, so a lost executor re-reads round state from the shared folder
+    instead of replaying every earlier round. The old pool is released only
+    after the new one is materialised, or it would be recomputed."""
+    new_pool = new_pool.persist(StorageLevel.MEMORY_AND_DISK)
     if checkpoint:
         ensure_checkpoint_dir(new_pool.sparkSession)
-        new_pool = new_pool.checkpoint(eager=True)
-    new_pool = new_pool.persist(StorageLevel.MEMORY_AND_DISK)
-    new_pool.count()
+        ck = new_pool.checkpoint(eager=True).persist(StorageLevel.MEMORY_AND_DISK)
+        ck.count()
+        new_pool.unpersist()
+        new_pool = ck
+    else:
+        new_pool.count()
     if old_pool is not None:
         old_pool.unpersist()
     return new_pool
@@ -118,16 +134,22 @@ def active_round(spark: SparkSession, pool: DataFrame, test: DataFrame, method:
     p = params or Params()
     step = strategy(method)
     t0 = time.time()
+    phases: dict[str, float] = {}
     if labeled is None or unlabeled is None:
         labeled, unlabeled = counts(pool)
-    model, acc = train_and_evaluate(pool, test, estimator, p.metric)
+    model, acc = train_and_evaluate(pool, test, estimator, p.metric, n_labeled=labeled)
+    phases["fit_evaluate"] = time.time() - t0
     budget = query_budget(labeled + unlabeled, unlabeled, p.batch_fraction)
     if budget <= 0:
-        return RoundResult(pool, acc, 0, labeled, unlabeled, time.time() - t0)
+        return RoundResult(pool, acc, 0, labeled, unlabeled, time.time() - t0, phases)
+    t1 = time.time()
     new_pool = step(spark, pool, model, budget, unlabeled, round_no, p)
+    phases["select"] = time.time() - t1
+    t1 = time.time()
     new_pool = settle(new_pool, pool, checkpoint)
     l2, u2 = counts(new_pool)
-    return RoundResult(new_pool, acc, budget, l2, u2, time.time() - t0)
+    phases["flip_recount"] = time.time() - t1
+    return RoundResult(new_pool, acc, budget, l2, u2, time.time() - t0, phases)
 
 
 CURVE_SCHEMA = T.StructType([
@@ -148,7 +170,7 @@ def active_loop(spark: SparkSession, pool: DataFrame, test: DataFrame, method: s
     pool = settle(pool, None, checkpoint=False)
     labeled, unlabeled = counts(pool)
     train_size = labeled + unlabeled
-    model, acc = train_and_evaluate(pool, test, estimator, p.metric)
+    model, acc = train_and_evaluate(pool, test, estimator, p.metric, n_labeled=labeled)
     nominal = INITIAL_LABELED_FRACTION * 100
     rows = [(method, 0, nominal, labeled, float(acc), dataset_percentage)]
     for t in range(1, rounds + 1):
@@ -157,7 +179,7 @@ def active_loop(spark: SparkSession, pool: DataFrame, test: DataFrame, method: s
             new_pool = step(spark, pool, model, budget, unlabeled, t, p)
             pool = settle(new_pool, pool, checkpoint=(t % max(1, p.checkpoint_every) == 0))
             labeled, unlabeled = counts(pool)
-        model, acc = train_and_evaluate(pool, test, estimator, p.metric)
+        model, acc = train_and_evaluate(pool, test, estimator, p.metric, n_labeled=labeled)
         nominal = nominal + p.batch_fraction * 100
         rows.append((method, t, nominal, labeled, float(acc), dataset_percentage))
     return pool, spark.createDataFrame(rows, CURVE_SCHEMA)
