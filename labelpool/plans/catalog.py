@@ -24,6 +24,7 @@ from labelpool.functions.scoring import binary_uncertainty, logistic
 from labelpool.operators import diversity, labels, metrics, pool, runs, sampling, uncertainty
 from labelpool.operators.cutoff import exact_quantile, select_smallest
 from labelpool.plans import loop, prepare
+from labelpool.plans.store import PoolState
 from labelpool.sources import pools
 
 SEED = RANDOM_SEED
@@ -319,14 +320,14 @@ def q_cluster_candidates(spark, sf):
 
 
 def q_diversity_selection(spark, sf):
-    _, cands, budget = _candidates(spark, sf)
-    return diversity.diverse_batch(spark, cands, budget)
+    train, cands, budget = _candidates(spark, sf)
+    return diversity.diversity_selection(spark, cands, train, budget).select("id_sample", "state")
 
 
 def _round(spark, sf, method):
     train, test = _prepared(spark, sf)
-    train = loop.settle(train, None, checkpoint=False)
-    res = loop.active_round(spark, train, test, method)
+    store = PoolState(spark, train)
+    res = loop.active_round(spark, store, test.persist(), method)
     return res.pool.select("id_sample", "state")
 
 

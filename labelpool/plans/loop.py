@@ -16,10 +16,12 @@ from labelpool.config import (
     INITIAL_LABELED_FRACTION, MAX_CLUSTERS, QUERY_BATCH_FRACTION, RANDOM_SEED,
     UNCERTAINTY_CANDIDATE_FACTOR, UNCERTAINTY_QUANTILE_EPSILON,
 )
-from labelpool.operators.diversity import diversity_selection, fit_partitions
+from labelpool.operators.diversity import diverse_batch, fit_partitions
+from labelpool.operators.labels import apply_labels
 from labelpool.operators.pool import labeled_rows, state_counts
-from labelpool.operators.sampling import random_selection
+from labelpool.operators.sampling import random_batch
 from labelpool.operators.uncertainty import get_uncertainty_candidates
+from labelpool.plans.store import PoolState
 from labelpool.session import ensure_checkpoint_dir
 
 
@@ -64,18 +66,18 @@ class Params:
     checkpoint_every: int = 1
 
 
-def smart_step(spark, pool, model, budget, n_unlabeled, round_no, p: Params) -> DataFrame:
-    """Uncertainty filter, then cluster-diversity batch."""
+def smart_batch(spark, pool, model, budget, n_unlabeled, round_no, p: Params) -> DataFrame:
+    """Ids of the uncertainty-filtered, cluster-diverse batch."""
     cands = get_uncertainty_candidates(pool, model, budget, n_unlabeled, p.alpha, p.epsilon)
-    return diversity_selection(spark, cands, pool, budget, p.seed, max_clusters=p.max_clusters)
+    return diverse_batch(spark, cands, budget, p.seed, max_clusters=p.max_clusters)
 
 
-def random_step(spark, pool, model, budget, n_unlabeled, round_no, p: Params) -> DataFrame:
-    """Random baseline, a fresh seeded draw per round."""
-    return random_selection(pool, budget, p.seed, round_no)
+def random_batch_ids(spark, pool, model, budget, n_unlabeled, round_no, p: Params) -> DataFrame:
+    """Ids of a random batch, a fresh seeded draw per round."""
+    return random_batch(pool, budget, p.seed, round_no)
 
 
-STRATEGIES: dict[str, Callable[..., DataFrame]] = {"smart": smart_step, "random": random_step}
+STRATEGIES: dict[str, Callable[..., DataFrame]] = {"smart": smart_batch, "random": random_batch_ids}
 
 
 def strategy(name: str) -> Callable[..., DataFrame]:
@@ -124,30 +126,44 @@ class RoundResult:
     extra: dict = field(default_factory=dict)
 
 
-def active_round(spark: SparkSession, pool: DataFrame, test: DataFrame, method: str = "smart",
-                 round_no: int = 0, estimator=None, params: Params | None = None,
-                 labeled: int | None = None, unlabeled: int | None = None,
-                 checkpoint: bool = True) -> RoundResult:
+def _flip(spark, state, pool_df, batch, budget, round_no, checkpoint):
+    """Fold a batch of ids into the state; returns the new pool frame."""
+    if isinstance(state, PoolState):
+        state.add(batch, round_no)
+        return state.frame()
+    new = apply_labels(pool_df, batch, n_arrivals=max(int(budget), 0))
+    return settle(new, pool_df, checkpoint)
+
+
+def active_round(spark: SparkSession, pool: DataFrame | PoolState, test: DataFrame,
+                 method: str = "smart", round_no: int = 1, estimator=None,
+                 params: Params | None = None, labeled: int | None = None,
+                 unlabeled: int | None = None, checkpoint: bool = True) -> RoundResult:
     """One round: fit + test evaluation → budget → select → flip → recount.
-    Both strategies work (the published single-round script fails on the
-    random one)."""
+
+    ``pool`` is a :class:`PoolState` (bucketed tables; the flip appends the
+    batch ids) or a DataFrame with a ``state`` column (the flip is a join,
+    then persist + reliable checkpoint). Both strategies work (the published
+    single-round script fails on the random one)."""
     p = params or Params()
     step = strategy(method)
     t0 = time.time()
     phases: dict[str, float] = {}
+    pool_df = pool.frame() if isinstance(pool, PoolState) else pool
     if labeled is None or unlabeled is None:
-        labeled, unlabeled = counts(pool)
-    model, acc = train_and_evaluate(pool, test, estimator, p.metric, n_labeled=labeled)
+        labeled, unlabeled = counts(pool_df)
+    model, acc = train_and_evaluate(pool_df, test, estimator, p.metric, n_labeled=labeled)
     phases["fit_evaluate"] = time.time() - t0
     budget = query_budget(labeled + unlabeled, unlabeled, p.batch_fraction)
     if budget <= 0:
-        return RoundResult(pool, acc, 0, labeled, unlabeled, time.time() - t0, phases)
+        return RoundResult(pool_df, acc, 0, labeled, unlabeled, time.time() - t0, phases)
     t1 = time.time()
-    new_pool = step(spark, pool, model, budget, unlabeled, round_no, p)
+    batch = step(spark, pool_df, model, budget, unlabeled, round_no, p)
     phases["select"] = time.time() - t1
     t1 = time.time()
-    new_pool = settle(new_pool, pool, checkpoint)
+    new_pool = _flip(spark, pool, pool_df, batch, budget, round_no, checkpoint)
     l2, u2 = counts(new_pool)
+    batch.unpersist()
     phases["flip_recount"] = time.time() - t1
     return RoundResult(new_pool, acc, budget, l2, u2, time.time() - t0, phases)
 
@@ -161,25 +177,39 @@ CURVE_SCHEMA = T.StructType([
 
 def active_loop(spark: SparkSession, pool: DataFrame, test: DataFrame, method: str = "smart",
                 rounds: int = 10, estimator=None, params: Params | None = None,
-                dataset_percentage: int = 100) -> tuple[DataFrame, DataFrame]:
+                dataset_percentage: int = 100, state: str = "table") -> tuple[DataFrame, DataFrame]:
     """T rounds; returns ``(final_pool, learning_curve)``. Row 0 is the model
     before any query. The curve keeps the nominal labelled percentage of the
-    published workflow (5 + t · 1) and the measured labelled count."""
+    published workflow (5 + t · 1) and the measured labelled count.
+
+    ``state='table'`` keeps round state in bucketed tables (:class:`PoolState`,
+    no pool shuffle, O(B) written per round); ``'memory'`` joins, persists and
+    checkpoints the whole pool each ``checkpoint_every`` rounds."""
     p = params or Params()
     step = strategy(method)
-    pool = settle(pool, None, checkpoint=False)
-    labeled, unlabeled = counts(pool)
+    test = test.persist(StorageLevel.MEMORY_AND_DISK)
+    if state == "table":
+        store: PoolState | None = PoolState(spark, pool)
+        pool_df = store.frame()
+    elif state == "memory":
+        store = None
+        pool_df = settle(pool, None, checkpoint=False)
+    else:
+        raise ValueError(f"unknown state mode {state!r}")
+    labeled, unlabeled = counts(pool_df)
     train_size = labeled + unlabeled
-    model, acc = train_and_evaluate(pool, test, estimator, p.metric, n_labeled=labeled)
+    model, acc = train_and_evaluate(pool_df, test, estimator, p.metric, n_labeled=labeled)
     nominal = INITIAL_LABELED_FRACTION * 100
     rows = [(method, 0, nominal, labeled, float(acc), dataset_percentage)]
     for t in range(1, rounds + 1):
         budget = query_budget(train_size, unlabeled, p.batch_fraction)
         if budget > 0:
-            new_pool = step(spark, pool, model, budget, unlabeled, t, p)
-            pool = settle(new_pool, pool, checkpoint=(t % max(1, p.checkpoint_every) == 0))
-            labeled, unlabeled = counts(pool)
-        model, acc = train_and_evaluate(pool, test, estimator, p.metric, n_labeled=labeled)
+            batch = step(spark, pool_df, model, budget, unlabeled, t, p)
+            ck = t % max(1, p.checkpoint_every) == 0
+            pool_df = _flip(spark, store if store is not None else None, pool_df, batch, budget, t, ck)
+            batch.unpersist()
+            labeled, unlabeled = counts(pool_df)
+        model, acc = train_and_evaluate(pool_df, test, estimator, p.metric, n_labeled=labeled)
         nominal = nominal + p.batch_fraction * 100
         rows.append((method, t, nominal, labeled, float(acc), dataset_percentage))
-    return pool, spark.createDataFrame(rows, CURVE_SCHEMA)
+    return pool_df, spark.createDataFrame(rows, CURVE_SCHEMA)

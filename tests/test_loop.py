@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from conftest import SF_SMALL
 from labelpool.operators import pool as P
 from labelpool.plans import loop, prepare
+from labelpool.plans.store import PoolState
 from labelpool.sources import pools
 
 
@@ -19,11 +20,13 @@ def ids(df):
     return {r[0] for r in df.select("id_sample").collect()}
 
 
+@pytest.mark.parametrize("mode", ["table", "memory"])
 @pytest.mark.parametrize("method", ["smart", "random"])
-def test_round_invariants(spark, prepared, method):
+def test_round_invariants(spark, prepared, method, mode):
     train, test = prepared
     l0, u0 = ids(P.labeled_rows(train)), ids(P.unlabeled_rows(train))
-    res = loop.active_round(spark, train, test, method)
+    state = PoolState(spark, train) if mode == "table" else train
+    res = loop.active_round(spark, state, test, method)
     new = res.pool
     l1, u1 = ids(P.labeled_rows(new)), ids(P.unlabeled_rows(new))
     picked = l1 - l0
@@ -34,13 +37,17 @@ def test_round_invariants(spark, prepared, method):
     assert new.count() == train.count()
     if method == "random":
         assert len(picked) == res.budget
-    # keep the module fixture usable
-    new.unpersist()
+    if mode == "table":
+        state.close()
+    else:
+        # keep the module fixture usable
+        new.unpersist()
 
 
-def test_loop_curve(spark, prepared):
+@pytest.mark.parametrize("mode", ["table", "memory"])
+def test_loop_curve(spark, prepared, mode):
     train, test = prepared
-    _, curve = loop.active_loop(spark, train, test, "random", rounds=2)
+    _, curve = loop.active_loop(spark, train, test, "random", rounds=2, state=mode)
     rows = curve.orderBy("round").collect()
     assert [r.round for r in rows] == [0, 1, 2]
     assert [r.labeled_percentage for r in rows] == [5.0, 6.0, 7.0]
@@ -58,3 +65,20 @@ def test_empty_unlabelled_pool_unchanged(spark, prepared):
     all_l = train.withColumn("state", F.lit("L"))
     res = loop.active_round(spark, all_l, test, "smart")
     assert res.budget == 0 and res.pool is all_l
+
+
+def test_table_state_flip_has_no_exchange(spark, prepared):
+    train, _ = prepared
+    store = PoolState(spark, train)
+    plan = store.frame()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan      # small labels: broadcast at most
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        plan = store.frame()._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan                   # large labels: co-bucketed, no shuffle
+        assert "SortMergeJoin" in plan or "ShuffledHashJoin" in plan
+    finally:
+        spark.conf.set(key, before)
+    store.close()
