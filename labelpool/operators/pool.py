@@ -120,6 +120,13 @@ def class_distribution(df: DataFrame, label_col: str = "label") -> DataFrame:
     return counts.select(label_col, "n", (F.col("n") / total).alias("fraction")).orderBy(label_col)
 
 
+def duplicate_ids(df: DataFrame, id_col: str = "id_sample") -> int:
+    """Number of ids that occur more than once (0 for a valid pool). On a
+    table bucketed or hash-partitioned by the id this is a scan, no shuffle."""
+    return (df.groupBy(id_col).agg(F.count(F.lit(1)).alias("_lp_n"))
+            .filter(F.col("_lp_n") > 1).count())
+
+
 def round_cols(df: DataFrame, cols: Sequence[str], decimals: int = 6) -> DataFrame:
     return df.select(*[F.round(F.col(c), decimals).alias(c) if c in cols else F.col(c) for c in df.columns])
 

@@ -40,6 +40,8 @@ def train_and_evaluate(pool: DataFrame, test: DataFrame, estimator=None,
     to partitions sized for the fit, so a small L does not pay for every
     pool partition on each optimizer pass."""
     est = estimator if estimator is not None else default_estimator()
+    if n_labeled == 0:
+        raise ValueError("no labelled rows to train on")
     fit_input = labeled_rows(pool, state_col)
     if n_labeled is not None:
         fit_input = fit_input.coalesce(fit_partitions(n_labeled, pool.rdd.getNumPartitions()))

@@ -21,18 +21,24 @@ from labelpool.operators.sampling import (
 def prepare_pool(raw: DataFrame, train_fraction: float = TRAIN_FRACTION,
                  init_fraction: float = INITIAL_LABELED_FRACTION, seed: int = RANDOM_SEED,
                  id_col: str = "id_sample", feature_type: str = "float",
-                 partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
+                 partitions: int | None = None,
+                 null_policy: str = "error") -> tuple[DataFrame, DataFrame]:
     """Raw pool → ``(train, test)`` ready for the loop.
 
     cast → assemble → hash-partition by id → hash split → scale (fit on
-    train only) → initial L/U state. The hash partitioning spreads
+    train only) → initial L/U state. ``null_policy`` is ``error`` (a null or
+    NaN feature fails the job) or ``skip`` (such rows are dropped). The hash partitioning spreads
     single-file inputs over all cores for the iterative fits and leaves the
     pool partitioned by id for the label-flip joins of later rounds.
     """
     spark = raw.sparkSession
-    df = cast_pool(raw, id_col=id_col, feature_type=feature_type)
+    if null_policy not in ("error", "skip"):
+        raise ValueError(f"unknown null policy {null_policy!r}")
+    df = cast_pool(raw, id_col=id_col, feature_type=feature_type,
+                   policy="skip" if null_policy == "skip" else "keep")
     feats = feature_columns(df)
-    df = assemble_features(df, feats)
+    # null / NaN features: 'error' fails the job (the published default), 'skip' drops the row
+    df = assemble_features(df, feats, handle_invalid=null_policy)
     n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     df = df.repartition(n_parts, id_col)
     train, test = train_test_split(df, train_fraction, seed, id_col)

@@ -20,14 +20,14 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelpool.operators.pool import LABELED, UNLABELED
+from labelpool.operators.pool import LABELED, UNLABELED, duplicate_ids
 from labelpool.session import ensure_checkpoint_dir
 
 
 class PoolState:
     def __init__(self, spark: SparkSession, pool: DataFrame, n_buckets: int | None = None,
                  root: str | None = None, id_col: str = "id_sample", state_col: str = "state",
-                 cache: bool = True):
+                 cache: bool = True, check_unique: bool = True):
         self.spark = spark
         self.id_col = id_col
         self.state_col = state_col
@@ -42,6 +42,11 @@ class PoolState:
             F.col(id_col), F.lit(0).alias("round"))
         self._write(first, self.labels_table, "labels", "overwrite")
         self._pool = spark.table(self.pool_table)
+        if check_unique:
+            dup = duplicate_ids(self._pool, id_col)
+            if dup:
+                self.close()
+                raise ValueError(f"{dup} ids occur more than once; the flip needs unique ids")
         if cache:
             # a cached bucketed scan keeps its hash partitioning
             self._pool = self._pool.persist(StorageLevel.MEMORY_AND_DISK)
@@ -73,6 +78,7 @@ class PoolState:
 
     def close(self) -> None:
         """Release the cache and the catalog names (the files stay)."""
-        self._pool.unpersist()
+        if hasattr(self, "_pool"):
+            self._pool.unpersist()
         for t in (self.pool_table, self.labels_table):
             self.spark.sql(f"DROP TABLE IF EXISTS {t}")

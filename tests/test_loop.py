@@ -82,3 +82,24 @@ def test_table_state_flip_has_no_exchange(spark, prepared):
     finally:
         spark.conf.set(key, before)
     store.close()
+
+
+def test_duplicate_ids_rejected(spark, prepared):
+    train, _ = prepared
+    with pytest.raises(ValueError):
+        PoolState(spark, train.unionByName(train.limit(3)))
+
+
+def test_no_labelled_rows(spark, prepared):
+    train, test = prepared
+    none_l = train.withColumn("state", F.lit("U"))
+    with pytest.raises(ValueError):
+        loop.active_round(spark, none_l, test, "random")
+
+
+def test_single_class_in_labelled(spark, prepared):
+    train, test = prepared
+    one = train.withColumn("state", F.when((F.col("label") == 1) & (F.col("state") == "L"), "L")
+                           .otherwise("U"))
+    res = loop.active_round(spark, one, test, "random", checkpoint=False)
+    assert res.budget > 0 and 0.0 <= res.accuracy <= 1.0

@@ -40,3 +40,24 @@ def test_vector_entries(spark):
     df = spark.createDataFrame([(1, 0.5, 2.0)], "id_sample long, feature_1 double, feature_2 double")
     rows = P.vector_entries(P.assemble_features(df)).collect()
     assert [(r.pos, r.value) for r in rows] == [(0, 0.5), (1, 2.0)]
+
+
+def test_prepare_null_policy(spark):
+    import pytest
+    from labelpool.plans import prepare
+    rows = [(i, i % 2, float(i), (None if i == 3 else float(i % 5)), float("nan") if i == 4 else 1.0 * i)
+            for i in range(40)]
+    raw = spark.createDataFrame(rows, "id_sample long, label int, feature_1 double, feature_2 double, feature_3 double")
+    train, test = prepare.prepare_pool(raw, null_policy="skip", partitions=4)
+    assert train.count() + test.count() == 38
+    with pytest.raises(Exception):
+        tr, te = prepare.prepare_pool(raw, null_policy="error", partitions=4)
+        tr.count()
+
+
+def test_uncertainty_ties_all_kept(spark):
+    from labelpool.operators import uncertainty as U
+    df = spark.range(100).select(F.col("id").alias("id_sample"), F.lit(0.5).alias("uncertainty"))
+    t = U.uncertainty_threshold(df, 2, 100, alpha=10, epsilon=0)
+    assert t == 0.5 and U.uncertainty_candidates(df, t, features=None).count() == 100
+    assert U.topk_uncertain(df, 20).count() == 20

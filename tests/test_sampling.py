@@ -67,3 +67,14 @@ def test_random_rounds_differ(spark, base):
     a = {r[0] for r in S.random_batch(st, 50, round_no=1).collect()}
     b = {r[0] for r in S.random_batch(st, 50, round_no=2).collect()}
     assert a != b
+
+
+@pytest.mark.parametrize("parts", [1, 4, 17])
+def test_strata_and_batches_layout_independent(spark, base, parts):
+    ref = {r[0] for r in S.stratified_sample(base, 800).select("id_sample").collect()}
+    got = {r[0] for r in S.stratified_sample(base.repartition(parts), 800).select("id_sample").collect()}
+    assert got == ref
+    st = P.init_state(base, 0.05)
+    ref_b = {r[0] for r in S.random_batch(st, 40, round_no=2).collect()}
+    got_b = {r[0] for r in S.random_batch(st.repartition(parts), 40, round_no=2).collect()}
+    assert got_b == ref_b
