@@ -17,6 +17,8 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from labelpool.plans import catalog, loop, prepare  # noqa: E402
 from labelpool.plans.store import PoolState  # noqa: E402
+from labelpool.operators import sampling  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
 from labelpool.session import ensure_checkpoint_dir, local_session  # noqa: E402
 from labelpool.sources import pools  # noqa: E402
 
@@ -51,6 +53,25 @@ def main() -> None:
         phases[method] = {k: round(v, 3) for k, v in res.extra.items()}
         stores[method].close()
 
+    # size-up: the same round on nested 10 % / 40 % subsets of the pool,
+    # drawn with the seeded shuffle ids as the published experiments did
+    pool_all = pools.order_pool(spark, sf_dir).persist()
+    n_all = pool_all.count()
+    ranked = sampling.assign_dense_ids(pool_all, "id_sample", "_dense", n_rows=n_all)
+    sizeup = {"100": times["round_smart"]}
+    for pct in (10, 40):
+        sub = ranked.filter(F.col("_dense") < sampling.subset_cut(n_all, pct)).drop("_dense")
+        tr, te = prepare.prepare_pool(sub)
+        te = loop.settle(te, None, checkpoint=False)
+        st = PoolState(spark, tr)
+        t0 = time.time()
+        loop.active_round(spark, st, te, "smart")
+        sizeup[str(pct)] = time.time() - t0
+        times[f"round_smart_{pct}pct"] = sizeup[str(pct)]
+        st.close()
+        te.unpersist()
+    pool_all.unpersist()
+
     for key in OPERATOR_KEYS:
         t0 = time.time()
         catalog.QUERIES[key](spark, sf_dir).write.format("noop").mode("overwrite").save()
@@ -60,6 +81,7 @@ def main() -> None:
     print(json.dumps({"metric": "total_sec", "value": round(total, 3), "unit": "sec",
                       "queries": {k: round(v, 3) for k, v in times.items()},
                       "round_smart_sec": round(times["round_smart"], 3), "round_phases": phases,
+                      "size_up_smart": {p: round(v / sizeup["10"], 3) for p, v in sorted(sizeup.items(), key=lambda kv: int(kv[0]))},
                       "sf": os.path.basename(sf_dir.rstrip("/")).replace("sf", "")}))
     spark.stop()
 
