@@ -22,3 +22,5 @@ KMEANS_MAX_ITER = 20
 MAX_CLUSTERS = 2000
 # Largest number of rows we let Spark broadcast for a checked-size join side.
 BROADCAST_MAX_ROWS = 2_000_000
+# Largest centre table (k x d doubles) we broadcast.
+BROADCAST_MAX_BYTES = 256 * 1024 * 1024

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelpool.config import KMEANS_MAX_ITER, MAX_CLUSTERS
+from labelpool.config import BROADCAST_MAX_BYTES, KMEANS_MAX_ITER, MAX_CLUSTERS
 from labelpool.functions.scoring import squared_distance
 from labelpool.operators.cutoff import select_smallest
 from labelpool.operators.labels import apply_labels
@@ -68,20 +68,34 @@ def mean_center(points: DataFrame, features: str = "features") -> DataFrame:
                          vector_to_array(Summarizer.mean(F.col(features))).alias("center"))
 
 
+def centers_bytes(centers: DataFrame) -> int:
+    """Size of a centre table: rows × dimension × 8 (one small aggregate)."""
+    row = centers.agg(F.count(F.lit(1)).alias("k"), F.max(F.size("center")).alias("d")).first()
+    return int(row["k"] or 0) * int(row["d"] or 0) * 8
+
+
 def with_distance(points: DataFrame, centers: DataFrame, vec: str = "features",
-                  cluster_col: str = "cluster_id", out: str = "distance") -> DataFrame:
-    """Squared distance of each point to its own centre. The centre table is
-    broadcast (at most ``max_clusters`` rows); the distance is a native
-    ``zip_with``/``aggregate`` expression."""
+                  cluster_col: str = "cluster_id", out: str = "distance",
+                  center_bytes: int | None = None) -> DataFrame:
+    """Squared distance of each point to its own centre (a native
+    ``zip_with``/``aggregate`` expression). The centre table (at most
+    ``max_clusters`` rows) is broadcast when its k × d doubles are under
+    ``BROADCAST_MAX_BYTES``; wider tables join by cluster id instead."""
     dtype = dict(points.dtypes)[vec]
     arr = vector_to_array(F.col(vec)) if dtype == "vector" else F.col(vec)
-    return (points.join(F.broadcast(centers.withColumnRenamed("cluster_id", cluster_col)), cluster_col)
+    if center_bytes is None:
+        center_bytes = centers_bytes(centers)
+    side = centers.withColumnRenamed("cluster_id", cluster_col)
+    if center_bytes <= BROADCAST_MAX_BYTES:
+        side = F.broadcast(side)
+    return (points.join(side, cluster_col)
             .withColumn(out, squared_distance(arr, F.col("center")))
             .drop("center"))
 
 
 def nearest_to_centroid(points: DataFrame, centers: DataFrame, id_col: str = "id_sample",
-                        vec: str = "features", cluster_col: str = "cluster_id") -> DataFrame:
+                        vec: str = "features", cluster_col: str = "cluster_id",
+                        center_bytes: int | None = None) -> DataFrame:
     """Per cluster, the row with the smallest squared distance to the centre
     (equal distances → smaller id): ``(cluster_id, id, distance)``.
 
@@ -89,7 +103,7 @@ def nearest_to_centroid(points: DataFrame, centers: DataFrame, id_col: str = "id
     keeps one row per cluster before the shuffle, so a cluster holding a
     third of the rows costs no more than any other.
     """
-    d = with_distance(points, centers, vec, cluster_col)
+    d = with_distance(points, centers, vec, cluster_col, center_bytes=center_bytes)
     best = d.groupBy(cluster_col).agg(F.min(F.struct(F.col("distance"), F.col(id_col))).alias("_lp_m"))
     return best.select(cluster_col, F.col(f"_lp_m.{id_col}").alias(id_col),
                        F.col("_lp_m.distance").alias("distance"))
@@ -133,11 +147,15 @@ def diverse_batch(spark: SparkSession, cands: DataFrame, budget: int, seed: int
     model, clustered = cluster_candidates(cands, budget, seed, max_iter, features,
                                           max_clusters=max_clusters, n_rows=n)
     centers = centers_frame(spark, model)
+    cc = model.clusterCenters()
+    cbytes = len(cc) * (len(cc[0]) if cc else 0) * 8
     d = None
     if budget <= max_clusters:
-        picked = nearest_to_centroid(clustered, centers, id_col, features).select(id_col)
+        picked = nearest_to_centroid(clustered, centers, id_col, features,
+                                     center_bytes=cbytes).select(id_col)
     else:
-        d = with_distance(clustered, centers, features).persist(StorageLevel.MEMORY_AND_DISK)
+        d = with_distance(clustered, centers, features, center_bytes=cbytes) \
+            .persist(StorageLevel.MEMORY_AND_DISK)
         sizes = d.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
         quotas = proportional_quotas(sizes, budget)
         tagged = d.join(F.broadcast(quotas), "cluster_id")

@@ -19,10 +19,10 @@ from labelpool.config import (
     INITIAL_LABELED_FRACTION, QUERY_BATCH_FRACTION, RANDOM_SEED, TRAIN_FRACTION,
     UNCERTAINTY_CANDIDATE_FACTOR,
 )
-from labelpool.functions.hashing import hash_sql, hash_threshold, seeded_hash
+from labelpool.functions.hashing import hash_sql, hash_threshold
 from labelpool.functions.scoring import binary_uncertainty, logistic
 from labelpool.operators import diversity, labels, metrics, pool, runs, sampling, uncertainty
-from labelpool.operators.cutoff import exact_quantile, select_smallest
+from labelpool.operators.cutoff import exact_quantile
 from labelpool.plans import loop, prepare
 from labelpool.plans.store import PoolState
 from labelpool.sources import pools
@@ -385,6 +385,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "evaluate_accuracy": q_evaluate_accuracy,
     "classification_metrics": q_classification_metrics,
     # trained-model queries: rows-only check, invariants in tests/
+    # (active_round_random trains a model too, but picks without it: SQL-checked)
     "train_and_evaluate": q_train_and_evaluate,
     "score_pool": q_score_pool,
     "cluster_candidates": q_cluster_candidates,
@@ -568,6 +569,15 @@ def oracle_sql() -> dict[str, str]:
             pick AS (SELECT r.id_sample FROM r, b WHERE r.rn <= b.budget)
             SELECT t.id_sample, CASE WHEN pick.id_sample IS NOT NULL THEN 'L' ELSE t.state END AS state
             FROM t LEFT JOIN pick USING (id_sample)""",
+        "active_round_random": f"""
+            WITH t AS ({P1_TRAIN_STATE}),
+            b AS (SELECT CAST(least(floor(count(*)::DOUBLE * {QUERY_BATCH_FRACTION}::DOUBLE),
+                                    count(*) FILTER (WHERE state = 'U')) AS BIGINT) AS budget FROM t),
+            r AS (SELECT id_sample, row_number() OVER (ORDER BY {_h('id_sample', 'random', 1)}, id_sample) AS rn
+                  FROM t WHERE state = 'U'),
+            pick AS (SELECT r.id_sample FROM r, b WHERE r.rn <= b.budget)
+            SELECT t.id_sample, CASE WHEN pick.id_sample IS NOT NULL THEN 'L' ELSE t.state END AS state
+            FROM t LEFT JOIN pick USING (id_sample)""",
         "apply_labels": f"""
             WITH t AS ({P1_TRAIN_STATE}),
             a AS (SELECT DISTINCT o_orderkey FROM orders WHERE o_orderpriority = '{ANSWER_PRIORITY}')

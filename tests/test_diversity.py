@@ -64,3 +64,12 @@ def test_budget_one_and_all(spark):
     assert D.diverse_batch(spark, cands, 1).count() == 1
     assert D.diverse_batch(spark, cands, 30).count() == 30
     assert D.diverse_batch(spark, cands, 0).count() == 0
+
+
+def test_wide_centers_join_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(D, "BROADCAST_MAX_BYTES", 8)
+    df = spark.createDataFrame([(1, 0, [1.0, 2.0]), (2, 0, [0.0, 0.0])],
+                               "id_sample long, cluster_id int, features array<double>")
+    centers = spark.createDataFrame([(0, [0.0, 0.1])], D.CENTER_SCHEMA)
+    out = D.nearest_to_centroid(df, centers)
+    assert [(r.cluster_id, r.id_sample) for r in out.collect()] == [(0, 2)]
