@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ def prepare_pool(raw: DataFrame, train_fraction: float = TRAIN_FRACTION,
                  init_fraction: float = INITIAL_LABELED_FRACTION, seed: int = RANDOM_SEED,
                  id_col: str = "id_sample", feature_type: str = "float",
                  partitions: int | None = None,
-                 null_policy: str = "error") -> tuple[DataFrame, DataFrame]:
+                 null_policy: str = "error", cache: bool = True) -> tuple[DataFrame, DataFrame]:
     """Raw pool → ``(train, test)`` ready for the loop.
 
     cast → assemble → hash-partition by id → hash split → scale (fit on
@@ -41,6 +42,10 @@ def prepare_pool(raw: DataFrame, train_fraction: float = TRAIN_FRACTION,
     df = assemble_features(df, feats, handle_invalid=null_policy)
     n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     df = df.repartition(n_parts, id_col)
+    if cache:
+        # the scaler fit, the train side and the test side all read it:
+        # compute the source (e.g. the lineitem aggregation) once
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
     train, test = train_test_split(df, train_fraction, seed, id_col)
     train, test = standardize(train, test)
     train = init_state(train, init_fraction, seed, id_col)

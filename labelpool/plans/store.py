@@ -27,9 +27,10 @@ from labelpool.session import ensure_checkpoint_dir
 class PoolState:
     def __init__(self, spark: SparkSession, pool: DataFrame, n_buckets: int | None = None,
                  root: str | None = None, id_col: str = "id_sample", state_col: str = "state",
-                 cache: bool = True, check_unique: bool = True):
+                 cache: bool = True, check_unique: bool = True, label_col: str = "label"):
         self.spark = spark
         self.id_col = id_col
+        self.label_col = label_col
         self.state_col = state_col
         tag = uuid.uuid4().hex[:12]
         self.root = (root or ensure_checkpoint_dir(spark)).rstrip("/") + f"/labelpool-state-{tag}"
@@ -39,7 +40,7 @@ class PoolState:
         body = pool.drop(state_col)
         self._write(body, self.pool_table, "pool", "overwrite", sort=True)
         first = pool.filter(F.col(state_col) == F.lit(LABELED)).select(
-            F.col(id_col), F.lit(0).alias("round"))
+            F.col(id_col), F.lit(0).alias("round"), F.lit(None).cast("int").alias("answer"))
         self._write(first, self.labels_table, "labels", "overwrite")
         self._pool = spark.table(self.pool_table)
         if check_unique:
@@ -59,20 +60,30 @@ class PoolState:
         w.option("path", f"{self.root}/{sub}").saveAsTable(table)
 
     def labels(self) -> DataFrame:
-        """``id, labeled_round``: one row per labelled id (first round wins)."""
-        return (self.spark.table(self.labels_table).groupBy(self.id_col)
-                .agg(F.min("round").alias("labeled_round")))
+        """``id, labeled_round, answer``: one row per labelled id (first
+        round wins; the answer is the latest non-null one). Grouping makes a
+        repeated append harmless, so appends may be retried."""
+        t = self.spark.table(self.labels_table)
+        answered = F.when(F.col("answer").isNotNull(), F.struct(F.col("round"), F.col("answer")))
+        return t.groupBy(self.id_col).agg(F.min("round").alias("labeled_round"),
+                                          F.max(answered).alias("_lp_last"))
 
     def frame(self) -> DataFrame:
-        """The pool with its current ``state`` column."""
+        """The pool with its current ``state`` column (and answered labels)."""
         joined = self._pool.join(self.labels(), self.id_col, "left")
         state = F.when(F.col("labeled_round").isNotNull(), F.lit(LABELED)).otherwise(F.lit(UNLABELED))
-        return joined.withColumn(self.state_col, state).drop("labeled_round")
+        cols = [F.coalesce(F.col("_lp_last.answer"), F.col(c)).alias(c) if c == self.label_col
+                else F.col(c) for c in self._pool.columns]
+        return joined.select(*cols, state.alias(self.state_col))
 
-    def add(self, ids: DataFrame, round_no: int, id_col: str | None = None) -> None:
-        """Append a round's answers (ids) to the labels table."""
+    def add(self, ids: DataFrame, round_no: int, id_col: str | None = None,
+            answer_col: str | None = None) -> None:
+        """Append a round's labelled ids (and, for a real annotator, their
+        answers, which then replace the pool's label) to the labels table."""
         src = id_col or self.id_col
-        batch = ids.select(F.col(src).cast("bigint").alias(self.id_col), F.lit(int(round_no)).alias("round"))
+        answer = F.col(answer_col).cast("int") if answer_col else F.lit(None).cast("int")
+        batch = ids.select(F.col(src).cast("bigint").alias(self.id_col),
+                           F.lit(int(round_no)).alias("round"), answer.alias("answer"))
         self._write(batch, self.labels_table, "labels", "append")
         self.spark.catalog.refreshTable(self.labels_table)
 

@@ -30,10 +30,13 @@ def answers_stream(spark: SparkSession, source_dir: str, schema: T.StructType,
     return reader.load(source_dir)
 
 
-def start_answer_sink(answers: DataFrame, table_path: str, id_col: str,
+def start_answer_sink(answers: DataFrame, table_path: str | None, id_col: str,
                       label_col: str | None = None, checkpoint_location: str | None = None,
-                      available_now: bool = True) -> StreamingQuery:
-    """Start the stream that appends each micro-batch of answers to the table."""
+                      available_now: bool = True, store=None) -> StreamingQuery:
+    """Start the stream that appends each micro-batch of answers to the
+    table at ``table_path``, or straight into a
+    :class:`labelpool.plans.store.PoolState` (``store``), whose state groups
+    labels by id, so a replayed micro-batch changes nothing."""
     spark = answers.sparkSession
     if checkpoint_location is None:
         checkpoint_location = ensure_checkpoint_dir(spark).rstrip("/") + "/answers-stream"
@@ -42,8 +45,12 @@ def start_answer_sink(answers: DataFrame, table_path: str, id_col: str,
         cols.append(F.col(label_col).cast("int").alias("answer_label"))
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        (batch.select(*cols).dropDuplicates(["answer_id"])
-         .write.mode("overwrite").parquet(f"{table_path}/batch_id={batch_id}"))
+        rows = batch.select(*cols).dropDuplicates(["answer_id"])
+        if store is not None:
+            store.add(rows, round_no=int(batch_id) + 1, id_col="answer_id",
+                      answer_col="answer_label" if label_col else None)
+            return
+        rows.write.mode("overwrite").parquet(f"{table_path}/batch_id={batch_id}")
 
     writer = answers.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_location)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")

@@ -103,3 +103,12 @@ def test_single_class_in_labelled(spark, prepared):
                            .otherwise("U"))
     res = loop.active_round(spark, one, test, "random", checkpoint=False)
     assert res.budget > 0 and 0.0 <= res.accuracy <= 1.0
+
+
+def test_budget_above_cluster_cap_in_round(spark, prepared):
+    train, test = prepared
+    store = PoolState(spark, train)
+    res = loop.active_round(spark, store, test, "smart", params=loop.Params(max_clusters=3))
+    l0 = P.labeled_rows(train).count()
+    assert res.budget > 3 and res.labeled == l0 + res.budget   # exactly B beyond the cap
+    store.close()
