@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelpool.config import BROADCAST_MAX_BYTES, KMEANS_MAX_ITER, MAX_CLUSTERS
+from labelpool.config import BROADCAST_MAX_BYTES, FIT_SAMPLE_ROWS, KMEANS_MAX_ITER, MAX_CLUSTERS
+from labelpool.functions.hashing import hash_below
 from labelpool.functions.scoring import squared_distance
 from labelpool.operators.cutoff import select_smallest
 from labelpool.operators.labels import apply_labels
@@ -21,14 +22,22 @@ CENTER_SCHEMA = T.StructType([T.StructField("cluster_id", T.IntegerType()),
 
 def cluster_candidates(cands: DataFrame, k: int, seed: int = 42, max_iter: int = KMEANS_MAX_ITER,
                        features: str = "features", out: str = "cluster_id",
-                       max_clusters: int = MAX_CLUSTERS, n_rows: int | None = None):
+                       max_clusters: int = MAX_CLUSTERS, n_rows: int | None = None,
+                       id_col: str = "id_sample", fit_sample_rows: int = FIT_SAMPLE_ROWS):
     """Bisecting k-means with ``k = min(k, max_clusters)``; returns
-    ``(model, clustered)``. The model may hold fewer than k centres when the
-    candidates have fewer distinct vectors."""
+    ``(model, clustered)`` where every candidate carries its cluster. The
+    model may hold fewer than k centres when the candidates have fewer
+    distinct vectors. With more than ``fit_sample_rows`` candidates the
+    centres are fitted on a seeded-hash sample of about that size (the fit
+    makes ~20 passes per tree level); the assignment covers all rows."""
     k_fit = max(2, min(int(k), max_clusters))
+    src = cands
+    if n_rows is not None and n_rows > fit_sample_rows and id_col in cands.columns:
+        src = cands.filter(hash_below(id_col, fit_sample_rows / n_rows, "fit", seed))
+        n_rows = fit_sample_rows
     # A derived (unpersisted) input lets the estimator cache its own vectors
     # instead of re-reading the candidates on each of its many passes.
-    fit_input = cands.select(features)
+    fit_input = src.select(features)
     if n_rows is not None:
         fit_input = fit_input.coalesce(fit_partitions(n_rows, cands.rdd.getNumPartitions()))
     model = BisectingKMeans(k=k_fit, seed=seed, maxIter=max_iter, featuresCol=features,
@@ -126,7 +135,8 @@ def proportional_quotas(sizes: DataFrame, budget: int, cluster_col: str = "clust
 
 def diverse_batch(spark: SparkSession, cands: DataFrame, budget: int, seed: int = 42,
                   id_col: str = "id_sample", features: str = "features",
-                  max_clusters: int = MAX_CLUSTERS, max_iter: int = KMEANS_MAX_ITER) -> DataFrame:
+                  max_clusters: int = MAX_CLUSTERS, max_iter: int = KMEANS_MAX_ITER,
+                  fit_sample_rows: int = FIT_SAMPLE_ROWS) -> DataFrame:
     """Ids of a diverse batch of at most ``budget`` candidates.
 
     ``budget <= max_clusters``: fit k = budget clusters, one nearest row
@@ -145,7 +155,8 @@ def diverse_batch(spark: SparkSession, cands: DataFrame, budget: int, seed: int
         clustered = cands.withColumn("cluster_id", F.lit(0))
         return nearest_to_centroid(clustered, centers, id_col, features).select(id_col)
     model, clustered = cluster_candidates(cands, budget, seed, max_iter, features,
-                                          max_clusters=max_clusters, n_rows=n)
+                                          max_clusters=max_clusters, n_rows=n, id_col=id_col,
+                                          fit_sample_rows=fit_sample_rows)
     centers = centers_frame(spark, model)
     cc = model.clusterCenters()
     cbytes = len(cc) * (len(cc[0]) if cc else 0) * 8

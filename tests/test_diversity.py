@@ -73,3 +73,11 @@ def test_wide_centers_join_without_broadcast(spark, monkeypatch):
     centers = spark.createDataFrame([(0, [0.0, 0.1])], D.CENTER_SCHEMA)
     out = D.nearest_to_centroid(df, centers)
     assert [(r.cluster_id, r.id_sample) for r in out.collect()] == [(0, 2)]
+
+
+def test_fit_sample_still_assigns_every_candidate(spark):
+    cands = _cands(spark, 600)
+    model, clustered = D.cluster_candidates(cands, 5, n_rows=600, fit_sample_rows=100)
+    assert clustered.count() == 600 and clustered.filter("cluster_id is null").count() == 0
+    picked = D.diverse_batch(spark, cands, 5, fit_sample_rows=100).collect()
+    assert 1 <= len(picked) <= 5
