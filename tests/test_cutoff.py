@@ -85,3 +85,16 @@ def test_dense_ids(spark):
     assert sorted(r.d for r in out) == list(range(20000))
     by_order = [r.id for r in sorted(out, key=lambda r: (r.h, r.id))]
     assert by_order == [r.id for r in sorted(out, key=lambda r: r.d)]
+
+
+from hypothesis import given, settings, strategies as st  # noqa: E402
+
+
+@settings(max_examples=12, deadline=None)
+@given(vals=st.lists(st.integers(min_value=0, max_value=6), min_size=1, max_size=60),
+       k=st.integers(min_value=1, max_value=70), bits=st.integers(min_value=1, max_value=3))
+def test_property_select_smallest(spark, vals, k, bits):
+    rows = [(i, float(v)) for i, v in enumerate(vals)]
+    df = spark.createDataFrame(rows, "id long, u double")
+    got = select_smallest(df, "u", "id", k, final_rows=2, bucket_bits=bits).select("id").collect()
+    assert sorted(r.id for r in got) == sorted(r[0] for r in brute_smallest(rows, k))

@@ -112,3 +112,23 @@ def test_budget_above_cluster_cap_in_round(spark, prepared):
     l0 = P.labeled_rows(train).count()
     assert res.budget > 3 and res.labeled == l0 + res.budget   # exactly B beyond the cap
     store.close()
+
+
+def test_plan_stays_flat_over_rounds(spark, prepared):
+    train, test = prepared
+    store = PoolState(spark, train)
+    sizes = []
+    for t in (1, 2, 3):
+        res = loop.active_round(spark, store, test, "random", round_no=t)
+        sizes.append(len(res.pool._jdf.queryExecution().logical().toString()))
+    assert max(sizes) - min(sizes) < 200      # two file scans and a join, whatever the round
+    store.close()
+
+
+@pytest.mark.parametrize("method", ["smart", "random"])
+def test_learning_curve_does_not_degrade(spark, method):
+    from conftest import SF_MID
+    train, test = prepare.prepare_pool(pools.order_pool(spark, SF_MID))
+    _, curve = loop.active_loop(spark, train, test, method, rounds=3)
+    acc = [r.accuracy for r in curve.orderBy("round").collect()]
+    assert acc[-1] >= acc[0] - 0.01

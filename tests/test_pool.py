@@ -61,3 +61,14 @@ def test_uncertainty_ties_all_kept(spark):
     t = U.uncertainty_threshold(df, 2, 100, alpha=10, epsilon=0)
     assert t == 0.5 and U.uncertainty_candidates(df, t, features=None).count() == 100
     assert U.topk_uncertain(df, 20).count() == 20
+
+
+def test_approx_cut_within_gk_bound(spark):
+    from labelpool.operators import uncertainty as U
+    df = spark.range(20000).select(F.col("id").alias("id_sample"),
+                                   ((F.col("id") * 7919) % 20000 / 20000.0).alias("uncertainty"))
+    n, budget, eps = 20000, 100, 0.001
+    t = U.uncertainty_threshold(df, budget, n, alpha=10, epsilon=eps)
+    kept = U.uncertainty_candidates(df, t, features=None).count()
+    p = U.keep_fraction(budget, n, 10)
+    assert abs(kept - p * n) <= eps * n + 1
