@@ -251,8 +251,9 @@ def q_size_up(spark, sf):
 
 def q_scale_up(spark, sf):
     df = runs.scale_up(_means(spark, sf))
+    # sorted by (cores, size) for presentation: a sort of the small means table
     return df.select("method", "cores", "percentage_set", "configuration", _r("time"),
-                     _r("reference_time"), _r("scale_up"))
+                     _r("reference_time"), _r("scale_up")).orderBy("cores", "percentage_set", "method")
 
 
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
@@ -341,7 +342,7 @@ def q_active_round_random(spark, sf):
 
 def _loop(spark, sf, method, rounds=3):
     train, test = _prepared(spark, sf)
-    _, curve = loop.active_loop(spark, train, test, method, rounds=rounds)
+    _, curve = loop.active_loop(spark, train, test, method, rounds=rounds, run_id=f"{method}-{rounds}")
     return curve
 
 

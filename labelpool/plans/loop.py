@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -171,6 +172,7 @@ def active_round(spark: SparkSession, pool: DataFrame | PoolState, test: DataFra
 
 
 CURVE_SCHEMA = T.StructType([
+    T.StructField("run_id", T.StringType()),
     T.StructField("method", T.StringType()), T.StructField("round", T.IntegerType()),
     T.StructField("labeled_percentage", T.DoubleType()), T.StructField("labeled_count", T.LongType()),
     T.StructField("accuracy", T.DoubleType()), T.StructField("dataset_percentage", T.IntegerType()),
@@ -179,15 +181,18 @@ CURVE_SCHEMA = T.StructType([
 
 def active_loop(spark: SparkSession, pool: DataFrame, test: DataFrame, method: str = "smart",
                 rounds: int = 10, estimator=None, params: Params | None = None,
-                dataset_percentage: int = 100, state: str = "table") -> tuple[DataFrame, DataFrame]:
+                dataset_percentage: int = 100, state: str = "table",
+                run_id: str | None = None) -> tuple[DataFrame, DataFrame]:
     """T rounds; returns ``(final_pool, learning_curve)``. Row 0 is the model
     before any query. The curve keeps the nominal labelled percentage of the
     published workflow (5 + t · 1) and the measured labelled count.
 
     ``state='table'`` keeps round state in bucketed tables (:class:`PoolState`,
     no pool shuffle, O(B) written per round); ``'memory'`` joins, persists and
-    checkpoints the whole pool each ``checkpoint_every`` rounds."""
+    checkpoints the whole pool each ``checkpoint_every`` rounds. ``run_id``
+    tags the curve rows so reruns appended to one result table stay apart."""
     p = params or Params()
+    run_id = run_id or uuid.uuid4().hex[:12]
     step = strategy(method)
     test = test.persist(StorageLevel.MEMORY_AND_DISK)
     if state == "table":
@@ -202,7 +207,7 @@ def active_loop(spark: SparkSession, pool: DataFrame, test: DataFrame, method: s
     train_size = labeled + unlabeled
     model, acc = train_and_evaluate(pool_df, test, estimator, p.metric, n_labeled=labeled)
     nominal = INITIAL_LABELED_FRACTION * 100
-    rows = [(method, 0, nominal, labeled, float(acc), dataset_percentage)]
+    rows = [(run_id, method, 0, nominal, labeled, float(acc), dataset_percentage)]
     for t in range(1, rounds + 1):
         budget = query_budget(train_size, unlabeled, p.batch_fraction)
         if budget > 0:
@@ -213,5 +218,5 @@ def active_loop(spark: SparkSession, pool: DataFrame, test: DataFrame, method: s
             labeled, unlabeled = counts(pool_df)
         model, acc = train_and_evaluate(pool_df, test, estimator, p.metric, n_labeled=labeled)
         nominal = nominal + p.batch_fraction * 100
-        rows.append((method, t, nominal, labeled, float(acc), dataset_percentage))
+        rows.append((run_id, method, t, nominal, labeled, float(acc), dataset_percentage))
     return pool_df, spark.createDataFrame(rows, CURVE_SCHEMA)
