@@ -57,6 +57,17 @@ def kth_smallest(df: DataFrame, key: str | Column, tie: str | Column,
     Returns ``(by..., kth_key double, kth_tie bigint, need bigint)``.
     """
     by = list(by)
+    if not by and isinstance(k, int):
+        found = _kth_global(df, key, tie, int(k), bucket_bits=bucket_bits,
+                            final_rows=final_rows, max_levels=max_levels)
+        one = df.sparkSession.range(1)
+        if found is None:
+            return one.filter(F.lit(False)).select(
+                F.lit(None).cast("double").alias("kth_key"), F.lit(None).cast("bigint").alias("kth_tie"),
+                F.lit(None).cast("bigint").alias("need"))
+        return one.select(F.lit(found[0]).cast("double").alias("kth_key"),
+                          F.lit(found[1]).cast("bigint").alias("kth_tie"),
+                          F.lit(found[2]).cast("bigint").alias("need"))
     gcols = by if by else [_GROUP0]
     nb = 1 << bucket_bits
     k_col = F.lit(int(k)) if isinstance(k, int) else F.col(k)
@@ -145,6 +156,60 @@ def kth_smallest(df: DataFrame, key: str | Column, tie: str | Column,
     return result
 
 
+def _kth_global(df: DataFrame, key: str | Column, tie: str | Column, k: int, *,
+                bucket_bits: int = 12, final_rows: int = 1 << 18,
+                max_levels: int = 16) -> tuple[float, int, int] | None:
+    """One group: the state is a single row, so each level's range is a
+    literal filter and its histogram (at most 2^bucket_bits counts, a bounded
+    summary like a quantile sketch) is cumulated on the driver. About two
+    jobs when the data fits ``final_rows``, one more per refinement level."""
+    nb = 1 << bucket_bits
+    base = (df.select(_col(key).cast("double").alias("_k"), _col(tie).cast("bigint").alias("_t"))
+            .filter(F.col("_k").isNotNull() & F.col("_t").isNotNull() & ~F.isnan("_k"))
+            .persist(StorageLevel.MEMORY_AND_DISK))
+    try:
+        st = base.agg(F.count(F.lit(1)).alias("n"), F.min("_k").alias("lo_k"), F.max("_k").alias("hi_k"),
+                      F.min("_t").alias("lo_t"), F.max("_t").alias("hi_t")).first()
+        n = int(st["n"])
+        if k < 1 or n == 0:
+            return None
+        need = min(k, n)
+        lo_k, hi_k, lo_t, hi_t = st["lo_k"], st["hi_k"], int(st["lo_t"]), int(st["hi_t"])
+
+        def in_range() -> Column:
+            c = (F.col("_k") >= F.lit(lo_k)) & (F.col("_k") <= F.lit(hi_k))
+            if lo_k == hi_k:
+                c = c & (F.col("_t") >= F.lit(lo_t)) & (F.col("_t") <= F.lit(hi_t))
+            return c
+
+        for _ in range(max_levels):
+            if n <= final_rows:
+                break
+            if lo_k < hi_k:
+                frac = (F.col("_k") - F.lit(lo_k)) / F.lit(hi_k - lo_k)
+            else:
+                frac = (F.col("_t") - F.lit(lo_t)).cast("double") / F.lit(float(hi_t - lo_t + 1))
+            bucket = F.least(F.greatest(F.floor(frac * F.lit(nb)), F.lit(0)), F.lit(nb - 1))
+            hist = (base.filter(in_range()).groupBy(bucket.alias("b"))
+                    .agg(F.count(F.lit(1)).alias("c"), F.min("_k").alias("lk"), F.max("_k").alias("hk"),
+                         F.min("_t").alias("lt"), F.max("_t").alias("ht"))
+                    .collect())
+            before = 0
+            for r in sorted(hist, key=lambda r: r["b"]):
+                if before + r["c"] >= need:
+                    need -= before
+                    n = int(r["c"])
+                    lo_k, hi_k, lo_t, hi_t = r["lk"], r["hk"], int(r["lt"]), int(r["ht"])
+                    break
+                before += r["c"]
+        w = Window.orderBy("_k", "_t")  # at most final_rows rows reach this one task
+        row = (base.filter(in_range()).withColumn("_rn", F.row_number().over(w))
+               .filter(F.col("_rn") == F.lit(need)).first())
+        return float(row["_k"]), int(row["_t"]), int(need)
+    finally:
+        base.unpersist()
+
+
 def select_smallest(df: DataFrame, key: str | Column, tie: str | Column,
                     k: int | str, by: Sequence[str] = (), **kw) -> DataFrame:
     """Rows of ``df`` among the ``k`` smallest by ``(key, tie)`` in each group.
@@ -156,13 +221,13 @@ def select_smallest(df: DataFrame, key: str | Column, tie: str | Column,
     tie_c = _col(tie).cast("bigint")
     if isinstance(k, int) and k <= 0:
         return df.filter(F.lit(False))
-    bounds = kth_smallest(df, key, tie, k, by, **kw)
-    if not by:
-        row = bounds.first()
-        if row is None:
+    if not by and isinstance(k, int):
+        found = _kth_global(df, key, tie, int(k), **kw)
+        if found is None:
             return df.filter(F.lit(False))
-        kk, kt = float(row["kth_key"]), int(row["kth_tie"])
+        kk, kt = found[0], found[1]
         return df.filter((key_c < F.lit(kk)) | ((key_c == F.lit(kk)) & (tie_c <= F.lit(kt))))
+    bounds = kth_smallest(df, key, tie, k, by, **kw)
     n_bounds = bounds.count()
     b = bounds.select(*by, "kth_key", "kth_tie")
     return (df.join(_maybe_broadcast(b, n_bounds), by)
@@ -181,8 +246,8 @@ def exact_quantile(df: DataFrame, col: str | Column, q: float, tie: str | Column
     if n == 0:
         return None
     rank = max(1, math.ceil(q * n))
-    row = kth_smallest(df, col, tie, min(rank, n)).first()
-    return None if row is None else float(row["kth_key"])
+    found = _kth_global(df, col, tie, min(rank, n))
+    return None if found is None else found[0]
 
 
 def hash_bucket_bits(n: int, target_rows: int = 1 << 17, max_bits: int = 20) -> int:
