@@ -325,6 +325,16 @@ def q_diversity_selection(spark, sf):
     return diversity.diversity_selection(spark, cands, train, budget).select("id_sample", "state")
 
 
+def q_vector_diversity(spark, sf):
+    """P3: a diverse batch of B = 1 % of the 64-d embedding pool
+    (array → vector input, bisecting k-means, nearest per cluster)."""
+    p3 = pools.vector_pool(spark, sf)
+    pts = pool.array_features(p3, "embedding").select("id_sample", "features").persist()
+    n = pts.count()
+    budget = loop.query_budget(n, n)
+    return diversity.diverse_batch(spark, pts, budget)
+
+
 def _round(spark, sf, method):
     train, test = _prepared(spark, sf)
     store = PoolState(spark, train)
@@ -391,6 +401,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "score_pool": q_score_pool,
     "cluster_candidates": q_cluster_candidates,
     "diversity_selection": q_diversity_selection,
+    "vector_diversity": q_vector_diversity,
     "active_round_smart": q_active_round_smart,
     "active_round_random": q_active_round_random,
     "active_loop_smart": q_active_loop_smart,

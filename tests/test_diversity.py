@@ -81,3 +81,12 @@ def test_fit_sample_still_assigns_every_candidate(spark):
     assert clustered.count() == 600 and clustered.filter("cluster_id is null").count() == 0
     picked = D.diverse_batch(spark, cands, 5, fit_sample_rows=100).collect()
     assert 1 <= len(picked) <= 5
+
+
+def test_vector_pool_batch(spark):
+    from conftest import SF_SMALL
+    from labelpool.plans import catalog
+    picked = [r.id_sample for r in catalog.q_vector_diversity(spark, SF_SMALL).collect()]
+    ids = {r.vec_id for r in spark.read.parquet(f"{SF_SMALL}/embeddings.parquet").select("vec_id").collect()}
+    n = len(ids)
+    assert 1 <= len(picked) <= max(1, int(n * 0.01)) and set(picked) <= ids
