@@ -48,19 +48,15 @@ def cluster_candidates(cands: DataFrame, k: int, seed: int = 42, max_iter: int =
 def centers_frame(spark: SparkSession, model) -> DataFrame:
     """The fitted centres as ``(cluster_id, center)``: at most
     ``max_clusters`` rows, the only clustering output that reaches the driver.
-    Sent back through Arrow (a local relation, no Python worker)."""
-    import pandas as pd
+    Sent back as an Arrow table (a local relation, no Python worker)."""
+    import pyarrow as pa
 
     centers = model.clusterCenters()
-    pdf = pd.DataFrame({"cluster_id": list(range(len(centers))),
-                        "center": [[float(x) for x in c] for c in centers]})
-    key = "spark.sql.execution.arrow.pyspark.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
-    try:
-        return spark.createDataFrame(pdf, CENTER_SCHEMA)
-    finally:
-        spark.conf.set(key, before)
+    table = pa.table({
+        "cluster_id": pa.array(list(range(len(centers))), pa.int32()),
+        "center": pa.array([[float(x) for x in c] for c in centers], pa.list_(pa.float64())),
+    })
+    return spark.createDataFrame(table, CENTER_SCHEMA)
 
 
 def fit_partitions(n_rows: int, current: int, rows_per_partition: int = 50_000) -> int:
