@@ -15,7 +15,7 @@ from labelpool.operators.pool import (
     assemble_features, cast_pool, feature_columns, init_state, standardize,
 )
 from labelpool.operators.sampling import (
-    assign_dense_ids, nested_subsets, stratified_sample, train_test_split,
+    assign_dense_ids, nested_subsets, split_flag, stratified_sample, train_test_split,
 )
 
 
@@ -73,5 +73,5 @@ def prepare_subsets(raw: DataFrame, n_target: int | None = None, id_col: str = "
 
 def split_label(id_col: str = "id_sample", train_fraction: float = TRAIN_FRACTION,
                 seed: int = RANDOM_SEED):
-    from labelpool.operators.sampling import split_flag
+    """'train' / 'test' label of the seeded hash split."""
     return F.when(split_flag(id_col, train_fraction, seed), F.lit("train")).otherwise(F.lit("test"))
