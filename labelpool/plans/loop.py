@@ -67,6 +67,7 @@ class Params:
     max_clusters: int = MAX_CLUSTERS
     metric: str = "accuracy"
     checkpoint_every: int = 1
+    compact_every: int = 10
 
 
 def smart_batch(spark, pool, model, budget, n_unlabeled, round_no, p: Params) -> DataFrame:
@@ -215,6 +216,9 @@ def active_loop(spark: SparkSession, pool: DataFrame, test: DataFrame, method: s
             ck = t % max(1, p.checkpoint_every) == 0
             pool_df = _flip(spark, store if store is not None else None, pool_df, batch, budget, t, ck)
             batch.unpersist()
+            if store is not None and t % max(1, p.compact_every) == 0:
+                store.compact()
+                pool_df = store.frame()
             labeled, unlabeled = counts(pool_df)
         model, acc = train_and_evaluate(pool_df, test, estimator, p.metric, n_labeled=labeled)
         nominal = nominal + p.batch_fraction * 100

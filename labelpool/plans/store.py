@@ -34,14 +34,17 @@ class PoolState:
         self.state_col = state_col
         tag = uuid.uuid4().hex[:12]
         self.root = (root or ensure_checkpoint_dir(spark)).rstrip("/") + f"/labelpool-state-{tag}"
+        self.tag = tag
         self.pool_table = f"labelpool_{tag}_pool"
         self.labels_table = f"labelpool_{tag}_labels"
+        self.labels_path = "labels"
+        self.version = 0
         self.n_buckets = n_buckets or pool.rdd.getNumPartitions()
         body = pool.drop(state_col)
         self._write(body, self.pool_table, "pool", "overwrite", sort=True)
         first = pool.filter(F.col(state_col) == F.lit(LABELED)).select(
             F.col(id_col), F.lit(0).alias("round"), F.lit(None).cast("int").alias("answer"))
-        self._write(first, self.labels_table, "labels", "overwrite")
+        self._write(first, self.labels_table, self.labels_path, "overwrite")
         self._pool = spark.table(self.pool_table)
         if check_unique:
             dup = duplicate_ids(self._pool, id_col)
@@ -84,12 +87,31 @@ class PoolState:
         answer = F.col(answer_col).cast("int") if answer_col else F.lit(None).cast("int")
         batch = ids.select(F.col(src).cast("bigint").alias(self.id_col),
                            F.lit(int(round_no)).alias("round"), answer.alias("answer"))
-        self._write(batch, self.labels_table, "labels", "append")
+        self._write(batch, self.labels_table, self.labels_path, "append")
         self.spark.catalog.refreshTable(self.labels_table)
 
+    def compact(self) -> None:
+        """Rewrite the labels table as one row per id into a new version.
+
+        Every append adds up to one small file per bucket; compacting every
+        few rounds keeps the file count bounded. The rewrite is O(|L|), a
+        small share of the pool, and goes to a fresh folder (a table cannot
+        be overwritten while it is read)."""
+        t = self.spark.table(self.labels_table)
+        answered = F.when(F.col("answer").isNotNull(), F.struct(F.col("round"), F.col("answer")))
+        one = (t.groupBy(self.id_col)
+               .agg(F.min("round").alias("round"), F.max(answered).alias("_lp_last"))
+               .select(self.id_col, "round", F.col("_lp_last.answer").alias("answer")))
+        self.version += 1
+        old = self.labels_table
+        self.labels_table = f"labelpool_{self.tag}_labels_v{self.version}"
+        self.labels_path = f"labels_v{self.version}"
+        self._write(one, self.labels_table, self.labels_path, "overwrite")
+        self.spark.sql(f"DROP TABLE IF EXISTS {old}")
+
     def close(self) -> None:
         """Release the cache and the catalog names (the files stay)."""
         if hasattr(self, "_pool"):
             self._pool.unpersist()
-        for t in (self.pool_table, self.labels_table):
+        for t in (self.pool_table, self.labels_table):  # files stay in the shared folder
             self.spark.sql(f"DROP TABLE IF EXISTS {t}")

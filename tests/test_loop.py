@@ -132,3 +132,16 @@ def test_learning_curve_does_not_degrade(spark, method):
     _, curve = loop.active_loop(spark, train, test, method, rounds=3)
     acc = [r.accuracy for r in curve.orderBy("round").collect()]
     assert acc[-1] >= acc[0] - 0.01
+
+
+def test_compaction_keeps_state(spark, prepared):
+    train, test = prepared
+    store = PoolState(spark, train, n_buckets=4)
+    for t in (1, 2):
+        loop.active_round(spark, store, test, "random", round_no=t)
+    before = sorted(map(tuple, store.frame().select("id_sample", "state", "label").collect()))
+    store.compact()
+    after = sorted(map(tuple, store.frame().select("id_sample", "state", "label").collect()))
+    assert before == after
+    assert spark.table(store.labels_table).count() == spark.table(store.labels_table).select("id_sample").distinct().count()
+    store.close()
