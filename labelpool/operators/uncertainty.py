@@ -59,9 +59,16 @@ def get_uncertainty_candidates(pool: DataFrame, model, budget: int, n_unlabeled:
                                alpha: float = UNCERTAINTY_CANDIDATE_FACTOR,
                                epsilon: float = UNCERTAINTY_QUANTILE_EPSILON,
                                id_col: str = "id_sample", features: str = "features",
-                               state_col: str = "state") -> DataFrame:
-    """Score U, find the quantile cut and keep about ``alpha·B`` candidates."""
+                               state_col: str = "state", mode: str = "quantile") -> DataFrame:
+    """Score U and keep about ``alpha·B`` candidates: ``quantile`` cuts at
+    the (1 - p)-quantile (ties kept); ``topk`` keeps exactly the
+    ``int(alpha·B)`` most uncertain rows (ties → smaller id)."""
     scored = score_pool(model, unlabeled_rows(pool, state_col).select(id_col, features))
+    if mode == "topk":
+        keep = scored.select(id_col, features, "uncertainty")
+        return topk_uncertain(keep, int(alpha * budget), id_col) if budget > 0 else keep.filter(F.lit(False))
+    if mode != "quantile":
+        raise ValueError(f"unknown candidate mode {mode!r}")
     t = uncertainty_threshold(scored, budget, n_unlabeled, alpha, epsilon, id_col=id_col)
     if t is None:
         return scored.select(id_col, features, "uncertainty").filter(F.lit(False))

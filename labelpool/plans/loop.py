@@ -68,11 +68,13 @@ class Params:
     metric: str = "accuracy"
     checkpoint_every: int = 1
     compact_every: int = 10
+    candidates: str = "quantile"   # or "topk": exactly int(alpha * B) most uncertain
 
 
 def smart_batch(spark, pool, model, budget, n_unlabeled, round_no, p: Params) -> DataFrame:
     """Ids of the uncertainty-filtered, cluster-diverse batch."""
-    cands = get_uncertainty_candidates(pool, model, budget, n_unlabeled, p.alpha, p.epsilon)
+    cands = get_uncertainty_candidates(pool, model, budget, n_unlabeled, p.alpha, p.epsilon,
+                                       mode=p.candidates)
     return diverse_batch(spark, cands, budget, p.seed, max_clusters=p.max_clusters)
 
 

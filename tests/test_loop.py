@@ -145,3 +145,11 @@ def test_compaction_keeps_state(spark, prepared):
     assert before == after
     assert spark.table(store.labels_table).count() == spark.table(store.labels_table).select("id_sample").distinct().count()
     store.close()
+
+
+def test_topk_candidate_mode(spark, prepared):
+    train, test = prepared
+    store = PoolState(spark, train)
+    res = loop.active_round(spark, store, test, "smart", params=loop.Params(candidates="topk"))
+    assert 0 < res.labeled - P.labeled_rows(train).count() <= res.budget
+    store.close()

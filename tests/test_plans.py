@@ -24,3 +24,10 @@ def test_no_python_udf_in_sql_checked_plans(spark):
     for key in ["uncertainty_score", "stratified_sample", "speed_up", "classification_metrics"]:
         p = plan(catalog.QUERIES[key](spark, SF_SMALL))
         assert "EvalPython" not in p, key
+
+
+def test_one_scan_per_source(spark):
+    p = plan(catalog.q_class_distribution(spark, SF_SMALL))
+    assert p.count("FileScan parquet") == 1
+    p = plan(catalog.q_apply_labels(spark, SF_SMALL))
+    assert p.count("FileScan parquet") == 2          # lineitem once, orders once
