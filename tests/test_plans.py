@@ -27,6 +27,7 @@ def test_no_python_udf_in_sql_checked_plans(spark):
 
 
 def test_one_scan_per_source(spark):
+    spark.catalog.clearCache()   # earlier queries may have cached the same pool
     p = plan(catalog.q_class_distribution(spark, SF_SMALL))
     assert p.count("FileScan parquet") == 1
     p = plan(catalog.q_apply_labels(spark, SF_SMALL))
