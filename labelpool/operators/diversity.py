@@ -15,6 +15,7 @@ from labelpool.functions.hashing import hash_below
 from labelpool.functions.scoring import squared_distance
 from labelpool.operators.cutoff import select_smallest
 from labelpool.operators.labels import apply_labels
+from labelpool.session import small_frame
 
 CENTER_SCHEMA = T.StructType([T.StructField("cluster_id", T.IntegerType()),
                               T.StructField("center", T.ArrayType(T.DoubleType()))])
@@ -47,16 +48,9 @@ def cluster_candidates(cands: DataFrame, k: int, seed: int = 42, max_iter: int =
 
 def centers_frame(spark: SparkSession, model) -> DataFrame:
     """The fitted centres as ``(cluster_id, center)``: at most
-    ``max_clusters`` rows, the only clustering output that reaches the driver.
-    Sent back as an Arrow table (a local relation, no Python worker)."""
-    import pyarrow as pa
-
-    centers = model.clusterCenters()
-    table = pa.table({
-        "cluster_id": pa.array(list(range(len(centers))), pa.int32()),
-        "center": pa.array([[float(x) for x in c] for c in centers], pa.list_(pa.float64())),
-    })
-    return spark.createDataFrame(table, CENTER_SCHEMA)
+    ``max_clusters`` rows, the only clustering output that reaches the driver."""
+    rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
+    return small_frame(spark, rows, CENTER_SCHEMA)
 
 
 def fit_partitions(n_rows: int, current: int, rows_per_partition: int = 50_000) -> int:

@@ -23,7 +23,7 @@ from labelpool.operators.pool import labeled_rows, state_counts
 from labelpool.operators.sampling import random_batch
 from labelpool.operators.uncertainty import get_uncertainty_candidates
 from labelpool.plans.store import PoolState
-from labelpool.session import ensure_checkpoint_dir
+from labelpool.session import ensure_checkpoint_dir, small_frame
 
 
 def default_estimator():
@@ -225,4 +225,4 @@ def active_loop(spark: SparkSession, pool: DataFrame, test: DataFrame, method: s
         model, acc = train_and_evaluate(pool_df, test, estimator, p.metric, n_labeled=labeled)
         nominal = nominal + p.batch_fraction * 100
         rows.append((run_id, method, t, nominal, labeled, float(acc), dataset_percentage))
-    return pool_df, spark.createDataFrame(rows, CURVE_SCHEMA)
+    return pool_df, small_frame(spark, rows, CURVE_SCHEMA)

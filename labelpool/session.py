@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
@@ -28,6 +28,16 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
+def small_frame(spark: SparkSession, rows: list[tuple], schema) -> DataFrame:
+    """A DataFrame of a few driver-side result rows (learning-curve points,
+    centres), sent as one Arrow table: a local relation, no Python worker."""
+    import pyarrow as pa
+
+    names = [f.name for f in schema.fields]
+    table = pa.table({n: [r[i] for r in rows] for i, n in enumerate(names)})
+    return spark.createDataFrame(table, schema)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, setting one only where unset.
 
