@@ -210,6 +210,86 @@ def _kth_global(df: DataFrame, key: str | Column, tie: str | Column, k: int, *,
         base.unpersist()
 
 
+FEW_GROUPS = 64
+
+
+def _kth_few_groups(df: DataFrame, key: str | Column, tie: str | Column, k: int | str,
+                    group: str, *, bucket_bits: int = 12, final_rows: int = 1 << 18,
+                    max_levels: int = 16) -> dict | None:
+    """Per-group boundaries for one group column with at most ``FEW_GROUPS``
+    values (class strata, a few clusters): per-group ranges and histograms
+    are literal predicates, so there is no join and few jobs. ``None`` when
+    there are more groups (the caller then takes the all-Spark path)."""
+    k_col = F.lit(int(k)) if isinstance(k, int) else F.col(k)
+    base = (df.select(F.col(group).alias("_g"), _col(key).cast("double").alias("_k"),
+                      _col(tie).cast("bigint").alias("_t"), k_col.cast("bigint").alias("_q"))
+            .filter(F.col("_g").isNotNull() & F.col("_k").isNotNull() & F.col("_t").isNotNull()
+                    & ~F.isnan("_k"))
+            .persist(StorageLevel.MEMORY_AND_DISK))
+    try:
+        stats = (base.groupBy("_g").agg(F.count(F.lit(1)).alias("n"), F.min("_k").alias("lk"),
+                                        F.max("_k").alias("hk"), F.min("_t").alias("lt"),
+                                        F.max("_t").alias("ht"), F.max("_q").alias("q"))
+                 .limit(FEW_GROUPS + 1).collect())
+        if len(stats) > FEW_GROUPS:
+            return None
+        # group value -> [n, need, lo_k, hi_k, lo_t, hi_t]
+        st = {r["_g"]: [int(r["n"]), min(int(r["q"]), int(r["n"])), r["lk"], r["hk"], int(r["lt"]), int(r["ht"])]
+              for r in stats if r["q"] is not None and int(r["q"]) >= 1}
+        if not st:
+            return {}
+
+        def in_range(g) -> Column:
+            n, need, lk, hk, lt, ht = st[g]
+            c = (F.col("_g") == F.lit(g)) & (F.col("_k") >= F.lit(lk)) & (F.col("_k") <= F.lit(hk))
+            if lk == hk:
+                c = c & (F.col("_t") >= F.lit(lt)) & (F.col("_t") <= F.lit(ht))
+            return c
+
+        def any_range(groups) -> Column:
+            c = F.lit(False)
+            for g in groups:
+                c = c | in_range(g)
+            return c
+
+        for _ in range(max_levels):
+            large = [g for g, v in st.items() if v[0] > final_rows]
+            if not large:
+                break
+            bits = max(4, min(bucket_bits, int(math.log2(65536 / len(large)))))
+            nb = 1 << bits
+            frac = None
+            for g in large:
+                n, need, lk, hk, lt, ht = st[g]
+                f = ((F.col("_k") - F.lit(lk)) / F.lit(hk - lk)) if lk < hk else \
+                    ((F.col("_t") - F.lit(lt)).cast("double") / F.lit(float(ht - lt + 1)))
+                frac = F.when(F.col("_g") == F.lit(g), f) if frac is None else frac.when(F.col("_g") == F.lit(g), f)
+            bucket = F.least(F.greatest(F.floor(frac * F.lit(nb)), F.lit(0)), F.lit(nb - 1))
+            hist = (base.filter(any_range(large)).groupBy("_g", bucket.alias("b"))
+                    .agg(F.count(F.lit(1)).alias("c"), F.min("_k").alias("lk"), F.max("_k").alias("hk"),
+                         F.min("_t").alias("lt"), F.max("_t").alias("ht")).collect())
+            by_group: dict = {}
+            for r in hist:
+                by_group.setdefault(r["_g"], []).append(r)
+            for g in large:
+                before, need = 0, st[g][1]
+                for r in sorted(by_group.get(g, []), key=lambda r: r["b"]):
+                    if before + r["c"] >= need:
+                        st[g] = [int(r["c"]), need - before, r["lk"], r["hk"], int(r["lt"]), int(r["ht"])]
+                        break
+                    before += r["c"]
+        need_of = None
+        for g, v in st.items():
+            need_of = F.when(F.col("_g") == F.lit(g), F.lit(v[1])) if need_of is None \
+                else need_of.when(F.col("_g") == F.lit(g), F.lit(v[1]))
+        w = Window.partitionBy("_g").orderBy("_k", "_t")   # at most final_rows rows per group
+        rows = (base.filter(any_range(st)).withColumn("_rn", F.row_number().over(w))
+                .filter(F.col("_rn") == need_of).select("_g", "_k", "_t").collect())
+        return {r["_g"]: (float(r["_k"]), int(r["_t"])) for r in rows}
+    finally:
+        base.unpersist()
+
+
 def select_smallest(df: DataFrame, key: str | Column, tie: str | Column,
                     k: int | str, by: Sequence[str] = (), **kw) -> DataFrame:
     """Rows of ``df`` among the ``k`` smallest by ``(key, tie)`` in each group.
@@ -227,6 +307,16 @@ def select_smallest(df: DataFrame, key: str | Column, tie: str | Column,
             return df.filter(F.lit(False))
         kk, kt = found[0], found[1]
         return df.filter((key_c < F.lit(kk)) | ((key_c == F.lit(kk)) & (tie_c <= F.lit(kt))))
+    if len(by) == 1:
+        few = _kth_few_groups(df, key, tie, k, by[0], **kw)
+        if few is not None:
+            if not few:
+                return df.filter(F.lit(False))
+            keep = F.lit(False)
+            for g, (kk, kt) in few.items():
+                keep = keep | ((F.col(by[0]) == F.lit(g))
+                               & ((key_c < F.lit(kk)) | ((key_c == F.lit(kk)) & (tie_c <= F.lit(kt)))))
+            return df.filter(keep)
     bounds = kth_smallest(df, key, tie, k, by, **kw)
     n_bounds = bounds.count()
     b = bounds.select(*by, "kth_key", "kth_tie")

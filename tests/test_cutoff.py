@@ -98,3 +98,16 @@ def test_property_select_smallest(spark, vals, k, bits):
     df = spark.createDataFrame(rows, "id long, u double")
     got = select_smallest(df, "u", "id", k, final_rows=2, bucket_bits=bits).select("id").collect()
     assert sorted(r.id for r in got) == sorted(r[0] for r in brute_smallest(rows, k))
+
+
+def test_many_groups_general_path(spark):
+    rnd = random.Random(11)
+    rows = [(i, i % 90, float(rnd.randint(0, 5))) for i in range(3000)]   # 90 groups > FEW_GROUPS
+    df = spark.createDataFrame(rows, "id long, g int, u double").withColumn("q", (F.col("g") % 7) + 1)
+    got = select_smallest(df, "u", "id", "q", by=["g"], final_rows=8, bucket_bits=2).collect()
+    for g in range(90):
+        grp = [(r[0], r[2]) for r in rows if r[1] == g]
+        want = brute_smallest(grp, g % 7 + 1)
+        assert sorted(r.id for r in got if r.g == g) == sorted(w[0] for w in want)
+    b = kth_smallest(df, "u", "id", "q", by=["g"]).collect()
+    assert len(b) == 90
