@@ -19,6 +19,27 @@ from labelpool.operators.sampling import (
 )
 
 
+def pool_partitions(df: DataFrame, max_partitions: int = 1_000_000) -> int:
+    """Partitions (and state buckets) for a pool: its estimated size over
+    Spark's advisory partition size, never fewer than
+    ``spark.sql.shuffle.partitions``. An explicit repartition is not resized
+    by AQE, so a fixed count would give tens-of-GB partitions at 100 TB."""
+    spark = df.sparkSession
+    floor = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    target_bytes = _bytes(spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m"))
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - no estimate: keep the configured count
+        return floor
+    return max(floor, min(max_partitions, -(-size // max(target_bytes, 1))))
+
+
+def _bytes(text: str) -> int:
+    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+    t = text.strip().lower().rstrip("b")
+    return int(float(t[:-1]) * units[t[-1]]) if t and t[-1] in units else int(t)
+
+
 def prepare_pool(raw: DataFrame, train_fraction: float = TRAIN_FRACTION,
                  init_fraction: float = INITIAL_LABELED_FRACTION, seed: int = RANDOM_SEED,
                  id_col: str = "id_sample", feature_type: str = "float",
@@ -40,7 +61,7 @@ def prepare_pool(raw: DataFrame, train_fraction: float = TRAIN_FRACTION,
     feats = feature_columns(df)
     # null / NaN features: 'error' fails the job (the published default), 'skip' drops the row
     df = assemble_features(df, feats, handle_invalid=null_policy)
-    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_parts = partitions or pool_partitions(df)
     df = df.repartition(n_parts, id_col)
     if cache:
         # the scaler fit, the train side and the test side all read it:

@@ -32,3 +32,17 @@ def test_one_scan_per_source(spark):
     assert p.count("FileScan parquet") == 1
     p = plan(catalog.q_apply_labels(spark, SF_SMALL))
     assert p.count("FileScan parquet") == 2          # lineitem once, orders once
+
+
+def test_pool_partitions_grow_with_size(spark):
+    from labelpool.plans import prepare
+    df = pools.order_pool(spark, SF_SMALL)
+    base = prepare.pool_partitions(df)
+    assert base >= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "1k")
+    try:
+        assert prepare.pool_partitions(df) > base      # sized by the estimate, not fixed
+    finally:
+        spark.conf.set(key, before)
