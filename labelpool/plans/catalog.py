@@ -316,7 +316,9 @@ def _candidates(spark, sf):
 
 def q_cluster_candidates(spark, sf):
     _, cands, budget = _candidates(spark, sf)
-    _, clustered = diversity.cluster_candidates(cands, budget)
+    cands = cands.persist()
+    n = cands.count()
+    _, clustered = diversity.cluster_candidates(cands, budget, n_rows=n)
     return clustered.select("id_sample", "cluster_id")
 
 
