@@ -32,3 +32,19 @@ def test_headerless_csv(spark, tmpdir_path):
         fh.write("1.0,0.5,0.25\n0.0,1.5,2.5\n")
     df = files.read_headerless_csv(spark, path, 2, partitions=2)
     assert df.columns == ["label", "feature_1", "feature_2"] and df.count() == 2
+
+
+def test_experiment_summary_over_appended_runs(spark, tmpdir_path):
+    import subprocess
+    import sys as _sys
+    path = os.path.join(tmpdir_path, "runs")
+    rows = [("smart", 10, 1, 20.0), ("smart", 10, 4, 10.0), ("smart", 100, 1, 80.0), ("smart", 100, 4, 25.0)]
+    for r in rows:   # one append per run, as the runner does
+        files.append_results(spark.createDataFrame([r], files.RUN_SCHEMA), path)
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = subprocess.run([_sys.executable, "-c",
+                          f"from labelpool.plans.experiment import summarize; summarize({path!r})"],
+                         cwd=root, capture_output=True, text=True, timeout=300)
+    assert out.returncode == 0, out.stderr[-2000:]
+    assert "== speed_up" in out.stdout and "3.2" in out.stdout       # 80 / 25
+    assert "10C" not in out.stdout and "4C / 100%" in out.stdout
