@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelpool.llm import quality
+from labelpool.llm import decontaminate, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,6 +25,28 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+ORACLES["op2_benchmark_decontamination"] = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS ws FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS id, {_WORDS} AS ws FROM benchmark WHERE item_id IS NOT NULL),
+iw AS (SELECT DISTINCT id, list_slice(ws, p, p + least(10, len(ws)) - 1) AS win
+       FROM i, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) t(p) WHERE len(ws) > 0),
+sizes AS (SELECT DISTINCT len(win) AS n FROM iw),
+dw AS (SELECT rid, n, p, list_slice(ws, p, p + n - 1) AS win FROM d, sizes, unnest(range(1, len(ws) - n + 2)) t(p)),
+hit AS (SELECT rid, p, n, id FROM dw JOIN iw USING (win)),
+places AS (SELECT rid, count(DISTINCT p + j) AS n_hit FROM (SELECT DISTINCT rid, p, n FROM hit), unnest(range(0, n)) t(j) GROUP BY rid),
+found AS (SELECT rid, count(DISTINCT id) AS n_items, string_agg(DISTINCT id, ',' ORDER BY id) AS ids FROM hit GROUP BY rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN places USING (rid) LEFT JOIN found USING (rid)"""
+
+
 @query
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
