@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelpool.llm import decontaminate, ngram_join, packing, quality, secrets
+from labelpool.llm import decontaminate, kd_shards, ngram_join, packing, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,6 +74,11 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked_documents(_table(spark, sf_dir, "documents"))
 
 
+@query
+def op9_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_shards.shard_table(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
