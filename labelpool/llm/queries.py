@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelpool.llm import decontaminate, kd_shards, ngram_join, packing, quality, secrets, url_filter
+from labelpool.llm import decontaminate, extract, kd_shards, ngram_join, packing, quality, secrets, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -96,6 +96,11 @@ def op9_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards.shard_table(_table(spark, sf_dir, "documents"))
 
 
+@query
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.page_texts(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
