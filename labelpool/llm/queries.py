@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelpool.llm import decontaminate, extract, kd_shards, ngram_join, packing, quality, secrets, url_filter
+from labelpool.llm import decontaminate, extract, kd_shards, lsh_search, ngram_join, packing, quality, secrets, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -86,6 +86,11 @@ def op6_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+@query
+def op7_multiprobe_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_search.nearest_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked_documents(_table(spark, sf_dir, "documents"))
