@@ -11,7 +11,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 BATCH_BYTES = 8 << 20   # Arrow batch sent to a Python worker
@@ -30,14 +29,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder; the
-    rows are kept on disk meanwhile, so they are computed once."""
+    """Cut the lineage with a reliable checkpoint in the shared folder. It is
+    written by the job that computes the rows."""
     checkpoint_dir(df.sparkSession)
-    held = df.persist(StorageLevel.DISK_ONLY)
-    try:
-        return held.checkpoint()
-    finally:
-        held.unpersist()
+    return df.checkpoint()
 
 
 def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -18,9 +18,11 @@ the threshold. The method:
   sets share a single or a combination. A frequent passage alone makes no candidates.
 * In signatures of many classes, each class is verified, on whole sets, against the
   pivots that it shares most signatures with. These links give components; a signature
-  whose classes are all in one component is done. Of the others, all pairs of classes of different components
-  whose sizes and number of shared signatures allow a link are verified, so that no
-  link between components is lost, and copies are never expanded into pairs.
+  whose classes are all in one component is done. The classes of the others are compared
+  in blocks of bounded size, which return only links that tie components.
+* In signatures of few classes, all pairs of classes of different components whose
+  sizes and number of shared signatures allow a link are verified. So no link between
+  components is lost, and large groups are never expanded into pairs.
 
 Defined results: a null, empty or word-less text has no shingles and links with
 nothing; repeated rows share one class and all keep their row; a null doc_id takes
@@ -40,10 +42,9 @@ from labelpool.llm.components import connected_components
 SKETCH_BITS = 22          # counters of the sketch; a bound, whatever the input
 SKETCH_BLOCK = 1 << 14
 FREQUENT_AT_LEAST = 32    # a shingle under this count is never frequent
-LARGE = 16       # signatures of more classes are reduced by pivots first
-PIVOT_ROUNDS = 2
-PIVOTS = 4       # pivots that a class is verified against in a round
-BLOCK = 64       # sets of one side that a verifying task holds
+LARGE = 32       # signatures of more classes are compared by pivots and blocks, not by pairs
+PIVOTS = 4       # pivots that a class is verified against
+BLOCK = 128      # sets of one side that a task holds
 BROADCAST_ROWS = 1_000_000  # (id, node) pairs of 16 bytes that are broadcast at most
 
 # fixed values: the white space that separates words
@@ -83,6 +84,16 @@ def set_key(grams: np.ndarray) -> int:
     return int(mix64(np.array([total & (1 << 64) - 1], np.uint64)).view(np.int64)[0]) or 1
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counters in the narrowest type that holds them, after its name."""
+    kind = next(k for k in ("u1", "u2", "u4", "u8") if counts.max(initial=0) <= np.iinfo(k).max)
+    return kind.encode() + counts.astype(f"<{kind}").tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, "<" + data[:2].decode(), offset=2).astype(np.uint64)
+
+
 def frequent_slots(docs: DataFrame, width: int) -> np.ndarray:
     """One flag for each counter of the sketch over all shingles of ``docs``.
 
@@ -105,11 +116,13 @@ def frequent_slots(docs: DataFrame, width: int) -> np.ndarray:
             blocks = total.reshape(-1, SKETCH_BLOCK)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(len(blocks), dtype=np.int32)), pa.array(np.full(len(blocks), seed % 256, dtype=np.int32)),
-                 pa.array([x.astype(np.int64).tobytes() for x in blocks], pa.binary())], names=["block", "part", "counts"])
+                 pa.array([_packed(x) for x in blocks], pa.binary())], names=["block", "part", "counts"])
 
     def add(table):
-        total = np.sum([np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist()], axis=0)
-        return pa.table({"block": table.column("block")[:1], "part": table.column("part")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+        total = np.zeros(SKETCH_BLOCK, np.uint64)
+        for x in table.column("counts"):
+            total += _unpacked(x.as_py())
+        return pa.table({"block": table.column("block")[:1], "part": table.column("part")[:1], "counts": pa.array([_packed(total)], pa.binary())})
 
     shape = "block int, part int, counts binary"
     blocks = docs.select("text").mapInArrow(count, shape).groupBy("block", "part").applyInArrow(add, shape) \
@@ -118,7 +131,7 @@ def frequent_slots(docs: DataFrame, width: int) -> np.ndarray:
 
     def loads(batches):
         for b in batches:
-            sums = [int(np.frombuffer(x, np.int64).sum()) for x in b.column("counts").to_pylist()]
+            sums = [int(_unpacked(x).sum()) for x in b.column("counts").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int64())], names=["load"])
 
     load = (total_and_flags.select("counts").mapInArrow(loads, "load long").agg(F.sum("load")).first()[0] or 0) / slots
@@ -126,7 +139,7 @@ def frequent_slots(docs: DataFrame, width: int) -> np.ndarray:
 
     def flags(batches):
         for b in batches:
-            bits = [np.packbits(np.frombuffer(x, np.int64) >= least).tobytes() for x in b.column("counts").to_pylist()]
+            bits = [np.packbits(_unpacked(x) >= least).tobytes() for x in b.column("counts").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("block"), pa.array(bits, pa.binary())], names=["block", "bits"])
 
     out = np.zeros(slots, dtype=bool)
@@ -156,27 +169,60 @@ def _as_signed(values: np.ndarray) -> pa.Array:
 
 
 def _set_rows(docs: DataFrame, width: int, signed=None) -> DataFrame:
-    """doc_id, set key, set size, and the whole set or, with ``signed`` (flags,
+    """doc_id, the text's hash, set key, set size, and the whole set or, with ``signed`` (flags,
     percent), its signatures, ``rest`` and ``pairs`` as ``signatures`` has them."""
     flags = np.packbits(signed[0]) if signed else None
-    names = ["doc_id", "node", "n", "rest", "pairs", "grams"]
+    names = ["doc_id", "text_key", "node", "n", "rest", "pairs", "grams"]
 
     def rows(batches):
         often = np.unpackbits(flags).astype(bool) if signed else None
         for b in batches:
-            ids = b.column("doc_id")
+            ids, keys = b.column("doc_id"), b.column("text_key")
             for lo, hi, data, offsets in text_slices(b.column("text")):
                 grams, at = shingle_sets(data, offsets, width)
                 sets = [grams[at[i]:at[i + 1]] for i in range(hi - lo)]
                 given = [signatures(x, often, signed[1]) if signed else (x, -1, -1) for x in sets]
                 ends = np.cumsum([0] + [len(x[0]) for x in given]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo), pa.array([set_key(x) for x in sets], pa.int64()), pa.array(np.diff(at).astype(np.int64)),
+                    [ids.slice(lo, hi - lo), keys.slice(lo, hi - lo), pa.array([set_key(x) for x in sets], pa.int64()), pa.array(np.diff(at).astype(np.int64)),
                      pa.array([x[1] for x in given], pa.int64()), pa.array([x[2] for x in given], pa.int64()),
                      pa.ListArray.from_arrays(pa.array(ends), _as_signed(np.concatenate([x[0] for x in given])))], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        rows, "doc_id long, node long, n long, rest long, pairs long, grams array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(
+        rows, "doc_id long, text_key long, node long, n long, rest long, pairs long, grams array<long>")
+
+
+def _placed_sets(docs: DataFrame, rows: DataFrame, places: DataFrame, width: int) -> DataFrame:
+    """Each of ``places`` (node and what goes with it) with the node's whole set,
+    read again from the text of one document of the class."""
+    extra = [c for c in places.columns if c != "node"]
+    one = rows.join(places.select("node").distinct(), "node", "left_semi").groupBy("node").agg(
+        F.min(F.struct("doc_id", "text_key")).alias("of"))
+    wanted = checkpointed(places.groupBy("node").agg(F.collect_set(F.struct(*extra)).alias("at")).join(one, "node").select(
+        F.col("node").alias("_node"), "at", F.col("of.doc_id").alias("_id"), F.col("of.text_key").alias("_key")))
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    match = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_key"))
+    texts = docs.join(wanted, match).select(docs["doc_id"], docs["text"], F.to_json(F.struct("at")).alias("places"), F.col("_node").alias("wanted"))
+    shape = f"struct<at:array<struct<{','.join(f'{c}:{dict(places.dtypes)[c]}' for c in extra)}>>>"
+    return _whole_sets(texts, width).select("node", "grams", F.explode(F.from_json("places", shape)["at"]).alias("p")).select("node", "grams", "p.*")
+
+
+def _whole_sets(texts: DataFrame, width: int) -> DataFrame:
+    """node, grams and places of each text."""
+    def rows(batches):
+        for b in batches:
+            for lo, hi, data, offsets in text_slices(b.column("text")):
+                grams, at = shingle_sets(data, offsets, width)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("wanted").slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), _as_signed(grams)),
+                     b.column("places").slice(lo, hi - lo)], names=["node", "grams", "places"])
+
+    return texts.select("text", "wanted", "places").mapInArrow(rows, "node long, grams array<long>, places string")
+
+
+def _sets_in(table: pa.Table) -> dict[int, np.ndarray]:
+    return {k: x.values.to_numpy().view(np.uint64) for k, x in zip(table.column("node").to_pylist(), table.column("grams"))}
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, percent: int, width: int) -> DataFrame:
@@ -185,16 +231,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, percent: int,
     Each pair names a ``task``; a task holds some BLOCK nodes a side, whose sets
     are sent to it once, however many of its pairs they are in.
     """
-    places = checkpointed(pairs.select("task", F.explode(F.array("a", "b")).alias("node")).distinct())
-    wanted = checkpointed(rows.join(places.select("node").distinct(), "node").groupBy("node").agg(
-        F.min("doc_id").alias("_id")).withColumnRenamed("node", "_node"))
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    texts = docs.join(wanted.select("_id").distinct(), docs["doc_id"].eqNullSafe(F.col("_id"))).select(*docs.columns)
-    sets = _set_rows(texts, width).join(wanted.select(F.col("_node").alias("node")), "node").dropDuplicates(["node"]).select("node", "grams")
+    places = pairs.select("task", F.explode(F.array("a", "b")).alias("node")).distinct()
 
     def check(given: pa.Table, held: pa.Table) -> pa.Table:
-        sets_of = {k: np.array(v, np.int64).view(np.uint64) for k, v in zip(held.column("node").to_pylist(), (x.values.to_numpy() for x in held.column("grams")))}
+        sets_of = _sets_in(held)
         keep = []
         for a, b in zip(given.column("a").to_pylist(), given.column("b").to_pylist()):
             x, y = sets_of[a], sets_of[b]
@@ -203,10 +243,67 @@ def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, percent: int,
             keep.append(shared > 0 and 100 * shared >= percent * (len(x) + len(y) - shared))
         return given.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    held = places.join(sets, "node").select("task", "node", "grams").toDF("task", "node", "grams")
+    held = _placed_sets(docs, rows, places, width).select("task", "node", "grams").toDF("task", "node", "grams")
     return pairs.select("task", "a", "b").toDF("task", "a", "b").groupBy("task").cogroup(held.groupBy("task")).applyInArrow(check, "a long, b long")
 
 
+def _tied_blocks(members: DataFrame, docs: DataFrame, rows: DataFrame, percent: int, width: int) -> DataFrame:
+    """Links (a, b) that tie the components in large signatures together.
+
+    The classes that such signatures chain together are dealt into blocks by hash,
+    and a task compares two blocks, all classes of different components, in array
+    operations. It returns only as many links as tie them.
+    """
+    pivots = members.groupBy("sig").agg(F.min("node").alias("pivot"))
+    chained = connected_components(members.join(pivots, "sig").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()) \
+        .withColumnRenamed("component", "chain")
+    sizes = chained.groupBy("chain").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), "blocks").cast("int")
+    places = chained.join(sizes, "chain").join(members.select("node", "component").distinct(), "node").withColumn("own", own) \
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
+        .select("node", "component", F.xxhash64("chain", F.least("own", "other"), F.greatest("own", "other")).alias("task"),
+                (F.col("own") > F.col("other")).alias("second"), (F.col("own") == F.col("other")).alias("same"))
+
+    def tie(held: pa.Table) -> pa.Table:
+        sets_of = _sets_in(held)
+        kinds = {k: v for k, *v in zip(*(held.column(c).to_pylist() for c in ("node", "component", "second", "same")))}
+        nodes = sorted(sets_of, key=lambda k: (len(sets_of[k]), k))
+        group = {c: c for c, _, _ in kinds.values()}
+
+        def root(c: int) -> int:
+            while group[c] != c:
+                group[c] = c = group[group[c]]
+            return c
+
+        sizes = np.array([len(sets_of[k]) for k in nodes])
+        _, flat = np.unique(np.concatenate([sets_of[k] for k in nodes]), return_inverse=True)
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        component = np.array([kinds[k][0] for k in nodes])
+        side = np.array([kinds[k][1] for k in nodes])
+        within = kinds[nodes[0]][2]
+        mark = np.zeros(int(flat.max(initial=0)) + 1, dtype=np.int64)
+        links = []
+        for i, node in enumerate(nodes):
+            upto = int(np.searchsorted(sizes, sizes[i] * 100 // percent, side="right"))
+            if upto <= i + 1 or not sizes[i]:
+                continue
+            mark[flat[ends[i]:ends[i + 1]]] = 1
+            shared = np.add.reduceat(mark[flat[ends[i + 1]:ends[upto]]], ends[i + 1:upto] - ends[i + 1])
+            mark[flat[ends[i]:ends[i + 1]]] = 0
+            near = 100 * shared >= percent * (sizes[i] + sizes[i + 1:upto] - shared)
+            near &= component[i + 1:upto] != component[i]
+            if not within:
+                near &= side[i + 1:upto] != side[i]
+            for j in np.flatnonzero(near) + i + 1:
+                x, y = root(int(component[i])), root(int(component[j]))
+                if x != y:
+                    group[max(x, y)] = min(x, y)
+                    links.append((node, nodes[j]))
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return _placed_sets(docs, rows, places, width).groupBy("task").applyInArrow(tie, "a long, b long")
+
+
 def _fits(n: str, m: str, percent: int):
     """Sizes so different that no overlap suffices are left out."""
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
@@ -223,16 +320,22 @@ def similar_classes(docs: DataFrame, percent: int = 85, width: int = 4) -> tuple
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = checkpointed(_set_rows(docs, width, (frequent_slots(docs, width), percent)))
-    signed = rows.dropDuplicates(["node"]).select("node", "n", "rest", "pairs", F.explode("grams").alias("sig"))
-    groups = signed.groupBy("sig").agg(F.count("*").alias("size")).filter("size > 1")
-    members = checkpointed(signed.join(groups, "sig"))
-    links, comp = None, None
-    for turn in range(PIVOT_ROUNDS):
-        star = _pivot_pairs(_still_open(members.filter(F.col("size") > LARGE), comp), turn, percent)
-        found = checkpointed(_verified(checkpointed(star), docs, rows, percent, width))
-        links = found if links is None else links.union(found)
-        comp = connected_components(links)
-    rest = checkpointed(_blocked(checkpointed(_cross_pairs(_still_open(members, comp), percent))))
+    signed = rows.select("node", F.explode("grams").alias("sig"))
+    several = signed.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("sig")
+    pairs = signed.join(several, "sig").distinct()
+    facts = rows.filter(F.size("grams") > 0).groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "rest", "pairs")))
+    members = checkpointed(pairs.join(facts, "node"))
+    sizes = members.groupBy("sig").agg(F.count("*").alias("size"))
+    large = checkpointed(members.join(sizes.filter(F.col("size") > LARGE).select("sig"), "sig"))
+    small = members.join(large.select("sig").distinct(), "sig", "left_anti")
+
+    # large signatures: pivots first, then what they left apart, in blocks
+    star = checkpointed(_pivot_pairs(_still_open(large, None), percent))
+    links = checkpointed(_verified(star, docs, rows, percent, width))
+    links = links.union(checkpointed(_tied_blocks(_still_open(large, connected_components(links)), docs, rows, percent, width)))
+    # small signatures: the pairs that they still leave apart
+    comp = connected_components(links)
+    rest = checkpointed(_blocked(checkpointed(_cross_pairs(_still_open(small, comp), percent))))
     links = links.union(checkpointed(_verified(rest, docs, rows, percent, width)))
     return rows, connected_components(links)
 
@@ -245,10 +348,10 @@ def _still_open(members: DataFrame, comp: DataFrame | None) -> DataFrame:
     return checkpointed(placed.join(ends, "sig"))
 
 
-def _pivot_pairs(members: DataFrame, turn: int, percent: int) -> DataFrame:
+def _pivot_pairs(members: DataFrame, percent: int) -> DataFrame:
     """(task, a, b): each class with the pivots that it shares most signatures
     with. A signature's two pivots are the ends of an order of its own."""
-    order = F.struct(F.xxhash64("sig", "node", F.lit(turn)).alias("turn"), "node", "n", "component")
+    order = F.struct(F.xxhash64("sig", "node").alias("turn"), "node", "n", "component")
     pivots = members.groupBy("sig").agg(F.min(order).alias("p0"), F.max(order).alias("p1"))
     near = members.join(pivots, "sig").select("node", "n", "component", F.explode(F.array("p0", "p1")).alias("p")) \
         .filter((F.col("component") != F.col("p.component")) & _fits("n", "p.n", percent)) \
@@ -260,8 +363,9 @@ def _pivot_pairs(members: DataFrame, turn: int, percent: int) -> DataFrame:
 
 
 def _cross_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """All pairs (a, b) of classes in different components that share enough
-    signatures for a link.
+    """All pairs (a, b) of classes in different components that share enough of
+    these signatures for a link (pairs that share a large one, too, are compared
+    there, whatever their number here).
 
     Sets of x and y shingles that link share at least o = t (x + y) / (1 + t).
     With singles only, they share at most the common signatures and what the set
@@ -288,6 +392,28 @@ def _blocked(pairs: DataFrame) -> DataFrame:
     return both.select(F.xxhash64("component", F.least("i", "j"), F.greatest("i", "j")).alias("task"), "a", "b")
 
 
+def keep_one(docs: DataFrame, percent: int = 85, width: int = 4) -> DataFrame:
+    """``docs`` with one row of each group of linked or equal documents: the one
+    with the smallest doc_id (null last). Documents without words all stay."""
+    rows, comp = similar_classes(docs, percent, width)
+    named = rows.filter("node <> 0").select("doc_id", "text_key", "node").join(comp, "node", "left") \
+        .withColumn("component", F.coalesce("component", "node"))
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    best = named.groupBy("component").agg(F.min(first).alias("best"))
+    keyed = named.join(best, "component").groupBy("doc_id", "text_key").agg(
+        F.count("*").alias("copies"), F.first(first == F.col("best")).alias("stays"))
+    gone = checkpointed(keyed.filter(~F.col("stays") | (F.col("copies") > 1)).select(
+        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "stays"))
+    match = lambda keys: docs["doc_id"].cast("long").eqNullSafe(keys["_id"]) & (F.xxhash64(docs["text"]) == keys["_key"])
+    small = gone.count() <= BROADCAST_ROWS
+    out = docs.join(F.broadcast(gone) if small else gone, match(gone), "left_anti")
+    repeated = gone.filter("stays")
+    if not repeated.isEmpty():  # rows that share id and text: one of them stays
+        repeated = F.broadcast(repeated) if small else repeated
+        out = out.union(docs.join(repeated, match(repeated), "left_semi").dropDuplicates(["doc_id", "text"]))
+    return out
+
+
 def linked_documents(docs: DataFrame, percent: int = 85, width: int = 4) -> DataFrame:
     """doc_id, n_shingles and component_id (its smallest doc_id) for every row."""
     rows, comp = similar_classes(docs, percent, width)
