@@ -37,8 +37,8 @@ WIDTH = 2.0           # interval width, for vectors of length 1
 RECALL = 0.96         # on the fit's sample
 SAMPLE_ROWS = 4_096   # vectors that the number of probes is fitted on, at most about
 SAMPLE_QUERIES = 256
-BLOCK = 4_096         # index vectors in one task, about
-QUERY_BLOCK = 8_192   # queries in one task, about
+BLOCK = 32_768        # index vectors in one task, about
+QUERY_BLOCK = 2_048   # queries in one task, about
 BROADCAST_ROWS = 1_000_000
 _FAR = 100            # intervals from the middle; what lies beyond shares the last one
 
@@ -195,8 +195,8 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
             cell_of = np.array([number[c] for c in b.column("cell").to_pylist()])
             first = np.array([i[0] for i in b.column("ids").to_pylist()])
             wanted, ids, keys = a.column("cells").to_pylist(), b.column("ids").to_pylist(), [(b.column(c).to_pylist(), a.column(c).to_pylist()) for c in ("h", "h2")]
-            for lo in range(0, len(q), 512):
-                part = q[lo:lo + 512]
+            for lo in range(0, len(q), 128):
+                part = q[lo:lo + 128]
                 visited = np.zeros((len(part), len(number)), dtype=bool)
                 for i in range(len(part)):
                     visited[i, [number[c] for c in wanted[lo + i] if c in number]] = True
@@ -216,8 +216,10 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
 
     found = left.groupBy("block", "query_block").cogroup(right.groupBy("block", "query_block")).applyInArrow(
         nearest, "qh long, qh2 long, score double, h long, h2 long, ids array<long>")
-    # merge the tables' candidates, then spread the entries' ids and the queries'
-    merged = found.dropDuplicates(["qh", "qh2", "h", "h2"]).select("qh", "qh2", "score", F.explode("ids").alias("near"))
+    # merge the tables' candidates: the nearest entries first, then their ids and the queries'
+    entry = Window.partitionBy("qh", "qh2").orderBy(F.desc("score"), F.col("ids")[0])
+    merged = found.dropDuplicates(["qh", "qh2", "h", "h2"]).withColumn("place", F.row_number().over(entry)).filter(F.col("place") <= k + 1) \
+        .select("qh", "qh2", "score", F.explode("ids").alias("near"))
     order = Window.partitionBy("qh", "qh2").orderBy(F.desc("score"), "near")
     best = checkpointed(merged.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k + 1))
     each = asked.join(best, (asked["h"] == best["qh"]) & (asked["h2"] == best["qh2"])).filter("near <> vec_id")
