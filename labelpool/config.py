@@ -17,14 +17,11 @@ DATA_PERCENTAGES = (10, 20, 40, 80, 100)
 KMEANS_MAX_ITER = 20
 
 # Our own scale guards (not from the published workflow).
-# Largest k fitted by the clusterer; above it a size-proportional quota of
-# nearest rows is taken per cluster, so exactly B rows are still selected.
-MAX_CLUSTERS = 2000
-# Largest number of candidates the clusterer is fitted on (~220 passes for
-# k = 2000); above it the centres are fitted on a seeded-hash sample of this
-# size, and every candidate is still assigned and eligible for selection.
-FIT_SAMPLE_ROWS = 2_000_000
-# Largest number of rows we let Spark broadcast for a checked-size join side.
+# Largest number of rows (of ids and a few numbers) we broadcast for a checked-size join side.
 BROADCAST_MAX_ROWS = 2_000_000
+# Bytes of labelled rows in one partition of a fit's input.
+FIT_PARTITION_BYTES = 4 * 1024 * 1024
+# Buckets of a state table at most (Spark allows 100,000).
+MAX_BUCKETS = 65_536
 # Largest centre table (k x d doubles) we broadcast.
 BROADCAST_MAX_BYTES = 256 * 1024 * 1024

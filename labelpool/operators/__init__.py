@@ -3,7 +3,6 @@
 from labelpool.operators.cutoff import dense_ids, exact_quantile, kth_smallest, select_smallest
 from labelpool.operators.diversity import (
     cluster_candidates, diverse_batch, diversity_selection, nearest_to_centroid,
-    proportional_quotas,
 )
 from labelpool.operators.labels import apply_labels
 from labelpool.operators.metrics import accuracy, classification_metrics, confusion
@@ -29,7 +28,7 @@ __all__ = [
     "dense_ids", "diverse_batch", "diversity_selection", "duplicate_ids", "exact_quantile",
     "get_uncertainty_candidates", "init_state", "kth_smallest", "labeled_rows",
     "learning_curve_pivot", "mean_runs", "nearest_to_centroid", "nested_subsets",
-    "proportional_quotas", "random_batch", "random_selection", "ratio_to_reference", "scale_up",
+    "random_batch", "random_selection", "ratio_to_reference", "scale_up",
     "score_pool", "select_smallest", "size_up", "speed_up", "standardize", "state_counts",
     "stratified_sample", "topk_uncertain", "train_test_split", "uncertainty_candidates",
     "uncertainty_threshold", "unlabeled_rows", "vector_entries",

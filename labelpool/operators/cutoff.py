@@ -14,6 +14,8 @@ keeping only the bucket that holds the boundary, and refining inside it:
 * the bucket that holds the k-th row becomes the new range; if all its rows
   share one key value the refinement continues on the tie column (ids are
   unique, so it always terminates);
+* a range always shrinks, as its two ends lie in different buckets, and infinite
+  keys are counted at the ends of the finite range;
 * once a group's range holds at most ``final_rows`` rows a ``row_number``
   over just those rows names the boundary.
 
@@ -25,6 +27,7 @@ otherwise, broadcast only when the number of groups is checked to be small).
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
@@ -40,14 +43,27 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+_LARGEST = sys.float_info.max
+
+
+def _finite(key: Column) -> Column:
+    """The key as a double, with infinite ones at the ends of the finite range:
+    so one infinite key fills an end bucket and does not widen the others."""
+    k = key.cast("double")
+    return F.when(k.isNull() | F.isnan(k), k).otherwise(F.greatest(F.lit(-_LARGEST), F.least(F.lit(_LARGEST), k)))
+
+
+def _unbounded(key: float) -> float:
+    return math.copysign(math.inf, key) if abs(key) == _LARGEST else key
+
+
 def _maybe_broadcast(small: DataFrame, n_rows: int) -> DataFrame:
     return F.broadcast(small) if n_rows <= BROADCAST_MAX_ROWS else small
 
 
 def kth_smallest(df: DataFrame, key: str | Column, tie: str | Column,
                  k: int | str, by: Sequence[str] = (), *,
-                 bucket_bits: int = 12, final_rows: int = 1 << 18,
-                 max_levels: int = 16) -> DataFrame:
+                 bucket_bits: int = 12, final_rows: int = 1 << 18) -> DataFrame:
     """Per group, the k-th smallest row by ``(key asc, tie asc)``, 1-based.
 
     ``k`` is an int or the name of a column constant within each group. A
@@ -58,8 +74,7 @@ def kth_smallest(df: DataFrame, key: str | Column, tie: str | Column,
     """
     by = list(by)
     if not by and isinstance(k, int):
-        found = _kth_global(df, key, tie, int(k), bucket_bits=bucket_bits,
-                            final_rows=final_rows, max_levels=max_levels)
+        found = _kth_global(df, key, tie, int(k), bucket_bits=bucket_bits, final_rows=final_rows)
         one = df.sparkSession.range(1)
         if found is None:
             return one.filter(F.lit(False)).select(
@@ -74,7 +89,7 @@ def kth_smallest(df: DataFrame, key: str | Column, tie: str | Column,
     grp = [F.col(c) for c in by] if by else [F.lit(0).alias(_GROUP0)]
     base = df.select(
         *grp,
-        _col(key).cast("double").alias("_k"),
+        _finite(_col(key)).alias("_k"),
         _col(tie).cast("bigint").alias("_t"),
         k_col.cast("bigint").alias("_q"),
     )
@@ -106,13 +121,13 @@ def kth_smallest(df: DataFrame, key: str | Column, tie: str | Column,
         return int(row["g"]), int(row["big"])
 
     n_groups, n_large = sizes(pending)
-    for _ in range(max_levels):
+    while True:
         finished.append(pending.filter(F.col("n") <= final_rows))
         if n_large == 0:
             break
         large = pending.filter(F.col("n") > final_rows)
         key_mode = F.col("lo_k") < F.col("hi_k")
-        frac = F.when(key_mode, (F.col("_k") - F.col("lo_k")) / (F.col("hi_k") - F.col("lo_k"))) \
+        frac = F.when(key_mode, (F.col("_k") / 2 - F.col("lo_k") / 2) / (F.col("hi_k") / 2 - F.col("lo_k") / 2)) \
             .otherwise((F.col("_t") - F.col("lo_t")).cast("double")
                        / (F.col("hi_t") - F.col("lo_t") + F.lit(1)).cast("double"))
         bucket = F.least(F.greatest(F.floor(frac * F.lit(nb)), F.lit(0)), F.lit(nb - 1))
@@ -133,9 +148,6 @@ def kth_smallest(df: DataFrame, key: str | Column, tie: str | Column,
                    .persist(StorageLevel.MEMORY_AND_DISK))
         cached.append(pending)
         _, n_large = sizes(pending)
-    else:
-        # refinement budget spent: resolve what is left by row_number anyway
-        finished.append(pending.filter(F.col("n") > final_rows))
 
     ranges = finished[0]
     for extra in finished[1:]:
@@ -145,7 +157,8 @@ def kth_smallest(df: DataFrame, key: str | Column, tie: str | Column,
               .filter(in_range())
               .withColumn("_rn", F.row_number().over(w))
               .filter(F.col("_rn") == F.col("need"))
-              .select(*gcols, F.col("_k").alias("kth_key"), F.col("_t").alias("kth_tie"), "need")
+              .select(*gcols, F.when(F.abs("_k") == F.lit(_LARGEST), F.signum("_k") * F.lit(math.inf)).otherwise(F.col("_k")).alias("kth_key"),
+                      F.col("_t").alias("kth_tie"), "need")
               .persist(StorageLevel.MEMORY_AND_DISK))
     result.count()
     for c in cached:
@@ -157,14 +170,13 @@ def kth_smallest(df: DataFrame, key: str | Column, tie: str | Column,
 
 
 def _kth_global(df: DataFrame, key: str | Column, tie: str | Column, k: int, *,
-                bucket_bits: int = 12, final_rows: int = 1 << 18,
-                max_levels: int = 16) -> tuple[float, int, int] | None:
+                bucket_bits: int = 12, final_rows: int = 1 << 18) -> tuple[float, int, int] | None:
     """One group: the state is a single row, so each level's range is a
     literal filter and its histogram (at most 2^bucket_bits counts, a bounded
     summary like a quantile sketch) is cumulated on the driver. About two
     jobs when the data fits ``final_rows``, one more per refinement level."""
     nb = 1 << bucket_bits
-    base = (df.select(_col(key).cast("double").alias("_k"), _col(tie).cast("bigint").alias("_t"))
+    base = (df.select(_finite(_col(key)).alias("_k"), _col(tie).cast("bigint").alias("_t"))
             .filter(F.col("_k").isNotNull() & F.col("_t").isNotNull() & ~F.isnan("_k"))
             .persist(StorageLevel.MEMORY_AND_DISK))
     try:
@@ -182,11 +194,9 @@ def _kth_global(df: DataFrame, key: str | Column, tie: str | Column, k: int, *,
                 c = c & (F.col("_t") >= F.lit(lo_t)) & (F.col("_t") <= F.lit(hi_t))
             return c
 
-        for _ in range(max_levels):
-            if n <= final_rows:
-                break
+        while n > final_rows:
             if lo_k < hi_k:
-                frac = (F.col("_k") - F.lit(lo_k)) / F.lit(hi_k - lo_k)
+                frac = (F.col("_k") / 2 - F.lit(lo_k / 2)) / F.lit(hi_k / 2 - lo_k / 2)
             else:
                 frac = (F.col("_t") - F.lit(lo_t)).cast("double") / F.lit(float(hi_t - lo_t + 1))
             bucket = F.least(F.greatest(F.floor(frac * F.lit(nb)), F.lit(0)), F.lit(nb - 1))
@@ -205,7 +215,7 @@ def _kth_global(df: DataFrame, key: str | Column, tie: str | Column, k: int, *,
         w = Window.orderBy("_k", "_t")  # at most final_rows rows reach this one task
         row = (base.filter(in_range()).withColumn("_rn", F.row_number().over(w))
                .filter(F.col("_rn") == F.lit(need)).first())
-        return float(row["_k"]), int(row["_t"]), int(need)
+        return _unbounded(float(row["_k"])), int(row["_t"]), int(need)
     finally:
         base.unpersist()
 
@@ -214,14 +224,13 @@ FEW_GROUPS = 64
 
 
 def _kth_few_groups(df: DataFrame, key: str | Column, tie: str | Column, k: int | str,
-                    group: str, *, bucket_bits: int = 12, final_rows: int = 1 << 18,
-                    max_levels: int = 16) -> dict | None:
+                    group: str, *, bucket_bits: int = 12, final_rows: int = 1 << 18) -> dict | None:
     """Per-group boundaries for one group column with at most ``FEW_GROUPS``
     values (class strata, a few clusters): per-group ranges and histograms
     are literal predicates, so there is no join and few jobs. ``None`` when
     there are more groups (the caller then takes the all-Spark path)."""
     k_col = F.lit(int(k)) if isinstance(k, int) else F.col(k)
-    base = (df.select(F.col(group).alias("_g"), _col(key).cast("double").alias("_k"),
+    base = (df.select(F.col(group).alias("_g"), _finite(_col(key)).alias("_k"),
                       _col(tie).cast("bigint").alias("_t"), k_col.cast("bigint").alias("_q"))
             .filter(F.col("_g").isNotNull() & F.col("_k").isNotNull() & F.col("_t").isNotNull()
                     & ~F.isnan("_k"))
@@ -252,7 +261,7 @@ def _kth_few_groups(df: DataFrame, key: str | Column, tie: str | Column, k: int
                 c = c | in_range(g)
             return c
 
-        for _ in range(max_levels):
+        while True:
             large = [g for g, v in st.items() if v[0] > final_rows]
             if not large:
                 break
@@ -261,7 +270,7 @@ def _kth_few_groups(df: DataFrame, key: str | Column, tie: str | Column, k: int
             frac = None
             for g in large:
                 n, need, lk, hk, lt, ht = st[g]
-                f = ((F.col("_k") - F.lit(lk)) / F.lit(hk - lk)) if lk < hk else \
+                f = ((F.col("_k") / 2 - F.lit(lk / 2)) / F.lit(hk / 2 - lk / 2)) if lk < hk else \
                     ((F.col("_t") - F.lit(lt)).cast("double") / F.lit(float(ht - lt + 1)))
                 frac = F.when(F.col("_g") == F.lit(g), f) if frac is None else frac.when(F.col("_g") == F.lit(g), f)
             bucket = F.least(F.greatest(F.floor(frac * F.lit(nb)), F.lit(0)), F.lit(nb - 1))
@@ -285,7 +294,7 @@ def _kth_few_groups(df: DataFrame, key: str | Column, tie: str | Column, k: int
         w = Window.partitionBy("_g").orderBy("_k", "_t")   # at most final_rows rows per group
         rows = (base.filter(any_range(st)).withColumn("_rn", F.row_number().over(w))
                 .filter(F.col("_rn") == need_of).select("_g", "_k", "_t").collect())
-        return {r["_g"]: (float(r["_k"]), int(r["_t"])) for r in rows}
+        return {r["_g"]: (_unbounded(float(r["_k"])), int(r["_t"])) for r in rows}
     finally:
         base.unpersist()
 

@@ -3,68 +3,21 @@
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from labelpool.config import BROADCAST_MAX_BYTES, FIT_SAMPLE_ROWS, KMEANS_MAX_ITER, MAX_CLUSTERS
-from labelpool.functions.hashing import hash_below
+from labelpool.config import BROADCAST_MAX_BYTES, KMEANS_MAX_ITER
 from labelpool.functions.scoring import squared_distance
-from labelpool.operators.cutoff import select_smallest
+from labelpool.operators.bisect import bisect_cells, cell_centers
 from labelpool.operators.labels import apply_labels
-from labelpool.session import small_frame
-
-CENTER_SCHEMA = T.StructType([T.StructField("cluster_id", T.IntegerType()),
-                              T.StructField("center", T.ArrayType(T.DoubleType()))])
-
-
-def cluster_candidates(cands: DataFrame, k: int, seed: int = 42, max_iter: int = KMEANS_MAX_ITER,
-                       features: str = "features", out: str = "cluster_id",
-                       max_clusters: int = MAX_CLUSTERS, n_rows: int | None = None,
-                       id_col: str = "id_sample", fit_sample_rows: int = FIT_SAMPLE_ROWS):
-    """Bisecting k-means with ``k = min(k, max_clusters)``; returns
-    ``(model, clustered)`` where every candidate carries its cluster. The
-    model may hold fewer than k centres when the candidates have fewer
-    distinct vectors. With more than ``fit_sample_rows`` candidates the
-    centres are fitted on a seeded-hash sample of about that size (the fit
-    makes ~20 passes per tree level); the assignment covers all rows."""
-    k_fit = max(2, min(int(k), max_clusters))
-    src = cands
-    if n_rows is not None and n_rows > fit_sample_rows and id_col in cands.columns:
-        src = cands.filter(hash_below(id_col, fit_sample_rows / n_rows, "fit", seed))
-        n_rows = fit_sample_rows
-    # A derived (unpersisted) input lets the estimator cache its own vectors
-    # instead of re-reading the candidates on each of its many passes.
-    fit_input = src.select(features)
-    if n_rows is not None:
-        fit_input = fit_input.coalesce(fit_partitions(n_rows, cands.rdd.getNumPartitions()))
-    model = BisectingKMeans(k=k_fit, seed=seed, maxIter=max_iter, featuresCol=features,
-                            predictionCol=out).fit(fit_input)
-    return model, model.transform(cands)
-
-
-def centers_frame(spark: SparkSession, model) -> DataFrame:
-    """The fitted centres as ``(cluster_id, center)``: at most
-    ``max_clusters`` rows, the only clustering output that reaches the driver."""
-    rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    return small_frame(spark, rows, CENTER_SCHEMA)
-
-
-def fit_partitions(n_rows: int, current: int, rows_per_partition: int = 50_000) -> int:
-    """Partitions for an iterative fit: enough for ``rows_per_partition``
-    rows each, never more than the input has. Small fits then run as few
-    tasks per iteration; large ones keep all their parallelism."""
-    need = -(-max(n_rows, 1) // rows_per_partition)
-    return max(1, min(current, need))
-
-
-def mean_center(points: DataFrame, features: str = "features") -> DataFrame:
-    """Single centre (k = 1) as a one-row ``(cluster_id, center)`` table."""
-    return points.select(F.lit(0).alias("cluster_id"),
-                         vector_to_array(Summarizer.mean(F.col(features))).alias("center"))
+
+
+def cluster_candidates(cands: DataFrame, k: int, max_iter: int = KMEANS_MAX_ITER, features: str = "features",
+                       out: str = "cluster_id", id_col: str = "id_sample") -> DataFrame:
+    """Every candidate with its cluster, by bisecting k-means with exactly
+    ``k`` clusters (fewer only when there are fewer distinct vectors)."""
+    return bisect_cells(cands, k, id_col, features, max_iter).withColumnRenamed("cell", out)
 
 
 def centers_bytes(centers: DataFrame) -> int:
@@ -77,9 +30,9 @@ def with_distance(points: DataFrame, centers: DataFrame, vec: str = "features",
                   cluster_col: str = "cluster_id", out: str = "distance",
                   center_bytes: int | None = None) -> DataFrame:
     """Squared distance of each point to its own centre (a native
-    ``zip_with``/``aggregate`` expression). The centre table (at most
-    ``max_clusters`` rows) is broadcast when its k × d doubles are under
-    ``BROADCAST_MAX_BYTES``; wider tables join by cluster id instead."""
+    ``zip_with``/``aggregate`` expression). The centre table is broadcast
+    when its k × d doubles are under ``BROADCAST_MAX_BYTES``; larger ones join
+    by cluster id instead."""
     dtype = dict(points.dtypes)[vec]
     arr = vector_to_array(F.col(vec)) if dtype == "vector" else F.col(vec)
     if center_bytes is None:
@@ -108,71 +61,23 @@ def nearest_to_centroid(points: DataFrame, centers: DataFrame, id_col: str = "id
                        F.col("_lp_m.distance").alias("distance"))
 
 
-def proportional_quotas(sizes: DataFrame, budget: int, cluster_col: str = "cluster_id") -> DataFrame:
-    """Largest-remainder quotas summing to ``budget``: ``budget · n_c / N``
-    rounded down, plus one for the largest remainders (ties → smaller id).
-    Exact integer arithmetic in decimal(38, 0). One row per cluster."""
-    whole = Window.partitionBy(F.lit(1))
-    num = F.lit(int(budget)).cast("decimal(38,0)") * F.col("n").cast("decimal(38,0)")
-    tot = F.sum("n").over(whole).cast("decimal(38,0)")
-    q = sizes.select(cluster_col, "n", F.floor(num / tot).cast("bigint").alias("base"),
-                     (num - F.floor(num / tot) * tot).alias("rem"))
-    left = F.lit(int(budget)) - F.sum("base").over(whole)
-    rank = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("rem"), F.col(cluster_col)))
-    return q.select(cluster_col, F.least(F.col("base") + F.when(rank <= left, 1).otherwise(0),
-                                         F.col("n")).alias("quota"))
-
-
-def diverse_batch(spark: SparkSession, cands: DataFrame, budget: int, seed: int = 42,
-                  id_col: str = "id_sample", features: str = "features",
-                  max_clusters: int = MAX_CLUSTERS, max_iter: int = KMEANS_MAX_ITER,
-                  fit_sample_rows: int = FIT_SAMPLE_ROWS) -> DataFrame:
-    """Ids of a diverse batch of at most ``budget`` candidates.
-
-    ``budget <= max_clusters``: fit k = budget clusters, one nearest row
-    each (fewer when there are fewer distinct vectors). Above it: fit
-    ``max_clusters`` clusters and take each cluster's size-proportional
-    quota of nearest rows — exactly ``budget`` rows.
-    """
+def diverse_batch(spark: SparkSession, cands: DataFrame, budget: int, id_col: str = "id_sample",
+                  features: str = "features", max_iter: int = KMEANS_MAX_ITER) -> DataFrame:
+    """Ids of a diverse batch: ``budget`` clusters of the candidates, the row
+    nearest to each cluster's mean. Fewer rows only when there are fewer
+    distinct vectors. The ids are cached; the caller releases them."""
     if budget <= 0:
         return cands.select(id_col).filter(F.lit(False))
-    cands = cands.select(id_col, features).persist(StorageLevel.MEMORY_AND_DISK)
-    n = cands.count()
-    if n == 0 or budget >= n:
-        return cands.select(id_col)
-    if budget == 1:
-        centers = mean_center(cands, features)
-        clustered = cands.withColumn("cluster_id", F.lit(0))
-        return nearest_to_centroid(clustered, centers, id_col, features).select(id_col)
-    model, clustered = cluster_candidates(cands, budget, seed, max_iter, features,
-                                          max_clusters=max_clusters, n_rows=n, id_col=id_col,
-                                          fit_sample_rows=fit_sample_rows)
-    centers = centers_frame(spark, model)
-    cc = model.clusterCenters()
-    cbytes = len(cc) * (len(cc[0]) if cc else 0) * 8
-    d = None
-    if budget <= max_clusters:
-        picked = nearest_to_centroid(clustered, centers, id_col, features,
-                                     center_bytes=cbytes).select(id_col)
-    else:
-        d = with_distance(clustered, centers, features, center_bytes=cbytes) \
-            .persist(StorageLevel.MEMORY_AND_DISK)
-        sizes = d.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
-        quotas = proportional_quotas(sizes, budget)
-        tagged = d.join(F.broadcast(quotas), "cluster_id")
-        picked = select_smallest(tagged, "distance", id_col, "quota", by=["cluster_id"]).select(id_col)
-    # materialise the (at most budget) ids, then release the candidates
+    clustered = cluster_candidates(cands, budget, max_iter, features, "cell", id_col)
+    centers = cell_centers(clustered, features)
+    picked = nearest_to_centroid(clustered.withColumnRenamed("cell", "cluster_id"), centers, id_col, features).select(id_col)
     picked = picked.persist(StorageLevel.MEMORY_AND_DISK)
     picked.count()
-    if d is not None:
-        d.unpersist()
-    cands.unpersist()
     return picked
 
 
 def diversity_selection(spark: SparkSession, cands: DataFrame, pool: DataFrame, budget: int,
-                        seed: int = 42, id_col: str = "id_sample", features: str = "features",
-                        max_clusters: int = MAX_CLUSTERS) -> DataFrame:
+                        id_col: str = "id_sample", features: str = "features") -> DataFrame:
     """Cluster the candidates, pick the nearest row per cluster, flip them to L."""
-    picked = diverse_batch(spark, cands, budget, seed, id_col, features, max_clusters)
+    picked = diverse_batch(spark, cands, budget, id_col, features)
     return apply_labels(pool, picked, id_col=id_col, n_arrivals=max(int(budget), 0))

@@ -12,12 +12,14 @@ from labelpool.operators.pool import LABELED
 def apply_labels(pool: DataFrame, arrivals: DataFrame, id_col: str = "id_sample",
                  arrival_id: str | None = None, arrival_label: str | None = None,
                  n_arrivals: int | None = None, state_col: str = "state",
-                 label_col: str = "label") -> DataFrame:
+                 label_col: str = "label", arrival_order: str | None = None) -> DataFrame:
     """Mark the rows named in ``arrivals`` as labelled.
 
     ``arrivals`` is any table of answers ``(id[, label])``; when it carries a
-    label, that answer replaces the pool's label. It is de-duplicated on the
-    id first, so the left join never multiplies pool rows. The pool is not
+    label, that answer replaces the pool's label. Of several answers for an id
+    the one with the largest ``arrival_order`` holds, and among equals (or without
+    an order) the largest label, whatever the layout of the rows. There is one row
+    per id first, so the left join never multiplies pool rows. The pool is not
     shuffled when the answer table is small: it is broadcast only when its row
     count (``n_arrivals``, or counted here) is under the configured bound;
     otherwise it is a shuffled join, and a pool already hash-partitioned on
@@ -27,7 +29,12 @@ def apply_labels(pool: DataFrame, arrivals: DataFrame, id_col: str = "id_sample"
     cols = [F.col(aid).alias("_lp_sel")]
     if arrival_label:
         cols.append(F.col(arrival_label).alias("_lp_ans"))
-    answers = arrivals.select(*cols).dropDuplicates(["_lp_sel"])
+    if arrival_label:
+        order = F.col(arrival_order) if arrival_order else F.lit(0)
+        answers = arrivals.select(*cols, order.alias("_lp_ord")).groupBy("_lp_sel").agg(
+            F.max(F.struct("_lp_ord", "_lp_ans"))["_lp_ans"].alias("_lp_ans"))
+    else:
+        answers = arrivals.select(*cols).distinct()
     if n_arrivals is None:
         n_arrivals = answers.count()
     if n_arrivals <= BROADCAST_MAX_ROWS:

@@ -54,13 +54,15 @@ def scale_up(means: DataFrame) -> DataFrame:
                                                    F.col("percentage_set").cast("string"), F.lit("%")))
 
 
-def learning_curve_pivot(curve: DataFrame, methods: Sequence[str],
+def learning_curve_pivot(curve: DataFrame, methods: Sequence[str] = (),
                          names: Mapping[str, str] | None = None,
                          index: str = "labeled_percentage", method: str = "method",
                          value: str = "accuracy", decimals: int = 4) -> DataFrame:
-    """One row per labelled share, one column per method (listed values, so
-    the pivot needs no extra pass to find them). Repeated (share, method)
-    rows are averaged instead of failing."""
+    """One row per labelled share, one column per method of the table:
+    ``methods`` come first, in their order, then all others by name. Repeated
+    (share, method) rows are averaged instead of failing."""
     names = dict(names or {})
+    found = [r[0] for r in curve.select(method).where(F.col(method).isNotNull()).distinct().orderBy(method).collect()]  # one name a method
+    methods = [*methods, *(m for m in found if m not in methods)]
     wide = curve.groupBy(index).pivot(method, list(methods)).agg(F.avg(value))
     return wide.select(index, *[F.round(F.col(f"`{m}`"), decimals).alias(names.get(m, m)) for m in methods])

@@ -32,7 +32,7 @@ def class_quotas(df: DataFrame, n_target: int, label_col: str = "label") -> Data
     """Per-class quota ``round_half_even(N · n_c / n)`` (may not sum to N
     exactly, as with Python's ``round``). One row per class."""
     counts = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("_lp_nc"))
-    total = F.sum("_lp_nc").over(Window.partitionBy(F.lit(1)))
+    total = F.lit(df.count())
     return counts.select(
         label_col,
         F.bround(F.lit(float(n_target)) * F.col("_lp_nc") / total, 0).cast("bigint").alias("quota"),
@@ -49,10 +49,8 @@ def stratified_sample(df: DataFrame, n_target: int, label_col: str = "label",
     if n_target > n_rows:
         raise ValueError(f"requested sample ({n_target:,}) is larger than the data ({n_rows:,})")
     quotas = class_quotas(df, n_target, label_col)
-    n_classes = quotas.count()
-    if n_classes > BROADCAST_MAX_ROWS:
-        raise ValueError("too many classes to stratify on")
-    tagged = (df.join(F.broadcast(quotas), label_col)
+    small = quotas.count() <= BROADCAST_MAX_ROWS  # else a shuffled join, which AQE splits
+    tagged = (df.join(F.broadcast(quotas) if small else quotas, label_col)
               .withColumn("_lp_h", seeded_hash(id_col, "stratify", seed)))
     picked = select_smallest(tagged, "_lp_h", id_col, "quota", by=[label_col])
     return picked.drop("quota", "_lp_h")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -64,14 +65,16 @@ def get_uncertainty_candidates(pool: DataFrame, model, budget: int, n_unlabeled:
     the (1 - p)-quantile (ties kept); ``topk`` keeps exactly the
     ``int(alpha·B)`` most uncertain rows (ties → smaller id)."""
     scored = score_pool(model, unlabeled_rows(pool, state_col).select(id_col, features))
+    # scored once: the cut and the final filter both read it; the caller may unpersist the result
+    scored = scored.select(id_col, features, "uncertainty").persist(StorageLevel.MEMORY_AND_DISK)
     if mode == "topk":
-        keep = scored.select(id_col, features, "uncertainty")
+        keep = scored
         return topk_uncertain(keep, int(alpha * budget), id_col) if budget > 0 else keep.filter(F.lit(False))
     if mode != "quantile":
         raise ValueError(f"unknown candidate mode {mode!r}")
     t = uncertainty_threshold(scored, budget, n_unlabeled, alpha, epsilon, id_col=id_col)
     if t is None:
-        return scored.select(id_col, features, "uncertainty").filter(F.lit(False))
+        return scored.filter(F.lit(False))
     return uncertainty_candidates(scored, t, id_col, features)
 
 

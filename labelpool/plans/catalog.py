@@ -8,11 +8,13 @@ Floating outputs are rounded to 6 decimals on both sides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+from pyspark.ml.classification import NaiveBayes
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from labelpool.config import (
@@ -25,12 +27,14 @@ from labelpool.operators import diversity, labels, metrics, pool, runs, sampling
 from labelpool.operators.cutoff import exact_quantile
 from labelpool.plans import loop, prepare
 from labelpool.plans.store import PoolState
-from labelpool.sources import pools
+from labelpool.session import ensure_checkpoint_dir
+from labelpool.sources import files, pools
 
 SEED = RANDOM_SEED
 SPLIT_CUT = hash_threshold(TRAIN_FRACTION)
 STATE_CUT = hash_threshold(INITIAL_LABELED_FRACTION)
 FEATS = ["feature_1", "feature_2", "feature_3", "feature_4"]
+BISECT_FEATS = ("feature_1", "feature_2", "feature_3")
 
 # Fixed values of the SQL-checkable scorer over the event pool (FIXTURES.md §3):
 # p = 1 / (1 + exp(-(0.03 (value - 50) + 0.1 (hour - 12) + 0.02 (k - 50))))
@@ -79,6 +83,14 @@ def q_load_pool(spark, sf):
     return pools.order_pool(spark, sf).select("id_sample", "label", *[_r(c) for c in FEATS])
 
 
+def q_load_pool_file(spark, sf):
+    """The order pool written as CSV with its columns reversed and one more, and loaded by name."""
+    path = f"{ensure_checkpoint_dir(spark)}/load-pool-{uuid.uuid4().hex[:12]}"
+    p1 = pools.order_pool(spark, sf).withColumn("note", F.lit("x"))
+    files.write_table(p1.select(*reversed(p1.columns)), path)
+    return files.load_pool(spark, path).select("id_sample", "label", *[_r(c) for c in FEATS], "note")
+
+
 def q_cast_pool(spark, sf):
     typed = pool.cast_pool(pools.event_pool(spark, sf), feature_type="float")
     return typed.select("id_sample", "label", *[F.col(c).cast("double").alias(c)
@@ -117,10 +129,9 @@ def q_class_distribution(spark, sf):
 
 def q_query_budget(spark, sf):
     st = _order_train_state(spark, sf)
-    c = pool.state_counts(st)
-    return c.select(F.col("total").alias("train_size"), F.col("unlabeled"),
-                    F.least(F.floor(F.col("total").cast("double") * F.lit(QUERY_BATCH_FRACTION)),
-                            F.col("unlabeled")).cast("bigint").alias("budget"))
+    total, n_u, budget = _event_budget(spark, st)
+    return pool.state_counts(st).select(F.col("total").alias("train_size"), F.col("unlabeled"),
+                                        F.lit(budget).cast("bigint").alias("budget"))
 
 
 def q_uncertainty_score(spark, sf):
@@ -282,44 +293,65 @@ def q_classification_metrics(spark, sf):
     return m.select("n", _r("accuracy"), _r("weighted_precision"), _r("weighted_recall"), _r("f1"))
 
 
-# ---------------------------------------------------------------- model-based (rows check)
+# ---------------------------------------------------------------- trained models
+# Gaussian naive Bayes has a closed-form fit, so SQL checks its fit, scores and
+# loop; the logistic versions are row checks.
+def naive_bayes():
+    return NaiveBayes(modelType="gaussian", labelCol="label", featuresCol="features")
+
+
 def _prepared(spark, sf):
-    train, test = prepare.prepare_pool(pools.order_pool(spark, sf))
-    return train, test
+    return prepare.prepare_pool(pools.order_pool(spark, sf))
 
 
-def q_train_and_evaluate(spark, sf):
+def _trained(spark, sf, estimator):
     train, test = _prepared(spark, sf)
     l, u = loop.counts(train)
-    _, acc = loop.train_and_evaluate(train, test)
+    model, acc = loop.train_and_evaluate(train, test, estimator, n_labeled=l)
+    return train, test, l, u, model, acc
+
+
+def _accuracy_row(spark, sf, estimator):
+    _, _, l, _, _, acc = _trained(spark, sf, estimator)
     return spark.range(1).select(F.lit(l).cast("bigint").alias("labeled"), F.lit(float(acc)).alias("accuracy"))
 
 
-def _scored_unlabeled(spark, sf):
-    train, test = _prepared(spark, sf)
-    model = loop.default_estimator().fit(pool.labeled_rows(train))
-    return train, uncertainty.score_pool(model, pool.unlabeled_rows(train)), model
+def q_train_and_evaluate(spark, sf):
+    return _accuracy_row(spark, sf, None)
+
+
+def q_train_and_evaluate_nb(spark, sf):
+    return _accuracy_row(spark, sf, naive_bayes()).select("labeled", _r("accuracy"))
 
 
 def q_score_pool(spark, sf):
-    _, scored, _ = _scored_unlabeled(spark, sf)
-    return scored.select("id_sample", _r("p1"), _r("uncertainty"))
+    train, _, _, _, model, _ = _trained(spark, sf, None)
+    return uncertainty.score_pool(model, pool.unlabeled_rows(train)).select("id_sample", _r("p1"), _r("uncertainty"))
 
 
-def _candidates(spark, sf):
-    train, _, model = _scored_unlabeled(spark, sf)
-    l, u = loop.counts(train)
+def q_score_pool_nb(spark, sf):
+    train, _, _, _, model, _ = _trained(spark, sf, naive_bayes())
+    return uncertainty.score_pool(model, pool.unlabeled_rows(train)).select("id_sample", _r("p1", 4), _r("uncertainty", 4))
+
+
+def _candidates(spark, sf, estimator=None):
+    train, _, l, u, model, _ = _trained(spark, sf, estimator)
     budget = loop.query_budget(l + u, u)
-    cands = uncertainty.get_uncertainty_candidates(train, model, budget, u)
-    return train, cands, budget
+    return train, uncertainty.get_uncertainty_candidates(train, model, budget, u), budget
 
 
 def q_cluster_candidates(spark, sf):
     _, cands, budget = _candidates(spark, sf)
-    cands = cands.persist()
-    n = cands.count()
-    _, clustered = diversity.cluster_candidates(cands, budget, n_rows=n)
-    return clustered.select("id_sample", "cluster_id")
+    return diversity.cluster_candidates(cands, budget).select("id_sample", "cluster_id")
+
+
+def q_bisect_events(spark, sf):
+    """Four cells of the event pool, two passes a level: SQL-checked."""
+    ev = pool.assemble_features(pool.cast_pool(pools.event_pool(spark, sf), feature_type="double"), list(BISECT_FEATS))
+    cells = diversity.cluster_candidates(ev, 4, max_iter=2)
+    name = F.dense_rank().over(Window.orderBy("first_id"))   # a row for each of the four cells
+    firsts = cells.groupBy("cluster_id").agg(F.min("id_sample").alias("first_id")).select("cluster_id", name.alias("cell"))
+    return cells.join(F.broadcast(firsts), "cluster_id").select("id_sample", F.col("cell").cast("int").alias("cell"))
 
 
 def q_diversity_selection(spark, sf):
@@ -331,17 +363,18 @@ def q_vector_diversity(spark, sf):
     """P3: a diverse batch of B = 1 % of the 64-d embedding pool
     (array → vector input, bisecting k-means, nearest per cluster)."""
     p3 = pools.vector_pool(spark, sf)
-    pts = pool.array_features(p3, "embedding").select("id_sample", "features").persist()
+    pts = pool.array_features(p3, "embedding").select("id_sample", "features")
     n = pts.count()
-    budget = loop.query_budget(n, n)
-    return diversity.diverse_batch(spark, pts, budget)
+    return diversity.diverse_batch(spark, pts, loop.query_budget(n, n))
 
 
 def _round(spark, sf, method):
     train, test = _prepared(spark, sf)
     store = PoolState(spark, train)
-    res = loop.active_round(spark, store, test.persist(), method)
-    return res.pool.select("id_sample", "state")
+    res = loop.active_round(spark, store, test, method)
+    out = res.pool.select("id_sample", "state").checkpoint()  # outlives the state's tables
+    store.close()
+    return out
 
 
 def q_active_round_smart(spark, sf):
@@ -352,9 +385,9 @@ def q_active_round_random(spark, sf):
     return _round(spark, sf, "random")
 
 
-def _loop(spark, sf, method, rounds=3):
+def _loop(spark, sf, method, estimator=None):
     train, test = _prepared(spark, sf)
-    _, curve = loop.active_loop(spark, train, test, method, rounds=rounds, run_id=f"{method}-{rounds}")
+    _, curve = loop.active_loop(spark, train, test, method, estimator=estimator, run_id=f"{method}-10")
     return curve
 
 
@@ -366,8 +399,28 @@ def q_active_loop_random(spark, sf):
     return _loop(spark, sf, "random")
 
 
+def q_active_loop_random_nb(spark, sf):
+    return _loop(spark, sf, "random", naive_bayes()).select("run_id", "method", "round", _r("labeled_percentage"), "labeled_count", _r("accuracy"),
+                                                            "dataset_percentage")
+
+
+def q_answers_with_labels(spark, sf):
+    """Answers with labels for the order pool: every line's day parity is an answer of
+    its order; of an order's many, the one of the latest line holds."""
+    st = _order_train_state(spark, sf).select("id_sample", "label", "state")
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").filter("l_quantity > 30")
+    answers = lines.select("l_orderkey", "l_linenumber", (F.col("l_quantity").cast("int") % 2).alias("answer"))
+    return labels.apply_labels(st, answers, arrival_id="l_orderkey", arrival_label="answer", arrival_order="l_linenumber")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "load_pool": q_load_pool,
+    "load_pool_file": q_load_pool_file,
+    "answers_with_labels": q_answers_with_labels,
+    "bisect_events": q_bisect_events,
+    "train_and_evaluate_nb": q_train_and_evaluate_nb,
+    "score_pool_nb": q_score_pool_nb,
+    "active_loop_random_nb": q_active_loop_random_nb,
     "cast_pool": q_cast_pool,
     "assemble_features": q_assemble_features,
     "train_test_split": q_train_test_split,
@@ -473,11 +526,11 @@ def _strat(src: str) -> str:
     SELECT r.* EXCLUDE (rn) FROM r JOIN qt USING (label) WHERE r.rn <= qt.quota"""
 
 
-def _scaled_sql(cast: str, with_state: bool) -> str:
+def _scaled_sql(cast: str, with_state: bool, digits: int | None = 6) -> str:
     feats = ", ".join(f"CAST({c} AS {cast}) :: DOUBLE AS {c}" for c in FEATS)
     stats = ", ".join(f"avg({c}) AS m_{c}, stddev_samp({c}) AS s_{c}" for c in FEATS)
-    scaled = ", ".join(f"round(CASE WHEN s_{c} = 0 THEN 0.0 ELSE (x.{c} - m_{c}) / s_{c} END, 6) AS {c}"
-                       for c in FEATS)
+    value = {c: f"CASE WHEN s_{c} = 0 THEN 0.0 ELSE (x.{c} - m_{c}) / s_{c} END" for c in FEATS}
+    scaled = ", ".join(f"{v if digits is None else f'round({v}, {digits})'} AS {c}" for c, v in value.items())
     state = (f"CASE WHEN split = 'train' THEN CASE WHEN {_h('x.id_sample', 'state')} < {STATE_CUT} "
              f"THEN 'L' ELSE 'U' END END AS state, ") if with_state else ""
     return f"""
@@ -488,6 +541,68 @@ def _scaled_sql(cast: str, with_state: bool) -> str:
     SELECT x.id_sample, x.split, {state}x.label, {scaled} FROM x, st"""
 
 
+def _naive_bayes_sql(labeled: str, scored: str) -> str:
+    """p1 of each row of ``scored`` (t, id_sample, label, features) by Gaussian naive
+    Bayes fitted on the rows of ``labeled`` with the same t: class shares, class means,
+    and class variances plus 1e-9 of the largest variance of a feature."""
+    per_class = ", ".join(f"avg({c}) AS m_{c}, avg({c} * {c}) - avg({c}) * avg({c}) AS v_{c}" for c in FEATS)
+    widest = ", ".join(f"avg({c} * {c}) - avg({c}) * avg({c})" for c in FEATS)
+    terms = " + ".join(f"ln(2 * pi() * (v_{c} + eps)) + ({c} - m_{c}) * ({c} - m_{c}) / (v_{c} + eps)" for c in FEATS)
+    return f"""
+    SELECT t, id_sample, label, 1 / (1 + exp(max(ll) FILTER (WHERE class = 0) - max(ll) FILTER (WHERE class = 1))) AS p1
+    FROM (SELECT x.t, x.id_sample, x.label, c.class, ln(c.n / a.n) - 0.5 * ({terms}) AS ll
+          FROM ({scored}) x
+          JOIN (SELECT t, label AS class, count(*)::DOUBLE AS n, {per_class} FROM ({labeled}) l GROUP BY t, label) c ON c.t = x.t
+          JOIN (SELECT t, count(*)::DOUBLE AS n, 1e-9 * greatest({widest}) AS eps FROM ({labeled}) l GROUP BY t) a ON a.t = x.t) z
+    GROUP BY t, id_sample, label"""
+
+
+def _first_round_sql(what: str) -> str:
+    s = f"SELECT 0 AS t, s.* FROM ({_scaled_sql('FLOAT', True, None)}) s"
+    scored = f"{s} WHERE split = 'test'" if what == "test" else f"{s} WHERE state = 'U'"
+    return _naive_bayes_sql(f"{s} WHERE state = 'L'", scored)
+
+
+def _random_loop_sql(rounds: int = 10) -> str:
+    steps = [f"s AS ({_scaled_sql('FLOAT', True, None)})",
+             "l0 AS (SELECT id_sample, CASE WHEN state = 'L' THEN 0 END AS since FROM s WHERE split = 'train')",
+             f"b AS (SELECT CAST(floor(count(*)::DOUBLE * {QUERY_BATCH_FRACTION}::DOUBLE) AS BIGINT) AS budget FROM l0)"]
+    for t in range(1, rounds + 1):
+        steps.append(f"""l{t} AS (SELECT l.id_sample, CASE WHEN since IS NULL AND rn <= (SELECT budget FROM b) THEN {t} ELSE since END AS since
+            FROM l{t - 1} l LEFT JOIN (SELECT id_sample, row_number() OVER (ORDER BY {_h('id_sample', 'random', t)}, id_sample) AS rn
+                                       FROM l{t - 1} WHERE since IS NULL) r USING (id_sample))""")
+    labeled = f"SELECT t, s.* FROM s JOIN l{rounds} l USING (id_sample), range({rounds + 1}) r(t) WHERE l.since <= t"
+    test = f"SELECT t, s.* FROM s, range({rounds + 1}) r(t) WHERE split = 'test'"
+    return f"""
+    WITH {", ".join(steps)},
+    n AS (SELECT t, count(*) AS labeled_count FROM ({labeled}) x GROUP BY t),
+    a AS (SELECT t, round(avg(CASE WHEN (p1 > 0.5) = (label = 1) THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM ({_naive_bayes_sql(labeled, test)}) p GROUP BY t)
+    SELECT 'random-{rounds}' AS run_id, 'random' AS method, CAST(t AS INTEGER) AS round, round(5.0::DOUBLE + t, 6) AS labeled_percentage,
+           labeled_count, accuracy, CAST(100 AS INTEGER) AS dataset_percentage FROM n JOIN a USING (t)"""
+
+
+def _bisect_sql(levels: int = 2, passes: int = 2) -> str:
+    """Cells of the event pool after ``levels`` in which every cell is split."""
+    k = range(1, len(BISECT_FEATS) + 1)
+    rows = ", ".join(f"CAST({c} AS DOUBLE) AS f{i}" for i, c in zip(k, BISECT_FEATS))
+    steps = [f"r0 AS (SELECT id_sample, 0 AS cell, {rows} FROM ({P2}) e)"]
+    right = " + ".join(f"f{i} * (r{i} - l{i})" for i in k) + " > (" + " + ".join(f"r{i} * r{i} - l{i} * l{i}" for i in k) + ") / 2"
+    for n in range(levels):
+        stats = ", ".join(f"avg(f{i}) AS m{i}, var_samp(f{i}) AS v{i}" for i in k)
+        wide = "CASE " + " ".join(f"WHEN v{i} = greatest({', '.join(f'v{j}' for j in k)}) THEN {i}" for i in k) + " END"
+        start = ", ".join(f"m{i} - CASE WHEN w = {i} THEN sqrt(v{i}) ELSE 0 END AS l{i}, m{i} + CASE WHEN w = {i} THEN sqrt(v{i}) ELSE 0 END AS r{i}" for i in k)
+        steps.append(f"c{n}_0 AS (SELECT cell, {start} FROM (SELECT *, {wide} AS w FROM (SELECT cell, {stats} FROM r{n} GROUP BY cell) y) z)")
+        for p in range(passes):
+            means = ", ".join(f"avg(f{i}) FILTER (WHERE NOT right_side) AS l{i}, avg(f{i}) FILTER (WHERE right_side) AS r{i}" for i in k)
+            steps.append(f"c{n}_{p + 1} AS (SELECT cell, {means} FROM (SELECT x.*, {right} AS right_side FROM r{n} x JOIN c{n}_{p} USING (cell)) y GROUP BY cell)")
+        cols = ", ".join(f"f{i}" for i in k)
+        steps.append(f"r{n + 1} AS (SELECT id_sample, cell * 2 + CASE WHEN {right} THEN 2 ELSE 1 END AS cell, {cols} FROM r{n} JOIN c{n}_{passes} USING (cell))")
+    return f"""
+    WITH {", ".join(steps)},
+    o AS (SELECT cell, CAST(row_number() OVER (ORDER BY min(id_sample)) AS INTEGER) AS place FROM r{levels} GROUP BY cell)
+    SELECT id_sample, place AS cell FROM r{levels} JOIN o USING (cell)"""
+
+
 def _ratio_sql(match: list[str], ref_pred: str, name: str, ref_over_value: bool) -> str:
     on = " AND ".join(f"m.{c} = r.{c}" for c in match)
     ratio = "r.time / m.time" if ref_over_value else "m.time / r.time"
@@ -528,6 +643,22 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT id_sample, CAST({i} AS INTEGER) AS pos, round({c}, 6) AS value FROM ({P1}) p1"
         for i, c in enumerate(FEATS))
     return {
+        "load_pool_file": f"SELECT id_sample, label, {feats6}, 'x' AS note FROM ({P1}) p1",
+        "answers_with_labels": f"""
+            WITH t AS ({P1_TRAIN_STATE}),
+            a AS (SELECT l_orderkey, CAST(l_quantity AS INTEGER) % 2 AS answer,
+                         row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, CAST(l_quantity AS INTEGER) % 2 DESC) AS rn
+                  FROM lineitem WHERE l_quantity > 30)
+            SELECT t.id_sample, CAST(coalesce(a.answer, t.label) AS INTEGER) AS label,
+                   CASE WHEN a.l_orderkey IS NOT NULL THEN 'L' ELSE t.state END AS state
+            FROM t LEFT JOIN a ON t.id_sample = a.l_orderkey AND a.rn = 1""",
+        "bisect_events": _bisect_sql(),
+        "train_and_evaluate_nb": f"""
+            SELECT (SELECT count(*) FROM ({P1_TRAIN_STATE}) t WHERE state = 'L') AS labeled,
+                   round(avg(CASE WHEN (p1 > 0.5) = (label = 1) THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM ({_first_round_sql('test')}) p""",
+        "score_pool_nb": f"""
+            SELECT id_sample, round(p1, 4) AS p1, round(1 - 2 * abs(p1 - 0.5), 4) AS uncertainty FROM ({_first_round_sql('pool')}) p""",
+        "active_loop_random_nb": _random_loop_sql(),
         "load_pool": f"SELECT id_sample, label, {feats6} FROM ({P1}) p1",
         "cast_pool": f"""
             SELECT CAST(id_sample AS BIGINT) AS id_sample, CAST(label AS INTEGER) AS label,

@@ -10,19 +10,21 @@ from dataclasses import dataclass, field
 from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
+from pyspark.sql import functions as F
 
 from labelpool.config import (
-    INITIAL_LABELED_FRACTION, MAX_CLUSTERS, QUERY_BATCH_FRACTION, RANDOM_SEED,
-    UNCERTAINTY_CANDIDATE_FACTOR, UNCERTAINTY_QUANTILE_EPSILON,
+    INITIAL_LABELED_FRACTION, QUERY_BATCH_FRACTION, RANDOM_SEED,
+    UNCERTAINTY_CANDIDATE_FACTOR, UNCERTAINTY_QUANTILE_EPSILON, FIT_PARTITION_BYTES,
 )
-from labelpool.operators.diversity import diverse_batch, fit_partitions
+from labelpool.operators.diversity import diverse_batch
 from labelpool.operators.labels import apply_labels
 from labelpool.operators.pool import labeled_rows, state_counts
 from labelpool.operators.sampling import random_batch
 from labelpool.operators.uncertainty import get_uncertainty_candidates
 from labelpool.plans.store import PoolState
+from labelpool.sources.files import CURVE_SCHEMA
 from labelpool.session import ensure_checkpoint_dir, small_frame
 
 
@@ -37,15 +39,15 @@ def train_and_evaluate(pool: DataFrame, test: DataFrame, estimator=None,
     """Fit on the labelled rows, evaluate on the test set with any metric of
     Spark's multiclass evaluator. Returns ``(model, value)``.
 
-    With ``n_labeled`` known, the labelled rows are coalesced (no shuffle)
-    to partitions sized for the fit, so a small L does not pay for every
-    pool partition on each optimizer pass."""
+    With ``n_labeled`` known, the labelled rows are filtered at the pool's full
+    parallelism and then dealt into partitions sized by their bytes, so a small
+    L does not pay for every pool partition on each optimizer pass."""
     est = estimator if estimator is not None else default_estimator()
     if n_labeled == 0:
         raise ValueError("no labelled rows to train on")
     fit_input = labeled_rows(pool, state_col)
     if n_labeled is not None:
-        fit_input = fit_input.coalesce(fit_partitions(n_labeled, pool.rdd.getNumPartitions()))
+        fit_input = fit_input.select("label", "features").repartition(fit_partitions(fit_input, n_labeled))
     model = est.fit(fit_input)
     pred = model.transform(test)
     value = MulticlassClassificationEvaluator(labelCol="label", predictionCol="prediction",
@@ -53,6 +55,12 @@ def train_and_evaluate(pool: DataFrame, test: DataFrame, estimator=None,
     return model, value
 
 
+def fit_partitions(rows: DataFrame, n_rows: int, features: str = "features") -> int:
+    """Partitions of about FIT_PARTITION_BYTES for ``n_rows`` rows of a vector column."""
+    one = rows.select(F.size(vector_to_array(F.col(features)))).first()
+    return max(1, -(-n_rows * ((one[0] if one else 0) * 8 + 48) // FIT_PARTITION_BYTES))
+
+
 def query_budget(train_size: int, n_unlabeled: int, fraction: float = QUERY_BATCH_FRACTION) -> int:
     """``B = int(n_train · fraction)``, never more than the unlabelled rows."""
     return min(int(train_size * fraction), n_unlabeled)
@@ -64,7 +72,6 @@ class Params:
     alpha: float = UNCERTAINTY_CANDIDATE_FACTOR
     epsilon: float = UNCERTAINTY_QUANTILE_EPSILON
     batch_fraction: float = QUERY_BATCH_FRACTION
-    max_clusters: int = MAX_CLUSTERS
     metric: str = "accuracy"
     checkpoint_every: int = 1
     compact_every: int = 10
@@ -75,7 +82,10 @@ def smart_batch(spark, pool, model, budget, n_unlabeled, round_no, p: Params) ->
     """Ids of the uncertainty-filtered, cluster-diverse batch."""
     cands = get_uncertainty_candidates(pool, model, budget, n_unlabeled, p.alpha, p.epsilon,
                                        mode=p.candidates)
-    return diverse_batch(spark, cands, budget, p.seed, max_clusters=p.max_clusters)
+    try:
+        return diverse_batch(spark, cands, budget)
+    finally:
+        cands.unpersist()
 
 
 def random_batch_ids(spark, pool, model, budget, n_unlabeled, round_no, p: Params) -> DataFrame:
@@ -174,14 +184,6 @@ def active_round(spark: SparkSession, pool: DataFrame | PoolState, test: DataFra
     return RoundResult(new_pool, acc, budget, l2, u2, time.time() - t0, phases)
 
 
-CURVE_SCHEMA = T.StructType([
-    T.StructField("run_id", T.StringType()),
-    T.StructField("method", T.StringType()), T.StructField("round", T.IntegerType()),
-    T.StructField("labeled_percentage", T.DoubleType()), T.StructField("labeled_count", T.LongType()),
-    T.StructField("accuracy", T.DoubleType()), T.StructField("dataset_percentage", T.IntegerType()),
-])
-
-
 def active_loop(spark: SparkSession, pool: DataFrame, test: DataFrame, method: str = "smart",
                 rounds: int = 10, estimator=None, params: Params | None = None,
                 dataset_percentage: int = 100, state: str = "table",
@@ -193,11 +195,14 @@ def active_loop(spark: SparkSession, pool: DataFrame, test: DataFrame, method: s
     ``state='table'`` keeps round state in bucketed tables (:class:`PoolState`,
     no pool shuffle, O(B) written per round); ``'memory'`` joins, persists and
     checkpoints the whole pool each ``checkpoint_every`` rounds. ``run_id``
-    tags the curve rows so reruns appended to one result table stay apart."""
+    tags the curve rows so reruns appended to one result table stay apart. What
+    the loop caches or writes for itself is released; the returned final pool of
+    the table mode is a checkpoint in the shared folder."""
     p = params or Params()
     run_id = run_id or uuid.uuid4().hex[:12]
     step = strategy(method)
-    test = test.persist(StorageLevel.MEMORY_AND_DISK)
+    held = test.is_cached
+    test = test if held else test.persist(StorageLevel.MEMORY_AND_DISK)
     if state == "table":
         store: PoolState | None = PoolState(spark, pool)
         pool_df = store.frame()
@@ -225,4 +230,9 @@ def active_loop(spark: SparkSession, pool: DataFrame, test: DataFrame, method: s
         model, acc = train_and_evaluate(pool_df, test, estimator, p.metric, n_labeled=labeled)
         nominal = nominal + p.batch_fraction * 100
         rows.append((run_id, method, t, nominal, labeled, float(acc), dataset_percentage))
+    if not held:
+        test.unpersist()
+    if store is not None:  # the final pool outlives the state's tables
+        pool_df = pool_df.checkpoint()
+        store.close()
     return pool_df, small_frame(spark, rows, CURVE_SCHEMA)

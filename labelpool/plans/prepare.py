@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelpool.config import (
@@ -17,21 +17,16 @@ from labelpool.operators.pool import (
 from labelpool.operators.sampling import (
     assign_dense_ids, nested_subsets, split_flag, stratified_sample, train_test_split,
 )
+from labelpool.session import ensure_checkpoint_dir
 
 
-def pool_partitions(df: DataFrame, max_partitions: int = 1_000_000) -> int:
-    """Partitions (and state buckets) for a pool: its estimated size over
-    Spark's advisory partition size, never fewer than
-    ``spark.sql.shuffle.partitions``. An explicit repartition is not resized
-    by AQE, so a fixed count would give tens-of-GB partitions at 100 TB."""
-    spark = df.sparkSession
-    floor = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    target_bytes = _bytes(spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m"))
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - no estimate: keep the configured count
-        return floor
-    return max(floor, min(max_partitions, -(-size // max(target_bytes, 1))))
+def pool_partitions(spark: SparkSession, n_rows: int, n_features: int) -> int:
+    """Partitions for a pool, from its counted rows: their bytes over Spark's
+    advisory partition size, but enough to use the cores on small pools. An
+    explicit repartition is not resized by AQE, so the count must fit."""
+    target = _bytes(spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m"))
+    few = min(spark.sparkContext.defaultParallelism, -(-n_rows // 5_000))
+    return max(1, few, -(-n_rows * (8 * n_features + 48) // max(target, 1)))
 
 
 def _bytes(text: str) -> int:
@@ -61,12 +56,17 @@ def prepare_pool(raw: DataFrame, train_fraction: float = TRAIN_FRACTION,
     feats = feature_columns(df)
     # null / NaN features: 'error' fails the job (the published default), 'skip' drops the row
     df = assemble_features(df, feats, handle_invalid=null_policy)
-    n_parts = partitions or pool_partitions(df)
-    df = df.repartition(n_parts, id_col)
+    source = df
     if cache:
-        # the scaler fit, the train side and the test side all read it:
-        # compute the source (e.g. the lineitem aggregation) once
+        # computed once: the row count, then the repartitioned pool read it
+        source = df.persist(StorageLevel.MEMORY_AND_DISK)
+    n_parts = partitions or pool_partitions(spark, source.count(), len(feats))
+    df = source.repartition(n_parts, id_col)
+    if cache:
+        # the scaler fit, the train side and the test side all read it
         df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        df.count()
+        source.unpersist()
     train, test = train_test_split(df, train_fraction, seed, id_col)
     train, test = standardize(train, test)
     train = init_state(train, init_fraction, seed, id_col)
@@ -78,18 +78,28 @@ def prepare_subsets(raw: DataFrame, n_target: int | None = None, id_col: str = "
                     percentages: Sequence[int] = DATA_PERCENTAGES) -> DataFrame:
     """Data preparation: stratified sample of ``n_target`` rows → seeded
     shuffle with dense ids ``id_sample`` = 0..m-1 → nested membership rows
-    ``(percentage_set, id_sample, …)``. Write each subset with
-    ``filter(percentage_set == p)`` and :func:`labelpool.sources.write_table`."""
+    ``(percentage_set, id_sample, …)``; :func:`write_subsets` writes them all."""
+    raw = raw.persist(StorageLevel.MEMORY_AND_DISK)
     n_rows = raw.count()
     if n_target is None:
         n_target = n_rows
-    sample = stratified_sample(raw, n_target, label_col, id_col, seed, n_rows=n_rows) \
-        if n_target < n_rows else raw
     if n_target > n_rows:
+        raw.unpersist()
         raise ValueError(f"requested sample ({n_target:,}) is larger than the data ({n_rows:,})")
-    m = sample.count()
-    with_ids = assign_dense_ids(sample, id_col, "id_sample", seed, n_rows=m)
-    return nested_subsets(with_ids, m, "id_sample", percentages)
+    sample = stratified_sample(raw, n_target, label_col, id_col, seed, n_rows=n_rows) if n_target < n_rows else raw
+    # the sample is written once to the shared folder: its source is read in one scan
+    ensure_checkpoint_dir(raw.sparkSession)
+    kept = sample.checkpoint()
+    raw.unpersist()
+    m = kept.count()
+    return nested_subsets(assign_dense_ids(kept, id_col, "id_sample", seed, n_rows=m), m, "id_sample", percentages)
+
+
+def write_subsets(subsets: DataFrame, path: str, fmt: str = "csv") -> None:
+    """All subsets of one preparation in one write, a folder for each:
+    ``percentage_set=10`` and so on."""
+    w = subsets.write.mode("overwrite").partitionBy("percentage_set")
+    w.option("header", True).csv(path) if fmt == "csv" else w.parquet(path)
 
 
 def split_label(id_col: str = "id_sample", train_fraction: float = TRAIN_FRACTION,

@@ -20,10 +20,19 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labelpool.config import MAX_BUCKETS
 from labelpool.operators.pool import LABELED, UNLABELED, duplicate_ids
 from labelpool.session import ensure_checkpoint_dir
 
 
+def state_buckets(pool: DataFrame, rows_per_bucket: int = 1_000_000) -> int:
+    """Buckets by the pool's row count, at least one per 10,000 rows while the
+    cluster has free cores, and never more than MAX_BUCKETS."""
+    n = pool.count()
+    few = min(pool.sparkSession.sparkContext.defaultParallelism, -(-n // 10_000))
+    return max(1, min(MAX_BUCKETS, max(few, -(-n // rows_per_bucket))))
+
+
 class PoolState:
     def __init__(self, spark: SparkSession, pool: DataFrame, n_buckets: int | None = None,
                  root: str | None = None, id_col: str = "id_sample", state_col: str = "state",
@@ -39,7 +48,7 @@ class PoolState:
         self.labels_table = f"labelpool_{tag}_labels"
         self.labels_path = "labels"
         self.version = 0
-        self.n_buckets = n_buckets or pool.rdd.getNumPartitions()
+        self.n_buckets = n_buckets or state_buckets(pool)
         body = pool.drop(state_col)
         self._write(body, self.pool_table, "pool", "overwrite", sort=True)
         first = pool.filter(F.col(state_col) == F.lit(LABELED)).select(
@@ -57,7 +66,9 @@ class PoolState:
             self._pool.count()
 
     def _write(self, df: DataFrame, table: str, sub: str, mode: str, sort: bool = False) -> None:
-        w = df.write.mode(mode).bucketBy(self.n_buckets, self.id_col)
+        # one task a bucket, so a write makes at most one file a bucket, or several of a bounded size
+        w = df.repartition(self.n_buckets, self.id_col).write.mode(mode).bucketBy(self.n_buckets, self.id_col) \
+            .option("maxRecordsPerFile", 5_000_000)
         if sort:
             w = w.sortBy(self.id_col)
         w.option("path", f"{self.root}/{sub}").saveAsTable(table)
@@ -103,15 +114,23 @@ class PoolState:
                .agg(F.min("round").alias("round"), F.max(answered).alias("_lp_last"))
                .select(self.id_col, "round", F.col("_lp_last.answer").alias("answer")))
         self.version += 1
-        old = self.labels_table
+        old, old_path = self.labels_table, self.labels_path
         self.labels_table = f"labelpool_{self.tag}_labels_v{self.version}"
         self.labels_path = f"labels_v{self.version}"
         self._write(one, self.labels_table, self.labels_path, "overwrite")
         self.spark.sql(f"DROP TABLE IF EXISTS {old}")
+        self._delete(old_path)
+
+    def _delete(self, sub: str) -> None:
+        """Delete a superseded part of this state's own folder, or all of it."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{sub}" if sub else self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def close(self) -> None:
-        """Release the cache and the catalog names (the files stay)."""
+        """Release the cache, the catalog names and this state's own folder.
+        Frames of the state can't be read any more."""
         if hasattr(self, "_pool"):
             self._pool.unpersist()
-        for t in (self.pool_table, self.labels_table):  # files stay in the shared folder
+        for t in (self.pool_table, self.labels_table):
             self.spark.sql(f"DROP TABLE IF EXISTS {t}")
+        self._delete("")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
+_FEATURE = re.compile(r"feature_\d+")
+
+
 def feature_names(n: int, prefix: str = "feature_") -> list[str]:
     """``feature_1 .. feature_n`` — names generated from the column count."""
     return [f"{prefix}{i}" for i in range(1, n + 1)]
@@ -22,18 +27,21 @@ def load_pool(spark: SparkSession, path: str, n_features: int | None = None,
               fmt: str = "csv", sep: str = ",") -> DataFrame:
     """Load a prepared dataset ``id_sample, label, feature_1..n``.
 
-    CSV is read with a declared schema (values that do not parse become
-    null rather than failing the scan; :func:`labelpool.operators.pool.cast_pool`
-    applies the null policy). When ``n_features`` is not given it is taken
-    from the header line only.
+    CSV columns are matched by the header's names, in any order; other columns
+    are carried through as strings. Values that do not parse become null rather
+    than failing the scan (:func:`labelpool.operators.pool.cast_pool` applies the
+    null policy). ``n_features`` limits the features to the first so many.
     """
     if fmt == "parquet":
         return spark.read.parquet(path)
-    if n_features is None:
-        header = spark.read.option("header", True).option("sep", sep).csv(path).columns
-        n_features = sum(1 for c in header if c.startswith("feature_"))
-    return (spark.read.schema(pool_schema(n_features)).option("header", True)
-            .option("sep", sep).option("mode", "PERMISSIVE").csv(path))
+    header = spark.read.option("header", True).option("sep", sep).csv(path).columns
+    known = {f.name: f.dataType for f in pool_schema(0).fields}
+    typed = T.StructType([T.StructField(c, known.get(c, T.DoubleType() if _FEATURE.fullmatch(c) else T.StringType())) for c in header])
+    df = spark.read.schema(typed).option("header", True).option("enforceSchema", False).option("sep", sep).option("mode", "PERMISSIVE").csv(path)
+    if n_features is not None:
+        wanted = set(feature_names(n_features))
+        df = df.select(*(c for c in header if c in wanted or not _FEATURE.fullmatch(c)))
+    return df
 
 
 def read_headerless_csv(spark: SparkSession, path: str, n_features: int,
@@ -70,7 +78,9 @@ RUN_SCHEMA = T.StructType([
     T.StructField("cores", T.IntegerType()), T.StructField("time", T.DoubleType()),
 ])
 CURVE_SCHEMA = T.StructType([
-    T.StructField("method", T.StringType()), T.StructField("labeled_percentage", T.DoubleType()),
+    T.StructField("run_id", T.StringType()),
+    T.StructField("method", T.StringType()), T.StructField("round", T.IntegerType()),
+    T.StructField("labeled_percentage", T.DoubleType()), T.StructField("labeled_count", T.LongType()),
     T.StructField("accuracy", T.DoubleType()), T.StructField("dataset_percentage", T.IntegerType()),
 ])
 
@@ -80,4 +90,4 @@ def read_results(spark: SparkSession, path: str, schema: T.StructType = RUN_SCHE
     """Read a result table (timing runs or a learning curve)."""
     if fmt == "parquet":
         return spark.read.schema(schema).parquet(path)
-    return spark.read.schema(schema).option("header", True).csv(path)
+    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)

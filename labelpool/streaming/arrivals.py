@@ -16,7 +16,6 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from labelpool.operators.labels import apply_labels
-from labelpool.session import ensure_checkpoint_dir
 
 
 def answers_stream(spark: SparkSession, source_dir: str, schema: T.StructType,
@@ -31,21 +30,20 @@ def answers_stream(spark: SparkSession, source_dir: str, schema: T.StructType,
 
 
 def start_answer_sink(answers: DataFrame, table_path: str | None, id_col: str,
-                      label_col: str | None = None, checkpoint_location: str | None = None,
+                      label_col: str | None = None, *, checkpoint_location: str,
                       available_now: bool = True, store=None) -> StreamingQuery:
     """Start the stream that appends each micro-batch of answers to the
     table at ``table_path``, or straight into a
     :class:`labelpool.plans.store.PoolState` (``store``), whose state groups
-    labels by id, so a replayed micro-batch changes nothing."""
-    spark = answers.sparkSession
-    if checkpoint_location is None:
-        checkpoint_location = ensure_checkpoint_dir(spark).rstrip("/") + "/answers-stream"
+    labels by id, so a replayed micro-batch changes nothing. Every stream needs a
+    ``checkpoint_location`` of its own that outlives the session."""
     cols = [F.col(id_col).cast("bigint").alias("answer_id")]
     if label_col:
         cols.append(F.col(label_col).cast("int").alias("answer_label"))
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select(*cols).dropDuplicates(["answer_id"])
+        rows = batch.select(*cols)   # of several answers in a batch, the largest label holds
+        rows = rows.groupBy("answer_id").agg(F.max("answer_label").alias("answer_label")) if label_col else rows.distinct()
         if store is not None:
             store.add(rows, round_no=int(batch_id) + 1, id_col="answer_id",
                       answer_col="answer_label" if label_col else None)
@@ -63,10 +61,6 @@ def pool_with_answers(spark: SparkSession, pool: DataFrame, table_path: str,
     for a relabelled id)."""
     answers = spark.read.parquet(table_path)
     if with_labels:
-        from pyspark.sql import Window
-        latest = Window.partitionBy("answer_id").orderBy(F.col("batch_id").desc())
-        answers = (answers.withColumn("_lp_rn", F.row_number().over(latest))
-                   .filter(F.col("_lp_rn") == 1).drop("_lp_rn"))
         return apply_labels(pool, answers, id_col=id_col, arrival_id="answer_id",
-                            arrival_label="answer_label")
+                            arrival_label="answer_label", arrival_order="batch_id")
     return apply_labels(pool, answers, id_col=id_col, arrival_id="answer_id")

@@ -111,3 +111,13 @@ def test_many_groups_general_path(spark):
         assert sorted(r.id for r in got if r.g == g) == sorted(w[0] for w in want)
     b = kth_smallest(df, "u", "id", "q", by=["g"]).collect()
     assert len(b) == 90
+
+
+def test_infinite_keys_do_not_widen_the_range(spark):
+    import math
+    rows = [(float(i % 977), i) for i in range(3000)] + [(math.inf, 5000), (-math.inf, 5001), (math.inf, 5002)]
+    df = spark.createDataFrame(rows, "k double, t long")
+    order = sorted(rows)
+    for k in (1, 2, 1500, 3002, 3003):
+        got = sorted(map(tuple, select_smallest(df, "k", "t", k, final_rows=4).collect()))
+        assert got == order[:k], k

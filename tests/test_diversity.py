@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from labelpool.operators import diversity as D
 
+CENTERS = "cluster_id int, center array<double>"
+
 
 def test_nearest_to_centroid_brute_force_and_ties(spark):
     rnd = random.Random(5)
     pts = [(i, i % 3, [float(rnd.randint(0, 4)), float(rnd.randint(0, 4))]) for i in range(300)]
     df = spark.createDataFrame(pts, "id_sample long, cluster_id int, features array<double>")
     cen = {0: [1.0, 1.0], 1: [2.0, 3.0], 2: [0.5, 4.0]}
-    centers = spark.createDataFrame(list(cen.items()), D.CENTER_SCHEMA)
+    centers = spark.createDataFrame(list(cen.items()), CENTERS)
     got = {r.cluster_id: (r.id_sample, r.distance) for r in D.nearest_to_centroid(df, centers).collect()}
     for c, ctr in cen.items():
         cand = [(sum((a - b) ** 2 for a, b in zip(v, ctr)), i) for i, cc, v in pts if cc == c]
@@ -23,18 +25,12 @@ def test_nearest_to_centroid_brute_force_and_ties(spark):
 
 def test_no_python_in_nearest_plan(spark):
     df = spark.createDataFrame([(1, 0, [1.0, 2.0])], "id_sample long, cluster_id int, features array<double>")
-    centers = spark.createDataFrame([(0, [0.0, 0.0])], D.CENTER_SCHEMA)
+    centers = spark.createDataFrame([(0, [0.0, 0.0])], CENTERS)
     plan = D.nearest_to_centroid(df, centers)._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
     assert "BroadcastHashJoin" in plan or "BroadcastExchange" in plan
 
 
-def test_proportional_quotas_sum(spark):
-    sizes = spark.createDataFrame([(0, 10), (1, 33), (2, 57), (3, 1)], "cluster_id int, n long")
-    q = {r.cluster_id: r.quota for r in D.proportional_quotas(sizes, 20).collect()}
-    assert sum(q.values()) == 20 and all(q[c] <= n for c, n in [(0, 10), (1, 33), (2, 57), (3, 1)])
-
-
 def _cands(spark, n, distinct=None, seed=1):
     rnd = random.Random(seed)
     rows = []
@@ -52,11 +48,30 @@ def test_fewer_distinct_vectors_than_budget(spark):
     assert len(picked) == 3
 
 
-def test_budget_above_cluster_cap_is_exact(spark):
+def test_one_row_per_cluster_at_any_budget(spark):
     cands = _cands(spark, 400)
-    picked = D.diverse_batch(spark, cands, 40, max_clusters=8).collect()
-    ids = [r.id_sample for r in picked]
-    assert len(ids) == 40 and len(set(ids)) == 40
+    clustered = D.cluster_candidates(cands, 40)
+    assert clustered.select("cluster_id").distinct().count() == 40 and clustered.count() == 400
+    by_cell = {r.id_sample: r.cluster_id for r in clustered.collect()}
+    ids = [r.id_sample for r in D.diverse_batch(spark, cands, 40).collect()]
+    assert len(ids) == 40 and len({by_cell[i] for i in ids}) == 40
+
+
+def test_clusters_do_not_depend_on_layout(spark):
+    cands = _cands(spark, 300)
+    groups = []
+    for n in (1, 7):
+        cells = {}
+        for r in D.cluster_candidates(cands.repartition(n), 12).collect():
+            cells.setdefault(r.cluster_id, set()).add(r.id_sample)
+        groups.append(sorted(map(sorted, cells.values())))
+    assert groups[0] == groups[1]
+
+
+def test_budget_of_all_rows_takes_distinct_vectors(spark):
+    cands = _cands(spark, 12, distinct=3)
+    n = cands.select("features").distinct().count()
+    assert D.diverse_batch(spark, cands, 11).count() == D.diverse_batch(spark, cands, 12).count() == n
 
 
 def test_budget_one_and_all(spark):
@@ -70,19 +85,11 @@ def test_wide_centers_join_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(D, "BROADCAST_MAX_BYTES", 8)
     df = spark.createDataFrame([(1, 0, [1.0, 2.0]), (2, 0, [0.0, 0.0])],
                                "id_sample long, cluster_id int, features array<double>")
-    centers = spark.createDataFrame([(0, [0.0, 0.1])], D.CENTER_SCHEMA)
+    centers = spark.createDataFrame([(0, [0.0, 0.1])], CENTERS)
     out = D.nearest_to_centroid(df, centers)
     assert [(r.cluster_id, r.id_sample) for r in out.collect()] == [(0, 2)]
 
 
-def test_fit_sample_still_assigns_every_candidate(spark):
-    cands = _cands(spark, 600)
-    model, clustered = D.cluster_candidates(cands, 5, n_rows=600, fit_sample_rows=100)
-    assert clustered.count() == 600 and clustered.filter("cluster_id is null").count() == 0
-    picked = D.diverse_batch(spark, cands, 5, fit_sample_rows=100).collect()
-    assert 1 <= len(picked) <= 5
-
-
 def test_vector_pool_batch(spark):
     from conftest import SF_SMALL
     from labelpool.plans import catalog

@@ -48,3 +48,21 @@ def test_experiment_summary_over_appended_runs(spark, tmpdir_path):
     assert out.returncode == 0, out.stderr[-2000:]
     assert "== speed_up" in out.stdout and "3.2" in out.stdout       # 80 / 25
     assert "10C" not in out.stdout and "4C / 100%" in out.stdout
+
+
+def test_pool_csv_columns_by_name(spark, tmpdir_path):
+    import gzip
+    os.makedirs(f"{tmpdir_path}/p")
+    with gzip.open(f"{tmpdir_path}/p/a.csv.gz", "wt") as fh:
+        fh.write("label,id_sample,feature_1,note,feature_2\n1,77,0.5,x,2.5\n")
+    r = files.load_pool(spark, f"{tmpdir_path}/p").first()
+    assert (r.id_sample, r.label, r.feature_1, r.feature_2, r.note) == (77, 1, 0.5, 2.5, "x")
+    assert files.load_pool(spark, f"{tmpdir_path}/p", n_features=1).columns == ["label", "id_sample", "feature_1", "note"]
+
+
+def test_curve_round_trip(spark, tmpdir_path):
+    rows = [("r1", "smart", 0, 5.0, 10, 0.5, 100), ("r1", "smart", 1, 6.0, 12, 0.75, 100)]
+    for r in rows:
+        files.append_results(spark.createDataFrame([r], files.CURVE_SCHEMA), f"{tmpdir_path}/curve")
+    back = files.read_results(spark, f"{tmpdir_path}/curve", files.CURVE_SCHEMA)
+    assert sorted(map(tuple, back.collect())) == rows

@@ -105,13 +105,33 @@ def test_single_class_in_labelled(spark, prepared):
     assert res.budget > 0 and 0.0 <= res.accuracy <= 1.0
 
 
-def test_budget_above_cluster_cap_in_round(spark, prepared):
+def test_state_leaves_nothing_behind(spark, prepared):
+    import os
     train, test = prepared
-    store = PoolState(spark, train)
-    res = loop.active_round(spark, store, test, "smart", params=loop.Params(max_clusters=3))
-    l0 = P.labeled_rows(train).count()
-    assert res.budget > 3 and res.labeled == l0 + res.budget   # exactly B beyond the cap
+    cached = spark.sparkContext._jsc.getPersistentRDDs().size()
+    tables = len(spark.catalog.listTables())
+    store = PoolState(spark, train, n_buckets=4)
+    root = store.root.replace("file:", "")
+    for t in (1, 2):
+        loop.active_round(spark, store, test, "random", round_no=t)
+        files = [f for _, _, names in os.walk(f"{root}/labels") for f in names if f.startswith("part-")]
+        assert len(files) <= 4 * (t + 1)                # at most one file a bucket and append
+    store.compact()
+    assert not os.path.exists(f"{root}/labels")         # the superseded version is gone
     store.close()
+    assert not os.path.exists(root)
+    final, curve = loop.active_loop(spark, train, test, "random", rounds=2)
+    assert curve.count() == 3 and final.count() == train.count()
+    assert len(spark.catalog.listTables()) == tables
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() <= cached + 1
+
+
+def test_fit_keeps_the_scan_parallel(spark, prepared):
+    train, _ = prepared
+    rows = P.labeled_rows(train)
+    plan = rows.select("label", "features").repartition(loop.fit_partitions(rows, 100))._jdf.queryExecution().executedPlan().toString()
+    assert "Coalesce" not in plan and "Exchange" in plan
+    assert loop.fit_partitions(rows, 100) == 1 < loop.fit_partitions(rows, 10_000_000)
 
 
 def test_plan_stays_flat_over_rounds(spark, prepared):

@@ -34,15 +34,25 @@ def test_one_scan_per_source(spark):
     assert p.count("FileScan parquet") == 2          # lineitem once, orders once
 
 
-def test_pool_partitions_grow_with_size(spark):
+def test_pool_partitions_fit_the_rows(spark):
+    from labelpool.config import MAX_BUCKETS
+    from labelpool.plans import prepare, store
+    cores = spark.sparkContext.defaultParallelism
+    assert prepare.pool_partitions(spark, 1, 4) == 1
+    assert prepare.pool_partitions(spark, 147_000, 4) <= cores           # 12 MB: the cores, not the estimate of a join
+    assert prepare.pool_partitions(spark, 10 ** 9, 28) == -(-10 ** 9 * 272 // (64 << 20))
+    one = spark.createDataFrame([(1, 0)], "id_sample long, label int")
+    assert store.state_buckets(one) == 1
+    assert store.state_buckets(spark.range(100_000), rows_per_bucket=1) == MAX_BUCKETS
+
+
+def test_subsets_read_their_source_once(spark):
+    p = plan(catalog.q_prepare_subsets(spark, SF_SMALL))
+    assert "FileScan" not in p            # the sample was kept in the shared folder
+
+
+def test_all_subsets_in_one_write(spark, tmpdir_path):
+    import os
     from labelpool.plans import prepare
-    df = pools.order_pool(spark, SF_SMALL)
-    base = prepare.pool_partitions(df)
-    assert base >= int(spark.conf.get("spark.sql.shuffle.partitions"))
-    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "1k")
-    try:
-        assert prepare.pool_partitions(df) > base      # sized by the estimate, not fixed
-    finally:
-        spark.conf.set(key, before)
+    prepare.write_subsets(catalog.q_prepare_subsets(spark, SF_SMALL), tmpdir_path + "/sets")
+    assert sorted(d for d in os.listdir(tmpdir_path + "/sets") if "=" in d) == sorted(f"percentage_set={p}" for p in (10, 20, 40, 80, 100))

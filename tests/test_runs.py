@@ -68,3 +68,12 @@ def test_scale_up_published(spark):
     out = {r.configuration: r.scale_up for r in R.scale_up(R.mean_runs(_runs(spark, SCALE))).collect()}
     assert [round(out[c], 3) for c in ("1C / 10%", "2C / 20%", "4C / 40%", "8C / 80%", "10C / 100%")] == \
         [1.0, 0.807, 0.653, 0.549, 0.435]
+
+
+def test_pivot_has_every_method(spark):
+    from labelpool.operators import runs as R_
+    rows = [(5.0, "a", 0.5), (5.0, "b", 0.25), (6.0, "c", 0.75)]
+    df = spark.createDataFrame(rows, "labeled_percentage double, method string, accuracy double")
+    got = R_.learning_curve_pivot(df, ["b"])
+    assert got.columns == ["labeled_percentage", "b", "a", "c"]
+    assert sorted(map(tuple, got.collect())) == [(5.0, 0.25, 0.5, None), (6.0, None, None, 0.75)]

@@ -78,3 +78,22 @@ def test_strata_and_batches_layout_independent(spark, base, parts):
     ref_b = {r[0] for r in S.random_batch(st, 40, round_no=2).collect()}
     got_b = {r[0] for r in S.random_batch(st.repartition(parts), 40, round_no=2).collect()}
     assert got_b == ref_b
+
+
+def test_strata_by_shuffled_join(spark, monkeypatch):
+    from labelpool.operators import sampling as S_
+    df = spark.range(500).selectExpr("id AS id_sample", "cast(id % 7 AS int) AS label")
+    want = sorted(map(tuple, S_.stratified_sample(df, 100).collect()))
+    monkeypatch.setattr(S_, "BROADCAST_MAX_ROWS", 1)
+    assert sorted(map(tuple, S_.stratified_sample(df, 100).collect())) == want
+
+
+def test_answers_do_not_depend_on_layout(spark):
+    from labelpool.operators.labels import apply_labels
+    pool = spark.range(50).selectExpr("id AS id_sample", "0 AS label", "'U' AS state")
+    ans = spark.createDataFrame([(i % 20, (i * 7) % 3 % 2, i) for i in range(200)], "oid long, y int, at int")
+    got = {n: sorted(map(tuple, apply_labels(pool, ans.repartition(n), arrival_id="oid", arrival_label="y", arrival_order="at").collect()))
+           for n in (1, 4, 17)}
+    assert got[1] == got[4] == got[17]
+    last = {i % 20: (i * 7) % 3 % 2 for i in range(200)}
+    assert all(r[1] == last[r[0]] for r in got[1] if r[2] == "L")
