@@ -44,8 +44,9 @@ SKETCH_BLOCK = 1 << 14
 FREQUENT_AT_LEAST = 32    # a shingle under this count is never frequent
 LARGE = 32       # signatures of more classes are compared by pivots and blocks, not by pairs
 PIVOTS = 4       # pivots that a class is verified against
-BLOCK = 128      # sets of one side that a task holds
-BROADCAST_ROWS = 1_000_000  # (id, node) pairs of 16 bytes that are broadcast at most
+BLOCK = 256      # sets of one side that a task holds, about
+BLOCK_SHINGLES = 1 << 19   # and their shingles, where blocks are compared whole
+BROADCAST_ROWS = 250_000  # (id, node) rows of 24 bytes that are broadcast at most
 
 # fixed values: the white space that separates words
 _GAP = np.zeros(256, dtype=bool)
@@ -195,30 +196,24 @@ def _set_rows(docs: DataFrame, width: int, signed=None) -> DataFrame:
 def _placed_sets(docs: DataFrame, rows: DataFrame, places: DataFrame, width: int) -> DataFrame:
     """Each of ``places`` (node and what goes with it) with the node's whole set,
     read again from the text of one document of the class."""
-    extra = [c for c in places.columns if c != "node"]
-    one = rows.join(places.select("node").distinct(), "node", "left_semi").groupBy("node").agg(
-        F.min(F.struct("doc_id", "text_key")).alias("of"))
-    wanted = checkpointed(places.groupBy("node").agg(F.collect_set(F.struct(*extra)).alias("at")).join(one, "node").select(
-        F.col("node").alias("_node"), "at", F.col("of.doc_id").alias("_id"), F.col("of.text_key").alias("_key")))
+    wanted = checkpointed(rows.join(places.select("node").distinct(), "node", "left_semi").groupBy("node").agg(
+        F.min(F.struct("doc_id", "text_key")).alias("of")).select(F.col("node").alias("wanted"), F.col("of.doc_id").alias("_id"), F.col("of.text_key").alias("_key")))
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     match = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_key"))
-    texts = docs.join(wanted, match).select(docs["doc_id"], docs["text"], F.to_json(F.struct("at")).alias("places"), F.col("_node").alias("wanted"))
-    shape = f"struct<at:array<struct<{','.join(f'{c}:{dict(places.dtypes)[c]}' for c in extra)}>>>"
-    return _whole_sets(texts, width).select("node", "grams", F.explode(F.from_json("places", shape)["at"]).alias("p")).select("node", "grams", "p.*")
+    return places.join(_whole_sets(docs.join(wanted, match).select("text", "wanted"), width), "node")
 
 
 def _whole_sets(texts: DataFrame, width: int) -> DataFrame:
-    """node, grams and places of each text."""
+    """node and whole set of each text."""
     def rows(batches):
         for b in batches:
             for lo, hi, data, offsets in text_slices(b.column("text")):
                 grams, at = shingle_sets(data, offsets, width)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("wanted").slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), _as_signed(grams)),
-                     b.column("places").slice(lo, hi - lo)], names=["node", "grams", "places"])
+                    [b.column("wanted").slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), _as_signed(grams))], names=["node", "grams"])
 
-    return texts.select("text", "wanted", "places").mapInArrow(rows, "node long, grams array<long>, places string")
+    return texts.mapInArrow(rows, "node long, grams array<long>")
 
 
 def _sets_in(table: pa.Table) -> dict[int, np.ndarray]:
@@ -231,7 +226,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, percent: int,
     Each pair names a ``task``; a task holds some BLOCK nodes a side, whose sets
     are sent to it once, however many of its pairs they are in.
     """
-    places = pairs.select("task", F.explode(F.array("a", "b")).alias("node")).distinct()
+    places = checkpointed(pairs.select("task", F.explode(F.array("a", "b")).alias("node")).distinct())
 
     def check(given: pa.Table, held: pa.Table) -> pa.Table:
         sets_of = _sets_in(held)
@@ -257,12 +252,14 @@ def _tied_blocks(members: DataFrame, docs: DataFrame, rows: DataFrame, percent:
     pivots = members.groupBy("sig").agg(F.min("node").alias("pivot"))
     chained = connected_components(members.join(pivots, "sig").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()) \
         .withColumnRenamed("component", "chain")
-    sizes = chained.groupBy("chain").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sized = chained.join(members.select("node", "component", "n").distinct(), "node")
+    sizes = sized.groupBy("chain").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), "blocks").cast("int")
-    places = chained.join(sizes, "chain").join(members.select("node", "component").distinct(), "node").withColumn("own", own) \
+    places = sized.join(sizes, "chain").withColumn("own", own) \
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
         .select("node", "component", F.xxhash64("chain", F.least("own", "other"), F.greatest("own", "other")).alias("task"),
                 (F.col("own") > F.col("other")).alias("second"), (F.col("own") == F.col("other")).alias("same"))
+    places = checkpointed(places)
 
     def tie(held: pa.Table) -> pa.Table:
         sets_of = _sets_in(held)
