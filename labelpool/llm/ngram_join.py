@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from labelpool.llm.batches import bounded_batches, byte_codes, checkpointed, mix64, segment_hashes, text_slices, words_of
+from labelpool.llm.batches import bounded_batches, byte_codes, checkpointed, mix64, release, segment_hashes, text_slices, words_of
 from labelpool.llm.components import connected_components
 
 SKETCH_BITS = 22          # counters of the sketch; a bound, whatever the input
@@ -46,7 +46,7 @@ LARGE = 32       # signatures of more classes are compared by pivots and blocks,
 PIVOTS = 4       # pivots that a class is verified against
 BLOCK = 256      # sets of one side that a task holds, about
 BLOCK_SHINGLES = 1 << 19   # and their shingles, where blocks are compared whole
-BROADCAST_ROWS = 250_000  # (id, node) rows of 24 bytes that are broadcast at most
+BROADCAST_ROWS = 250_000  # rows of a few numbers that are broadcast at most
 
 # fixed values: the white space that separates words
 _GAP = np.zeros(256, dtype=bool)
@@ -200,8 +200,10 @@ def _placed_sets(docs: DataFrame, rows: DataFrame, places: DataFrame, width: int
         F.min(F.struct("doc_id", "text_key")).alias("of")).select(F.col("node").alias("wanted"), F.col("of.doc_id").alias("_id"), F.col("of.text_key").alias("_key")))
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
+    if places.count() <= BROADCAST_ROWS:   # then the sets move once, to their tasks
+        places = F.broadcast(places)
     match = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_key"))
-    return places.join(_whole_sets(docs.join(wanted, match).select("text", "wanted"), width), "node")
+    return _whole_sets(docs.join(wanted, match).select("text", "wanted"), width).join(places, "node")
 
 
 def _whole_sets(texts: DataFrame, width: int) -> DataFrame:
@@ -322,6 +324,8 @@ def similar_classes(docs: DataFrame, percent: int = 85, width: int = 4) -> tuple
     pairs = signed.join(several, "sig").distinct()
     facts = rows.filter(F.size("grams") > 0).groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "rest", "pairs")))
     members = checkpointed(pairs.join(facts, "node"))
+    del signed, several, pairs, facts
+    release(docs.sparkSession)
     sizes = members.groupBy("sig").agg(F.count("*").alias("size"))
     large = checkpointed(members.join(sizes.filter(F.col("size") > LARGE).select("sig"), "sig"))
     small = members.join(large.select("sig").distinct(), "sig", "left_anti")
@@ -329,7 +333,9 @@ def similar_classes(docs: DataFrame, percent: int = 85, width: int = 4) -> tuple
     # large signatures: pivots first, then what they left apart, in blocks
     star = checkpointed(_pivot_pairs(_still_open(large, None), percent))
     links = checkpointed(_verified(star, docs, rows, percent, width))
+    release(docs.sparkSession)
     links = links.union(checkpointed(_tied_blocks(_still_open(large, connected_components(links)), docs, rows, percent, width)))
+    release(docs.sparkSession)
     # small signatures: the pairs that they still leave apart
     comp = connected_components(links)
     rest = checkpointed(_blocked(checkpointed(_cross_pairs(_still_open(small, comp), percent))))
