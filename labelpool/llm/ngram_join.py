@@ -39,8 +39,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from labelpool.llm.batches import bounded_batches, byte_codes, checkpointed, mix64, release, segment_hashes, text_slices, words_of
 from labelpool.llm.components import connected_components
 
-SKETCH_BITS = 22          # counters of the sketch; a bound, whatever the input
-SKETCH_BLOCK = 1 << 14
+SKETCH_BITS = 24          # counters of the sketch; a bound, whatever the input
+SKETCH_BLOCK = 1 << 16
 FREQUENT_AT_LEAST = 32    # a shingle under this count is never frequent
 LARGE = 32       # signatures of more classes are compared by pivots and blocks, not by pairs
 PIVOTS = 4       # pivots that a class is verified against
@@ -99,7 +99,7 @@ def frequent_slots(docs: DataFrame, width: int) -> np.ndarray:
     """One flag for each counter of the sketch over all shingles of ``docs``.
 
     Each task sends its counters as blocks; blocks are summed in two steps, so
-    that no sum gathers more than a few hundred. The flags (2**22 bits) are all
+    that no sum gathers more than a few hundred. The flags (2**24 bits) are all
     that reaches the driver.
     """
     slots = 1 << SKETCH_BITS
