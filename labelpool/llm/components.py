@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from labelpool.llm.batches import checkpointed
+from labelpool.llm.batches import checkpointed, release
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -32,6 +32,8 @@ def connected_components(links: DataFrame) -> DataFrame:
         new = checkpointed(tied)
         now = new.select(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         edges = new
+        del around, least, large, small, tied, new
+        release(links.sparkSession)   # the round's shuffles and the last round's checkpoint
         if now == before:
             break
         before = now
