@@ -5,8 +5,8 @@ returns a DataFrame that, written and reread, is the next one's ``docs``. All bu
 the last return the columns of ``docs``.
 
 * quality: documents that the classifier rejects (score under 0.3) go.
-* near_duplicates: one document of each group of similar documents stays, the one
-  with the smallest id.
+* near_duplicates: one document of each group of similar documents (Jaccard similarity
+  of their 5-word shingles 0.8 or more) stays, the one with the smallest id.
 * decontaminate: documents that hold a 10-word window of a benchmark item go.
 * secrets: spans of secrets are replaced in the text; ``n_chars`` follows.
 * packing: the remaining texts as pieces of sequences of 1024 tokens.
@@ -20,6 +20,7 @@ from labelpool.llm import decontaminate, ngram_join, packing, quality, queries,
 from labelpool.llm.batches import checkpointed
 
 KEEP_SCORE = 0.3
+SIMILAR_PERCENT, SIMILAR_WORDS = 80, 5   # the stage's own; op8's are another contract
 ORACLE_SQL = None   # two stages run trained models
 
 
@@ -33,7 +34,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.keep_one(docs)
+    return ngram_join.keep_one(docs, percent=SIMILAR_PERCENT, width=SIMILAR_WORDS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

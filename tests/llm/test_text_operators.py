@@ -193,6 +193,26 @@ def test_links_of_no_rows(spark):
         ngram_join.linked_documents(docs, percent=50)
 
 
+def test_pipeline_stage_drops_pairs_from_080(spark):
+    """Pairs planted between 0.80 and 0.85: a changed word, and new text at the end."""
+    import corpus_pipeline
+
+    rnd = random.Random(80)
+    rows, planted = [], 0
+    for i in range(24):
+        n = rnd.randint(49, 52) if i % 2 else rnd.randint(60, 200)
+        base = [f"d{i}w{j}" for j in range(n)]
+        copy = base[:n // 2] + ["changed"] + base[n // 2 + 1:] if i % 2 else base + [f"d{i}n{j}" for j in range(n * rnd.randint(19, 24) // 100)]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
+        x, y = ({tuple(w[j:j + 5]) for j in range(len(w) - 4)} for w in (base, copy))
+        planted += 0.8 <= len(x & y) / len(x | y) < 0.85
+    assert planted >= 20
+    rows += [(100 + i, " ".join(f"o{i}w{j}" for j in range(40))) for i in range(10)]
+    want = {r[2] for r in linked(rows, 80, 5)}
+    kept = corpus_pipeline.drop_near_duplicates(spark, frame(spark, rows), SF_SMALL)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(want) and len(want) <= len(rows) - planted
+
+
 # ------------------------------------------------------------ substring dedup
 def test_repeated_passages_are_caught(spark):
     rnd = random.Random(3)
