@@ -190,14 +190,14 @@ def host_slots(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     valid = tokens.join(sizes, "host").filter(F.col("pages") >= SUPPORT * F.col("all_pages"))
     classes = valid.groupBy("host", "vector").agg(F.count("*").alias("members"), F.first(F.col("n") == F.col("pages")).alias("once"))
     frame = valid.join(classes, ["host", "vector"]).filter("once")
-    # the template's main slot: an article or main element if the frame has one, else
-    # the innermost frame element that holds most of the text that is kept
+    # the template's main slot: an article or main element if the frame has one; else
+    # there is none, and all of the body's slots are read
     last = F.substring_index("role", "/", -1)
     kind = F.when(last.rlike(r"^article(\.|$)"), 2).when(last.rlike(r"^main(\.|$)"), 1).otherwise(0)
     total = F.max("chars").over(Window.partitionBy("host"))
     depth = F.size(F.split("role", "/"))
     best = F.struct(kind.alias("kind"), (F.col("chars") >= 0.7 * F.col("total")).alias("most"), depth.alias("depth"), "chars", "role")
-    return frame.filter("chars > 0").withColumn("total", total).groupBy("host").agg(F.max(best)["role"].alias("slot"))
+    return frame.filter((F.col("chars") > 0) & (kind > 0)).withColumn("total", total).groupBy("host").agg(F.max(best)["role"].alias("slot"))
 
 
 def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -182,6 +182,17 @@ def test_odd_pages(spark):
     assert extract.page_texts(df.limit(0)).count() == 0
 
 
+def extracted(spark, rows):
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return {r.page_id: r.text for r in extract.page_texts(df).collect()}
+
+
+def test_sibling_slots_all_stay(spark):
+    """Heading, lead and story side by side; the story holds most of the text."""
+    rows = [(i, f"http://x/{i}", f"<body><h1>title {i}</h1><div class=lead>lead {i} of it</div><div class=story>{f'story{i} ' * 40}</div></body>") for i in range(5)]
+    assert extracted(spark, rows) == {i: f"title {i} lead {i} of it " + " ".join([f"story{i}"] * 40) for i in range(5)}
+
+
 # ------------------------------------------------------------ vectors
 def brute(rows, k):
     out = {}
