@@ -1,21 +1,28 @@
 """HTML extraction by equivalence-class template deduction.
 
-A page's tags are tokens, told apart by their role: the path of open elements
-that they stand in. A token's occurrence vector over the pages of its host says how
-often it occurs in each. Tokens of a host with equal vectors form an equivalence
-class; classes that enough of the host's pages have, and whose elements lie inside
-each other or side by side, nest into the host's template. The elements of a class
-that occurs once a page are the template's frame; what varies lies in their slots.
-The slot with the main text is chosen for each host among its frame elements and
-read from each page without the blocks that are not article text.
+A page's tags and texts are tokens. A tag is told apart by its role, the path of open
+elements that it stands in; a text is all that stands between two block tags, and told
+apart by its words and role. A token's occurrence vector over the different pages of its
+host says how often it occurs in each. Tokens of a host with equal vectors form an
+equivalence class; the classes with a tag that enough of the host's pages have are its
+template. As roles are paths, elements of a class lie inside each other or side by side
+by construction, so nesting drops no class; their order is not looked at. A text in such
+a class, or on all pages, is constant and goes. Of what varies, the article elements that
+occur once a page are read (else the main elements, else all of the body), without the
+elements that HTML sets apart from the text.
+
+Names of classes and ids are not asked inside articles of a host with at least MIN_PAGES
+different pages; outside them an element goes if one of its names is, as a whole, on the
+list. On smaller hosts, which show no template, any part of a name counts.
 
 Vectors are compared by a sum of counts times the pages' hashes, so that the pages
-of a host are added up before any shuffle, however many there are.
+of a host are added up before any shuffle by host, however many there are.
 
 Defined results: a null or empty html gives an empty text; a null url belongs to
-the empty host; a page on which its host's slot is missing is read by the most
-general rule (its own article or main element, else its body); repeated rows are
-pages of their own. Extra columns are not looked at.
+the empty host; a page on which its host's slots are missing is read by the most
+general rule (its own article or main element, else its body); a page that holds
+nothing but constant text keeps it; repeated rows count as one page of the
+template and each get their text. Extra columns are not looked at.
 """
 
 from __future__ import annotations
@@ -25,13 +32,15 @@ from collections import Counter
 from html import unescape
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from labelpool.llm.batches import bounded_batches, checkpointed
 from labelpool.llm.url_filter import host_of
 
 SUPPORT = 0.5            # share of a host's pages that a template class must occur on
-BROADCAST_HOSTS = 200_000   # hosts' slots (some 100 bytes each) that are broadcast at most
+MIN_PAGES = 3            # different pages from which a host shows a template
+BROADCAST_ENTRIES = 400_000   # hosts, slots and constant texts (up to some 100 bytes each) that are broadcast at most
 
 # fixed values: HTML's element kinds
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|[^<]+|<", re.S)
@@ -45,16 +54,18 @@ _NOT_TEXT = frozenset("head nav header footer aside form menu dialog label input
 _NOT_TEXT_NAMES = re.compile(
     r"(?:^|[^a-z])(?:ads?|advert\w*|adslot|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|header|footer|side-?bar|cookie\w*|consent|notices?|"
     r"newsletter|subscribe|popup|modal|comments?|replies|respond|disqus|related|recommend\w*|share|sharing|social|toolbar|pagination|pager|skip)(?:[^a-z]|$)")
+_WHOLE_NAME = re.compile(_NOT_TEXT_NAMES.pattern.replace("(?:^|[^a-z])", "^", 1).removesuffix("(?:[^a-z]|$)") + "$")
 _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 
 
-def _dropped(tag: str, attributes: str) -> bool:
+def _dropped(tag: str, attributes: str, few: bool, general: bool) -> bool:
     """Whether an element holds no article text, by its kind and its names."""
     if tag in _NOT_TEXT:
         return True
-    if tag in ("article", "main", "body", "html") or not attributes:
+    if tag in ("article", "main", "body", "html") or not attributes or (general and not few):
         return False
-    return any(_NOT_TEXT_NAMES.search(re.sub(r"([a-z])([A-Z])", r"\1-\2", m).lower()) for m in _NAMES.findall(attributes))
+    names = [re.sub(r"([a-z])([A-Z])", r"\1-\2", m).lower() for m in _NAMES.findall(attributes)]
+    return any(_NOT_TEXT_NAMES.search(m) if few else any(map(_WHOLE_NAME.match, m.strip("\"'").split())) for m in names)
 
 
 def _role_name(tag: str, attributes: str) -> str:
@@ -64,13 +75,16 @@ def _role_name(tag: str, attributes: str) -> str:
     return f"{tag}.{name[0][:40]}" if name else tag
 
 
-def walk(html: str):
+_NOTHING = ("", "", False, False, "")
+
+
+def walk(html: str, few: bool):
     """Yield ("open", stack, None), ("text", stack, text), ("break", stack, None).
 
-    ``stack`` lists the open elements: tag, role name, whether it or one around it
-    holds no article text, whether it or one around it is an article or main
-    element. An element is closed where HTML implies it."""
-    stack: list[tuple[str, str, bool, bool]] = []
+    ``stack`` lists the open elements: tag, role, whether it or one around it holds
+    no article text, whether it or one around it is an article or main element, the
+    role of the innermost block element. An element is closed where HTML implies it."""
+    stack: list[tuple[str, str, bool, bool, str]] = []
     at, n = 0, len(html)
     while at < n:
         m = _TOKEN.match(html, at)
@@ -116,102 +130,128 @@ def walk(html: str):
             end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(html, at)
             at = end.end() if end else n
             continue
-        _, _, dropped, general = stack[-1] if stack else ("", "", False, False)
-        stack.append((tag, _role_name(tag, m[3]), dropped or _dropped(tag, m[3]), general or tag in ("article", "main")))
+        _, role, dropped, general, block = stack[-1] if stack else _NOTHING
+        if len(stack) < 40:
+            role = f"{role}/{_role_name(tag, m[3])}" if role else _role_name(tag, m[3])
+        stack.append((tag, role, dropped or _dropped(tag, m[3], few, general), general or tag in ("article", "main"), block if tag in _INLINE else role))
         yield "open", stack, None
 
 
-def _path(stack: list[tuple[str, str, bool, bool]]) -> str:
-    return "/".join(x[1] for x in stack[:40])
+def blocks(html: str, few: bool, tags: Counter | None = None):
+    """Yield (role, whether in an article or main element, text) of the kept text
+    between any two block tags, and with no text where an article or main element
+    opens. ``tags`` counts the roles of the elements."""
+    at, parts = ("", False), []
+    for kind, stack, text in walk(html, few):
+        _, role, dropped, general, block = stack[-1] if stack else _NOTHING
+        if parts and (kind == "break" or at != (block, general)):
+            yield *at, "".join(parts)
+            parts = []
+        if kind == "text":
+            at = block, general
+            parts.append(" " if dropped else text)
+        elif kind == "open":
+            if tags is not None:
+                tags[role] += 1
+            if stack[-1][0] in ("article", "main") and not dropped:
+                yield role, True, ""
+    if parts:
+        yield *at, "".join(parts)
+
 
+def text_key(role: str, text: str) -> int:
+    """A text token: its role and words in 64 bits."""
+    return xxhash.xxh3_64_intdigest(f"{role}\0{text}") - (1 << 63)
 
-def page_roles(html: str) -> tuple[Counter, Counter]:
-    """How often each role occurs on a page, and the characters of its kept text
-    (with that of what it holds)."""
-    count, chars = Counter(), Counter()
-    for kind, stack, text in walk(html):
-        if kind == "open":
-            count[_path(stack)] += 1
-        elif kind == "text" and stack and not stack[-1][2]:
-            size = len(text) - text.count(" ")
-            if size:
-                path = ""
-                for x in stack[:40]:
-                    path = f"{path}/{x[1]}" if path else x[1]
-                    chars[path] += size
-    return count, chars
 
+def page_tokens(html: str) -> tuple[Counter, Counter, Counter]:
+    """How often each role and each text occurs on a page, and the number of texts
+    in each article or main element."""
+    tags, texts, held = Counter(), Counter(), Counter()
+    open_ = set()
+    for role, general, text in blocks(html, False, tags):
+        if words := " ".join(text.split()):
+            texts[text_key(role, words)] += 1
+            if general:
+                held.update(x for x in open_ if role == x or role.startswith(x + "/"))
+        elif general and not text:
+            open_.add(role)
+    return tags, texts, held
 
-def slot_text(html: str, slot: str | None) -> str:
-    """The kept text of a page in the element with the role ``slot``; without one,
-    or if the page lacks it, in its article or main elements, else its body."""
+
+def slot_text(html: str, slots: list[str] | None = None, constant: list[int] | None = None, few: bool = True) -> str:
+    """The kept text of a page in the elements with the roles ``slots``; without any,
+    or if the page lacks them, in its article or main elements, else its body. Texts
+    that are ``constant`` on the host's pages go, unless the page has no other."""
     if not html:
         return ""
-    wanted = slot.split("/") if slot else [""]
-    inside, general, whole = [], [], []   # pieces in the slot, in an article, in all
-    for kind, stack, text in walk(html):
-        piece = " " if kind != "text" or (stack and stack[-1][2]) else text
-        whole.append("" if kind == "open" else piece)
-        if len(stack) >= len(wanted) and all(x[1] == w for x, w in zip(stack, wanted)):
-            inside.append(whole[-1])
-        elif inside:
-            inside.append(" ")
-        if stack and stack[-1][3]:
-            general.append(whole[-1])
-        elif general:
-            general.append(" ")
-    return " ".join(unescape("".join(inside or general or whole)).split())
-
-
-def host_slots(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, slot): the role of the main text's element in each host's template."""
-    def roles(batches):
+    constant = frozenset(constant or ())
+    inside, general, whole = [], [], []   # texts in the slots, in an article, in all
+    for role, is_general, text in blocks(html, few):
+        one = (text, text_key(role, " ".join(text.split())) in constant if constant else False)
+        whole.append(one)
+        if is_general:
+            general.append(one)
+        if any(role == x or role.startswith(x + "/") for x in slots or ()):
+            inside.append(one)
+    found = inside or general or whole
+    vary = [text for text, same in found if not same]
+    if not any(text.strip() for text in vary):
+        vary = [text for text, _ in found]
+    return " ".join(unescape(" ".join(vary)).split())
+
+
+def host_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(host, few, slots, constant): whether a host has few pages, the roles of the main
+    text's elements in its template, and its constant texts."""
+    def tokens_of(batches):
         for b in batches:
-            hosts, pages_, names, counts, chars = [], [], [], [], []
+            out = []
             for host, page, html in zip(*(b.column(c).to_pylist() for c in ("host", "page", "html"))):
-                count, size = page_roles(html or "")
-                for role, n in count.items():
-                    hosts.append(host)
-                    pages_.append(page)
-                    names.append(role)
-                    counts.append(n)
-                    chars.append(size.get(role, 0))
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(pages_, pa.int64()), pa.array(names, pa.string()),
-                                              pa.array(counts, pa.int64()), pa.array(chars, pa.int64())], names=["host", "page", "role", "n", "chars"])
-
-    rows = pages.select(F.coalesce(host_of(F.col(url_col)), F.lit("")).alias("host"), F.xxhash64(url_col, html_col).alias("page"), F.col(html_col).alias("html"))
-    found = rows.mapInArrow(roles, "host string, page long, role string, n long, chars long")
+                tags, texts, held = page_tokens(html or "")
+                out.append((host, page, "", None, 1, 0))      # the page itself
+                out += [(host, page, role, None, n, held[role]) for role, n in tags.items()]
+                out += [(host, page, "", key, n, 0) for key, n in texts.items()]
+            kinds = (("host", pa.string()), ("page", pa.int64()), ("role", pa.string()), ("text", pa.int64()), ("n", pa.int64()), ("held", pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, (_, t) in enumerate(kinds)], names=[c for c, _ in kinds])
+
+    rows = pages.select(F.coalesce(host_of(F.col(url_col)), F.lit("")).alias("host"), F.xxhash64(html_col).alias("page"), F.col(html_col).alias("html"))
+    found = rows.mapInArrow(tokens_of, "host string, page long, role string, text long, n long, held long") \
+        .groupBy("host", "page", "role", "text").agg(F.max("n").alias("n"), F.max("held").alias("held"))
     # sums of 31-bit hashes times counts stay exact in a decimal
     vector = F.sum((F.col("n") * F.shiftrightunsigned("page", 33)).cast("decimal(38,0)"))
-    tokens = found.groupBy("host", "role").agg(vector.alias("vector"), F.count("*").alias("pages"), F.sum("n").alias("n"), F.sum("chars").alias("chars"))
-    tokens = checkpointed(tokens)
-    sizes = rows.groupBy("host").agg(F.count("*").alias("all_pages"))
-    # valid classes: tokens with one vector that most pages have; once a page makes a frame
+    tokens = checkpointed(found.groupBy("host", "role", "text").agg(
+        vector.alias("vector"), F.count("*").alias("pages"), F.sum("n").alias("n"), F.sum("held").alias("held"))
+        .filter(F.col("text").isNull() | (F.col("pages") >= MIN_PAGES)))
+    sizes = tokens.filter("role = '' and text is null").select("host", F.col("pages").alias("all_pages"))
     valid = tokens.join(sizes, "host").filter(F.col("pages") >= SUPPORT * F.col("all_pages"))
-    classes = valid.groupBy("host", "vector").agg(F.count("*").alias("members"), F.first(F.col("n") == F.col("pages")).alias("once"))
-    frame = valid.join(classes, ["host", "vector"]).filter("once")
-    # the template's main slot: an article or main element if the frame has one; else
-    # there is none, and all of the body's slots are read
+    classes = valid.filter("text is null").select("host", F.col("vector").alias("_vector")).distinct() \
+        .withColumnRenamed("host", "_host")
+    texts = valid.filter(F.col("text").isNotNull() & (F.col("all_pages") >= MIN_PAGES))
+    constant = texts.join(classes, (F.col("host") == F.col("_host")) & (F.col("vector") == F.col("_vector")), "left") \
+        .filter(F.col("_host").isNotNull() | (F.col("pages") == F.col("all_pages"))).groupBy("host").agg(F.collect_list("text").alias("constant"))
+    # the frame's article elements, else its main elements
     last = F.substring_index("role", "/", -1)
-    kind = F.when(last.rlike(r"^article(\.|$)"), 2).when(last.rlike(r"^main(\.|$)"), 1).otherwise(0)
-    total = F.max("chars").over(Window.partitionBy("host"))
-    depth = F.size(F.split("role", "/"))
-    best = F.struct(kind.alias("kind"), (F.col("chars") >= 0.7 * F.col("total")).alias("most"), depth.alias("depth"), "chars", "role")
-    return frame.filter((F.col("chars") > 0) & (kind > 0)).withColumn("total", total).groupBy("host").agg(F.max(best)["role"].alias("slot"))
+    kind = F.when(last.rlike(r"^article(\.|$)"), 2).when(last.rlike(r"^main(\.|$)"), 1)
+    slots = valid.filter("text is null and n = pages and held > 0").withColumn("kind", kind).filter("kind is not null") \
+        .groupBy("host").agg(F.max("kind").alias("best"), F.collect_list(F.struct("kind", "role")).alias("all")) \
+        .select("host", F.expr("transform(filter(all, x -> x.kind = best), x -> x.role)").alias("slots"))
+    return sizes.join(slots, "host", "left").join(constant, "host", "left").select("host", (F.col("all_pages") < MIN_PAGES).alias("few"), "slots", "constant")
 
 
 def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``pages`` with ``text``, the main text of each page."""
     bounded_batches(pages.sparkSession)
-    slots = checkpointed(host_slots(pages, url_col, html_col)).withColumnRenamed("host", "_host").withColumnRenamed("slot", "_slot")
-    if slots.count() <= BROADCAST_HOSTS:
-        slots = F.broadcast(slots)
-    rows = pages.withColumn("_at", F.coalesce(host_of(F.col(url_col)), F.lit(""))).join(slots, F.col("_at") == F.col("_host"), "left").drop("_at", "_host")
+    templates = checkpointed(host_templates(pages, url_col, html_col).toDF("_host", "_few", "_slots", "_constant"))
+    entries = F.lit(1) + F.greatest(F.size("_slots"), F.lit(0)) + F.greatest(F.size("_constant"), F.lit(0))
+    if (templates.agg(F.sum(entries)).first()[0] or 0) <= BROADCAST_ENTRIES:
+        templates = F.broadcast(templates)
+    rows = pages.withColumn("_at", F.coalesce(host_of(F.col(url_col)), F.lit(""))).join(templates, F.col("_at") == F.col("_host"), "left").drop("_at", "_host")
     names = pages.columns
 
     def texts(batches):
         for b in batches:
-            out = [slot_text(h or "", s) for h, s in zip(b.column(html_col).to_pylist(), b.column("_slot").to_pylist())]
+            out = [slot_text(h or "", *t) for h, *t in zip(*(b.column(c).to_pylist() for c in (html_col, "_slots", "_constant", "_few")))]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(out, pa.string())], names=[*names, "_text"])
 
     schema = pages.withColumn("_text", F.lit("")).schema

@@ -191,6 +191,23 @@ def test_sibling_slots_all_stay(spark):
     """Heading, lead and story side by side; the story holds most of the text."""
     rows = [(i, f"http://x/{i}", f"<body><h1>title {i}</h1><div class=lead>lead {i} of it</div><div class=story>{f'story{i} ' * 40}</div></body>") for i in range(5)]
     assert extracted(spark, rows) == {i: f"title {i} lead {i} of it " + " ".join([f"story{i}"] * 40) for i in range(5)}
+    rows = [(i, f"http://y/{i}", f"<article class=a>first {i}</article><div><article class=b>second {i} {i}</article></div>") for i in range(4)]
+    assert extracted(spark, rows) == {i: f"first {i} second {i} {i}" for i in range(4)}
+
+
+def test_constant_texts_are_template(spark):
+    """A box under an unlisted name goes, on all pages or with its element; parts of an
+    article stay whatever their names are, and so do repeated paragraphs of some pages."""
+    page = "<body><article><h1>t{0}</h1><div class=x1>Sign up <b>now</b>!</div>{1}<p>text {0}</p><section class=related-work>work {0}</section>" \
+        "<div class=social-history>history {0}</div>{2}</article></body>"
+    rows = [(i, f"http://x/{i}", page.format(i, "<div class=x2><p>Notice</div>" if i < 4 else "", "<p>again" if i % 3 else "")) for i in range(6)]
+    want = {i: f"t{i} text {i} work {i} history {i}" + " again" * (i % 3 > 0) for i in range(6)}
+    copies = [(100 + i, "http://x/0", rows[0][2]) for i in range(20)]      # copies are one page of the template
+    assert extracted(spark, rows + copies) == want | {100 + i: want[0] for i in range(20)}
+    # too few pages show no template; a page of constant text alone keeps it
+    two = [(i, f"http://y/{i}", f"<article><p>same</p><p>t{i}</p></article>") for i in range(2)]
+    same = [(10 + i, f"http://z/{i}", f"<nav>{i}</nav><article><p>same</p></article>") for i in range(4)]
+    assert extracted(spark, two + same) == {0: "same t0", 1: "same t1"} | {10 + i: "same" for i in range(4)}
 
 
 # ------------------------------------------------------------ vectors
