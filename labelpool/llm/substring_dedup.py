@@ -2,9 +2,12 @@
 
 A gear hash rolls over the bytes of a text: each byte adds a random number of its
 own and older ones are shifted out, so it depends on the last 16 bytes alone. A
-chunk ends where the hash's top bits are zero, unless another such place lies just
-before it. The rule looks at nothing else, so an insertion moves boundaries only
-beside it and a passage is cut alike wherever it stands. Chunks are known by a 128-bit
+chunk ends where the hash is the least within REACH bytes on both sides, at the end of
+a character. The rule looks at nothing else, so an insertion moves boundaries only
+beside it and a passage is cut alike wherever it stands. Unlike places where some bits
+are zero, least values seldom leave wide gaps, so passages of 51 short words keep a run
+that is long enough between the chunks that they share with their surroundings; a run's
+ends are those of whole chunks. Chunks are known by a 128-bit
 digest. Those that occur in several documents are joined into runs; runs of at least
 ``least`` characters are repeats, and the first document that holds one keeps it.
 
@@ -24,13 +27,21 @@ from pyspark.sql import DataFrame, functions as F
 
 from labelpool.llm.batches import bounded_batches, checkpointed, mix64, text_slices
 
-ZERO_BITS = 5       # a boundary about every 32 bytes
-APART = 8           # bytes within which only the first boundary counts
+REACH = 12          # a boundary about every 25 bytes, and none nearer than this
 LONGEST = 4_096     # bytes after which a chunk is cut in any case
 LEAST_RUN = 80      # characters of a run that counts as repeated
 _GEAR = (mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) >> np.uint64(32)).astype(np.uint32)
 
 
+def _spans(reach: int) -> list[int]:
+    """Shifts after which a running minimum spans ``reach`` values."""
+    out, have = [], 1
+    while have < reach:
+        out.append(min(have, reach - have))
+        have += out[-1]
+    return out
+
+
 def chunk_ends(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """End places of the chunks of all texts of a slice (each text's end is one)."""
     h = _GEAR[data]
@@ -38,13 +49,16 @@ def chunk_ends(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         older = np.zeros_like(h)
         older[step:] = h[:-step] << np.uint32(2 * step)
         h = h + older
-    end = np.flatnonzero(h >> np.uint32(32 - ZERO_BITS) == 0) + 1
-    begin = offsets[np.searchsorted(offsets, end - 1, side="right") - 1]
-    end = end[end - begin >= 16]                         # the hash must be of the text's own bytes
-    end = end[(end < len(data))]
-    end = end[(data[end] & 0xC0) != 0x80]                # not inside a character
-    if len(end):
-        end = end[np.concatenate([[True], np.diff(end) > APART])]
+    none = np.uint32(0xFFFFFFFF)
+    h[:-1][(data[1:] & 0xC0) == 0x80] = none             # not inside a character
+    least = h                                            # of the REACH values from each place on
+    for step in _spans(REACH):
+        least = np.minimum(least[:len(least) - step], least[step:])
+    end = np.arange(REACH, len(data) - REACH) if len(data) > 2 * REACH else np.zeros(0, np.int64)
+    end = end[(h[end] < least[end - REACH]) & (h[end] <= least[end + 1]) & (h[end] != none)]
+    text = np.searchsorted(offsets, end, side="right") - 1
+    # all that is compared must be of the text's own bytes
+    end = end[(end - offsets[text] >= 15 + REACH) & (offsets[text + 1] - end > REACH)] + 1
     end = np.unique(np.concatenate([end, offsets[1:][np.diff(offsets) > 0]]))
     start = np.concatenate([[0], end[:-1]])
     far = np.flatnonzero(end - start > LONGEST)

@@ -240,6 +240,19 @@ def test_repeated_passages_are_caught(spark):
     assert substring_dedup.repeat_report(docs.limit(0)).count() == 0
 
 
+def test_passages_of_51_short_words_are_caught(spark):
+    """Words of 3 or 4 letters; nothing but the passage repeats."""
+    rnd = random.Random(51)
+    vocab = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=rnd.randint(3, 4))) for _ in range(9000)]
+    words = lambda n: " ".join(rnd.choices(vocab, k=n))
+    rows = []
+    for _ in range(1500):
+        passage = words(51)
+        rows += [(len(rows) + i, f"{words(rnd.randint(5, 40))} {passage} {words(rnd.randint(5, 40))}") for i in range(2)]
+    rows += [(len(rows) + i, words(90)) for i in range(300)]
+    assert {r.doc_id for r in substring_dedup.repeat_report(frame(spark, rows)).select("doc_id").collect()} == set(range(3000))
+
+
 def test_boundaries_survive_insertions():
     import numpy as np
     rnd = random.Random(1)
