@@ -2,10 +2,12 @@
 
 Each table projects a vector on a few Gaussian directions and cuts each projection
 into intervals; the numbers of its intervals are the vector's bucket. A query visits
-its own bucket and those that differ by one interval in some directions, in the order
-of their estimated success: the sum of squared distances to the interval borders that
-are crossed. Candidates of all tables are merged, ranked by the exact inner product
-and cut to the nearest.
+its own bucket and those that differ by one interval in some directions (by up to two
+where one does not reach the recall that is asked for), in the order of their estimated
+success: the sum of squared distances to the interval borders that are crossed.
+Candidates of all tables are merged, ranked by the exact inner product and cut to the
+nearest. Queries that found fewer than they may return, and all of them where no number
+of probes reaches the recall, are compared with every entry, in blocks.
 
 For the largest inner product, vectors are brought to one length with an extra
 coordinate, per class of similar length, so that Euclidean distance orders them as
@@ -17,7 +19,7 @@ one entry with their smallest ids, as many as a query may return.
 
 Defined results: rows whose vector is null, empty, zero, of another width than the
 table's, or has null or non-finite components take no part; a repeated vec_id counts
-once per distinct vector; with fewer candidates than asked for, all that were found are
+once per distinct vector; with fewer candidates than asked for, all of them are
 returned. Extra columns are not looked at.
 """
 
@@ -40,18 +42,19 @@ SAMPLE_QUERIES = 256
 BLOCK = 32_768        # index vectors in one task, about
 QUERY_BLOCK = 2_048   # queries in one task, about
 BROADCAST_ROWS = 1_000_000
+REACH = 2             # intervals that a probe may step in a direction, at most
 _FAR = 100            # intervals from the middle; what lies beyond shares the last one
 
 
 class Tables:
     """The random directions of all tables, and how buckets follow from them."""
 
-    def __init__(self, width: int, tables: int = TABLES, directions: int = DIRECTIONS, seed: int = 42):
+    def __init__(self, width: int, tables: int = TABLES, directions: int = DIRECTIONS, seed: int = 42, reach: int = 1):
         rng = np.random.default_rng(seed)
-        self.n, self.directions = tables, directions
+        self.n, self.directions, self.reach = tables, directions, reach
         self.axes = rng.standard_normal((width + 1, tables * directions))
         self.shift = rng.random(tables * directions) * WIDTH
-        steps = np.array(np.meshgrid(*[[-1, 0, 1]] * directions, indexing="ij")).reshape(directions, -1).T
+        steps = np.array(np.meshgrid(*[range(-reach, reach + 1)] * directions, indexing="ij")).reshape(directions, -1).T
         self.steps = steps[np.argsort(np.abs(steps).sum(axis=1), kind="stable")]
 
     def project(self, rows: np.ndarray) -> np.ndarray:
@@ -64,14 +67,21 @@ class Tables:
         c = np.clip(cells, -_FAR, _FAR).astype(np.int64) + _FAR
         return (c * (2 * _FAR + 1) ** np.arange(c.shape[-1], dtype=np.int64)).sum(axis=-1)
 
-    def probes(self, place: np.ndarray, count: int) -> np.ndarray:
-        """The buckets that queries at ``place`` visit in one table, by estimated success."""
+    def costs(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The own cells of queries at ``place`` in one table, and the cost of each step from them."""
         cell = np.floor(place)
         inside = place - cell
         cost = np.zeros((len(place), len(self.steps)))
+        far = np.arange(self.reach)
         for k in range(self.directions):
-            to = np.stack([inside[:, k] ** 2, np.zeros(len(place)), (1 - inside[:, k]) ** 2], axis=1)
-            cost += to[:, self.steps[:, k] + 1]
+            x = inside[:, k, None]
+            to = np.concatenate([(x + far[::-1]) ** 2, np.zeros((len(place), 1)), (1 - x + far) ** 2], axis=1)
+            cost += to[:, self.steps[:, k] + self.reach]
+        return cell, cost
+
+    def probes(self, place: np.ndarray, count: int) -> np.ndarray:
+        """The buckets that queries at ``place`` visit in one table, by estimated success."""
+        cell, cost = self.costs(place)
         order = np.argsort(cost, axis=1, kind="stable")[:, :count]
         return self.code(cell[:, None, :] + self.steps[order])
 
@@ -89,30 +99,37 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def _fitted_probes(sample: np.ndarray, tables: Tables, k: int) -> int:
-    """The least number of probes whose recall on the sample reaches RECALL.
+def _fitted_probes(sample: np.ndarray, tables: Tables, k: int) -> int | None:
+    """The least number of probes whose recall on the sample reaches RECALL, if any does.
 
     The nearest in a sample are farther than those in all rows, so this is on the
     safe side."""
     most = len(tables.steps)
     queries = sample[:SAMPLE_QUERIES]
     if len(sample) <= k + 1:
-        return most
+        return most     # queries that find too few are completed
     unit = _unit(sample, np.linalg.norm(sample, axis=1).max())
     own = _unit(queries, np.linalg.norm(queries, axis=1))
     scores = queries @ sample.T
     scores[np.arange(len(queries)), np.arange(len(queries))] = -np.inf
     true = np.argsort(-scores, axis=1)[:, :k]
-    codes = tables.code(np.floor(tables.project(unit)))
+    cells = np.floor(tables.project(unit))
     rank = np.full(true.shape, most)
     place = tables.project(own)
+    number = (2 * tables.reach + 1) ** np.arange(tables.directions)
+    step_of = np.zeros(most, np.int64)
+    step_of[(tables.steps + tables.reach) @ number] = np.arange(most)
     for t in range(tables.n):
-        visited = tables.probes(place[:, t], most)
         for q in range(len(queries)):
-            at = {c: i for i, c in reversed(list(enumerate(visited[q].tolist())))}
-            rank[q] = np.minimum(rank[q], [at.get(c, most) for c in codes[true[q], t].tolist()])
+            cell, cost = tables.costs(place[q:q + 1, t])
+            order = np.argsort(cost[0], kind="stable")
+            at = np.empty(most, np.int64)
+            at[order] = np.arange(most)
+            step = (cells[true[q], t] - cell[0]).astype(np.int64)
+            near = (np.abs(step) <= tables.reach).all(axis=1)
+            rank[q, near] = np.minimum(rank[q, near], at[step_of[(step[near] + tables.reach) @ number]])
     needed = np.sort(rank.ravel())[math.ceil(RECALL * rank.size) - 1]
-    return int(min(most, needed + 1))
+    return int(needed + 1) if needed < most else None
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -142,11 +159,15 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
                            .withColumn("norm", norm).withColumn("band", F.floor(F.log2("norm") * 2 + 0.5)))
     asked = checkpointed(rows.filter(queries).select("vec_id", "h", "h2").distinct())
     n, n_asked = entries.count(), asked.select("h", "h2").distinct().count()
+    places = min(k + 1, entries.agg(F.sum(F.size("ids"))).first()[0] or 0)   # that each query's vector has, its own among them
     longest = {r["band"]: r["m"] for r in entries.groupBy("band").agg(F.max("norm").alias("m")).collect()}   # at most two a power of two
-    hashing = Tables(width, tables, directions)
     share = int(1_000_000 * min(1.0, SAMPLE_ROWS / max(n, 1)))
     sample = _matrix(entries.filter(F.pmod("h2", F.lit(1_000_000)) < share).orderBy("h", "h2").select("vector").toArrow().column("vector")) if n else np.zeros((0, width))
-    probes = _fitted_probes(sample.reshape(-1, width), hashing, k)
+    for reach in range(1, REACH + 1):
+        hashing = Tables(width, tables, directions, reach=reach)
+        probes = _fitted_probes(sample.reshape(-1, width), hashing, k)
+        if probes:
+            break
 
     def index(batches):
         for b in batches:
@@ -160,8 +181,9 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
         for b in batches:
             vec = _matrix(b.column("vector"))
             place = hashing.project(_unit(vec, np.linalg.norm(vec, axis=1)))
-            for lo in range(0, len(vec), 256):
-                visited = [hashing.probes(place[lo:lo + 256, t], probes).tolist() for t in range(hashing.n)]
+            size = max(8, 186_624 // len(hashing.steps))
+            for lo in range(0, len(vec), size):
+                visited = [hashing.probes(place[lo:lo + size, t], probes or 1).tolist() for t in range(hashing.n)]
                 cells = [[f"{t}:{x}:{c}" for x in longest for t in range(hashing.n) for c in dict.fromkeys(visited[t][i])] for i in range(len(visited[0]))]
                 yield pa.RecordBatch.from_arrays([b.column("h").slice(lo, len(cells)), b.column("h2").slice(lo, len(cells)), pa.array(cells, pa.list_(pa.string()))], names=["h", "h2", "cells"])
 
@@ -214,14 +236,27 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
         return pa.table({"qh": pa.array(out["qh"], pa.int64()), "qh2": pa.array(out["qh2"], pa.int64()), "score": pa.array(out["score"], pa.float64()),
                          "h": pa.array(out["h"], pa.int64()), "h2": pa.array(out["h2"], pa.int64()), "ids": pa.array(out["ids"], pa.list_(pa.int64()))})
 
-    found = left.groupBy("block", "query_block").cogroup(right.groupBy("block", "query_block")).applyInArrow(
-        nearest, "qh long, qh2 long, score double, h long, h2 long, ids array<long>")
-    # merge the tables' candidates: the nearest entries first, then their ids and the queries'
-    entry = Window.partitionBy("qh", "qh2").orderBy(F.desc("score"), F.col("ids")[0])
-    merged = found.dropDuplicates(["qh", "qh2", "h", "h2"]).withColumn("place", F.row_number().over(entry)).filter(F.col("place") <= k + 1) \
-        .select("qh", "qh2", "score", F.explode("ids").alias("near"))
-    order = Window.partitionBy("qh", "qh2").orderBy(F.desc("score"), "near")
-    best = checkpointed(merged.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k + 1))
+    def best_of(left: DataFrame, right: DataFrame) -> DataFrame:
+        """The nearest of all blocks: the nearest entries first, then their ids and the queries'."""
+        found = left.groupBy("block", "query_block").cogroup(right.groupBy("block", "query_block")).applyInArrow(
+            nearest, "qh long, qh2 long, score double, h long, h2 long, ids array<long>")
+        entry = Window.partitionBy("qh", "qh2").orderBy(F.desc("score"), F.col("ids")[0])
+        merged = found.dropDuplicates(["qh", "qh2", "h", "h2"]).withColumn("place", F.row_number().over(entry)).filter(F.col("place") <= k + 1) \
+            .select("qh", "qh2", "score", F.explode("ids").alias("near"))
+        order = Window.partitionBy("qh", "qh2").orderBy(F.desc("score"), "near")
+        return checkpointed(merged.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k + 1))
+
+    best = best_of(left, right)
+    # queries that found too few (or all, if no number of probes will do) meet every entry
+    full = best.groupBy("qh", "qh2").count().filter(F.col("count") >= places).select(F.col("qh").alias("h"), F.col("qh2").alias("h2"))
+    short = checkpointed(ask.select("h", "h2", "vector").join(full, ["h", "h2"], "left_anti") if probes else ask.select("h", "h2", "vector"))
+    if n_short := short.count():
+        blocks, query_blocks = math.ceil(n / BLOCK), math.ceil(n_short / QUERY_BLOCK)
+        part = lambda count: F.pmod("h2", F.lit(count).cast("long"))
+        every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
+        scan = best_of(short.select(every(blocks).alias("block"), part(query_blocks).alias("query_block"), "h", "h2", "vector", F.array(F.lit("all")).alias("cells")),
+                       entries.select(part(blocks).alias("block"), every(query_blocks).alias("query_block"), F.lit("all").alias("cell"), "h", "h2", "vector", "ids"))
+        best = best.join(short.select(F.col("h").alias("qh"), F.col("h2").alias("qh2")), ["qh", "qh2"], "left_anti").unionByName(scan)
     each = asked.join(best, (asked["h"] == best["qh"]) & (asked["h2"] == best["qh2"])).filter("near <> vec_id")
     # of k + 1 places at most one is the query's own, so the rank needs no window over all queries of a vector
     own = asked.join(best, (asked["h"] == best["qh"]) & (asked["h2"] == best["qh2"]) & (best["near"] == asked["vec_id"])) \

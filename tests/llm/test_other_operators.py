@@ -243,6 +243,35 @@ def test_odd_vectors_ties_and_copies(spark):
     assert lsh_search.nearest_vectors(df.limit(0)).count() == 0
 
 
+def test_all_candidates_of_few_and_of_isolated_vectors(spark):
+    """Fewer vectors than places: all of them; and a query far from a crowd has a full list."""
+    rnd = np.random.default_rng(15)
+    for seed, width in enumerate((64, 2, 64)):
+        x = rnd.standard_normal((15, width))
+        rows = [(20 * i, [float(v) for v in y / np.linalg.norm(y)]) for i, y in enumerate(x)]
+        if seed == 2:
+            rows += [(1 + 20 * i, [float(v) for v in np.eye(width)[0] + rnd.standard_normal(width) / 400]) for i in range(300)]
+            rows += [(20_000, [-1.0] + [0.0] * (width - 1))]
+        got = {}
+        for r in lsh_search.nearest_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        want = brute(rows, 20)
+        assert {q: len(v) for q, v in got.items()} == {q: len(v) for q, v in want.items()}
+        assert seed == 2 or got == want
+
+
+def test_probes_reach_further_where_one_step_does_not_do(monkeypatch):
+    rnd = np.random.default_rng(3)
+    sample = rnd.standard_normal((300, 16))
+    monkeypatch.setattr(lsh_search, "WIDTH", 0.6)
+    one, two = (lsh_search.Tables(16, reach=r) for r in (1, 2))
+    assert lsh_search._fitted_probes(sample, one, 20) is None
+    place = two.project(lsh_search._unit(sample[:5], np.linalg.norm(sample[:5], axis=1)))[:, 0]
+    seen = two.probes(place, len(two.steps))
+    assert all(len(set(row)) == 5 ** 6 and row[0] == two.code(np.floor(p)) for row, p in zip(seen.tolist(), place))
+    assert set(one.probes(place, 729)[0]) < set(seen[0].tolist())
+
+
 # ------------------------------------------------------------ links, SQL, pipeline
 def test_components(spark):
     rnd = random.Random(0)
