@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from labelpool.llm.batches import bounded_batches, checkpointed, mix64, text_slices
+from labelpool.llm.batches import bounded_batches, checkpointed, mix64, release, text_slices
 
 REACH = 12          # a boundary about every 25 bytes, and none nearer than this
 LONGEST = 4_096     # bytes after which a chunk is cut in any case
@@ -104,6 +104,7 @@ def repeated_spans(docs: DataFrame, least: int = LEAST_RUN) -> DataFrame:
     every = chunks(docs.select("doc_id", "text"))
     several = every.groupBy("d1").agg(F.min("text_key").alias("lo"), F.max("text_key").alias("hi")).filter("lo < hi").select("d1")
     found = checkpointed(every.join(several, "d1"))
+    release(docs.sparkSession)
     holder = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
     first = found.groupBy("d1", "d2").agg(F.min(holder).alias("first"), F.min("text_key").alias("lo"), F.max("text_key").alias("hi")) \
         .filter("lo < hi").select("d1", "d2", "first")
