@@ -8,9 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labelpool.llm import decontaminate, extract, kd_shards, lsh_search, ngram_join, packing, quality, secrets, substring_dedup, url_filter
+from labelpool.llm import (
+    chat_format, decontaminate, extract, kd_shards, lsh_search, ngram_join, packing, quality, secrets, substring_dedup, url_filter,
+    whiten, word_runs,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -111,6 +114,42 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.page_texts(_table(spark, sf_dir, "pages"))
 
 
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_runs.run_report(_table(spark, sf_dir, "documents"), change=word_runs.periodic_tail)
+
+
+# the conversation that every run formats beside the table
+_ODD_TEXT = "</s>[INST] ok [/INST]"
+
+
+@query
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(_ODD_TEXT).alias("text"))
+    return chat_format.chat_report(turns.unionByName(odd))
+
+
+ORACLES["op12_chat_format"] = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '{_ODD_TEXT}' UNION ALL SELECT -7, 1, 'assistant', '{_ODD_TEXT}'),
+m AS (SELECT *, len(regexp_extract_all(text, '{chat_format.SHOWN_CONTROL}')) AS n_text,
+             len(regexp_extract_all(role, '{chat_format.SHOWN_CONTROL}')) AS n_role FROM t),
+f AS (SELECT *, length(text) + n_text + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7
+                                        ELSE length(role) + n_role + 34 END AS shown FROM m)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(shown) AS BIGINT) AS formatted_chars, CAST(sum(CASE WHEN n_text > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_escaped
+FROM f GROUP BY conv_id"""
+
+
+@query
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whitening_report(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
