@@ -25,3 +25,6 @@ FIT_PARTITION_BYTES = 4 * 1024 * 1024
 MAX_BUCKETS = 65_536
 # Largest centre table (k x d doubles) we broadcast.
 BROADCAST_MAX_BYTES = 256 * 1024 * 1024
+# Rows and bytes of a cell that bisecting k-means splits to the end in one task.
+CELL_TASK_ROWS = 16_384
+CELL_TASK_BYTES = 64 * 1024 * 1024

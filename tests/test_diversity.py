@@ -2,10 +2,13 @@
 
 import random
 
+import numpy as np
+
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from labelpool.operators import diversity as D
+from labelpool.operators.bisect import bisect_cells, split_tree
 
 CENTERS = "cluster_id int, center array<double>"
 
@@ -97,3 +100,25 @@ def test_vector_pool_batch(spark):
     ids = {r.vec_id for r in spark.read.parquet(f"{SF_SMALL}/embeddings.parquet").select("vec_id").collect()}
     n = len(ids)
     assert 1 <= len(picked) <= max(1, int(n * 0.01)) and set(picked) <= ids
+
+
+def _groups(cells):
+    out = {}
+    for r in cells.select("id_sample", "cell").collect():
+        out.setdefault(r.cell, set()).add(r.id_sample)
+    return sorted(map(sorted, out.values()))
+
+
+def test_cells_split_in_a_task_equal_those_of_common_passes(spark):
+    cands = _cands(spark, 120).repartition(2)
+    whole = _groups(bisect_cells(cands, 11, max_iter=3))
+    assert len(whole) == 11
+    assert _groups(bisect_cells(cands, 11, max_iter=3, task_rows=40)) == whole     # two levels of passes, then tasks
+    assert _groups(bisect_cells(cands, 3, max_iter=3, task_rows=2)) == _groups(bisect_cells(cands, 3, max_iter=3))
+
+
+def test_split_tree_of_repeated_points():
+    x = np.repeat(np.random.default_rng(3).standard_normal((7, 2)), 4, axis=0)
+    nodes, lengths = split_tree(x, 10, 20, 1e-2)
+    ends = nodes[np.cumsum(lengths) - 1]
+    assert len(set(ends.tolist())) == 7 and all(len(set(ends[i:i + 4].tolist())) == 1 for i in range(0, 28, 4))
