@@ -28,3 +28,12 @@ BROADCAST_MAX_BYTES = 256 * 1024 * 1024
 # Rows and bytes of a cell that bisecting k-means splits to the end in one task.
 CELL_TASK_ROWS = 16_384
 CELL_TASK_BYTES = 64 * 1024 * 1024
+# Reweighted least squares: passes of a fit, the step that ends it, largest entry of a step,
+# and what is added to the Gram matrix' diagonal, times the number of rows.
+IRLS_PASSES = 12
+IRLS_TOLERANCE = 1e-10
+IRLS_MAX_STEP = 8.0
+IRLS_DAMPING = 1e-9
+# Rows of the quantile's sample times the squared relative rank error: with 4, the error is four
+# standard deviations at the median and more at other quantiles.
+SKETCH_ROWS_FACTOR = 4.0

@@ -10,6 +10,7 @@ metrics are averages over labels weighted by #label(l) / N.
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,3 +49,42 @@ def classification_metrics(pred: DataFrame, label: str = "label",
         (F.sum(F.col("n_label") * F.col("r")) / total).alias("weighted_recall"),
         (F.sum(F.col("n_label") * f1) / total).alias("f1"),
     )
+
+
+def label_metrics(pred: DataFrame, label: str = "label", prediction: str = "prediction", probability: str | None = "probability",
+                  eps: float = 1e-15) -> DataFrame:
+    """One row per label: ``label, n, n_predicted, precision, recall, false_positive_rate, f1,
+    log_loss, log_loss_all, hamming_loss``.
+
+    One pass over the predictions gives a row per (label, prediction) pair with its count
+    and the sum of ``-ln`` of the true label's probability; everything else is made of
+    these pairs. ``probability`` is a vector or array with a class's probability at its
+    label's position, at least ``eps`` and at most ``1 - eps``; without it the losses are
+    null. ``log_loss`` is the mean over the label's rows, ``log_loss_all`` and
+    ``hamming_loss`` are those of all rows. Labels that are only predicted have n = 0 and
+    null rates. Rows without a label take no part; one without a prediction counts as wrong.
+    """
+    loss = F.lit(None).cast("double")
+    if probability is not None:
+        p = vector_to_array(F.col(probability)) if dict(pred.dtypes)[probability] == "vector" else F.col(probability)
+        loss = -F.log(F.least(F.greatest(F.get(p, F.col(label).cast("int")), F.lit(eps)), F.lit(1 - eps)))
+    pairs = pred.filter(F.col(label).isNotNull()).groupBy(
+        F.col(label).cast("double").alias("label"), F.col(prediction).cast("double").alias("predicted"))
+    pairs = pairs.agg(F.count(F.lit(1)).alias("n"), F.sum(loss).alias("loss"))
+    hit = F.col("label") == F.col("predicted")
+    sides = pairs.select(F.explode(F.array(
+        F.struct(F.col("label"), F.col("n"), F.lit(0).cast("long").alias("n_predicted"), F.when(hit, F.col("n")).otherwise(0).alias("tp"), F.col("loss")),
+        F.struct(F.col("predicted").alias("label"), F.lit(0).cast("long").alias("n"), F.col("n").alias("n_predicted"),
+                 F.lit(0).cast("long").alias("tp"), F.lit(None).cast("double").alias("loss")))).alias("s")).select("s.*")
+    per = sides.filter(F.col("label").isNotNull()).groupBy("label").agg(*(F.sum(c).alias(c) for c in ("n", "n_predicted", "tp", "loss")))
+    total = pairs.agg(F.sum("n").alias("n_all"), F.sum("loss").alias("loss_all"), F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("tp_all"))
+    per = per.select("*", *(total.select(c).scalar().alias(c) for c in total.columns))
+    precision = F.when(F.col("n_predicted") > 0, F.col("tp") / F.col("n_predicted")).otherwise(0.0)
+    recall = F.when(F.col("n") > 0, F.col("tp") / F.col("n"))
+    others = F.col("n_all") - F.col("n")
+    return per.select(
+        "label", "n", "n_predicted", precision.alias("precision"), recall.alias("recall"),
+        F.when(others > 0, (F.col("n_predicted") - F.col("tp")) / others).alias("false_positive_rate"),
+        F.when(F.col("n") > 0, F.when(precision + recall > 0, 2.0 * precision * recall / (precision + recall)).otherwise(0.0)).alias("f1"),
+        F.when(F.col("n") > 0, F.col("loss") / F.col("n")).alias("log_loss"),
+        (F.col("loss_all") / F.col("n_all")).alias("log_loss_all"), (1 - F.col("tp_all") / F.col("n_all")).alias("hamming_loss"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark import StorageLevel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelpool.config import UNCERTAINTY_CANDIDATE_FACTOR, UNCERTAINTY_QUANTILE_EPSILON
+from labelpool.config import RANDOM_SEED, SKETCH_ROWS_FACTOR, UNCERTAINTY_CANDIDATE_FACTOR, UNCERTAINTY_QUANTILE_EPSILON
+from labelpool.functions.hashing import seeded_hash
 from labelpool.functions.scoring import binary_uncertainty
 from labelpool.operators.cutoff import exact_quantile, select_smallest
 from labelpool.operators.pool import unlabeled_rows
@@ -31,21 +34,49 @@ def keep_fraction(budget: int, n_unlabeled: int,
 def uncertainty_threshold(scored: DataFrame, budget: int, n_unlabeled: int,
                           alpha: float = UNCERTAINTY_CANDIDATE_FACTOR,
                           epsilon: float = UNCERTAINTY_QUANTILE_EPSILON,
-                          col: str = "uncertainty", id_col: str = "id_sample") -> float | None:
+                          col: str = "uncertainty", id_col: str = "id_sample",
+                          seed: int = RANDOM_SEED) -> float | None:
     """The (1 - p)-quantile of the uncertainty, p = keep fraction.
 
-    ``epsilon > 0``: Greenwald–Khanna sketch (``approxQuantile``), merged
-    from per-partition summaries of bounded size. ``epsilon == 0``: exact,
-    by bucketed counting (:mod:`labelpool.operators.cutoff`), never by an
-    exact sketch whose size grows with the data. ``None`` for an empty U.
+    ``epsilon > 0``: :func:`sampled_quantile`, over a sample whose size depends on
+    ``epsilon`` only. ``epsilon == 0``: exact, by bucketed counting
+    (:mod:`labelpool.operators.cutoff`), never by an exact sketch whose size grows
+    with the data. ``None`` for an empty U.
     """
     if n_unlabeled <= 0 or budget <= 0:
         return None
     q = 1.0 - keep_fraction(budget, n_unlabeled, alpha)
     if epsilon == 0:
         return exact_quantile(scored, col, q, id_col, n=n_unlabeled)
-    res = scored.stat.approxQuantile(col, [q], epsilon)
-    return res[0] if res else None
+    return sampled_quantile(scored, col, q, epsilon, id_col, n=n_unlabeled, seed=seed)
+
+
+def sketch_rows(epsilon: float) -> int:
+    """Rows of a uniform sample whose quantiles miss the true rank by ``epsilon`` or less
+    at four standard deviations at the median, at more towards the ends."""
+    return math.ceil(SKETCH_ROWS_FACTOR / (epsilon * epsilon))
+
+
+def sampled_quantile(scored: DataFrame, col: str, q: float, epsilon: float, id_col: str = "id_sample",
+                     n: int | None = None, seed: int = RANDOM_SEED) -> float | None:
+    """The q-quantile of a bottom-k sketch: of the k rows with the smallest seeded hash of
+    their ids (ties: smaller id), k = :func:`sketch_rows`.
+
+    The sketch is a uniform sample that any layout, and SQL, gives alike. Its rows are
+    found by counting per hash bucket and stay in Spark. A table of up to k rows is its
+    own sketch, so the quantile is exact there."""
+    rows = scored.filter(F.col(col).isNotNull())
+    if n is None:
+        n = rows.count()
+    k = sketch_rows(epsilon)
+    if n <= k:
+        return exact_quantile(rows, col, q, id_col, n=n)
+    hashed = rows.select(id_col, col).withColumn("_lp_h", seeded_hash(id_col, "sketch", seed))
+    sample = select_smallest(hashed, "_lp_h", id_col, k).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return exact_quantile(sample, col, q, id_col, n=k)
+    finally:
+        sample.unpersist()
 
 
 def uncertainty_candidates(scored: DataFrame, threshold: float, id_col: str = "id_sample",

@@ -25,6 +25,7 @@ from labelpool.functions.hashing import hash_sql, hash_threshold
 from labelpool.functions.scoring import binary_uncertainty, logistic
 from labelpool.operators import diversity, labels, metrics, pool, runs, sampling, uncertainty
 from labelpool.operators.cutoff import exact_quantile
+from labelpool.operators.logistic import fit_sql
 from labelpool.plans import loop, prepare
 from labelpool.plans.store import PoolState
 from labelpool.session import ensure_checkpoint_dir
@@ -340,6 +341,42 @@ def _candidates(spark, sf, estimator=None):
     return train, uncertainty.get_uncertainty_candidates(train, model, budget, u), budget
 
 
+def q_model_candidates(spark, sf):
+    """The default model's candidates at the default relative error."""
+    _, cands, _ = _candidates(spark, sf)
+    return cands.select("id_sample", _r("uncertainty"))
+
+
+SKETCH_EPSILON = 0.05   # so that the sketch is smaller than the event pool
+
+
+def q_uncertainty_sketch(spark, sf):
+    """The threshold of the event pool from a bottom-k sketch."""
+    st = _event_state(spark, sf)
+    total, n_u, budget = _event_budget(spark, st)
+    u = pool.unlabeled_rows(st)
+    t = uncertainty.uncertainty_threshold(u, budget, n_u, epsilon=SKETCH_EPSILON)
+    return u.agg(F.count(F.lit(1)).alias("n_unlabeled"), F.count_if(F.col("uncertainty") >= F.lit(t)).alias("n_candidates")).withColumn(
+        "threshold", F.lit(t).cast("double"))
+
+
+def q_label_metrics(spark, sf):
+    """By-label rates and log loss of the fixed-weight scorer on the event pool."""
+    ev = _event_state(spark, sf).join(pools.event_pool(spark, sf).select("id_sample", "label"), "id_sample")
+    pred = ev.select("label", (F.col("p") > 0.5).cast("double").alias("prediction"), F.array(1 - F.col("p"), F.col("p")).alias("probability"))
+    m = metrics.label_metrics(pred)
+    return m.select("label", "n", "n_predicted", *[_r(c) for c in ("precision", "recall", "false_positive_rate", "f1", "log_loss", "log_loss_all", "hamming_loss")])
+
+
+def q_append_results(spark, sf):
+    """The run table appended run by run, one of the runs twice, and read once."""
+    path = f"{ensure_checkpoint_dir(spark)}/runs-{uuid.uuid4().hex[:12]}"
+    table = pools.run_table(spark, sf).select(*files.RUN_SCHEMA.names).withColumn("run_id", F.concat_ws("-", F.lit("run"), "cores", "percentage_set"))
+    files.append_results(table, path, run_id="")
+    files.append_results(table.filter("cores = 1").repartition(3), path, run_id="")   # the retry of some runs
+    return files.read_results(spark, path, files.RUN_ID_SCHEMA).select("run_id", "method", "percentage_set", "cores", _r("time"))
+
+
 def q_cluster_candidates(spark, sf):
     _, cands, budget = _candidates(spark, sf)
     return diversity.cluster_candidates(cands, budget).select("id_sample", "cluster_id")
@@ -454,6 +491,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # (active_round_random trains a model too, but picks without it: SQL-checked)
     "train_and_evaluate": q_train_and_evaluate,
     "score_pool": q_score_pool,
+    "model_candidates": q_model_candidates,
+    "uncertainty_sketch": q_uncertainty_sketch,
+    "label_metrics": q_label_metrics,
+    "append_results": q_append_results,
     "cluster_candidates": q_cluster_candidates,
     "diversity_selection": q_diversity_selection,
     "vector_diversity": q_vector_diversity,
@@ -563,6 +604,51 @@ def _first_round_sql(what: str) -> str:
     return _naive_bayes_sql(f"{s} WHERE state = 'L'", scored)
 
 
+def _logistic_sql(what: str) -> str:
+    """P(1) of the rows of the test side or of U by the default model, fitted on L."""
+    s = f"SELECT * FROM ({_scaled_sql('FLOAT', True, None)}) s"
+    margin = " + ".join(["b0", *(f"b{i} * {c}" for i, c in enumerate(FEATS, 1))])
+    scored = f"{s} WHERE split = 'test'" if what == "test" else f"{s} WHERE state = 'U'"
+    return f"""
+    WITH {fit_sql(f"{s} WHERE state = 'L'", FEATS)}
+    SELECT id_sample, label, 1 / (1 + exp(-({margin}))) AS p1 FROM ({scored}) x, beta"""
+
+
+def _candidates_sql() -> str:
+    return f"""
+    WITH u AS MATERIALIZED (SELECT id_sample, 1.0::DOUBLE - 2.0::DOUBLE * abs(p1 - 0.5::DOUBLE) AS uncertainty FROM ({_logistic_sql('pool')}) p),
+    b AS (SELECT count(*) AS n_u, least(CAST(floor((SELECT count(*) FROM ({P1_TRAIN_STATE}) t)::DOUBLE * {QUERY_BATCH_FRACTION}::DOUBLE) AS BIGINT), count(*)) AS budget FROM u),
+    r AS (SELECT uncertainty, row_number() OVER (ORDER BY uncertainty, id_sample) AS rn FROM u)
+    SELECT id_sample, round(uncertainty, 6) AS uncertainty FROM u WHERE uncertainty >= (
+        SELECT r.uncertainty FROM r, b WHERE r.rn = greatest(1, CAST(ceil((1.0::DOUBLE - least(1.0::DOUBLE, ({UNCERTAINTY_CANDIDATE_FACTOR}::DOUBLE * budget) / n_u)) * n_u) AS BIGINT)))"""
+
+
+def _sketch_sql() -> str:
+    k = uncertainty.sketch_rows(SKETCH_EPSILON)
+    return f"""
+    WITH u AS MATERIALIZED (SELECT id_sample, uncertainty, row_number() OVER (ORDER BY {_h('id_sample', 'sketch')}, id_sample) AS place
+                            FROM ({P2_SCORED}) s WHERE state = 'U'),
+    q AS (SELECT least(n_u, {k}) AS k, q FROM ({P2_Q}) z),
+    r AS (SELECT uncertainty, row_number() OVER (ORDER BY uncertainty, id_sample) AS rn FROM u, q WHERE place <= k),
+    t AS (SELECT uncertainty AS threshold FROM r, q WHERE rn = greatest(1, CAST(ceil(q.q * k) AS BIGINT)))
+    SELECT count(*) AS n_unlabeled, count(*) FILTER (uncertainty >= threshold) AS n_candidates, any_value(threshold) AS threshold FROM u, t"""
+
+
+def _label_metrics_sql() -> str:
+    return f"""
+    WITH e AS (SELECT CAST(label AS DOUBLE) AS label, CASE WHEN p > 0.5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS prediction,
+                      -ln(least(greatest(CASE WHEN label = 1 THEN p ELSE 1 - p END, 1e-15), 1 - 1e-15)) AS loss
+               FROM ({P2_SCORED}) s JOIN ({P2}) e USING (id_sample)),
+    t AS (SELECT count(*) AS n_all, avg(loss) AS log_loss_all, avg(CASE WHEN label = prediction THEN 0.0 ELSE 1.0 END) AS hamming_loss FROM e),
+    m AS (SELECT x.label, count(*) FILTER (e.label = x.label) AS n, count(*) FILTER (e.prediction = x.label) AS n_predicted,
+                 count(*) FILTER (e.label = x.label AND e.prediction = x.label) AS tp, avg(loss) FILTER (e.label = x.label) AS log_loss
+          FROM e, (SELECT label FROM e UNION SELECT prediction FROM e) x GROUP BY x.label),
+    r AS (SELECT *, CASE WHEN n_predicted > 0 THEN tp / n_predicted ELSE 0.0 END AS precision, CASE WHEN n > 0 THEN tp / n END AS recall FROM m)
+    SELECT label, n, n_predicted, round(precision, 6) AS precision, round(recall, 6) AS recall, round((n_predicted - tp) / (n_all - n), 6) AS false_positive_rate,
+           round(CASE WHEN n > 0 THEN CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END END, 6) AS f1,
+           round(log_loss, 6) AS log_loss, round(log_loss_all, 6) AS log_loss_all, round(hamming_loss, 6) AS hamming_loss FROM r, t"""
+
+
 def _random_loop_sql(rounds: int = 10) -> str:
     steps = [f"s AS ({_scaled_sql('FLOAT', True, None)})",
              "l0 AS (SELECT id_sample, CASE WHEN state = 'L' THEN 0 END AS since FROM s WHERE split = 'train')",
@@ -659,6 +745,17 @@ def oracle_sql() -> dict[str, str]:
         "score_pool_nb": f"""
             SELECT id_sample, round(p1, 4) AS p1, round(1 - 2 * abs(p1 - 0.5), 4) AS uncertainty FROM ({_first_round_sql('pool')}) p""",
         "active_loop_random_nb": _random_loop_sql(),
+        "train_and_evaluate": f"""
+            SELECT (SELECT count(*) FROM ({P1_TRAIN_STATE}) t WHERE state = 'L') AS labeled,
+                   avg(CASE WHEN (p1 > 0.5) = (label = 1) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS accuracy FROM ({_logistic_sql('test')}) p""",
+        "score_pool": f"""
+            SELECT id_sample, round(p1, 6) AS p1, round(1.0::DOUBLE - 2.0::DOUBLE * abs(p1 - 0.5::DOUBLE), 6) AS uncertainty FROM ({_logistic_sql('pool')}) p""",
+        "model_candidates": _candidates_sql(),
+        "uncertainty_sketch": _sketch_sql(),
+        "label_metrics": _label_metrics_sql(),
+        "append_results": f"""
+            SELECT 'run-' || CAST(cores AS VARCHAR) || '-' || CAST(percentage_set AS VARCHAR) AS run_id, method,
+                   CAST(percentage_set AS INTEGER) AS percentage_set, CAST(cores AS INTEGER) AS cores, round(time, 6) AS time FROM ({RUNS}) x""",
         "load_pool": f"SELECT id_sample, label, {feats6} FROM ({P1}) p1",
         "cast_pool": f"""
             SELECT CAST(id_sample AS BIGINT) AS id_sample, CAST(label AS INTEGER) AS label,

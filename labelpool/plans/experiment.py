@@ -22,7 +22,7 @@ import time
 from pyspark.sql import functions as F
 
 
-def one_round(sf_dir: str, out: str, cores: int, pct: int, method: str) -> None:
+def one_round(sf_dir: str, out: str, cores: int, pct: int, method: str, rep: int = 1) -> None:
     from labelpool.operators import sampling
     from labelpool.plans import loop, prepare
     from labelpool.plans.store import PoolState
@@ -46,7 +46,7 @@ def one_round(sf_dir: str, out: str, cores: int, pct: int, method: str) -> None:
     seconds = time.time() - t0
     row = spark.range(1).select(F.lit(method).alias("method"), F.lit(pct).cast("int").alias("percentage_set"),
                                 F.lit(cores).cast("int").alias("cores"), F.lit(seconds).alias("time"))
-    files.append_results(row.coalesce(1), out)
+    files.append_results(row.coalesce(1), out, run_id=f"{method}-{pct}pct-{cores}c-{rep}")   # a retried setting replaces its row
     store.close()
     spark.stop()
 
@@ -76,15 +76,15 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--single", action="store_true", help=argparse.SUPPRESS)
     a = ap.parse_args(argv)
     if a.single:
-        one_round(a.sf_dir, a.out, int(a.cores), int(a.sizes), a.method)
+        one_round(a.sf_dir, a.out, int(a.cores), int(a.sizes), a.method, a.reps)
         return
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    for _ in range(a.reps):
+    for rep in range(1, a.reps + 1):
         for c in [int(x) for x in a.cores.split(",")]:
             for p in [int(x) for x in a.sizes.split(",")]:
                 subprocess.run([sys.executable, "-m", "labelpool.plans.experiment", "--single",
                                 "--sf-dir", a.sf_dir, "--out", a.out, "--cores", str(c), "--sizes", str(p),
-                                "--method", a.method], check=True, cwd=root)
+                                "--method", a.method, "--reps", str(rep)], check=True, cwd=root)
     summarize(a.out)
 
 

@@ -8,7 +8,6 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +19,7 @@ from labelpool.config import (
 )
 from labelpool.operators.diversity import diverse_batch
 from labelpool.operators.labels import apply_labels
+from labelpool.operators.logistic import ReweightedLogistic
 from labelpool.operators.pool import labeled_rows, state_counts
 from labelpool.operators.sampling import random_batch
 from labelpool.operators.uncertainty import get_uncertainty_candidates
@@ -29,8 +29,8 @@ from labelpool.session import ensure_checkpoint_dir, small_frame
 
 
 def default_estimator():
-    """Logistic regression with default parameters."""
-    return LogisticRegression(labelCol="label", featuresCol="features")
+    """Logistic regression without a penalty, by reweighted least squares."""
+    return ReweightedLogistic(label="label", features="features")
 
 
 def train_and_evaluate(pool: DataFrame, test: DataFrame, estimator=None,

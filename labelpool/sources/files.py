@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -67,16 +68,31 @@ def write_table(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwri
         w.parquet(path)
 
 
-def append_results(df: DataFrame, path: str, fmt: str = "csv") -> None:
+def append_results(df: DataFrame, path: str, fmt: str = "csv", run_id: str | None = None) -> None:
     """Append result rows; every CSV part file carries its own header, which
-    the reader skips, so the header is never duplicated into the data."""
-    write_table(df, path, fmt=fmt, mode="append")
+    the reader skips, so the header is never duplicated into the data.
+
+    With ``run_id``, or with a ``run_id`` column and ``run_id=""``, the rows are the
+    partitions of their runs: written again, a run replaces its own rows and no others,
+    so a retried append changes nothing. A table is kept in one of the two ways.
+    """
+    if run_id is None:
+        write_table(df, path, fmt=fmt, mode="append")
+        return
+    if run_id:
+        df = df.withColumn("run_id", F.lit(run_id))
+    w = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id")
+    if fmt == "csv":
+        w.option("header", True).csv(path)
+    else:
+        w.parquet(path)
 
 
 RUN_SCHEMA = T.StructType([
     T.StructField("method", T.StringType()), T.StructField("percentage_set", T.IntegerType()),
     T.StructField("cores", T.IntegerType()), T.StructField("time", T.DoubleType()),
 ])
+RUN_ID_SCHEMA = T.StructType([T.StructField("run_id", T.StringType()), *RUN_SCHEMA.fields])
 CURVE_SCHEMA = T.StructType([
     T.StructField("run_id", T.StringType()),
     T.StructField("method", T.StringType()), T.StructField("round", T.IntegerType()),
@@ -87,7 +103,10 @@ CURVE_SCHEMA = T.StructType([
 
 def read_results(spark: SparkSession, path: str, schema: T.StructType = RUN_SCHEMA,
                  fmt: str = "csv") -> DataFrame:
-    """Read a result table (timing runs or a learning curve)."""
+    """Read a result table (timing runs or a learning curve). ``schema`` names the columns
+    and their order; add ``run_id`` to it to read the runs of a table kept by run."""
     if fmt == "parquet":
-        return spark.read.schema(schema).parquet(path)
-    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
+        df = spark.read.schema(schema).parquet(path)
+    else:
+        df = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
+    return df.select(*schema.names)
