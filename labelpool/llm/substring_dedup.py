@@ -11,6 +11,13 @@ ends are those of whole chunks. Chunks are known by a 128-bit
 digest. Those that occur in several documents are joined into runs; runs of at least
 ``least`` characters are repeats, and the first document that holds one keeps it.
 
+Most chunks occur once, so they are sorted out before rows are moved. A first pass sends
+four bytes of each digest that a task meets, by blocks of the digests' first bits; a
+digest that two tasks send, or that a task met in two documents, sets its bit in a bitmap.
+The second pass only gives out chunks whose bit is set. The bitmap has about one bit for
+each chunk of the corpus, 2**MAP_BITS at most (64 MB), and is broadcast; beyond that it
+lets more chunks through, and the exact comparison of digests follows in any case.
+
 Positions are code points, end exclusive; no boundary splits a character. Defined
 results: a null or empty text has no chunks; rows that share id and text are one
 document; ties for the first holder go to the smallest id (null last), then to the
@@ -30,6 +37,9 @@ from labelpool.llm.batches import bounded_batches, checkpointed, mix64, text_sli
 REACH = 12          # a boundary about every 25 bytes, and none nearer than this
 LONGEST = 4_096     # bytes after which a chunk is cut in any case
 LEAST_RUN = 80      # characters of a run that counts as repeated
+MAP_BITS = 29       # the bitmap of repeated digests has at most 2**29 bits
+BLOCK_CHUNKS = 1 << 18   # chunks of the corpus in a block of digests, about
+GATHERED = 1 << 21  # chunks whose digests a task sends at once
 _GEAR = (mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) >> np.uint64(32)).astype(np.uint32)
 
 
@@ -70,9 +80,72 @@ def chunk_ends(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return end
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, start, size (code points) and digest (d1, d2) of every chunk."""
+def _digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    whole = data.tobytes()
+    return np.frombuffer(b"".join([xxhash.xxh3_128_digest(whole[i:j]) for i, j in zip(start.tolist(), end.tolist())]), "<i8").reshape(-1, 2)
+
+
+def repeat_bitmap(docs: DataFrame) -> np.ndarray:
+    """A bit, by the first bits of its digest, for each chunk that several documents hold.
+
+    A bit may be set without one; none is missing. A task's digests are sent once for every
+    GATHERED chunks it meets, so a chunk that all documents hold is as small as any other."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_bits = min(MAP_BITS, max(20, (size // 25).bit_length()))
+    block_bits = min(n_bits - 3, max(8, (size // 25 // BLOCK_CHUNKS).bit_length()))
+
+    def sent(first: list[np.ndarray], doc: list[np.ndarray]) -> pa.RecordBatch:
+        d, owner = np.concatenate(first), np.concatenate(doc)
+        order = np.argsort(d, kind="stable")
+        d, owner = d[order], owner[order]
+        begin = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
+        several = np.minimum.reduceat(owner, begin) != np.maximum.reduceat(owner, begin)
+        d = d[begin]
+        block = (d >> np.uint64(64 - block_bits)).astype(np.int64)
+        rest = (d >> np.uint64(32 - block_bits)).astype(np.uint32)
+        at = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])).tolist()
+        rows = [(block[i], rest[i:j].tobytes(), rest[i:j][several[i:j]].tobytes()) for i, j in zip(at, [*at[1:], len(d)])]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], names=["block", "met", "several"])
+
+    def gather(batches):
+        first, doc, held, n_docs = [], [], 0, 0
+        for b in batches:
+            for lo, hi, data, offsets in text_slices(b.column("text")):
+                if not len(data):
+                    continue
+                end = chunk_ends(data, offsets)
+                start = np.concatenate([[0], end[:-1]])
+                first.append(np.ascontiguousarray(_digests(data, start, end)[:, 0]).view(np.uint64))
+                doc.append(np.searchsorted(offsets, start, side="right") + n_docs)
+                held, n_docs = held + len(end), n_docs + hi - lo
+                if held >= GATHERED:
+                    yield sent(first, doc)
+                    first, doc, held = [], [], 0
+        if held:
+            yield sent(first, doc)
+
+    def repeated(table):
+        met = np.sort(np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("met").to_pylist()]))
+        several = [np.frombuffer(x, np.uint32) for x in table.column("several").to_pylist()]
+        bits = np.zeros(1 << (n_bits - block_bits), np.uint8)
+        bits[np.concatenate([met[1:][met[1:] == met[:-1]], *several]) >> np.uint32(32 - n_bits + block_bits)] = 1
+        return pa.table({"block": table.column("block")[:1], "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    blocks = docs.select("text").mapInArrow(gather, "block long, met binary, several binary") \
+        .groupBy("block").applyInArrow(repeated, "block long, bits binary")
+    out = np.zeros((1 << block_bits, 1 << (n_bits - block_bits - 3)), np.uint8)
+    for r in blocks.collect():   # 2**MAP_BITS bits in all, at most
+        out[r["block"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
+
+
+def chunks(docs: DataFrame, bitmap: np.ndarray | None = None) -> DataFrame:
+    """doc_id, text_key, start, size (code points) and digest (d1, d2) of every chunk, or
+    of those whose bit in ``bitmap`` is set."""
+    shared = None if bitmap is None else docs.sparkSession.sparkContext.broadcast(bitmap)
+
     def cut(batches):
+        bits = None if shared is None else shared.value
         for b in batches:
             ids, keys = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("text_key").to_numpy(zero_copy_only=False)
             known = b.column("known").to_numpy(zero_copy_only=False)
@@ -82,8 +155,11 @@ def chunks(docs: DataFrame) -> DataFrame:
                 end = chunk_ends(data, offsets)
                 start = np.concatenate([[0], end[:-1]])
                 doc = np.searchsorted(offsets, start, side="right") - 1
-                whole = data.tobytes()
-                digest = np.frombuffer(b"".join([xxhash.xxh3_128_digest(whole[i:j]) for i, j in zip(start.tolist(), end.tolist())]), "<i8").reshape(-1, 2)
+                digest = _digests(data, start, end)
+                if bits is not None:
+                    place = np.ascontiguousarray(digest[:, 0]).view(np.uint64) >> np.uint64(64 - (len(bits) * 8).bit_length() + 1)
+                    few = np.flatnonzero(bits[place >> np.uint64(3)] >> (np.uint8(7) - (place & np.uint64(7)).astype(np.uint8)) & 1)
+                    start, end, doc, digest = start[few], end[few], doc[few], digest[few]
                 chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
                 at = chars[start] - chars[offsets[doc]]
                 yield pa.RecordBatch.from_arrays(
@@ -101,9 +177,8 @@ def repeated_spans(docs: DataFrame, least: int = LEAST_RUN) -> DataFrame:
     """doc_id, text_key, start, end, n_chunks, first_doc_id and ``keeps`` of every run
     of repeated chunks, in all documents that hold one."""
     bounded_batches(docs.sparkSession)
-    every = chunks(docs.select("doc_id", "text"))
-    several = every.groupBy("d1").agg(F.min("text_key").alias("lo"), F.max("text_key").alias("hi")).filter("lo < hi").select("d1")
-    found = checkpointed(every.join(several, "d1"))
+    docs = docs.select("doc_id", "text")
+    found = checkpointed(chunks(docs, repeat_bitmap(docs)))
     holder = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
     first = found.groupBy("d1", "d2").agg(F.min(holder).alias("first"), F.min("text_key").alias("lo"), F.max("text_key").alias("hi")) \
         .filter("lo < hi").select("d1", "d2", "first")
