@@ -441,6 +441,20 @@ def q_active_loop_random_nb(spark, sf):
                                                             "dataset_percentage")
 
 
+def q_active_loop_resumed_nb(spark, sf):
+    """A loop that ends after round 3 with labels of a fourth round written but not
+    committed, taken up from its records for the other seven rounds."""
+    train, test = _prepared(spark, sf)
+    tag = uuid.uuid4().hex[:12]
+    loop.active_loop(spark, train, test, "random", rounds=3, estimator=naive_bayes(), run_id="random-10", tag=tag, keep_state=True)
+    lost = PoolState.open(spark, tag)
+    lost.add(lost.frame().filter("state = 'U' and id_sample % 3 = 0").select("id_sample"), 4)
+    store = PoolState.open(spark, tag)
+    _, curve = loop.active_loop(spark, store, test, "random", estimator=naive_bayes())
+    store.close()
+    return curve.select("run_id", "method", "round", _r("labeled_percentage"), "labeled_count", _r("accuracy"), "dataset_percentage")
+
+
 def q_answers_with_labels(spark, sf):
     """Answers with labels for the order pool: every line's day parity is an answer of
     its order; of an order's many, the one of the latest line holds."""
@@ -458,6 +472,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "train_and_evaluate_nb": q_train_and_evaluate_nb,
     "score_pool_nb": q_score_pool_nb,
     "active_loop_random_nb": q_active_loop_random_nb,
+    "active_loop_resumed_nb": q_active_loop_resumed_nb,
     "cast_pool": q_cast_pool,
     "assemble_features": q_assemble_features,
     "train_test_split": q_train_test_split,
@@ -745,6 +760,7 @@ def oracle_sql() -> dict[str, str]:
         "score_pool_nb": f"""
             SELECT id_sample, round(p1, 4) AS p1, round(1 - 2 * abs(p1 - 0.5), 4) AS uncertainty FROM ({_first_round_sql('pool')}) p""",
         "active_loop_random_nb": _random_loop_sql(),
+        "active_loop_resumed_nb": _random_loop_sql(),
         "train_and_evaluate": f"""
             SELECT (SELECT count(*) FROM ({P1_TRAIN_STATE}) t WHERE state = 'L') AS labeled,
                    avg(CASE WHEN (p1 > 0.5) = (label = 1) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS accuracy FROM ({_logistic_sql('test')}) p""",

@@ -184,39 +184,60 @@ def active_round(spark: SparkSession, pool: DataFrame | PoolState, test: DataFra
     return RoundResult(new_pool, acc, budget, l2, u2, time.time() - t0, phases)
 
 
-def active_loop(spark: SparkSession, pool: DataFrame, test: DataFrame, method: str = "smart",
+def active_loop(spark: SparkSession, pool: DataFrame | PoolState, test: DataFrame, method: str = "smart",
                 rounds: int = 10, estimator=None, params: Params | None = None,
-                dataset_percentage: int = 100, state: str = "table",
-                run_id: str | None = None) -> tuple[DataFrame, DataFrame]:
+                dataset_percentage: int = 100, state: str = "table", run_id: str | None = None,
+                tag: str | None = None, keep_state: bool = False) -> tuple[DataFrame, DataFrame]:
     """T rounds; returns ``(final_pool, learning_curve)``. Row 0 is the model
     before any query. The curve keeps the nominal labelled percentage of the
     published workflow (5 + t · 1) and the measured labelled count.
 
     ``state='table'`` keeps round state in bucketed tables (:class:`PoolState`,
-    no pool shuffle, O(B) written per round); ``'memory'`` joins, persists and
-    checkpoints the whole pool each ``checkpoint_every`` rounds. ``run_id``
-    tags the curve rows so reruns appended to one result table stay apart. What
-    the loop caches or writes for itself is released; the returned final pool of
-    the table mode is a checkpoint in the shared folder."""
+    no pool shuffle, O(B) written per round) and commits a record of every round;
+    ``'memory'`` joins, persists and checkpoints the whole pool each
+    ``checkpoint_every`` rounds. ``run_id`` tags the curve rows so reruns appended
+    to one result table stay apart. What the loop caches or writes for itself is
+    released; the returned final pool of the table mode is a checkpoint in the
+    shared folder.
+
+    A loop with a ``tag`` can be taken up after its driver was lost: pass
+    ``PoolState.open(spark, tag)`` as the pool, and the same method and parameters.
+    It goes on after the last committed round and returns the whole curve. A state
+    that is passed in, or kept by ``keep_state``, stays for the caller to close."""
     p = params or Params()
-    run_id = run_id or uuid.uuid4().hex[:12]
     step = strategy(method)
     held = test.is_cached
-    test = test if held else test.persist(StorageLevel.MEMORY_AND_DISK)
-    if state == "table":
-        store: PoolState | None = PoolState(spark, pool)
-        pool_df = store.frame()
-    elif state == "memory":
-        store = None
-        pool_df = settle(pool, None, checkpoint=False)
-    else:
+    store: PoolState | None = None
+    if isinstance(pool, PoolState):
+        store, keep_state = pool, True
+    elif state == "table":
+        store = PoolState(spark, pool, tag=tag)
+    elif state != "memory":
         raise ValueError(f"unknown state mode {state!r}")
+    done = store.records() if store is not None else []
+    if any(r["method"] != method or r["metric"] != p.metric for r in done):
+        raise ValueError(f"the state's rounds were made by {done[0]['method']!r} with {done[0]['metric']!r}")
+    run_id = run_id or (done[0]["run_id"] if done else uuid.uuid4().hex[:12])
+    test = test if held else test.persist(StorageLevel.MEMORY_AND_DISK)
+    pool_df = store.frame() if store is not None else settle(pool, None, checkpoint=False)
     labeled, unlabeled = counts(pool_df)
     train_size = labeled + unlabeled
+    rows: list[tuple] = []
+
+    def finished(t: int, nominal: float, budget: int, acc: float) -> None:
+        rows.append((run_id, method, t, nominal, labeled, float(acc), dataset_percentage))
+        if store is not None:
+            store.commit(round=t, run_id=run_id, method=method, budget=budget, labeled=labeled, unlabeled=unlabeled, nominal=nominal,
+                         metric=p.metric, value=float(acc), dataset_percentage=dataset_percentage)
+
     model, acc = train_and_evaluate(pool_df, test, estimator, p.metric, n_labeled=labeled)
     nominal = INITIAL_LABELED_FRACTION * 100
-    rows = [(run_id, method, 0, nominal, labeled, float(acc), dataset_percentage)]
-    for t in range(1, rounds + 1):
+    if done:
+        rows += [(run_id, method, r["round"], r["nominal"], r["labeled"], r["value"], r["dataset_percentage"]) for r in done]
+        nominal = done[-1]["nominal"]
+    else:
+        finished(0, nominal, 0, acc)
+    for t in range(rows[-1][2] + 1, rounds + 1):
         budget = query_budget(train_size, unlabeled, p.batch_fraction)
         if budget > 0:
             batch = step(spark, pool_df, model, budget, unlabeled, t, p)
@@ -229,10 +250,11 @@ def active_loop(spark: SparkSession, pool: DataFrame, test: DataFrame, method: s
             labeled, unlabeled = counts(pool_df)
         model, acc = train_and_evaluate(pool_df, test, estimator, p.metric, n_labeled=labeled)
         nominal = nominal + p.batch_fraction * 100
-        rows.append((run_id, method, t, nominal, labeled, float(acc), dataset_percentage))
+        finished(t, nominal, budget, acc)
     if not held:
         test.unpersist()
     if store is not None:  # the final pool outlives the state's tables
         pool_df = pool_df.checkpoint()
-        store.close()
+        if not keep_state:
+            store.close()
     return pool_df, small_frame(spark, rows, CURVE_SCHEMA)

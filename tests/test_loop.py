@@ -173,3 +173,23 @@ def test_topk_candidate_mode(spark, prepared):
     res = loop.active_round(spark, store, test, "smart", params=loop.Params(candidates="topk"))
     assert 0 < res.labeled - P.labeled_rows(train).count() <= res.budget
     store.close()
+
+
+def test_a_stopped_loop_goes_on_to_the_same_curve(spark, prepared):
+    train, test = prepared
+    _, whole = loop.active_loop(spark, train, test, "smart", rounds=3, run_id="r")
+    loop.active_loop(spark, train, test, "smart", rounds=1, run_id="r", tag="stopped", keep_state=True)
+    with pytest.raises(ValueError):
+        PoolState(spark, train, tag="stopped")
+    with pytest.raises(ValueError):
+        PoolState.open(spark, "unknown")
+    state = PoolState.open(spark, "stopped")
+    assert [r["round"] for r in state.records()] == [0, 1]
+    state.add(state.frame().filter("state = 'U'").select("id_sample"), 2)   # a round that isn't committed
+    state = PoolState.open(spark, "stopped")
+    with pytest.raises(ValueError):
+        loop.active_loop(spark, state, test, "random", rounds=3)
+    final, curve = loop.active_loop(spark, state, test, "smart", rounds=3)
+    state.close()
+    assert sorted(map(tuple, curve.collect())) == sorted(map(tuple, whole.collect()))
+    assert final.count() == train.count()
