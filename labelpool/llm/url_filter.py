@@ -4,13 +4,17 @@ The cascade is built over a universe of keys, all keys that the corpus can ask
 for. Its first level holds the listed keys, the second the universe's keys that
 the first wrongly takes for listed, the third the listed ones that the second
 takes for wrong, and so on until a level errs nowhere. A key's answer is that of
-the first level that lacks it, so lookups need no join. Levels are made by
-aggregating bits; what reaches the driver is the levels, about 1.5 bytes a
+the first level that lacks it, so lookups need no join. Every level places keys by hashes
+of its own, so keys that meet in one seldom meet in the next, and the levels shrink
+until they end. Levels are made by aggregating bits; what reaches the driver is the levels, about 1.5 bytes a
 listed key. Beyond MAX_BYTES a left join with the listed keys answers instead.
 
 A rule is a host and the beginning of a path, ``example.net/en/``. It fits its
 host and all subdomains if the url's path starts with the rule's; the longest
-rule wins. Defined results: a null url or one without ``://`` has empty host and
+rule wins. Names are labels of a host: where no rule fits, a host with a listed
+label is blocked; all labels of all hosts are the universe of that list's cascade.
+``BLOCKED_NAMES`` are the registered query's list, a parameter of ``url_verdicts``.
+Defined results: a null url or one without ``://`` has empty host and
 path and fits no rule; repeated rows are judged alike; without listed keys
 everything is allowed. Extra columns are not looked at.
 """
@@ -24,12 +28,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from labelpool.llm.batches import bounded_batches, checkpointed
+from labelpool.llm.batches import bounded_batches, checkpointed, mix64
 
 BITS_PER_KEY = 12
 HASHES = 6
 MAX_BYTES = 64 << 20
-# fixed values: host names of the filter's own list, blocked with all subdomains
+# the query's own list: labels by which unwanted hosts among the given pages are known
 BLOCKED_NAMES = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
 
 
@@ -58,38 +62,48 @@ class Cascade:
         answer = np.full(len(h1), len(self.levels) % 2 == 1)
         open_ = np.arange(len(h1))
         for k, bits in enumerate(self.levels):
-            inside = _inside(bits, h1[open_], h2[open_])
+            inside = _inside(bits, h1[open_], h2[open_], k)
             answer[open_[~inside]] = k % 2 == 1
             open_ = open_[inside]
         return answer
 
 
-def _places(h1: np.ndarray, h2: np.ndarray, k: int, n_bits: int) -> np.ndarray:
+def _places(h1: np.ndarray, h2: np.ndarray, n_bits: int, level: int) -> list[np.ndarray]:
+    """The HASHES places of each key in a level's bits."""
     with np.errstate(over="ignore"):
-        return (h1.view(np.uint64) + np.uint64(k) * (h2.view(np.uint64) | np.uint64(1))) % np.uint64(n_bits)
+        a, b = (mix64(h.view(np.uint64) + np.uint64(2 * level + 1) * np.uint64(0x9E3779B97F4A7C15)) for h in (h1, h2))
+        return [(a + np.uint64(k) * (b | np.uint64(1))) % np.uint64(n_bits) for k in range(HASHES)]
 
 
-def _inside(bits: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+def _inside(bits: np.ndarray, h1: np.ndarray, h2: np.ndarray, level: int) -> np.ndarray:
     inside = np.ones(len(h1), dtype=bool)
-    for k in range(HASHES):
-        at = _places(h1, h2, k, len(bits) * 8)
+    for at in _places(h1, h2, len(bits) * 8, level):
         inside &= (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
     return inside
 
 
+def level_bits(n: int) -> int:
+    return 8 * max(8, math.ceil(n * BITS_PER_KEY / 8))
+
+
+def _bytes_of(h1: np.ndarray, h2: np.ndarray, n_bits: int, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes that the keys of a level touch, and the bit in each."""
+    at = np.concatenate(_places(h1, h2, n_bits, level))
+    return (at >> np.uint64(3)).astype(np.int64), 1 << (at & np.uint64(7)).astype(np.int64)
+
+
 def hashed(key: Column) -> tuple[Column, Column]:
     return F.xxhash64(key, F.lit(1)), F.xxhash64(key, F.lit(2))
 
 
-def _level(keys: DataFrame, n: int) -> np.ndarray:
+def _level(keys: DataFrame, n: int, level: int) -> np.ndarray:
     """The bits of all (h1, h2); bytes are merged before they reach the driver."""
-    n_bits = 8 * max(8, math.ceil(n * BITS_PER_KEY / 8))
+    n_bits = level_bits(n)
 
     def places(batches):
         for b in batches:
             h1, h2 = (b.column(c).to_numpy(zero_copy_only=False) for c in ("h1", "h2"))
-            at = np.concatenate([_places(h1, h2, k, n_bits) for k in range(HASHES)])
-            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(3)).astype(np.int64)), pa.array((1 << (at & np.uint64(7)).astype(np.int64)))], names=["byte", "bit"])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, _bytes_of(h1, h2, n_bits, level))], names=["byte", "bit"])
 
     got = keys.mapInArrow(places, "byte long, bit long").groupBy("byte").agg(F.bit_or("bit").alias("bits")).toArrow()
     bits = np.zeros(n_bits // 8, np.uint8)
@@ -107,18 +121,18 @@ def build_cascade(listed: DataFrame, universe: DataFrame) -> Cascade | None:
         return None
     now, other = inside, outside
     while n:
-        bits = _level(now, n)
+        bits = _level(now, n, len(levels))
         levels.append(bits)
-        now, other = checkpointed(_taken(other, bits)), now  # what the new level wrongly holds
+        now, other = checkpointed(_taken(other, bits, len(levels) - 1)), now  # what the new level wrongly holds
         n = now.count()
     return Cascade(tuple(levels))
 
 
-def _taken(keys: DataFrame, bits: np.ndarray) -> DataFrame:
+def _taken(keys: DataFrame, bits: np.ndarray, level: int) -> DataFrame:
     def keep(batches):
         for b in batches:
             h1, h2 = (b.column(c).to_numpy(zero_copy_only=False) for c in ("h1", "h2"))
-            yield b.filter(pa.array(_inside(bits, h1, h2)))
+            yield b.filter(pa.array(_inside(bits, h1, h2, level)))
 
     return keys.mapInArrow(keep, "h1 long, h2 long")
 
@@ -149,9 +163,8 @@ def filter_urls(pages: DataFrame, block: DataFrame, allow: DataFrame, url_col: s
     labels, slashes = (x or 0 for x in reach)
     rows = pages.withColumn("host", F.coalesce(host_of(F.col(url_col)), F.lit(""))).withColumn("path", F.coalesce(path_of(F.col(url_col)), F.lit(""))) \
         .withColumn("_keys", lookup_keys(F.col("host"), F.col("path"), max(labels, 1), slashes))
-    both = lambda k: F.struct(*(h.alias(n) for n, h in zip(("h1", "h2"), hashed(k))))
-    universe = checkpointed(rows.select(F.explode("_keys").alias("key")).distinct().select(both(F.col("key")).alias("h")).select("h.*"))
-    lists = [checkpointed(x.select(both(F.col("key")).alias("h")).select("h.*").distinct()) for x in (block, allow)]
+    universe = checkpointed(rows.select(F.explode("_keys").alias("key")).distinct().select(_pair(F.col("key")).alias("h")).select("h.*"))
+    lists = [checkpointed(x.select(_pair(F.col("key")).alias("h")).select("h.*").distinct()) for x in (block, allow)]
     cascades = [build_cascade(x, universe) for x in lists]
     if any(c is None for c in cascades):
         return _joined(rows, rules)
@@ -192,22 +205,46 @@ def _joined(rows: DataFrame, rules: DataFrame) -> DataFrame:
         F.when(F.col("best.block"), "block").otherwise("allow").alias("verdict"))
 
 
-def url_verdicts(pages: DataFrame) -> DataFrame:
-    """page_id, host, path, rule and verdict, by the four fixed rules and, where
-    none fits, by the list of blocked host names.
+def _pair(key: Column) -> Column:
+    return F.struct(*(h.alias(n) for n, h in zip(("h1", "h2"), hashed(key))))
 
-    The list's keys are the corpus's own hosts that have one of the names as a
-    label; they are looked up as rules for the whole host.
-    """
+
+def with_listed_label(rows: DataFrame, names: DataFrame, host: str = "host", out: str = "listed") -> DataFrame:
+    """Add whether one of a host's labels is a ``name`` of the list, by a cascade over all
+    labels of all hosts."""
+    bounded_batches(rows.sparkSession)
+    labels = F.split(F.coalesce(F.col(host), F.lit("")), r"\.")
+    universe = checkpointed(rows.select(F.explode(labels).alias("key")).distinct().select(_pair(F.col("key")).alias("h")).select("h.*"))
+    listed = checkpointed(names.select(_pair(F.col("name")).alias("h")).select("h.*").distinct())
+    cascade = build_cascade(listed, universe)
+    if cascade is None:
+        held = rows.select(F.col(host).alias("_host"), F.explode(labels).alias("name")).distinct().join(names.select("name").distinct(), "name", "left_semi")
+        return rows.join(held.select("_host").distinct().withColumn(out, F.lit(True)), F.col(host) == F.col("_host"), "left") \
+            .drop("_host").withColumn(out, F.coalesce(F.col(out), F.lit(False)))
+    kept = rows.columns
+
+    def judge(batches):
+        for b in batches:
+            h1, h2 = (b.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("_h1", "_h2"))
+            at = b.column("_h1").offsets.to_numpy()
+            found = np.concatenate([[0], np.cumsum(cascade.contains(h1, h2))])
+            at = at - at[0]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(found[at[1:]] > found[at[:-1]])], names=[*kept, out])
+
+    schema = rows.withColumn(out, F.lit(True)).schema
+    for f in schema.fields:
+        f.nullable = True
+    return rows.withColumn("_h1", F.transform(labels, lambda k: hashed(k)[0])).withColumn("_h2", F.transform(labels, lambda k: hashed(k)[1])).mapInArrow(judge, schema)
+
+
+def url_verdicts(pages: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """page_id, host, path, rule and verdict, by the four fixed rules and, where none
+    fits, by a list of host labels (a column ``name``; by default BLOCKED_NAMES)."""
     spark = pages.sparkSession
-    rows = pages.select("page_id", "url")
-    keys = lambda *k: spark.createDataFrame(pa.table({"key": list(k)}))
-    ruled = filter_urls(rows, keys("net/", "example.com/de/"), keys("example.net/en/", "org/fr/"))
-    # the second list is for whole hosts: their key is the host and a /
-    labels = F.split("host", r"\.")
-    named = ruled.select("host").distinct().filter(F.arrays_overlap(labels, F.array(*map(F.lit, BLOCKED_NAMES)))) \
-        .select(F.concat("host", F.lit("/")).alias("key"))
-    hosts = ruled.select("page_id", "host", "path", "rule", F.col("verdict").alias("by_rule"), F.concat(F.lit("x://"), F.col("host"), F.lit("/")).alias("url"))
-    listed = filter_urls(hosts.withColumnRenamed("host", "_host").withColumnRenamed("path", "_path").withColumnRenamed("rule", "_rule"), checkpointed(named), keys("-/"))
-    return listed.select("page_id", F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"),
-                         F.when(F.col("_rule").isNotNull(), F.col("by_rule")).otherwise(F.col("verdict")).alias("verdict"))
+    table = lambda column, values: spark.createDataFrame(pa.table({column: list(values)}))
+    if names is None:
+        names = table("name", BLOCKED_NAMES)
+    block, allow = table("key", ["net/", "example.com/de/"]), table("key", ["example.net/en/", "org/fr/"])
+    judged = with_listed_label(filter_urls(pages.select("page_id", "url"), block, allow), names)
+    verdict = F.when(F.col("rule").isNull() & F.col("listed"), "block").otherwise(F.col("verdict"))
+    return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"))

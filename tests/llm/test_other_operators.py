@@ -135,6 +135,33 @@ URLS = [None, "", "nothing", "http://NET/", "http://a.net", "x://example.com//de
         "http://ads-track.com", "http://net?/", "http://éé.net/x://y", "http:///en/", "http://a..net/", "http://x/" + "a/" * 5000]
 
 
+def test_cascades_of_small_universes_end():
+    rng = np.random.default_rng(1)
+    for turn in range(1000):
+        n, listed = int(rng.integers(2, 400 if turn % 20 else 20_000)), int(rng.integers(1, 4 if turn % 2 else 40))
+        h1, h2 = (rng.integers(-2 ** 63, 2 ** 63 - 1, n) for _ in range(2))
+        now, other, levels = np.arange(n) < listed, np.arange(n) >= listed, []
+        while now.any():
+            bits = np.zeros(url_filter.level_bits(int(now.sum())) // 8, np.int64)
+            np.bitwise_or.at(bits, *url_filter._bytes_of(h1[now], h2[now], len(bits) * 8, len(levels)))
+            levels.append(bits.astype(np.uint8))
+            taken = other.copy()
+            taken[other] = url_filter._inside(levels[-1], h1[other], h2[other], len(levels) - 1)
+            now, other = taken, now
+            assert len(levels) < 20
+        assert (url_filter.Cascade(tuple(levels)).contains(h1, h2) == (np.arange(n) < listed)).all()
+
+
+def test_listed_labels_by_cascade_and_by_join(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, h) for i, h in enumerate(["bad.example.com", "a.bad", "notbad.com", "", None, "x.y.worse", "bad.worse"])], "page_id long, host string")
+    names = spark.createDataFrame([("bad",), ("worse",), ("bad",), ("unseen",)], "name string")
+    want = [(0, True), (1, True), (2, False), (3, False), (4, False), (5, True), (6, True)]
+    for limit in (url_filter.MAX_BYTES, -1):
+        monkeypatch.setattr(url_filter, "MAX_BYTES", limit)
+        assert sorted((r.page_id, r.listed) for r in url_filter.with_listed_label(rows, names).collect()) == want
+    assert not any(r.listed for r in url_filter.with_listed_label(rows, names.limit(0)).collect())
+
+
 def test_url_verdicts(spark):
     pages = spark.read.parquet(f"{SF_SMALL}/pages.parquet").select("page_id", "url")
     extra = [(9000 + i // 2, u) for i, u in enumerate(URLS + URLS)]

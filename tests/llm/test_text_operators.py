@@ -272,3 +272,57 @@ def test_boundaries_survive_insertions():
 def test_small_table_runs_through(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     assert substring_dedup.repeat_report(docs).count() > 0
+
+
+def _brute_chunks(text):
+    """(start, end) in bytes, straight from the rule."""
+    data = text.encode()
+    gear = [int(x) for x in substring_dedup._GEAR]
+    reach = substring_dedup.REACH
+    h = [sum(gear[data[i - k]] << (2 * k) for k in range(16) if i >= k) % 2 ** 32 for i in range(len(data))]
+    h = [2 ** 32 - 1 if i + 1 < len(data) and data[i + 1] & 0xC0 == 0x80 else x for i, x in enumerate(h)]
+    ends = [i + 1 for i in range(15 + reach, len(data) - reach)
+            if h[i] != 2 ** 32 - 1 and h[i] < min(h[i - reach:i]) and h[i] <= min(h[i + 1:i + reach + 1])]
+    ends = sorted({*ends, len(data)} - {0})
+    return data, list(zip([0, *ends], ends))
+
+
+def test_repeated_spans_match_brute_force(spark):
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choices("abcdefghé", k=rnd.randint(2, 8)))
+    shared = [" ".join(word() for _ in range(60)) for _ in range(3)]
+    docs = [(None, None), (1, ""), (2, shared[0]), (2, shared[0])]
+    for i in range(3, 30):
+        parts = [" ".join(word() for _ in range(rnd.randint(0, 40))) for _ in range(3)]
+        docs.append((i, " ".join([parts[0], rnd.choice([*shared, ""]), parts[1], rnd.choice([*shared, ""]), parts[2]])))
+    found = {}
+    for doc, text in dict.fromkeys(docs):
+        data, cuts = _brute_chunks(text or "")
+        at, places = 0, []
+        for a, b in cuts:
+            places.append((data[a:b], at, at + len(data[a:b].decode())))
+            at = places[-1][2]
+        found[doc] = places
+    holders = {}
+    for doc, places in found.items():
+        for chunk, _, _ in places:
+            holders.setdefault(chunk, set()).add(doc)
+    want = []
+    for doc, places in found.items():
+        run, runs = [], []
+        for chunk, a, b in places:
+            if len(holders[chunk]) > 1:
+                if run and run[-1][1] != a:
+                    runs.append(run)
+                    run = []
+                run.append((a, b, min(holders[chunk]) == doc))
+        for run in [*runs, run]:
+            if run and run[-1][1] - run[0][0] >= substring_dedup.LEAST_RUN:
+                for k, (a, b, own) in enumerate(run):
+                    if k and want[-1][3] == own:
+                        want[-1] = (doc, want[-1][1], b, own)
+                    else:
+                        want.append((doc, a, b, own))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = sorted((r.doc_id, r.start, r.end, r.keeps) for r in substring_dedup.repeated_spans(df).collect())
+    assert got == sorted(want) and len(want) > 10
