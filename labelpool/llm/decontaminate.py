@@ -49,23 +49,32 @@ def _grams(hashes: Column, length: int, tag: int) -> Column:
                        lambda i: F.xxhash64(*(F.get(hashes, i + j) for j in range(length)), F.lit(tag)))
 
 
-def _kept(grams: Column, span: int) -> Column:
-    """(pos, hash) of the grams that are smallest in some run of ``span``."""
+def _kept(grams: Column, span: int, step: int) -> Column:
+    """(pos, hash) of the grams that are smallest in some run of ``span``.
+
+    Of equal grams in a row, which are one word said over and over, the first and the last
+    stay, and those at multiples of ``step`` (0: no others)."""
     def select(lows: Column) -> Column:
         # the largest of the lows of the runs that hold position i
         top = lambda i: F.greatest(*(F.get(lows, F.greatest(F.lit(0), F.least(i - j, F.size(lows) - 1))) for j in range(span)))
         return F.filter(F.transform(_range(F.when(F.size(lows) > 0, F.size(grams)).otherwise(0)), lambda i: F.when(
-            F.get(grams, i) == top(i), F.struct(i.alias("pos"), F.get(grams, i).alias("hash")))), lambda x: x.isNotNull())
+            (F.get(grams, i) == top(i)) & ~_between_equals(grams, i, step), F.struct(i.alias("pos"), F.get(grams, i).alias("hash")))), lambda x: x.isNotNull())
 
     lows = F.transform(_range(F.size(grams) - (span - 1)),
                        lambda i: F.least(*(F.get(grams, i + j) for j in range(span))))
     return _let(lows, select)
 
 
-def fingerprints(words: Column, window: int, gram: int, short: list[int]) -> Column:
+def _between_equals(grams: Column, i: Column, step: int) -> Column:
+    same = lambda j: F.coalesce(F.get(grams, j) == F.get(grams, i), F.lit(False))
+    inner = same(i - 1) & same(i + 1)
+    return inner & (i % step != 0) if step else inner
+
+
+def fingerprints(words: Column, window: int, gram: int, short: list[int], step: int) -> Column:
     """Kept (pos, hash) of a word list, and those of all grams of ``short`` lengths."""
     def of(hashes: Column) -> Column:
-        parts = [_let(_grams(hashes, gram, 0), lambda g: _kept(g, window - gram + 1))]
+        parts = [_let(_grams(hashes, gram, 0), lambda g: _kept(g, window - gram + 1, step))]
         parts += [_let(_grams(hashes, n, n), lambda g: F.transform(g, lambda x, i: F.struct(i.alias("pos"), x.alias("hash")))) for n in short]
         return F.concat(*parts)
 
@@ -92,11 +101,11 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, gram:
     items = benchmark_items(bench, item_id, item_text)
     short = sorted(r[0] for r in items.filter(F.col("m") < window).select("m").distinct().collect())  # under `window` numbers
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("_text"))
-    marks = rows.select("id", "text_key", F.explode(fingerprints(word_list(F.col("_text")), window, gram, short)).alias("f")) \
+    marks = rows.select("id", "text_key", F.explode(fingerprints(word_list(F.col("_text")), window, gram, short, window)).alias("f")) \
         .select("id", "text_key", F.col("f.pos").alias("pos"), F.col("f.hash").alias("hash"))
-    long_marks = items.filter(F.col("m") >= window).select("item", "m", F.explode(fingerprints(F.col("item_words"), window, gram, [])).alias("f"))
+    long_marks = items.filter(F.col("m") >= window).select("item", "m", F.explode(fingerprints(F.col("item_words"), window, gram, [], 0)).alias("f"))
     marked = [long_marks] + [items.filter(F.col("m") == n).select("item", "m", F.explode(F.filter(
-        fingerprints(F.col("item_words"), window, gram, [n]), lambda x: x.pos == 0)).alias("f")) for n in short]
+        fingerprints(F.col("item_words"), window, gram, [n], 0), lambda x: x.pos == 0)).alias("f")) for n in short]
     test = marked[0]
     for more in marked[1:]:
         test = test.unionByName(more)
@@ -113,12 +122,14 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, gram:
         F.slice("words", F.greatest(f.diagonal, F.lit(0)) + 1,
                 F.greatest(F.lit(0), F.least(f.m, F.size("words") - f.diagonal) - F.greatest(-f.diagonal, F.lit(0)))).alias("part")))).alias("c")) \
         .select("id", "text_key", "c.*")
-    same = cut.join(items.select("item", "item_words", "ids"), "item").select(
-        "id", "text_key", "ids", "at", F.least("m", F.lit(window)).alias("least"),
-        F.array_join(F.transform("part", lambda w, j: F.when(w == F.get("item_words", j + F.col("skip")), "1").otherwise("0")), "").alias("mask"))
-    spans = same.select("id", "text_key", "ids", F.transform(
-        F.filter(_range(F.length("mask") - F.col("least") + 1), lambda s: F.col("mask").substr(s + 1, F.col("least")) == F.expr("repeat('1', least)")),
-        lambda s: F.struct((F.col("at") + s).alias("start"), (F.col("at") + s + F.col("least")).alias("end"))).alias("spans")) \
+    # the stretches of equal words that hold a window; the mask is made once, wherever the optimiser moves this
+    equal = F.array_join(F.transform("part", lambda w, j: F.when(w == F.get("item_words", j + F.col("skip")), "1").otherwise("0")), "")
+    least = F.least("m", F.lit(window))
+    begins = lambda mask: F.filter(_range(F.length(mask) - least + 1), lambda s: (
+        ((s == 0) | (mask.substr(s, F.lit(1)) == "0")) & (mask.substr(s + 1, least) == F.repeat(F.lit("1"), least))))
+    stretches = _let(equal, lambda mask: F.transform(begins(mask), lambda s: F.struct(
+        (F.col("at") + s).alias("start"), (F.col("at") + s + F.length(F.regexp_extract(mask.substr(s + 1, F.length(mask)), "^1+", 0))).alias("end"))))
+    spans = cut.join(items.select("item", "item_words", "ids"), "item").select("id", "text_key", "ids", stretches.alias("spans")) \
         .filter(F.size("spans") > 0)
     return (spans.groupBy("id", "text_key")
             .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"),

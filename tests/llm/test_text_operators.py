@@ -326,3 +326,32 @@ def test_repeated_spans_match_brute_force(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
     got = sorted((r.doc_id, r.start, r.end, r.keeps) for r in substring_dedup.repeated_spans(df).collect())
     assert got == sorted(want) and len(want) > 10
+
+
+def test_repeated_words_against_an_item_of_them(spark):
+    import time
+
+    def brute(text, items):
+        words, hit, found = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower()), set(), set()
+        for item, t in items:
+            iw = t.lower().split()
+            n = min(10, len(iw))
+            windows = {tuple(iw[i:i + n]) for i in range(len(iw) - n + 1)}
+            at = [i for i in range(len(words) - n + 1) if tuple(words[i:i + n]) in windows]
+            hit.update(j for i in at for j in range(i, i + n))
+            if at:
+                found.add(item)
+        return len(hit), len(found)
+
+    rnd = random.Random(12)
+    items = [("a", "b " * 30 + "c d " + "b " * 14), ("e", "x " + "b " * 11), ("f", "b " * 10), ("g", "p q " * 12), ("h", "b b b"), ("i", "z " + "b " * 9)]
+    texts = ["b " * n for n in (2, 9, 10, 11, 25, 64, 99)] + ["x " + "b " * 40 + "c d " + "b " * 20, "p q " * 30 + "p", "z " + "b " * 35 + "y", "q " + "b " * 17 + "x " + "b " * 12]
+    texts += [" ".join(w for _ in range(6) for w in [rnd.choice("bbbcdxz")] * rnd.randint(1, 24)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items) for r in decontaminate.contamination_report(docs, bench).collect()}
+    assert got == {i: brute(t, items) for i, t in enumerate(texts)}
+    began = time.time()
+    long_doc = spark.createDataFrame([(1, "same " * 20_000)], "doc_id long, text string")
+    one = decontaminate.contamination_report(long_doc, spark.createDataFrame([("m", "same " * 1_000)], "item_id string, text string")).first()
+    assert (one.n_words, one.n_hit, one.n_items) == (20_000, 20_000, 1) and time.time() - began < 60
