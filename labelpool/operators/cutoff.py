@@ -30,11 +30,14 @@ import math
 import sys
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from labelpool.config import BROADCAST_MAX_ROWS
+from labelpool.session import small_frame
 
 _GROUP0 = "_lp_g0"
 
@@ -74,7 +77,7 @@ def kth_smallest(df: DataFrame, key: str | Column, tie: str | Column,
     """
     by = list(by)
     if not by and isinstance(k, int):
-        found = _kth_global(df, key, tie, int(k), bucket_bits=bucket_bits, final_rows=final_rows)
+        found = _kth_global(df, key, tie, int(k), bucket_bits=bucket_bits, final_rows=min(final_rows, 1 << 16))
         one = df.sparkSession.range(1)
         if found is None:
             return one.filter(F.lit(False)).select(
@@ -170,10 +173,11 @@ def kth_smallest(df: DataFrame, key: str | Column, tie: str | Column,
 
 
 def _kth_global(df: DataFrame, key: str | Column, tie: str | Column, k: int, *,
-                bucket_bits: int = 12, final_rows: int = 1 << 18) -> tuple[float, int, int] | None:
+                bucket_bits: int = 12, final_rows: int = 1 << 16) -> tuple[float, int, int] | None:
     """One group: the state is a single row, so each level's range is a
     literal filter and its histogram (at most 2^bucket_bits counts, a bounded
-    summary like a quantile sketch) is cumulated on the driver. About two
+    summary like a quantile sketch) is cumulated on the driver, as are the
+    last range's at most ``final_rows`` pairs (1 MB by default). About two
     jobs when the data fits ``final_rows``, one more per refinement level."""
     nb = 1 << bucket_bits
     base = (df.select(_finite(_col(key)).alias("_k"), _col(tie).cast("bigint").alias("_t"))
@@ -212,10 +216,11 @@ def _kth_global(df: DataFrame, key: str | Column, tie: str | Column, k: int, *,
                     lo_k, hi_k, lo_t, hi_t = r["lk"], r["hk"], int(r["lt"]), int(r["ht"])
                     break
                 before += r["c"]
-        w = Window.orderBy("_k", "_t")  # at most final_rows rows reach this one task
-        row = (base.filter(in_range()).withColumn("_rn", F.row_number().over(w))
-               .filter(F.col("_rn") == F.lit(need)).first())
-        return _unbounded(float(row["_k"])), int(row["_t"]), int(need)
+        # the last range: at most final_rows pairs of numbers
+        last = base.filter(in_range()).toArrow()
+        keys, ties = (last.column(c).to_numpy() for c in ("_k", "_t"))
+        at = np.lexsort((ties, keys))[need - 1]
+        return _unbounded(float(keys[at])), int(ties[at]), int(need)
     finally:
         base.unpersist()
 
@@ -361,9 +366,10 @@ def dense_ids(df: DataFrame, hash_col: str, tie: str, out: str,
     """Ids ``0..n-1`` in the order ``(hash_col, tie)`` without a global sort.
 
     ``hash_col`` is a uniform 32-bit hash, so its top bits cut the rows into
-    equal buckets: a count per bucket gives each bucket's offset (a window
-    over at most 2^20 bucket rows) and ``row_number`` inside each bucket gives
-    the rest. Only the in-bucket numbering shuffles the rows, by bucket.
+    equal buckets: a count per bucket gives each bucket's offset, and
+    ``row_number`` inside each bucket gives the rest. Offsets are prefix sums on
+    two levels: over the at most 2^10 buckets of a group, and over the at most
+    2^10 groups. Only the in-bucket numbering shuffles the rows, by bucket.
     """
     if n is None:
         n = df.count()
@@ -371,8 +377,16 @@ def dense_ids(df: DataFrame, hash_col: str, tie: str, out: str,
     bucket = F.shiftright(F.col(hash_col), 32 - bits) if bits else F.lit(0).cast("bigint")
     tagged = df.withColumn("_lp_b", bucket)
     counts = tagged.groupBy("_lp_b").agg(F.count(F.lit(1)).alias("_lp_c"))
-    w_all = Window.orderBy("_lp_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offsets = counts.select("_lp_b", (F.sum("_lp_c").over(w_all) - F.col("_lp_c")).alias("_lp_off"))
+    group = F.shiftright(F.col("_lp_b"), 10)
+    totals = counts.groupBy(group.alias("_lp_g")).agg(F.sum("_lp_c").alias("c")).collect()   # at most 2^10 rows
+    before, bases = 0, []
+    for r in sorted(totals, key=lambda r: r["_lp_g"]):
+        bases.append((r["_lp_g"], before))
+        before += r["c"]
+    starts = small_frame(df.sparkSession, bases, T.StructType([T.StructField("_lp_g", T.LongType()), T.StructField("_lp_base", T.LongType())]))
+    inside = Window.partitionBy("_lp_g").orderBy("_lp_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    offsets = counts.withColumn("_lp_g", group).join(F.broadcast(starts), "_lp_g").select(
+        "_lp_b", (F.col("_lp_base") + F.sum("_lp_c").over(inside) - F.col("_lp_c")).alias("_lp_off"))
     w = Window.partitionBy("_lp_b").orderBy(F.col(hash_col), F.col(tie))
     # at most 2^20 bucket rows: a bounded broadcast
     return (tagged.withColumn("_lp_rn", F.row_number().over(w))
