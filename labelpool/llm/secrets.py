@@ -10,7 +10,8 @@ tokens of the shape of joined words as ordinary; other tokens have no label.
 Positions are code points of the whole text, end exclusive. Defined results: a
 null or empty text has no spans; a table without tokens gives smoothed models
 that flag nothing new; repeated rows and ids are judged row by row; markov spans
-never overlap base spans. Other columns are not looked at.
+never overlap base spans: what a base span leaves of a token is a token of its own
+if it is long enough. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -30,9 +31,11 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 TOKEN_LEAST = 16
 TOKEN = rf"[A-Za-z0-9+/_=-]{{{TOKEN_LEAST},}}"
 SMOOTHING = 8.0  # pairs' worth of weight that a character's own frequency has
-# shapes that label a token as an ordinary identifier: words joined by case, _ or -, or all capitals
-ORDINARY = r"^([_-]?[A-Z]?[a-z]{2,})+[0-9]{0,3}$|^([_-]?[A-Z]{2,})+$"
+# shapes that label a token as an ordinary identifier: words joined by case, _ or -, with up
+# to three digits behind, or all capitals; a word takes all its letters, one after the other
+JOINED_WORD, JOINED_CAPITALS, DIGITS_BEHIND = r"\G[_-]?[A-Z]?[a-z]{2,}+", r"\G[_-]?[A-Z]{2,}+", r"^[0-9]{0,3}$"
 PER_CHAR = 0.8   # log-likelihood ratio a character that a span must reach
+PART = 128       # matches of a text that are gathered at once
 SPAN_TYPE = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
@@ -41,15 +44,20 @@ def _matches(text: Column, pattern: str, value_group: int) -> Column:
     between, whole = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = whole if value_group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group))
     parts = F.arrays_zip(between.alias("gap"), whole.alias("whole"), values.alias("value"))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    empty = F.struct(F.lit(0).alias("at"), none.alias("part"), F.array().cast("array<array<struct<start:int,end:int,value:string>>>").alias("full"))
 
     def step(acc: Column, part: Column) -> Column:
         start = (acc["at"] + F.length(part["gap"])).cast("int")
         end = (start + F.coalesce(F.length(part["whole"]), F.lit(0))).cast("int")
         one = F.array(F.struct(start.alias("start"), end.alias("end"), part["value"].alias("value")))
-        return F.struct(end.alias("at"), F.when(part["whole"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], one)).alias("out"))
+        # short arrays that grow, and an array of the full ones, so that few matches are copied for each
+        is_full = F.size(acc["part"]) >= PART
+        grown = F.when(is_full, one).otherwise(F.concat(acc["part"], one))
+        return F.struct(end.alias("at"), F.when(part["whole"].isNull(), acc["part"]).otherwise(grown).alias("part"),
+                        F.when(is_full & part["whole"].isNotNull(), F.concat(acc["full"], F.array(acc["part"]))).otherwise(acc["full"]).alias("full"))
 
-    return F.aggregate(parts, empty, step, lambda a: a["out"])
+    return F.aggregate(parts, empty, step, lambda a: F.flatten(F.concat(a["full"], F.array(a["part"]))))
 
 
 def _kind(found: Column, kind: int) -> Column:
@@ -74,9 +82,30 @@ def base_spans(text: Column) -> Column:
 
 
 def free_tokens(text: Column, base: Column) -> Column:
-    """(start, end, value) of the tokens that overlap no base span."""
-    tokens = F.when(text.rlike(TOKEN), _matches(text, TOKEN, 0)).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
-    return F.filter(tokens, lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    """(start, end, value) of the tokens, and of what base spans leave of one, of
+    TOKEN_LEAST characters or more."""
+    kind = "array<struct<start:int,end:int,value:string>>"
+    tokens = F.when(text.rlike(TOKEN), _matches(text, TOKEN, 0)).otherwise(F.array().cast(kind))
+
+    def left(token: Column) -> Column:
+        def piece(out: Column, start: Column, end: Column) -> Column:
+            one = F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"),
+                           F.substr(token["value"], start - token["start"] + 1, end - start).alias("value"))
+            return F.when(end - start >= TOKEN_LEAST, F.concat(out, F.array(one))).otherwise(out)
+
+        step = lambda acc, b: F.struct(F.greatest(acc["at"], b["end"]).alias("at"), piece(acc["out"], acc["at"], b["start"]).alias("out"))
+        return F.aggregate(F.filter(base, lambda b: (b["start"] < token["end"]) & (token["start"] < b["end"])),
+                           F.struct(token["start"].alias("at"), F.array().cast(kind).alias("out")), step,
+                           lambda acc: piece(acc["out"], acc["at"], token["end"]))
+
+    return F.when(F.size(base) == 0, tokens).otherwise(F.flatten(F.transform(tokens, left)))
+
+
+def is_ordinary(token: Column) -> Column:
+    """Whether a token has the shape of an identifier: its words, taken off one after the
+    other from the beginning, leave nothing or a short number."""
+    words, capitals = (F.regexp_replace(token, p, "") for p in (JOINED_WORD, JOINED_CAPITALS))
+    return (words.rlike(DIGITS_BEHIND) & (words != token)) | ((capitals == "") & (token != ""))
 
 
 def _scanned(docs: DataFrame, text_col: str) -> DataFrame:
@@ -91,7 +120,7 @@ def fit_models(docs: DataFrame, text_col: str = "text") -> list[float]:
     The pairs of all labelled tokens of all documents are counted before the
     shuffle; 2 * 67**2 counts at most reach the driver."""
     rows = _scanned(docs.select(F.col(text_col).alias("text")), "text").select("_base", "_free")
-    ordinary = rows.select(F.explode(F.transform(F.filter("_free", lambda t: t["value"].rlike(ORDINARY)), lambda t: t["value"])).alias("token")) \
+    ordinary = rows.select(F.explode(F.transform(F.filter("_free", lambda t: is_ordinary(t["value"])), lambda t: t["value"])).alias("token")) \
         .withColumn("random", F.lit(0))
     secret = rows.select(F.explode(F.transform("_base", lambda b: b["value"])).alias("token")).withColumn("random", F.lit(1))
     made = ordinary.select(F.explode(F.array(F.md5("token"), F.base64(F.unhex(F.sha1("token"))))).alias("token"), F.lit(1).alias("random"))
@@ -116,9 +145,11 @@ def fit_models(docs: DataFrame, text_col: str = "text") -> list[float]:
 def likelihood_ratio(token: Column, ratio: list[float]) -> Column:
     """Sum of the pairs' ratios over a token of ALPHABET characters."""
     table = F.split(F.lit(",".join(f"{x:.4f}" for x in ratio)), ",").cast("array<double>")
-    code = lambda i: F.instr(F.lit(ALPHABET), F.substr(token, i, F.lit(1))) - 1
-    return F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0),
-                       lambda s, i: s + F.get(table, code(i) * len(ALPHABET) + code(i + 1)))
+    codes = F.transform(F.regexp_extract_all(token, F.lit("."), F.lit(0)), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+    # each character with the one before it: the state holds the sum and the last code
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(-1).alias("last"))
+    step = lambda acc, c: F.struct(F.when(acc["last"] < 0, 0.0).otherwise(acc["sum"] + F.get(table, acc["last"] * len(ALPHABET) + c)).alias("sum"), c.alias("last"))
+    return F.aggregate(codes, start, step, lambda acc: acc["sum"])
 
 
 def find_secrets(docs: DataFrame, ratio: list[float] | None = None, text_col: str = "text") -> DataFrame:

@@ -355,3 +355,63 @@ def test_repeated_words_against_an_item_of_them(spark):
     long_doc = spark.createDataFrame([(1, "same " * 20_000)], "doc_id long, text string")
     one = decontaminate.contamination_report(long_doc, spark.createDataFrame([("m", "same " * 1_000)], "item_id string, text string")).first()
     assert (one.n_words, one.n_hit, one.n_items) == (20_000, 20_000, 1) and time.time() - began < 60
+
+
+def test_markov_spans_match_brute_force(spark):
+    import base64
+    import math
+
+    rnd = random.Random(13)
+    noise = lambda n: "".join(rnd.choices(secrets.ALPHABET[:62], k=n))
+    name = lambda: "_".join(rnd.choice(["user", "Count", "total", "Value", "index", "of", "Rows"]) for _ in range(rnd.randint(4, 6)))
+    texts = [" ".join(rnd.choice([name, name, lambda: noise(rnd.randint(10, 40)), lambda: "password=" + noise(20), lambda: "word"])() for _ in range(12)) for _ in range(60)]
+    key = "AKIA" + "ABCDEFGH12345678"
+    texts += [None, "", f"{key}/{noise(40)}", f"0123456789abcdef-{noise(24)}", f"{noise(20)}/{key}", key + "/" + "a" * 14, f"{key}-{name()}"]
+    base_of, free_of = [], []
+    for text in texts:
+        text = text or ""
+        base = [(m.start(), 0, m.end(), m.group(2)) for m in re.finditer(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m.group(2)) >= 12]
+        base += [(m.start(), 1, m.end(), m.group()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m.group()) >= 18]
+        base += [(m.start(), 2, m.end(), m.group()) for m in re.finditer(r"[0-9a-f]+", text) if len(m.group()) >= 16]
+        base_of.append(sorted(base))
+        inside = {i for s, _, e, _ in base for i in range(s, e)}
+        free = []
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", text):
+            shown = "".join("\n" if i in inside else text[i] for i in range(m.start(), m.end()))
+            free += [(m.start() + p.start(), m.start() + p.end(), p.group()) for p in re.finditer(r"[^\n]{16,}", shown)]
+        free_of.append(free)
+    ordinary = [v for free in free_of for _, _, v in free if re.fullmatch(r"([_-]?[A-Z]?[a-z]{2,})+[0-9]{0,3}|([_-]?[A-Z]{2,})+", v)]
+    random_ones = [v for base in base_of for _, _, _, v in base]
+    for v in ordinary:
+        random_ones += [hashlib.md5(v.encode()).hexdigest(), base64.b64encode(hashlib.sha1(v.encode()).digest()).decode()]
+
+    def model(tokens):
+        n = {a + b: 0 for a in secrets.ALPHABET for b in secrets.ALPHABET}
+        for v in tokens:
+            for i in range(len(v) - 1):
+                if v[i:i + 2] in n:
+                    n[v[i:i + 2]] += 1
+        single = {b: sum(n[a + b] for a in secrets.ALPHABET) + 0.5 for b in secrets.ALPHABET}
+        total = sum(single.values())
+        return {a + b: math.log((n[a + b] + secrets.SMOOTHING * single[b] / total) / (sum(n[a + c] for c in secrets.ALPHABET) + secrets.SMOOTHING))
+                for a in secrets.ALPHABET for b in secrets.ALPHABET}
+
+    on, off = model(random_ones), model(ordinary)
+    want = []
+    for base, free in zip(base_of, free_of):
+        found = [(s, 3, e, v) for s, e, v in free if sum(round(on[v[i:i + 2]] - off[v[i:i + 2]], 4) for i in range(len(v) - 1)) >= secrets.PER_CHAR * (len(v) - 1)]
+        want.append(",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e, _ in sorted(base + found)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.spans for r in secrets.secret_report(docs).collect()}
+    assert got == dict(enumerate(want))
+    assert all("markov" in want[i] for i in (-5, -4, -3)) and "markov" not in want[-2] + want[-1]
+
+
+def test_secrets_of_very_long_runs(spark):
+    import time
+
+    long = ["a" * 200_000, "AbCd" * 40_000, "x1Y2z3+/" * 40_000, ("0123456789abcdef " * 20_000), "ab_" * 60_000]
+    docs = spark.createDataFrame(list(enumerate(long)), "doc_id long, text string")
+    began = time.time()
+    rows = {r.doc_id: r for r in secrets.secret_report(docs).collect()}
+    assert rows[3].n_hex == 20_000 and time.time() - began < 90
