@@ -237,6 +237,43 @@ def test_constant_texts_are_template(spark):
     assert extracted(spark, two + same) == {0: "same t0", 1: "same t1"} | {10 + i: "same" for i in range(4)}
 
 
+def test_shared_paragraphs_of_articles_stay(spark):
+    rows = [(i, f"http://x/{i}", f"<body><nav>m</nav><article><h1>t{i}</h1><p>own {i}</p><p>shared by all</p></article><footer>f</footer></body>") for i in range(12)]
+    rows += [(100 + i, f"http://y/{i}", f"<h1>t{i}</h1><div class=story><p>own {i} {i} {i}</p><p>shared by all</p></div>") for i in range(3)]
+    assert extracted(spark, rows) == {i: f"t{i} own {i} shared by all" for i in range(12)} | {100 + i: f"t{i} own {i} {i} {i} shared by all" for i in range(3)}
+
+
+TALK = "<div class=c><span class=w>reader {0}</span><p>said {0} to {1}</p></div>"
+
+
+def test_comments_inside_articles_go(spark):
+    """By a listed name, and as a list of records under no listed name; figures and
+    sections of an article, which repeat, too, stay."""
+    page = "<article><h1>t{0}</h1><p>" + "word{0} " * 60 + "</p><div class=fig><span class=cap>figure {0}</span></div><div class=fig><span class=cap>second {0}</span></div><p>end {0}</p>{1}</article>"
+    named = "<div class=share><a href=x>Tell {0} friends</a></div><div class=comments><p>first {0}</p></div>"
+    want = {i: f"t{i} " + " ".join([f"word{i}"] * 60) + f" figure {i} second {i} end {i}" for i in range(4)}
+    assert extracted(spark, [(i, f"http://x/{i}", page.format(i, named.format(i))) for i in range(4)]) == want
+    talk = [(i, f"http://x/{i}", page.format(i, "<section class=reader-talk><h3>Talk on {0}</h3>".format(i) + "".join(TALK.format(k, i) for k in range(i + 1)) + "</section>")) for i in range(4)]
+    assert extracted(spark, talk) == want
+    parts = [(i, f"http://x/{i}", f"<article><p>lead {i}</p>" + "".join(f"<div class=part><h2>part {k}</h2><p>text {i} {k}</p></div>" for k in range(i + 2)) + "</article>") for i in range(4)]
+    assert extracted(spark, parts) == {i: f"lead {i} " + " ".join(f"part {k} text {i} {k}" for k in range(i + 2)) for i in range(4)}
+
+
+def test_boxes_beside_the_text_go(spark):
+    """Without an article element: a varying box, a list of records, and on a host of two
+    pages a notice, all under unlisted names."""
+    page = "<body>{2}<h1>title {0}</h1><div class=lead>lead {0}</div><div class=story><p>{1}</p></div><div class=x1>Buy {0} now</div>{3}</body>"
+    for pages in (2, 5):
+        rows = [(i, f"http://x{pages}/{i}", page.format(i, f"story{i} " * 80, "<div class=x2>Our terms have changed</div>",
+                                                       "<div class=reader-talk>" + "".join(TALK.format(k, i) for k in range(1 + i % 3)) + "</div>")) for i in range(pages)]
+        assert extracted(spark, rows) == {i: f"title {i} lead {i} " + " ".join([f"story{i}"] * 80) for i in range(pages)}
+
+
+def test_deep_pages(spark):
+    rows = [(i, f"http://x/{i}", "<body>" + "<div class=a>" * 3000 + f"<article><p>deep {i}</p></article>" + "</div>" * 3000) for i in range(3)]
+    assert extracted(spark, rows) == {i: f"deep {i}" for i in range(3)}
+
+
 # ------------------------------------------------------------ vectors
 def brute(rows, k):
     out = {}
