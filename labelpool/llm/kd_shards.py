@@ -7,10 +7,15 @@ the leaves reach the target bytes. All cells of a level are cut in the same jobs
 cut is found by histograms of a cell's keys, narrowed to the bucket that holds the
 median, so that no cell's rows come together anywhere.
 
+Text metadata is a dimension by the order of its distinct values in the whole table,
+which a range-partitioned sort numbers.
+
 Rows with equal text form a group that stays in one shard. Groups of over 1 % of a
-shard's target are placed first, heaviest first (there are at most 100 a shard), and
-the tree's leaves get what is left of their targets. Only a group that is larger
-than a shard is divided.
+shard's target (there are at most 100 a shard) are placed first, heaviest first, each in
+the shard with most room, and the tree's leaves get what is left of their targets. The
+share rises with the number of shards beyond 1,000, so that at most PLACED groups reach
+the driver; of the cells, a row each does. Only a group that is larger than a shard is
+divided.
 
 Defined results: a null text has no bytes and size 1; null metadata counts as 0;
 repeated rows and ids each get a slot; with fewer groups than shards some shards
@@ -19,6 +24,7 @@ stay empty; an empty table gives no rows. Extra columns are not looked at.
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import pyarrow as pa
@@ -28,12 +34,28 @@ from labelpool.llm.batches import checkpointed
 
 BUCKETS = 1024
 HEAVY = 0.01          # share of a shard's target from which a group is placed by itself
+PLACED = 100_000      # groups that are placed by themselves, at most
+BROADCAST_VALUES, BROADCAST_BYTES = 100_000, 16 << 20   # distinct values, and their bytes, that are broadcast at most
 SLOT_ROWS = 5_000     # rows that one window of slot numbers holds, about
 
 
-def text_number(value: Column) -> Column:
-    """A number in the order of the first six bytes of a string."""
-    return F.coalesce(F.conv(F.rpad(F.hex(F.substring(value, 1, 6).cast("binary")).substr(1, 12), 12, "0"), 16, 10).cast("long"), F.lit(0).cast("long"))
+def _numbered(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """``rows`` with ``name``: the place of ``column``'s value among its distinct values in
+    order, from 1; a null's is 0. ``column`` goes."""
+    in_order = rows.select(F.col(column).alias("_value")).filter("_value is not null").distinct().orderBy("_value")
+    in_order = checkpointed(in_order.withColumn("_at", F.monotonically_increasing_id()))
+    # the upper bits of _at are the partition, the lower 33 the place in it
+    counts = in_order.groupBy(F.shiftright("_at", 33).alias("_part")).agg(F.count("*").alias("_rows"), F.sum(F.octet_length("_value")).alias("_bytes")).collect()
+    begin, n = [], 0
+    for r in sorted(counts, key=lambda r: r["_part"]):
+        begin.append((r["_part"], n))
+        n += r["_rows"]
+    begins = _small(rows.sparkSession, {"_part": pa.array([x for x, _ in begin], pa.int64()), "_begin": pa.array([x for _, x in begin], pa.int64())})
+    places = in_order.withColumn("_part", F.shiftright("_at", 33)).join(F.broadcast(begins), "_part") \
+        .select("_value", (F.col("_begin") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias(name))
+    if n <= BROADCAST_VALUES and sum(r["_bytes"] for r in counts) <= BROADCAST_BYTES:
+        places = F.broadcast(places)
+    return rows.join(places, F.col(column) == F.col("_value"), "left").drop("_value", column).fillna(0, [name])
 
 
 def _small(spark, columns: dict) -> DataFrame:
@@ -83,15 +105,19 @@ def kd_shards(docs: DataFrame, n_shards: int | None = None, target_bytes: int |
     """``id``, size, text_crc32, shard and slot (gapless in a shard) for each row.
 
     Give the number of shards or the target bytes of a leaf. ``docs`` needs
-    ``doc_id``; ``dims`` default to language, source and length.
+    ``doc_id``; ``dims``, of integers or strings, default to language, source and length.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    dims = dims or [text_number(F.col("lang")), text_number(F.col("source")), F.octet_length(text).cast("long")]
+    dims = dims or [F.col("lang"), F.col("source"), F.octet_length(text)]
+    texts = [f.dataType.typeName() in ("string", "varchar", "char") for f in docs.select(*(d.alias(f"d{k}") for k, d in enumerate(dims))).schema]
     narrow = checkpointed(docs.select(
         F.col("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.xxhash64(text).alias("h"), *(F.coalesce(d, F.lit(0)).cast("long").alias(f"d{k}") for k, d in enumerate(dims)),
+        F.xxhash64(text).alias("h"), *(d.alias(f"s{k}") if texts[k] else F.coalesce(d, F.lit(0)).cast("long").alias(f"d{k}") for k, d in enumerate(dims)),
         F.monotonically_increasing_id().alias("uid")))
+    for k in range(len(dims)):
+        if texts[k]:
+            narrow = _numbered(narrow, f"s{k}", f"d{k}")
     ends = narrow.agg(F.sum("size").alias("total"), F.count("*").alias("rows"),
                       *(f(f"d{k}").alias(f"{n}{k}") for k in range(len(dims)) for f, n in ((F.min, "lo"), (F.max, "hi")))).first()
     total = ends["total"] or 0
@@ -113,14 +139,15 @@ def kd_shards(docs: DataFrame, n_shards: int | None = None, target_bytes: int |
         groups = groups.withColumn(f"k{k}", F.shiftleft(F.shiftright(F.col(f"d{k}") - F.lit(lo), shift), 32) + tie)
     groups = checkpointed(groups.drop(*(f"d{k}" for k in range(len(dims)))))
 
-    room = [target] * leaves
-    heavy_at = groups.filter(F.col("weight") > HEAVY * target).select("h", "part", "weight").collect()  # under 100 a shard
-    placed = []
+    least = max(HEAVY, leaves / PLACED) * target
+    heavy_at = groups.filter(F.col("weight") > least).select("h", "part", "weight").collect()   # under leaves * target / least
+    room, placed = [(-target, shard) for shard in range(leaves)], []
     for r in sorted(heavy_at, key=lambda r: (-r["weight"], r["h"], r["part"])):
-        shard = max(range(leaves), key=lambda s: room[s])
-        room[shard] -= r["weight"]
+        left, shard = room[0]
+        heapq.heapreplace(room, (left + r["weight"], shard))
         placed.append((r["h"], r["part"], shard))
-    light = groups.filter(F.col("weight") <= HEAVY * target).withColumn("cell", F.lit(0).cast("long"))
+    room = [-left for left, _ in sorted(room, key=lambda x: x[1])]
+    light = groups.filter(F.col("weight") <= least).withColumn("cell", F.lit(0).cast("long"))
 
     tree = {0: (0, leaves)}   # cell -> its leaves, from .. to
     while any(b - a > 1 for a, b in tree.values()):

@@ -185,6 +185,37 @@ def test_cascade_is_exact_and_join_agrees(spark, monkeypatch):
     assert one == sorted([tuple(r) for r in url_filter.filter_urls(pages, block, allow).collect()], key=str)
 
 
+def brute_cells(points, a, b, spans):
+    """{group: shard} of a k-d tree over (weight, keys, group) points, by sorting them."""
+    if b - a == 1 or not points:
+        return {g: a for _, _, g in points}
+    width = [(max(p[1][k] for p in points) >> 32) - (min(p[1][k] for p in points) >> 32) for k in range(len(spans))]
+    dim = max(range(len(spans)), key=lambda k: width[k] / max(spans[k], 1))
+    points = sorted(points, key=lambda p: p[1][dim])
+    half, upto, left = (b - a) // 2, 0, 0
+    goal = sum(p[0] for p in points) * half / (b - a)
+    for left, p in enumerate(points):
+        upto += p[0]
+        if upto >= goal:
+            left += upto - goal <= goal - (upto - p[0])
+            break
+    return brute_cells(points[:left], a, a + half, spans) | brute_cells(points[left:], a + half, b, spans)
+
+
+def test_shards_are_those_of_a_brute_force_tree(spark):
+    """Also of sources that begin alike, which are different values of their dimension."""
+    rows = [(i, f"text {i} " + "w " * (i * 7919 % 23), ["en", "fr", None][i % 3], f"https://example.org/{i * 31 % 41:02d}") for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    sources = {x: k + 1 for k, x in enumerate(sorted({r[3] for r in rows}))}
+    keyed = docs.withColumn("h", F.xxhash64("text")).withColumn("tie", F.shiftrightunsigned(F.xxhash64("h", F.lit(0).cast("long")), 32)).collect()
+    sizes = {r.doc_id: len(r.text) for r in keyed}
+    spans = [2, 40, max(sizes.values()) - min(sizes.values())]
+    points = [(sizes[r.doc_id] + 1, [(d << 32) + r.tie for d in ({"en": 1, "fr": 2, None: 0}[r.lang], sources[r.source] - 1, sizes[r.doc_id] - min(sizes.values()))], r.doc_id)
+              for r in keyed]
+    got = {r.doc_id: r.shard for r in kd_shards.kd_shards(docs, 5).collect()}
+    assert got == brute_cells(points, 0, 5, spans)
+
+
 # ------------------------------------------------------------ pages
 def test_article_texts(spark):
     pages = spark.read.parquet(f"{SF_SMALL}/pages.parquet")
