@@ -92,6 +92,15 @@ def q_load_pool_file(spark, sf):
     return files.load_pool(spark, path).select("id_sample", "label", *[_r(c) for c in FEATS], "note")
 
 
+def q_stage_headerless(spark, sf):
+    """The order pool written as gzip CSV without a header, decoded once into files of 5,000 rows."""
+    path = f"{ensure_checkpoint_dir(spark)}/headerless-{uuid.uuid4().hex[:12]}"
+    p1 = pools.order_pool(spark, sf)
+    p1.select(F.col("label").cast("double"), *FEATS).write.option("compression", "gzip").csv(f"{path}/raw")
+    staged = files.stage_headerless_csv(spark, f"{path}/raw", f"{path}/staged", len(FEATS), rows_per_file=5_000)
+    return staged.select("label", *[_r(c) for c in FEATS])
+
+
 def q_cast_pool(spark, sf):
     typed = pool.cast_pool(pools.event_pool(spark, sf), feature_type="float")
     return typed.select("id_sample", "label", *[F.col(c).cast("double").alias(c)
@@ -467,6 +476,7 @@ def q_answers_with_labels(spark, sf):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "load_pool": q_load_pool,
     "load_pool_file": q_load_pool_file,
+    "stage_headerless": q_stage_headerless,
     "answers_with_labels": q_answers_with_labels,
     "bisect_events": q_bisect_events,
     "train_and_evaluate_nb": q_train_and_evaluate_nb,
@@ -745,6 +755,7 @@ def oracle_sql() -> dict[str, str]:
         for i, c in enumerate(FEATS))
     return {
         "load_pool_file": f"SELECT id_sample, label, {feats6}, 'x' AS note FROM ({P1}) p1",
+        "stage_headerless": f"SELECT CAST(label AS DOUBLE) AS label, {feats6} FROM ({P1}) p1",
         "answers_with_labels": f"""
             WITH t AS ({P1_TRAIN_STATE}),
             a AS (SELECT l_orderkey, CAST(l_quantity AS INTEGER) % 2 AS answer,

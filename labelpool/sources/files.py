@@ -49,7 +49,8 @@ def read_headerless_csv(spark: SparkSession, path: str, n_features: int,
                         partitions: int | None = None) -> DataFrame:
     """Raw headerless CSV (column 0 = label, then n features), names generated.
 
-    A gzip file is a single split; ``partitions`` spreads it for later stages.
+    A gzip file is a single split; ``partitions`` spreads it for later stages, by a
+    shuffle on every use. :func:`stage_headerless_csv` decodes it once instead.
     """
     schema = T.StructType([T.StructField("label", T.DoubleType())]
                           + [T.StructField(c, T.DoubleType()) for c in feature_names(n_features)])
@@ -59,6 +60,20 @@ def read_headerless_csv(spark: SparkSession, path: str, n_features: int,
     return df
 
 
+def stage_headerless_csv(spark: SparkSession, path: str, out: str, n_features: int,
+                         rows_per_file: int = 1_000_000) -> DataFrame:
+    """Decode headerless CSV once into Parquet files under ``out`` and return their rows.
+
+    Each input split is written as it is read, in files of at most ``rows_per_file``
+    rows, so that nothing is shuffled or held; a gzip file is still decoded by one task.
+    Later scans read its files in parallel, with columns pruned and filters pushed down.
+    What ``out`` held before is replaced.
+    """
+    raw = read_headerless_csv(spark, path, n_features)
+    raw.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(out)
+    return spark.read.schema(raw.schema).parquet(out)
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite") -> None:
     """Write a table (CSV with header, or Parquet)."""
     w = df.write.mode(mode)

@@ -34,6 +34,24 @@ def test_headerless_csv(spark, tmpdir_path):
     assert df.columns == ["label", "feature_1", "feature_2"] and df.count() == 2
 
 
+def test_staged_headerless_gzip(spark, tmpdir_path):
+    import gzip
+    import pyarrow.parquet as pq
+    with gzip.open(os.path.join(tmpdir_path, "raw.csv.gz"), "wt") as fh:
+        fh.writelines(f"{i % 2}.0,{i}.5,{'' if i == 7 else 'x' if i == 8 else i}\n" for i in range(2500))
+    for n in (2500, 10):   # a second call replaces what the first has written
+        out = files.stage_headerless_csv(spark, f"{tmpdir_path}/raw.csv.gz", f"{tmpdir_path}/staged", 2, rows_per_file=n)
+    parts = [f for f in os.listdir(f"{tmpdir_path}/staged") if f.endswith(".parquet")]
+    assert len(parts) == 250 and max(pq.read_metadata(f"{tmpdir_path}/staged/{f}").num_rows for f in parts) == 10
+    assert sorted((r.feature_1, r.label, r.feature_2) for r in out.filter("feature_2 is not null").collect()) == [
+        (i + 0.5, float(i % 2), float(i)) for i in range(2500) if i not in (7, 8)]
+    assert out.count() == 2500
+    with open(os.path.join(tmpdir_path, "empty.csv"), "w"):
+        pass
+    empty = files.stage_headerless_csv(spark, f"{tmpdir_path}/empty.csv", f"{tmpdir_path}/none", 2)
+    assert empty.columns == ["label", "feature_1", "feature_2"] and empty.count() == 0
+
+
 def test_experiment_summary_over_appended_runs(spark, tmpdir_path):
     import subprocess
     import sys as _sys
