@@ -11,14 +11,14 @@ Positions are code points of the whole text, end exclusive. Defined results: a
 null or empty text has no spans; a table without tokens gives smoothed models
 that flag nothing new; repeated rows and ids are judged row by row; markov spans
 never overlap base spans: what a base span leaves of a token is a token of its own
-if it is long enough. Cost grows with a text's length, but for texts that hold many
-tokens and many base spans, which are compared pair by pair. Other columns are not
-looked at.
+if it is long enough. Finding spans costs time in proportion to a text's length (and
+the sort of its spans). Other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -37,29 +37,48 @@ SMOOTHING = 8.0  # pairs' worth of weight that a character's own frequency has
 # to three digits behind, or all capitals; a word takes all its letters, one after the other
 JOINED_WORD, JOINED_CAPITALS, DIGITS_BEHIND = r"\G[_-]?[A-Z]?[a-z]{2,}+", r"\G[_-]?[A-Z]{2,}+", r"^[0-9]{0,3}$"
 PER_CHAR = 0.8   # log-likelihood ratio a character that a span must reach
-PART = 128       # matches of a text that are gathered at once
+PART = 32        # matches of a text that are gathered at once
+CUT = 1024       # characters of a text that are cut at once
 SPAN_TYPE = "array<struct<start:int,kind:int,end:int,value:string>>"
+MATCH, PLACE = "struct<start:int,end:int,value:string>", "struct<start:int,end:int>"
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often its lambdas use it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _scan(items: Column, start: Column, step: Callable[[Column, Column], Column], out: Callable[[Column, Column], Column], kind: str) -> Column:
+    """``out(state, item)`` of each of at least one items, ``state`` being that before it.
+
+    Spark copies an aggregate's state with each step, so results are gathered in blocks
+    of PART items: first the state before each block, then the results within it."""
+    def scanned(x: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(1), F.size(x), F.lit(PART)), lambda i: F.slice(x, i, PART))
+        return _let(blocks, lambda parts: F.flatten(F.zip_with(parts, before(parts), within)))
+
+    def before(parts: Column) -> Column:
+        empty = F.struct(start.alias("state"), F.filter(F.array(start), lambda _: F.lit(False)).alias("all"))
+        return F.aggregate(parts, empty, lambda acc, part: F.struct(
+            F.aggregate(part, acc["state"], step).alias("state"), F.concat(acc["all"], F.array(acc["state"])).alias("all")), lambda acc: acc["all"])
+
+    def within(part: Column, state: Column) -> Column:
+        empty = F.struct(state.alias("state"), F.array().cast(f"array<{kind}>").alias("all"))
+        return F.aggregate(part, empty, lambda acc, x: F.struct(
+            step(acc["state"], x).alias("state"), F.concat(acc["all"], F.array(out(acc["state"], x))).alias("all")), lambda acc: acc["all"])
+
+    return _let(items, scanned)
 
 
 def _matches(text: Column, pattern: str, value_group: int) -> Column:
     """(start, end, value) of all matches: what lies between them gives the places."""
     between, whole = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = whole if value_group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group))
-    parts = F.arrays_zip(between.alias("gap"), whole.alias("whole"), values.alias("value"))
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    empty = F.struct(F.lit(0).alias("at"), none.alias("part"), F.array().cast("array<array<struct<start:int,end:int,value:string>>>").alias("full"))
-
-    def step(acc: Column, part: Column) -> Column:
-        start = (acc["at"] + F.length(part["gap"])).cast("int")
-        end = (start + F.coalesce(F.length(part["whole"]), F.lit(0))).cast("int")
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), part["value"].alias("value")))
-        # short arrays that grow, and an array of the full ones, so that few matches are copied for each
-        is_full = F.size(acc["part"]) >= PART
-        grown = F.when(is_full, one).otherwise(F.concat(acc["part"], one))
-        return F.struct(end.alias("at"), F.when(part["whole"].isNull(), acc["part"]).otherwise(grown).alias("part"),
-                        F.when(is_full & part["whole"].isNotNull(), F.concat(acc["full"], F.array(acc["part"]))).otherwise(acc["full"]).alias("full"))
-
-    return F.aggregate(parts, empty, step, lambda a: F.flatten(F.concat(a["full"], F.array(a["part"]))))
+    lengths = F.zip_with(between, whole, lambda gap, match: F.struct(F.length(gap).alias("gap"), F.coalesce(F.length(match), F.lit(0)).alias("match")))
+    places = _scan(lengths, F.lit(0), lambda at, x: at + x["gap"] + x["match"],
+                   lambda at, x: F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + x["match"]).alias("end")), PLACE)
+    found = F.zip_with(places, values, lambda p, v: F.struct(p["start"].alias("start"), p["end"].alias("end"), v.alias("value")))
+    return F.filter(found, lambda m: m["value"].isNotNull())     # the last part has no match behind it
 
 
 def _kind(found: Column, kind: int) -> Column:
@@ -85,22 +104,37 @@ def base_spans(text: Column) -> Column:
 
 def free_tokens(text: Column, base: Column) -> Column:
     """(start, end, value) of the tokens, and of what base spans leave of one, of
-    TOKEN_LEAST characters or more."""
-    kind = "array<struct<start:int,end:int,value:string>>"
-    tokens = F.when(text.rlike(TOKEN), _matches(text, TOKEN, 0)).otherwise(F.array().cast(kind))
-
-    def left(token: Column) -> Column:
-        def piece(out: Column, start: Column, end: Column) -> Column:
-            one = F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"),
-                           F.substr(token["value"], start - token["start"] + 1, end - start).alias("value"))
-            return F.when(end - start >= TOKEN_LEAST, F.concat(out, F.array(one))).otherwise(out)
-
-        step = lambda acc, b: F.struct(F.greatest(acc["at"], b["end"]).alias("at"), piece(acc["out"], acc["at"], b["start"]).alias("out"))
-        return F.aggregate(F.filter(base, lambda b: (b["start"] < token["end"]) & (token["start"] < b["end"])),
-                           F.struct(token["start"].alias("at"), F.array().cast(kind).alias("out")), step,
-                           lambda acc: piece(acc["out"], acc["at"], token["end"]))
-
-    return F.when(F.size(base) == 0, tokens).otherwise(F.flatten(F.transform(tokens, left)))
+    TOKEN_LEAST characters or more.
+
+    Tokens and base spans are gone through once, by their starts. The state is the
+    token, its start and end, and the place in it from which on it is free, which is
+    not before the end of any base span so far; each next start ends a piece."""
+    tokens = F.when(text.rlike(TOKEN), _matches(text, TOKEN, 0)).otherwise(F.array().cast(f"array<{MATCH}>"))
+    state = lambda token, start, end, free, covered: F.struct(
+        token.alias("token"), start.alias("start"), end.alias("end"), free.alias("free"), covered.alias("covered"))
+    event = lambda start, token, end: F.struct(start.alias("start"), token.alias("token"), end.alias("end"))
+    none, last = F.lit(2**31 - 1), F.lit(2**31 - 1)      # a base span is an event without a token
+
+    def step(acc: Column, e: Column) -> Column:
+        is_base = e["token"] == none
+        covered = F.when(is_base, F.greatest(acc["covered"], e["end"])).otherwise(acc["covered"])
+        kept = lambda name, new: F.when(is_base, acc[name]).otherwise(new)
+        return state(kept("token", e["token"]), kept("start", e["start"]), kept("end", e["end"]), F.greatest(covered, kept("free", e["start"])), covered)
+
+    def piece(acc: Column, e: Column) -> Column:
+        return F.struct(acc["token"].alias("token"), acc["start"].alias("from"), acc["free"].alias("start"), F.least(e["start"], acc["end"]).alias("end"))
+
+    def pieces(found: Column) -> Column:
+        events = F.concat(F.transform(found, lambda t, i: event(t["start"], i, t["end"])), F.transform(base, lambda b: event(b["start"], none, b["end"])),
+                          F.array(event(last, none, last)))
+        cut = _scan(F.sort_array(events), state(*[F.lit(0)] * 5), step, piece, "struct<token:int,from:int,start:int,end:int>")
+        long = F.filter(cut, lambda p: p["end"] - p["start"] >= TOKEN_LEAST)
+        # tokens are ASCII, and bytes are cut without counting characters
+        return _let(F.transform(found, lambda t: t["value"].cast("binary")), lambda values: F.transform(long, lambda p: F.struct(
+            p["start"].alias("start"), p["end"].alias("end"),
+            F.substr(F.get(values, p["token"]), p["start"] - p["from"] + 1, p["end"] - p["start"]).cast("string").alias("value"))))
+
+    return F.when((F.size(base) == 0) | ~text.rlike(TOKEN), tokens).otherwise(_let(tokens, pieces))
 
 
 def is_ordinary(token: Column) -> Column:
@@ -166,14 +200,24 @@ def find_secrets(docs: DataFrame, ratio: list[float] | None = None, text_col: st
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", ratio: list[float] | None = None) -> DataFrame:
     """``docs`` with every span of its text replaced; overlapping ones as one."""
     found = find_secrets(docs, ratio, text_col)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        between = F.substr(F.col("_text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(
-            acc["out"], F.when(s["start"] >= acc["at"], F.concat(between, F.lit(mark))).otherwise("")).alias("out"))
-
-    clean = F.aggregate("_spans", start, step, lambda a: F.concat(a["out"], F.substr(F.col("_text"), a["at"] + 1)))
+    end = F.lit(2**31 - 1)
+
+    def gaps(spans: Column) -> Column:
+        """What lies between the spans, and before and behind them; a span that begins
+        in another one has no gap (null) and no mark of its own."""
+        ends = F.concat(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))),
+                        F.array(F.struct(F.length("_text").alias("start"), end.alias("end"))))
+        found = _scan(ends, F.lit(0), lambda at, s: F.greatest(at, s["end"]), lambda at, s: F.struct(at.alias("start"), s["start"].alias("end")), PLACE)
+        return F.filter(found, lambda g: g["start"] <= g["end"])
+
+    def cut(parts: Column) -> Column:
+        """The gaps' text: each from the parts of CUT characters that hold it."""
+        first = lambda g: F.floor(g["start"] / CUT).cast("int")
+        held = lambda g: F.array_join(F.slice(parts, first(g) + 1, F.floor((g["end"] + CUT - 1) / CUT).cast("int") - first(g)), "")
+        return F.transform(gaps(F.col("_spans")), lambda g: F.when(g["end"] > g["start"], F.substr(
+            held(g), g["start"] - first(g) * CUT + 1, g["end"] - g["start"])).otherwise(""))
+
+    clean = F.array_join(_let(F.regexp_extract_all("_text", F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0)), cut), mark)
     return found.withColumn(text_col, F.when(F.size("_spans") > 0, clean).otherwise(F.col(text_col))).drop("_text", "_base", "_spans")
 
 

@@ -415,3 +415,31 @@ def test_secrets_of_very_long_runs(spark):
     began = time.time()
     rows = {r.doc_id: r for r in secrets.secret_report(docs).collect()}
     assert rows[3].n_hex == 1_000 and time.time() - began < 90
+
+
+def test_secrets_of_many_tokens_and_base_spans(spark):
+    import time
+
+    rnd = random.Random(23)
+    noise = lambda n: "".join(rnd.choices(secrets.ALPHABET[:62], k=n))
+    some = [lambda: "é" * rnd.randint(0, 3), lambda: f"{rnd.getrandbits(64):016x}/{noise(20)}", lambda: "password=" + noise(14) + "/", lambda: noise(24), lambda: "AKIA" + "A1" * 8]
+    few = ["".join(rnd.choice(some)() + rnd.choice(["", " ", "\n", "-"]) for _ in range(rnd.randint(1, 90))) for _ in range(60)]
+    ratio = [1.0] * len(secrets.ALPHABET) ** 2      # each piece that is left of a token is a span
+    docs = spark.createDataFrame(list(enumerate(few)), "doc_id long, text string").repartition(3)
+    spans = {r.doc_id: [(s["start"], s["kind"], s["end"], s["value"]) for s in r._spans] for r in secrets.find_secrets(docs, ratio).collect()}
+    clean = {r.doc_id: r.text for r in secrets.redact(docs, ratio=ratio).collect()}
+    for i, text in enumerate(few):
+        base = [s for s in spans[i] if s[1] < 3]
+        hidden = {p for s in base for p in range(s[0], s[2])}
+        shown = "".join("\x00" if p in hidden else c for p, c in enumerate(text))
+        assert [(s, e, v) for s, k, e, v in spans[i] if k == 3] == [(m.start(), m.end(), m.group()) for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", shown)]
+        out, at = [], 0
+        for s, _, e, _ in sorted(spans[i]):
+            if s >= at:
+                out += [text[at:s], "[SECRET]"]
+            at = max(at, e)
+        assert clean[i] == "".join(out) + text[at:]
+    many = " ".join(f"some_ordinary_name{i:05d} {i:016x}/Zzzzzzzzzzzzzzzzzz{i}" for i in range(20_000))
+    began = time.time()
+    row = secrets.redact(spark.createDataFrame([(1, many)], "doc_id long, text string"), ratio=[-1.0] * len(secrets.ALPHABET) ** 2).first()
+    assert row.text == re.sub(r"[0-9a-f]{16,}", "[SECRET]", many) and time.time() - began < 30
