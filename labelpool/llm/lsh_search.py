@@ -14,7 +14,8 @@ coordinate, per class of similar length, so that Euclidean distance orders them
 the product does.
 
 Work is laid out in blocks: the vectors of one coarse cell of buckets in one table,
-dealt into blocks of bounded size, meet the queries that visit it. Equal vectors are
+dealt into blocks of bounded size, meet the queries that visit it: a block's vectors are
+copied once for each QUERY_BLOCK queries that visit the block, and to no other. Equal vectors are
 one entry with their smallest ids, as many as a query may return.
 
 Defined results: rows whose vector is null, empty, zero, of another width than the
@@ -158,7 +159,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
     entries = checkpointed(firsts.groupBy("h", "h2").agg(F.min_by("vector", "place").alias("vector"), F.array_sort(F.collect_set("vec_id")).alias("ids"))
                            .withColumn("norm", norm).withColumn("band", F.floor(F.log2("norm") * 2 + 0.5)))
     asked = checkpointed(rows.filter(queries).select("vec_id", "h", "h2").distinct())
-    n, n_asked = entries.count(), asked.select("h", "h2").distinct().count()
+    n = entries.count()
     places = min(k + 1, entries.agg(F.sum(F.size("ids"))).first()[0] or 0)   # that each query's vector has, its own among them
     longest = {r["band"]: r["m"] for r in entries.groupBy("band").agg(F.max("norm").alias("m")).collect()}   # at most two a power of two
     share = int(1_000_000 * min(1.0, SAMPLE_ROWS / max(n, 1)))
@@ -200,14 +201,17 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
     if cells.count() <= BROADCAST_ROWS:
         cells = F.broadcast(cells)
     block = lambda part: F.when(F.col("parts") > 1, F.xxhash64("cell", part)).otherwise(F.xxhash64(table, F.pmod(F.xxhash64("cell"), F.lit(groups))))
-    query_blocks = max(1, math.ceil(n_asked / QUERY_BLOCK))
     held = placed.join(cells, "cell").withColumn("block", block(F.pmod("h2", "parts"))).select("block", "cell", "h", "h2")
-    going = visits.join(cells, "cell").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))) \
-        .withColumn("block", block(F.col("part"))).groupBy("block", "h", "h2").agg(F.collect_set("cell").alias("cells"))
-    going = going.withColumn("query_block", F.pmod("h2", F.lit(query_blocks)))
-    left = going.join(entries.select("h", "h2", "vector"), ["h", "h2"]).select("block", "query_block", "h", "h2", "vector", "cells")
-    right = held.join(entries.select("h", "h2", "vector", "ids"), ["h", "h2"]).withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))) \
-        .select("block", F.col("query_block").cast("long").alias("query_block"), "cell", "h", "h2", "vector", "ids")
+    going = checkpointed(visits.join(cells, "cell").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+                         .withColumn("block", block(F.col("part"))).groupBy("block", "h", "h2").agg(F.collect_set("cell").alias("cells")))
+    # a block's queries are dealt by its own number of them, and its vectors go where queries are
+    splits = checkpointed(going.groupBy("block").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("splits")))
+    if splits.count() <= BROADCAST_ROWS:
+        splits = F.broadcast(splits)
+    left = going.join(splits, "block").withColumn("query_block", F.pmod("h2", "splits")).join(entries.select("h", "h2", "vector"), ["h", "h2"]) \
+        .select("block", "query_block", "h", "h2", "vector", "cells")
+    right = held.join(splits, "block").withColumn("query_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("splits") - 1))) \
+        .join(entries.select("h", "h2", F.col("vector").alias("vector"), "ids"), ["h", "h2"]).select("block", "query_block", "cell", "h", "h2", "vector", "ids")
 
     def nearest(a: pa.Table, b: pa.Table) -> pa.Table:
         out = {c: [] for c in ("qh", "qh2", "score", "h", "h2", "ids")}

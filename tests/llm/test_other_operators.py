@@ -327,6 +327,21 @@ def test_recall_of_the_search(spark):
     assert sum(len(set(want[q]) & {x[1] for x in got[q]}) for q in want) / (20 * len(want)) >= 0.9
 
 
+def test_blocks_of_the_search_change_nothing(spark, monkeypatch):
+    rnd = np.random.default_rng(7)
+    # a crowd whose blocks many queries visit, and some far from it
+    x = np.concatenate([np.eye(12)[0] + rnd.standard_normal((500, 12)) / 20, rnd.standard_normal((300, 12))])
+    df = spark.createDataFrame([(i, [float(v) for v in y]) for i, y in enumerate(x)], "vec_id long, embedding array<double>")
+    found = lambda: sorted(tuple(r) for r in lsh_search.search(df, F.col("vec_id") % 5 == 0, k=10).collect())
+    want = found()
+    assert len(want) == 160 * 10
+    monkeypatch.setattr(lsh_search, "BLOCK", 50)
+    monkeypatch.setattr(lsh_search, "QUERY_BLOCK", 16)
+    assert [r[:3] for r in found()] == [r[:3] for r in want]
+    monkeypatch.setattr(lsh_search, "BROADCAST_ROWS", 0)
+    assert [r[:3] for r in found()] == [r[:3] for r in want]
+
+
 def test_odd_vectors_ties_and_copies(spark):
     good = [(0, [1.0, 0.0]), (20, [1.0, 0.0]), (3, [2.0, 0.0]), (8, [0.5, 0.5]), (40, [100.0, 1.0]), (5, [-1.0, 0.0])] + [(100 + i, [1.0, 0.0]) for i in range(1, 60)]
     bad = [(0, [1.0, 0.0]), (4, [0.0, 0.0]), (60, None), (6, [float("nan"), 1.0]), (7, [1.0, None]), (9, [1.0]), (80, []), (None, [1.0, 1.0])]
