@@ -7,6 +7,7 @@ the last return the columns of ``docs``.
 * quality: documents that the classifier rejects (score under 0.3) go.
 * near_duplicates: one document of each group of similar documents (Jaccard similarity
   of their 5-word shingles 0.8 or more) stays, the one with the smallest id.
+  A group is a whole chain of such links, so a document that goes can be unlike the one kept.
 * decontaminate: documents that hold a 10-word window of a benchmark item go.
 * secrets: spans of secrets are replaced in the text; ``n_chars`` follows.
 * packing: the remaining texts as pieces of sequences of 1024 tokens.
