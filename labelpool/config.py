@@ -26,8 +26,10 @@ MAX_BUCKETS = 65_536
 # Largest centre table (k x d doubles) we broadcast.
 BROADCAST_MAX_BYTES = 256 * 1024 * 1024
 # Rows and bytes of a cell that bisecting k-means splits to the end in one task.
-CELL_TASK_ROWS = 16_384
+CELL_TASK_ROWS = 262_144
 CELL_TASK_BYTES = 64 * 1024 * 1024
+# Largest table of cells with their centres that a common pass keeps as a local relation.
+CELLS_LOCAL_BYTES = 1024 * 1024
 # Reweighted least squares: passes of a fit, the step that ends it, largest entry of a step,
 # and what is added to the Gram matrix' diagonal, times the number of rows.
 IRLS_PASSES = 12

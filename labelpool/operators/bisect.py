@@ -8,13 +8,15 @@ dimension, and its passes end by its own centres.
 * While a cell is too large for a task, the cells of a level are split in the same jobs. A
   pass joins each point with the plane between the two child centres of its cell and sums
   count and coordinates per cell and side; the sums are the new centres. Cells whose
-  centres rest take no part in further passes. The centre table holds a row per cell and
-  stays in Spark: it is broadcast under a byte check and joined by cell beyond it.
+  centres rest take no part in further passes. The centre table holds a row per cell. Up
+  to ``CELLS_LOCAL_BYTES`` it is a local relation, so that a pass is one aggregate over the
+  rows; a larger one stays in Spark, broadcast under a byte check and joined by cell beyond it.
 * Once no cell is too large, each is split on in one grouped Arrow task, as many levels as
   can be needed, and every point gets its path of cells. Counting the cells of each level
   over all paths shows the level on which k is reached and how many cells are split there.
 
-Every level, pass and path table is checkpointed in the shared folder. Points are summed in
+The rows of every level, the paths and large centre tables are checkpointed in the shared
+folder. Points are summed in
 the order of their ids within a task, so cells don't depend on the layout of the rows, but
 for the order of floating-point sums in the first phase.
 """
@@ -28,11 +30,16 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelpool.config import BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS, CELL_TASK_BYTES, CELL_TASK_ROWS, KMEANS_MAX_ITER
+from labelpool.config import (
+    BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS, CELL_TASK_BYTES, CELL_TASK_ROWS, CELLS_LOCAL_BYTES, KMEANS_MAX_ITER,
+)
 from labelpool.operators.cutoff import select_smallest
 from labelpool.session import ensure_checkpoint_dir
 
 
+DEPTH_SLACK = 6   # levels that a task splits beyond those of a balanced tree
+
+
 def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -63,6 +70,14 @@ def _with_cells(rows: DataFrame, cells: DataFrame, n_cells: int, width: int, how
     return rows.join(F.broadcast(cells) if small else cells, "cell", how)
 
 
+def _kept(cells: DataFrame, n_cells: int, width: int) -> DataFrame:
+    """A table of at most ``n_cells`` cells, computed now: a local relation under a byte
+    check, else checkpointed."""
+    if n_cells * (4 * width + 4) * 8 <= CELLS_LOCAL_BYTES:
+        return cells.sparkSession.createDataFrame(cells.toArrow(), cells.schema)
+    return cells.checkpoint()
+
+
 def _sums(width: int, *weights: tuple[str, Column | None]) -> list[Column]:
     """Per coordinate of ``x`` the sum (times a weight): plain numbers in the aggregate's buffer."""
     return [F.array(*(F.sum(F.col("x")[i] if w is None else F.when(w, F.col("x")[i])) for i in range(width))).alias(name)
@@ -73,11 +88,10 @@ def _divided(sums: str, n: str) -> Column:
     return F.transform(sums, lambda v: v / F.col(n))
 
 
-def _stats(rows: DataFrame, width: int) -> DataFrame:
+def _stats(rows: DataFrame, n_cells: int, width: int) -> DataFrame:
     """(cell, n, mean, var): sample variances, from sums centred on the cell's first pass of means."""
     means = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *_sums(width, ("mean", None)))
-    means = means.withColumn("mean", _divided("mean", "n")).checkpoint()
-    n_cells = means.count()
+    means = _kept(means.withColumn("mean", _divided("mean", "n")), n_cells, width)
     centred = _with_cells(rows, means, n_cells, width).withColumn("x", F.zip_with("x", "mean", lambda v, m: (v - m) * (v - m)))
     squares = centred.groupBy("cell").agg(*_sums(width, ("squares", None)))
     return means.join(squares, "cell").withColumn("var", F.transform("squares", lambda v: F.when(F.col("n") > 1, v / (F.col("n") - 1)).otherwise(0.0))).drop("squares")
@@ -104,7 +118,7 @@ def bisect_cells(points: DataFrame, k: int, id_col: str = "id_sample", features:
     while first and leaves < k:
         sizes = rows.groupBy("cell").count()
         if sizes.join(stuck, "cell", "left_anti").agg(F.max("count")).first()[0] > task_rows:
-            more, rows, stuck = _split_level(rows, stuck, k - leaves, width, max_iter, tol)
+            more, rows, stuck = _split_level(rows, stuck, leaves, k - leaves, width, max_iter, tol)
         else:
             more, rows = _split_in_tasks(rows, k, leaves, width, max_iter, tol)
         if more == 0:
@@ -114,12 +128,12 @@ def bisect_cells(points: DataFrame, k: int, id_col: str = "id_sample", features:
     return out
 
 
-def _split_level(rows: DataFrame, stuck: DataFrame, missing: int, width: int, max_iter: int,
+def _split_level(rows: DataFrame, stuck: DataFrame, n_cells: int, missing: int, width: int, max_iter: int,
                  tol: float) -> tuple[int, DataFrame, DataFrame]:
-    """Split every divisible cell, the largest ones if there are more than ``missing``, in
-    common passes over all rows. Returns the number of new cells, the rows, and the cells
-    that can't be split."""
-    stats = _stats(rows, width).withColumn("widest", F.array_max("var")).join(stuck, "cell", "left_anti").checkpoint()
+    """Split every divisible one of the ``n_cells`` cells, the largest ones if there are more
+    than ``missing``, in common passes over all rows. Returns the number of new cells, the
+    rows, and the cells that can't be split."""
+    stats = _kept(_stats(rows, n_cells, width).withColumn("widest", F.array_max("var")).join(stuck, "cell", "left_anti"), n_cells, width)
     open_cells = stats.filter("widest > 0")
     closed = stats.filter("not widest > 0").select("cell")
     divisible = open_cells.count()
@@ -130,9 +144,9 @@ def _split_level(rows: DataFrame, stuck: DataFrame, missing: int, width: int, ma
         open_cells = select_smallest(open_cells, -F.col("n"), F.col("cell"), n_split)
     # the start: one standard deviation along the first widest dimension
     shift = F.transform("var", lambda v, i: F.when(i == F.array_position("var", F.col("widest")) - 1, F.sqrt(v)).otherwise(0.0))
-    cells = _plane(open_cells.select(
+    cells = _kept(_plane(open_cells.select(
         "cell", "widest", F.zip_with("mean", shift, lambda m, s: m - s).alias("left"),
-        F.zip_with("mean", shift, lambda m, s: m + s).alias("right"), F.lit(float("inf")).alias("moved"))).checkpoint()
+        F.zip_with("mean", shift, lambda m, s: m + s).alias("right"), F.lit(float("inf")).alias("moved"))), n_split, width)
     for _ in range(max_iter):
         moving = cells.filter(F.col("moved") > tol)
         if moving.isEmpty():
@@ -145,23 +159,23 @@ def _split_level(rows: DataFrame, stuck: DataFrame, missing: int, width: int, ma
             new = new.withColumn(total, F.when(F.col(n) > 0, _divided(total, n)).otherwise(F.col(side)))
         new = new.withColumn("moved", (_gap("l", "left") + _gap("r", "right")) / F.col("widest"))
         new = _plane(new.select("cell", "widest", F.col("l").alias("left"), F.col("r").alias("right"), "moved"))
-        cells = cells.filter(~(F.col("moved") > tol)).unionByName(new).checkpoint()
+        cells = _kept(cells.filter(~(F.col("moved") > tol)).unionByName(new), n_split, width)
     split = _with_cells(rows, cells.select("cell", "normal", "offset"), n_split, width, "left")
-    split = split.withColumn("node", F.when(F.col("normal").isNull(), 0).when(_side(F.col("x")), 2).otherwise(1)).select("id", "cell", "x", "node").checkpoint()
+    split = split.withColumn("node", F.when(F.col("normal").isNull(), 0).when(_side(F.col("x")), 2).otherwise(1)).select("id", "cell", "x", "node")
     # equal but for rounding: all points of a cell on one side, which then keeps its id
-    both = split.filter("node > 0").groupBy("cell").agg(F.countDistinct("node").alias("sides")).checkpoint()
+    both = _kept(split.filter("node > 0").groupBy("cell").agg((F.lit(1) + (F.min("node") < F.max("node")).cast("int")).alias("sides")), n_split, width)
     one_sided = both.filter("sides = 1").select("cell")
     n_new = both.filter("sides = 2").count()
     keep = one_sided.withColumn("keep", F.lit(True))
     small = n_split <= BROADCAST_MAX_ROWS
     rows = split.join(F.broadcast(keep) if small else keep, "cell", "left").select(
         "id", _named(F.col("cell"), F.when(F.col("keep"), 0).otherwise(F.col("node"))).alias("cell"), "x").checkpoint()
-    return n_new, rows, stuck.union(closed).union(one_sided).checkpoint()
+    return n_new, rows, _kept(stuck.union(closed).union(one_sided), n_cells, width)
 
 
 def _split_in_tasks(rows: DataFrame, k: int, leaves: int, width: int, max_iter: int, tol: float) -> tuple[int, DataFrame]:
     """Split every cell on within one task, up to the level where ``k`` cells are reached."""
-    depth = (-(-k // leaves) - 1).bit_length() + 1
+    depth = (-(-k // leaves) - 1).bit_length() + DEPTH_SLACK
 
     def paths(table: pa.Table) -> pa.Table:
         table = table.sort_by("id").combine_chunks()

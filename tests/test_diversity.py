@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from labelpool.operators import diversity as D
+from labelpool.operators import bisect, diversity as D
 from labelpool.operators.bisect import bisect_cells, split_tree
 
 CENTERS = "cluster_id int, center array<double>"
@@ -117,6 +117,19 @@ def test_cells_split_in_a_task_equal_those_of_common_passes(spark):
     assert _groups(bisect_cells(cands, 3, max_iter=3, task_rows=2)) == _groups(bisect_cells(cands, 3, max_iter=3))
 
 
+def test_common_passes_write_rows_once_a_level(spark, monkeypatch):
+    """A pass over few cells is one aggregate: no checkpoint but the rows' own, once a level."""
+    cands = _cands(spark, 120).repartition(2)
+    whole = _groups(bisect_cells(cands, 11, max_iter=4))
+    made = []
+    plain = type(cands).checkpoint
+    monkeypatch.setattr(type(cands), "checkpoint", lambda df, *a, **k: made.append(df.columns) or plain(df, *a, **k))
+    assert _groups(bisect_cells(cands, 11, max_iter=4, task_rows=70)) == whole     # one level of passes, then tasks
+    assert sum("x" in c for c in made) <= 4 and len(made) <= 5      # the points, the level's rows, paths and their counts, the result
+    monkeypatch.setattr(bisect, "CELLS_LOCAL_BYTES", 0)             # large tables of cells stay in Spark
+    assert _groups(bisect_cells(cands, 11, max_iter=4, task_rows=70)) == whole
+
+
 def test_split_tree_of_repeated_points():
     x = np.repeat(np.random.default_rng(3).standard_normal((7, 2)), 4, axis=0)
     nodes, lengths = split_tree(x, 10, 20, 1e-2)
