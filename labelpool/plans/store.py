@@ -176,7 +176,8 @@ class PoolState:
 
     def frame(self) -> DataFrame:
         """The pool with its current ``state`` column (and answered labels)."""
-        joined = self._pool.join(self.labels(), self.id_col, "left")
+        # bucket by bucket also while the labels are few: broadcast, they went through the driver at every read
+        joined = self._pool.join(self.labels().hint("shuffle_hash"), self.id_col, "left")
         state = F.when(F.col("labeled_round").isNotNull(), F.lit(LABELED)).otherwise(F.lit(UNLABELED))
         cols = [F.coalesce(F.col("_lp_last.answer"), F.col(c)).alias(c) if c == self.label_col
                 else F.col(c) for c in self._pool.columns]

@@ -193,3 +193,16 @@ def test_a_stopped_loop_goes_on_to_the_same_curve(spark, prepared):
     state.close()
     assert sorted(map(tuple, curve.collect())) == sorted(map(tuple, whole.collect()))
     assert final.count() == train.count()
+
+
+def test_state_join_sends_no_labels_through_the_driver(spark):
+    train = spark.range(300).selectExpr("id as id_sample", "cast(id % 2 as int) as label", "array(cast(id as double)) as features",
+                                        "if(id % 10 = 0, 'L', 'U') as state")
+    store = PoolState(spark, train, n_buckets=4)
+    frame = store.frame()
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Exchange" not in plan     # under the broadcast threshold, too
+    assert sorted(r.id_sample for r in frame.filter("state = 'L'").collect()) == list(range(0, 300, 10))
+    store.add(spark.createDataFrame([(1,), (1,), (10,)], "id_sample long"), 1)
+    assert (frame.count(), store.frame().filter("state = 'L'").count()) == (300, 31)
+    store.close()
