@@ -6,10 +6,11 @@ the one shingle). Two documents link when their sets' Jaccard similarity reaches
 the threshold. The method:
 
 * Documents with equal sets form one class; only classes are joined.
-* Every shingle belongs to a token class: *frequent* if a count sketch over all
-  shingles of all documents says so, else *rare*. Sets are ordered rare first,
-  then by hash. A set of n shingles that reaches similarity t with another misses
-  at most d = n - ceil(t n) of its own.
+* Every shingle belongs to a token class: *frequent* if some tens of documents hold it
+  (shingles are counted by 36 bits of their hash, flags of the frequent ones by fewer),
+  else *rare*. The number does not follow the input, or the rare shingles of a large input
+  would chain most of its classes. Sets are ordered rare first, then by hash. A set of n
+  shingles that reaches similarity t with another misses at most d = n - ceil(t n) of its own.
 * With more than d rare shingles, the first d + 1 of them are its signatures. Else
   all its rare shingles are, and its prefix extends into the frequent ones: the
   2-combinations of neighbours among the first floor(2 (1 - t) n) + 2 frequent ones.
@@ -34,14 +35,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from labelpool.llm.batches import bounded_batches, byte_codes, checkpointed, mix64, release, segment_hashes, text_slices, words_of
 from labelpool.llm.components import connected_components
 
-SKETCH_BITS = 24          # counters of the sketch; a bound, whatever the input
-SKETCH_BLOCK = 1 << 16
+COUNT_BITS = 36           # of a shingle's hash, by which it is counted
+COUNTED_AT_ONCE = 1 << 22  # shingles that a task sorts and sends at once, about
+FLAG_BITS = 26            # slots of the flags of frequent shingles at most; a bound, whatever the input
 FREQUENT_AT_LEAST = 32    # a shingle under this count is never frequent
+SKIP = 0xFFFF             # a step that names no value
 LARGE = 32       # signatures of more classes are compared by pivots and blocks, not by pairs
 PIVOTS = 4       # pivots that a class is verified against
 BLOCK = 256      # sets of one side that a task holds, about
@@ -85,71 +88,83 @@ def set_key(grams: np.ndarray) -> int:
     return int(mix64(np.array([total & (1 << 64) - 1], np.uint64)).view(np.int64)[0]) or 1
 
 
-def _packed(counts: np.ndarray) -> bytes:
-    """Counters in the narrowest type that holds them, after its name."""
-    kind = next(k for k in ("u1", "u2", "u4", "u8") if counts.max(initial=0) <= np.iinfo(k).max)
-    return kind.encode() + counts.astype(f"<{kind}").tobytes()
+def _block_bits(spark: SparkSession) -> int:
+    """Leading bits of a hash that name its block: some blocks for each shuffle partition."""
+    return min(16, max(8, (2 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length()))
 
 
-def _unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, "<" + data[:2].decode(), offset=2).astype(np.uint64)
+def _steps(values: np.ndarray) -> bytes:
+    """Sorted values as steps of two bytes from 0; SKIP goes on and names no value."""
+    steps = np.diff(values.astype(np.int64), prepend=0)
+    skips = steps // SKIP
+    out = np.full(len(values) + int(skips.sum()), SKIP, "<u2")
+    out[np.cumsum(skips + 1) - 1] = steps % SKIP
+    return out.tobytes()
 
 
-def frequent_slots(docs: DataFrame, width: int) -> np.ndarray:
-    """One flag for each counter of the sketch over all shingles of ``docs``.
+def _stepped(data: bytes) -> np.ndarray:
+    steps = np.frombuffer(data, "<u2")
+    return np.cumsum(steps, dtype=np.uint32)[steps != SKIP]
 
-    Each task sends its counters as blocks; blocks are summed in two steps, so
-    that no sum gathers more than a few hundred. The flags (2**24 bits) are all
-    that reaches the driver.
-    """
-    slots = 1 << SKETCH_BITS
-
-    def count(batches):
-        total = np.zeros(slots, np.uint32)
-        seed = 0
-        for b in batches:
-            for _, _, data, offsets in text_slices(b.column("text")):
-                grams, _ = shingle_sets(data, offsets, width)
-                at, n = np.unique((grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), return_counts=True)
-                total[at] += n.astype(np.uint32)
-                seed += len(grams)
-        if seed:
-            blocks = total.reshape(-1, SKETCH_BLOCK)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(len(blocks), dtype=np.int32)), pa.array(np.full(len(blocks), seed % 256, dtype=np.int32)),
-                 pa.array([_packed(x) for x in blocks], pa.binary())], names=["block", "part", "counts"])
-
-    def add(table):
-        total = np.zeros(SKETCH_BLOCK, np.uint64)
-        for x in table.column("counts"):
-            total += _unpacked(x.as_py())
-        return pa.table({"block": table.column("block")[:1], "part": table.column("part")[:1], "counts": pa.array([_packed(total)], pa.binary())})
-
-    shape = "block int, part int, counts binary"
-    blocks = docs.select("text").mapInArrow(count, shape).groupBy("block", "part").applyInArrow(add, shape) \
-        .groupBy("block").applyInArrow(add, shape)
-    total_and_flags = checkpointed(blocks)
-
-    def loads(batches):
-        for b in batches:
-            sums = [int(_unpacked(x).sum()) for x in b.column("counts").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int64())], names=["load"])
 
-    load = (total_and_flags.select("counts").mapInArrow(loads, "load long").agg(F.sum("load")).first()[0] or 0) / slots
-    least = max(FREQUENT_AT_LEAST, int(4 * load))
+def frequent_flags(docs: DataFrame, width: int) -> np.ndarray:
+    """Packed flags, by leading bits of the hash, of the shingles that FREQUENT_AT_LEAST
+    documents hold, or more if these are too many for an eighth of 2**FLAG_BITS slots.
 
-    def flags(batches):
+    Each task sends the hashes of its shingles, sorted, as steps of two bytes; a
+    block of hashes is counted by one task. Only the frequent ones reach the driver.
+    """
+    least, at_once, bits = FREQUENT_AT_LEAST, COUNTED_AT_ONCE, _block_bits(docs.sparkSession)
+    low = COUNT_BITS - bits
+
+    def sent(held: list[np.ndarray]) -> pa.RecordBatch:
+        values = np.sort(np.concatenate(held) >> np.uint64(64 - COUNT_BITS))
+        ends = np.searchsorted(values, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(low))
+        there = np.flatnonzero(np.diff(ends))
+        values = values & np.uint64((1 << low) - 1)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(there.astype(np.int32)), pa.array([_steps(values[ends[i]:ends[i + 1]]) for i in there], pa.binary())], names=["block", "steps"])
+
+    def deal(batches):
+        held, n = [], 0
         for b in batches:
-            bits = [np.packbits(_unpacked(x) >= least).tobytes() for x in b.column("counts").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("block"), pa.array(bits, pa.binary())], names=["block", "bits"])
-
-    out = np.zeros(slots, dtype=bool)
-    for r in total_and_flags.select("block", "counts").mapInArrow(flags, "block int, bits binary").collect():
-        out[r.block * SKETCH_BLOCK:(r.block + 1) * SKETCH_BLOCK] = np.unpackbits(np.frombuffer(r.bits, np.uint8))
-    return out
-
-
-def signatures(grams: np.ndarray, is_frequent: np.ndarray, percent: int) -> tuple[np.ndarray, int, int]:
+            for _, _, data, offsets in text_slices(b.column("text")):
+                held.append(shingle_sets(data, offsets, width)[0])
+                n += len(held[-1])
+                if n >= at_once:
+                    yield sent(held)
+                    held, n = [], 0
+        if n:
+            yield sent(held)
+
+    def count(table):
+        values = np.sort(np.concatenate([_stepped(x) for x in table.column("steps").to_pylist()]))
+        first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+        counts = np.diff(np.append(first, len(values)))
+        often = counts >= least
+        return pa.table({"value": pa.array(values[first[often]].astype(np.int64) + (table.column("block")[0].as_py() << low)), "n": pa.array(counts[often].astype(np.int64))})
+
+    found = checkpointed(docs.select("text").mapInArrow(deal, "block int, steps binary").groupBy("block").applyInArrow(count, "value long, n long"))
+    most, n_found = 1 << FLAG_BITS - 3, found.count()
+    if n_found > most:   # the count that leaves few enough
+        for r in found.groupBy(F.least("n", F.lit(1 << 16)).alias("n")).count().orderBy("n").collect():
+            if n_found <= most:
+                break
+            n_found, least = n_found - r["count"], r["n"] + 1
+        found = found.filter(F.col("n") >= least)
+    flag_bits = min(FLAG_BITS, max(16, (8 * n_found).bit_length()))
+    slots = found.select("value").toArrow().column("value").to_numpy() >> (COUNT_BITS - flag_bits)
+    flags = np.zeros(1 << flag_bits - 3, np.uint8)
+    np.bitwise_or.at(flags, slots >> 3, np.right_shift(128, slots & 7).astype(np.uint8))
+    return flags
+
+
+def _flagged(grams: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    slots = (grams >> np.uint64(65 - (8 * len(flags)).bit_length())).astype(np.int64)
+    return (flags[slots >> 3] << (slots & 7) & 128) > 0
+
+
+def signatures(grams: np.ndarray, flags: np.ndarray, percent: int) -> tuple[np.ndarray, int, int]:
     """Signature hashes of one sorted set (none if only an equal set can link);
     if they are singles only, how many shingles may be shared besides them, else
     -1; and how many combinations there are, or -1."""
@@ -157,7 +172,7 @@ def signatures(grams: np.ndarray, is_frequent: np.ndarray, percent: int) -> tupl
     if n == 0 or 100 * n < percent * (n + 1):
         return np.zeros(0, np.uint64), -1, -1
     may_miss = n - -(-percent * n // 100)
-    often = is_frequent[(grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+    often = _flagged(grams, flags)
     rare = grams[~often]
     if len(rare) > may_miss:
         return rare[:may_miss + 1], n - may_miss - 1, -1
@@ -172,17 +187,15 @@ def _as_signed(values: np.ndarray) -> pa.Array:
 def _set_rows(docs: DataFrame, width: int, signed=None) -> DataFrame:
     """doc_id, the text's hash, set key, set size, and the whole set or, with ``signed`` (flags,
     percent), its signatures, ``rest`` and ``pairs`` as ``signatures`` has them."""
-    flags = np.packbits(signed[0]) if signed else None
     names = ["doc_id", "text_key", "node", "n", "rest", "pairs", "grams"]
 
     def rows(batches):
-        often = np.unpackbits(flags).astype(bool) if signed else None
         for b in batches:
             ids, keys = b.column("doc_id"), b.column("text_key")
             for lo, hi, data, offsets in text_slices(b.column("text")):
                 grams, at = shingle_sets(data, offsets, width)
                 sets = [grams[at[i]:at[i + 1]] for i in range(hi - lo)]
-                given = [signatures(x, often, signed[1]) if signed else (x, -1, -1) for x in sets]
+                given = [signatures(x, *signed) if signed else (x, -1, -1) for x in sets]
                 ends = np.cumsum([0] + [len(x[0]) for x in given]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(lo, hi - lo), keys.slice(lo, hi - lo), pa.array([set_key(x) for x in sets], pa.int64()), pa.array(np.diff(at).astype(np.int64)),
@@ -318,7 +331,9 @@ def similar_classes(docs: DataFrame, percent: int = 85, width: int = 4) -> tuple
         raise ValueError("the threshold must be 80 to 100 percent")
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = checkpointed(_set_rows(docs, width, (frequent_slots(docs, width), percent)))
+    flags = frequent_flags(docs, width)
+    release(docs.sparkSession)
+    rows = checkpointed(_set_rows(docs, width, (flags, percent)))
     signed = rows.select("node", F.explode("grams").alias("sig"))
     several = signed.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("sig")
     pairs = signed.join(several, "sig").distinct()
