@@ -45,6 +45,7 @@ COUNTED_AT_ONCE = 1 << 22  # shingles that a task sorts and sends at once, about
 FLAG_BITS = 26            # slots of the flags of frequent shingles at most; a bound, whatever the input
 FREQUENT_AT_LEAST = 32    # a shingle under this count is never frequent
 SKIP = 0xFFFF             # a step that names no value
+SIG_BITS = 40             # of a signature, by which nodes are brought together
 LARGE = 32       # signatures of more classes are compared by pivots and blocks, not by pairs
 PIVOTS = 4       # pivots that a class is verified against
 BLOCK = 256      # sets of one side that a task holds, about
@@ -72,8 +73,9 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.
     place = np.arange(len(words)) - (last - n_words)[doc]
     keep = place <= np.maximum(n_words[doc] - width, 0)
     grams, doc = grams[keep], doc[keep]
-    order = np.lexsort((grams, doc))
-    grams, doc = grams[order], doc[order]
+    ends = np.cumsum(np.bincount(doc, minlength=n)).tolist()
+    for lo, hi in zip([0, *ends], ends):
+        grams[lo:hi].sort()
     new = np.ones(len(grams), dtype=bool)
     new[1:] = (grams[1:] != grams[:-1]) | (doc[1:] != doc[:-1])
     return grams[new], np.concatenate([[0], np.cumsum(np.bincount(doc[new], minlength=n))])
@@ -206,6 +208,49 @@ def _set_rows(docs: DataFrame, width: int, signed=None) -> DataFrame:
         rows, "doc_id long, text_key long, node long, n long, rest long, pairs long, grams array<long>")
 
 
+def _shared_signatures(rows: DataFrame) -> DataFrame:
+    """(sig, node), once each, of the signatures that several nodes have; ``sig`` is SIG_BITS
+    of the signature, so that now and then two are taken for one and verified for nothing.
+
+    Signatures move once, packed by blocks of their hashes, four bytes and the node.
+    """
+    bits = _block_bits(rows.sparkSession)
+    rows_mask = np.uint64((1 << 64 - SIG_BITS) - 1)   # a batch has fewer rows: each has 16 bytes or more of BATCH_BYTES
+
+    def deal(batches):
+        for b in batches:
+            grams = b.column("grams")
+            row = np.repeat(np.arange(len(grams), dtype=np.uint64), grams.value_lengths().to_numpy())
+            both = np.sort(grams.flatten().to_numpy().view(np.uint64) & ~rows_mask | row)
+            sigs, nodes = both >> np.uint64(64 - SIG_BITS), b.column("node").to_numpy()[(both & rows_mask).astype(np.int64)]
+            ends = np.searchsorted(sigs, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(SIG_BITS - bits))
+            sigs = (sigs & np.uint64((1 << SIG_BITS - bits) - 1)).astype("<u4")
+            there = np.flatnonzero(np.diff(ends))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(there.astype(np.int32)), *(pa.array([x[ends[i]:ends[i + 1]].tobytes() for i in there], pa.binary()) for x in (sigs, nodes))],
+                names=["block", "sigs", "nodes"])
+
+    def several(table):
+        sigs, nodes = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (("sigs", "<u4"), ("nodes", "<i8")))
+        in_order = np.sort(sigs)
+        twice = np.unique(in_order[1:][in_order[1:] == in_order[:-1]])
+        if len(twice):
+            keep = twice[np.minimum(np.searchsorted(twice, sigs), len(twice) - 1)] == sigs
+            sigs, nodes = sigs[keep], nodes[keep]
+            order = np.lexsort((nodes, sigs))
+            sigs, nodes = sigs[order], nodes[order]
+            new = np.concatenate([[True], (sigs[1:] != sigs[:-1]) | (nodes[1:] != nodes[:-1])])
+            sigs, nodes = sigs[new], nodes[new]
+            same = sigs[1:] == sigs[:-1]   # as the one before, or the one after
+            shared = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+            sigs, nodes = sigs[shared], nodes[shared]
+        else:
+            sigs, nodes = sigs[:0], nodes[:0]
+        return pa.table({"sig": pa.array(sigs.astype(np.int64) + (table.column("block")[0].as_py() << SIG_BITS - bits)), "node": pa.array(nodes)})
+
+    return rows.select("node", "grams").mapInArrow(deal, "block int, sigs binary, nodes binary").groupBy("block").applyInArrow(several, "sig long, node long")
+
+
 def _placed_sets(docs: DataFrame, rows: DataFrame, places: DataFrame, width: int) -> DataFrame:
     """Each of ``places`` (node and what goes with it) with the node's whole set,
     read again from the text of one document of the class."""
@@ -333,13 +378,11 @@ def similar_classes(docs: DataFrame, percent: int = 85, width: int = 4) -> tuple
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     flags = frequent_flags(docs, width)
     release(docs.sparkSession)
-    rows = checkpointed(_set_rows(docs, width, (flags, percent)))
-    signed = rows.select("node", F.explode("grams").alias("sig"))
-    several = signed.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("sig")
-    pairs = signed.join(several, "sig").distinct()
-    facts = rows.filter(F.size("grams") > 0).groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "rest", "pairs")))
-    members = checkpointed(pairs.join(facts, "node"))
-    del signed, several, pairs, facts
+    signed = checkpointed(_set_rows(docs, width, (flags, percent)))
+    rows = checkpointed(signed.drop("grams"))
+    facts = rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "rest", "pairs")))
+    members = checkpointed(_shared_signatures(signed).join(facts, "node"))
+    del signed, facts
     release(docs.sparkSession)
     sizes = members.groupBy("sig").agg(F.count("*").alias("size"))
     large = checkpointed(members.join(sizes.filter(F.col("size") > LARGE).select("sig"), "sig"))

@@ -237,6 +237,28 @@ def test_steps_name_all_values():
         assert ngram_join._stepped(ngram_join._steps(values)).tolist() == values.tolist()
 
 
+def test_shared_signatures_are_few_bytes_and_complete(spark):
+    """Against brute force, with repeated nodes, empty sets and signatures of many nodes."""
+    rnd = random.Random(6)
+    pool = [rnd.randrange(-(1 << 63), 1 << 63) for _ in range(400)]
+    rows = [(n, rnd.sample(pool, rnd.choice([0, 1, 5, 30])) + [pool[0]] * (i % 3 == 0) + [rnd.randrange(1 << 62)]) for i, n in enumerate(rnd.choices(range(1 << 40, (1 << 40) + 60), k=90))]
+    rows = [(n, list(dict.fromkeys(s))) for n, s in rows] + [(5, [pool[7]]), (5, [pool[7]]), (6, [])]
+    found = ngram_join._shared_signatures(spark.createDataFrame(rows, "node long, grams array<long>").repartition(3)).collect()
+    nodes = defaultdict(set)
+    for n, s in rows:
+        for x in s:
+            nodes[(x & (1 << 64) - 1) >> 64 - ngram_join.SIG_BITS].add(n)
+    assert sorted(map(tuple, found)) == sorted((x, n) for x, ns in nodes.items() if len(ns) > 1 for n in ns)
+
+
+def test_signatures_move_once(spark, tmp_path):
+    """The exchange that brings signatures together carries them packed, 12 bytes each."""
+    rows = spark.range(40).selectExpr("id AS node", "transform(sequence(1, 50), x -> xxhash64(x, id)) AS grams")
+    shared = ngram_join._shared_signatures(rows)
+    plan = shared._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "block" in plan and shared.count() == 0
+
+
 # ------------------------------------------------------------ substring dedup
 def test_repeated_passages_are_caught(spark):
     rnd = random.Random(3)
